@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as E
 from tests.compare import same_result
 
-from conftest import SF_SMALL
+from tests.conftest import SF_SMALL
 
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
