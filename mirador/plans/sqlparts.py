@@ -183,3 +183,40 @@ idx AS (
     coalesce(m.completeness, {dbl(0.0)}) AS completeness, coalesce(m.accessible_pct, {dbl(0.0)}) AS accessible_pct,
     coalesce(m.coverage, {dbl(0.0)}) AS coverage
   FROM v_catalogs c LEFT JOIN summ m ON c.id = m.catalog_id)"""
+
+
+# ------------------------------------------------------------------ search
+def _str_list(xs) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+def map_literal(d: dict[str, list[str]]) -> str:
+    if not d:
+        return "NULL"
+    return "MAP {" + ", ".join(f"'{k}': {_str_list(v)}" for k, v in d.items()) + "}"
+
+
+def normalize(expr: str) -> str:
+    return f"strip_accents(lower({trim_ws(expr)}))"
+
+
+def expand_acronyms(text: str, cc: str) -> str:
+    from mirador.functions import lookups as LL
+    from mirador.operators.text import acronym_expansions
+    cases = " ".join(f"WHEN {cc} = '{c}' THEN {map_literal(acronym_expansions(c))}[upper(t)]"
+                     for c in LL.ACRONYMS)
+    return (f"array_to_string(flatten(list_transform(string_split_regex({text}, '\\s+'), "
+            f"lambda t: list_concat([t], coalesce(CASE {cases} END, [])))), ' ')")
+
+
+def expand_synonyms(text: str, lang: str) -> str:
+    from mirador.functions import lookups as LL
+    from mirador.operators.text import synonym_expansions
+    cases = " ".join(f"WHEN {lang} = '{g}' THEN {map_literal(synonym_expansions(g))}[t]" for g in LL.SYNONYMS)
+    return (f"array_to_string(flatten(list_transform(string_split_regex({text}, '\\s+'), "
+            f"lambda t: list_concat([t], coalesce(CASE {cases} END, [])))), ' ')")
+
+
+def values_table(rows: list[tuple[int, str]], cols=("query_id", "query")) -> str:
+    vals = ", ".join(f"({i}, '{q.replace(chr(39), chr(39) * 2)}')" for i, q in rows)
+    return f"(SELECT * FROM (VALUES {vals}) t({', '.join(cols)}))"
