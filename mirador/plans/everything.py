@@ -4,6 +4,7 @@ from mirador.plans import registry  # noqa: F401
 from mirador.plans import oracles  # noqa: F401
 from mirador.plans import q_sql  # noqa: F401
 from mirador.plans import q_search  # noqa: F401
+from mirador.plans import q_vectors  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = oracles.ORACLES
