@@ -14,8 +14,10 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
-# Fixed parameter: the "now" of every stand-in run (UTC).
+# Fixed parameters: the "now" of every stand-in run (UTC), and the "now" of the
+# event-log stand-ins (health checks, outcomes), which lie in January 2024.
 AS_OF = "2026-01-01 00:00:00"
+EVENTS_AS_OF = "2024-01-31 00:00:00"
 
 VIEW_SQL: dict[str, str] = {
     "v_catalogs": """
@@ -50,9 +52,31 @@ SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS date,
 SELECT catalog_id, external_id, CASE WHEN doc_id % 3 = 0 THEN modified_on - 30 ELSE modified_on END AS modified_on,
  DATE '2026-01-01' - CAST(doc_id % 14 AS INT) AS last_scored_on FROM v_datasets WHERE doc_id % 10 <> 3
  UNION ALL SELECT 'src' || CAST(n_nationkey AS STRING), 'gone' || CAST(n_nationkey AS STRING), DATE '2024-01-01', DATE '2025-12-30' FROM nation""",
+    # Preset directory: one preset per region, plus "all"; one member is unknown.
+    "v_presets": """
+SELECT lower(r_name) AS preset, 'src' || CAST(n_nationkey AS STRING) AS catalog_id, n_nationkey AS member_pos
+ FROM nation JOIN region ON n_regionkey = r_regionkey
+ UNION ALL SELECT 'all', 'src' || CAST(n_nationkey AS STRING), n_nationkey FROM nation
+ UNION ALL SELECT 'america', 'src99', 99 FROM region WHERE r_regionkey = 1""",
+    # Sweep state of the previous run: complete (young or old), incomplete, or none.
+    "v_sweep_state": """
+SELECT id AS catalog_id, pos % 3 = 0 AS complete,
+ CASE WHEN pos % 3 = 0 THEN CASE WHEN pos % 2 = 0 THEN TIMESTAMP '2025-12-29 00:00:00' ELSE TIMESTAMP '2025-06-01 00:00:00' END END AS last_complete_sweep,
+ CASE WHEN pos % 3 = 1 THEN TIMESTAMP '2024-06-01 00:00:00' WHEN pos % 3 = 0 THEN TIMESTAMP '2025-06-01 00:00:00' END AS cursor,
+ CAST(CASE WHEN pos % 3 = 1 THEN 40 ELSE 50 END AS BIGINT) AS processed_count,
+ CAST(CASE WHEN pos % 3 = 1 THEN 0 ELSE 50 END AS BIGINT) AS total_known
+ FROM v_catalogs WHERE pos % 3 <> 2""",
+    "v_sweep_aggs": """
+SELECT catalog_id, 'completeness' AS dimension, CAST(processed_count * 500 AS BIGINT) AS sum_milli, processed_count AS count FROM v_sweep_state
+ UNION ALL SELECT catalog_id, 'freshness', CAST(processed_count * 250 AS BIGINT), processed_count FROM v_sweep_state
+ UNION ALL SELECT catalog_id, 'structure', CAST(processed_count * 700 AS BIGINT), processed_count FROM v_sweep_state
+ UNION ALL SELECT catalog_id, 'accessibility', CAST(1100 AS BIGINT), CAST(2 AS BIGINT) FROM v_sweep_state""",
 }
 
 VIEW_DEPS: dict[str, tuple[str, ...]] = {
+    "v_presets": (),
+    "v_sweep_state": ("v_catalogs",),
+    "v_sweep_aggs": ("v_sweep_state",),
     "v_catalogs": (),
     "v_datasets": (),
     "v_resources": ("v_datasets",),

@@ -106,3 +106,8 @@ def avg3(c: Column) -> Column:
 def mean_exact(c: Column) -> Column:
     """Aggregate: mean of 3-decimal scores from an exact integer sum (unrounded)."""
     return F.sum(thousandths(c)) / (F.count(c) * 1000.0)
+
+
+def epoch_micros(c: Column) -> Column:
+    """Microseconds since the epoch of a TIMESTAMP or TIMESTAMP_NTZ (read as UTC)."""
+    return F.unix_micros(c.cast("timestamp"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mirador.functions import lookups as L
-from mirador.functions.columns import (blank_to_null, format_key, format_score,
+from mirador.functions.columns import (blank_to_null, epoch_micros, format_key, format_score,
                                        freshness_lambda, js_trim, round3,
                                        score_level, status_score, weighted_sum)
 
@@ -87,7 +87,7 @@ def fields_lists(present: dict) -> tuple[Column, Column]:
 
 
 def days_since(as_of: str, ts: Column) -> Column:
-    raw = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(ts)) / (DAY_SECONDS * 1e6)
+    raw = (epoch_micros(F.lit(as_of).cast("timestamp")) - epoch_micros(ts)) / (DAY_SECONDS * 1e6)
     return F.greatest(F.lit(0.0), raw)
 
 
