@@ -71,9 +71,17 @@ SELECT catalog_id, 'completeness' AS dimension, CAST(processed_count * 500 AS BI
  UNION ALL SELECT catalog_id, 'freshness', CAST(processed_count * 250 AS BIGINT), processed_count FROM v_sweep_state
  UNION ALL SELECT catalog_id, 'structure', CAST(processed_count * 700 AS BIGINT), processed_count FROM v_sweep_state
  UNION ALL SELECT catalog_id, 'accessibility', CAST(1100 AS BIGINT), CAST(2 AS BIGINT) FROM v_sweep_state""",
+    # Series metadata (one row per series of v_series).
+    "v_series_meta": """
+SELECT series_id AS id, 'Serie ' || series_id AS title, 'Total de pedidos ' || lower(series_id) AS description,
+ CASE WHEN series_id < '3' THEN 'prioridad alta' ELSE 'prioridad baja' END AS category,
+ CASE substring(series_id, 1, 1) WHEN '1' THEN 'R/P1D' WHEN '2' THEN 'R/P1M' WHEN '3' THEN 'R/P3M' WHEN '4' THEN 'month' ELSE 'weekly' END AS frequency_raw,
+ 'USD' AS units, 'orders' AS source, min(date) AS start_date, max(date) AS end_date
+ FROM v_series GROUP BY series_id""",
 }
 
 VIEW_DEPS: dict[str, tuple[str, ...]] = {
+    "v_series_meta": ("v_series",),
     "v_presets": (),
     "v_sweep_state": ("v_catalogs",),
     "v_sweep_aggs": ("v_sweep_state",),

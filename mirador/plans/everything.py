@@ -6,6 +6,7 @@ from mirador.plans import q_sql  # noqa: F401
 from mirador.plans import q_search  # noqa: F401
 from mirador.plans import q_vectors  # noqa: F401
 from mirador.plans import q_incremental  # noqa: F401
+from mirador.plans import q_series  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = oracles.ORACLES
