@@ -8,6 +8,7 @@ from mirador.plans import q_vectors  # noqa: F401
 from mirador.plans import q_incremental  # noqa: F401
 from mirador.plans import q_series  # noqa: F401
 from mirador.plans import q_sources  # noqa: F401
+from mirador.plans import q_events  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = oracles.ORACLES
