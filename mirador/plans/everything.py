@@ -10,6 +10,7 @@ from mirador.plans import q_series  # noqa: F401
 from mirador.plans import q_sources  # noqa: F401
 from mirador.plans import q_events  # noqa: F401
 from mirador.plans import q_stores  # noqa: F401
+from mirador.plans import q_streaming  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = oracles.ORACLES
