@@ -108,18 +108,37 @@ def _closure(names) -> list[str]:
     return out
 
 
+# (session, view name) -> the sf_dir it was registered from; lets repeated calls
+# skip re-reading parquet footers and re-analysing view SQL.
+_REGISTERED: dict[tuple[int, str], str] = {}
+
+
+def _fresh(spark: SparkSession, name: str, sf_dir: str) -> bool:
+    return _REGISTERED.get((id(spark), name)) == sf_dir
+
+
 def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Register the driver's parquet tables as temp views (lazy scans)."""
+    """Register the driver's parquet tables as temp views (lazy scans), once per session."""
     apply_runtime_conf(spark)
+    sf_dir = sf_dir.rstrip("/")
     for t in names:
-        spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(t)
+        if _fresh(spark, t, sf_dir):
+            continue
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        _REGISTERED[(id(spark), t)] = sf_dir
+        for v in VIEW_SQL:  # views built on older tables are stale now
+            _REGISTERED.pop((id(spark), v), None)
 
 
 def register_views(spark: SparkSession, sf_dir: str, views=tuple(VIEW_SQL)) -> None:
     """Register driver tables and the stand-in views (in dependency order)."""
     load_tables(spark, sf_dir)
+    sf_dir = sf_dir.rstrip("/")
     for v in _closure(views):
+        if _fresh(spark, v, sf_dir):
+            continue
         spark.sql(VIEW_SQL[v]).createOrReplaceTempView(v)
+        _REGISTERED[(id(spark), v)] = sf_dir
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

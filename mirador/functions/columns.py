@@ -26,13 +26,17 @@ def blank_to_null(c: Column) -> Column:
     return F.when(F.length(js_trim(c)) > 0, c)
 
 
+def map_literal(mapping: dict) -> Column:
+    """A fixed lookup table as one map literal expression (a single JVM call)."""
+    def lit(v):
+        return f"{v!r}D" if isinstance(v, float) else "'" + str(v).replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(f"{lit(k)}, {lit(v)}" for k, v in mapping.items()) + ")")
+
+
 def format_score(fmt: Column) -> Column:
     """Structure score of one resource format (lower + trim lookup)."""
-    key = F.lower(F.trim(fmt))
-    expr = F.lit(L.DEFAULT_FORMAT_SCORE)
-    for name, score in reversed(list(L.FORMAT_SCORES.items())):
-        expr = F.when(key == name, F.lit(score)).otherwise(expr)
-    return expr
+    return F.coalesce(F.try_element_at(map_literal(L.FORMAT_SCORES), F.lower(F.trim(fmt))),
+                      F.lit(L.DEFAULT_FORMAT_SCORE))
 
 
 def format_key(fmt: Column) -> Column:
