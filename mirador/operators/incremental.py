@@ -142,10 +142,12 @@ def sweep_chunk(scores: DataFrame, plan: DataFrame, chunk_size: int = L.SWEEP_CH
     cand = scores.join(F.broadcast(p), "catalog_id") \
                  .where(F.col("modified_at") >= F.col("start_cursor"))
     w = Window.partitionBy("catalog_id").orderBy(F.col("modified_at"), F.col("id"))
-    ranked = cand.withColumn("idx", F.row_number().over(w) - 1)
+    ranked = cand.withColumn("rn", F.row_number().over(w))
     if chunk_size > 0:
-        ranked = ranked.where(F.col("idx") < chunk_size)
-    return ranked.withColumn("with_access", (F.col("idx") % every) == 0)
+        # a filter on the rank column itself lets Spark limit each partition first
+        ranked = ranked.where(F.col("rn") <= chunk_size)
+    return ranked.withColumn("idx", F.col("rn") - 1).drop("rn") \
+                 .withColumn("with_access", (F.col("idx") % every) == 0)
 
 
 def sweep_partials(chunk: DataFrame) -> DataFrame:

@@ -176,13 +176,10 @@ def q_list_since(spark, sf):
     cats = spark.table("v_catalogs").select(F.col("id").alias("catalog_id"), "protocol")
     d = d.join(F.broadcast(cats), "catalog_id", "left")
     out = payloads.list_since(d, CURSOR, keep_undated=F.col("protocol") == "socrata")
-    from pyspark.sql import Window
-    w = Window.partitionBy("catalog_id").orderBy(F.col("modified_at").asc_nulls_last(), "id")
-    return out.select("id", "catalog_id", "modified_at", F.row_number().over(w).cast("bigint").alias("position"))
+    return out.select("id", "catalog_id", "modified_at")
 
 
-oracle("list_since", f"""SELECT d.id, d.catalog_id, CAST(d.modified_on AS TIMESTAMP) AS modified_at,
- row_number() OVER (PARTITION BY d.catalog_id ORDER BY CAST(d.modified_on AS TIMESTAMP) ASC NULLS LAST, d.id) AS position
+oracle("list_since", f"""SELECT d.id, d.catalog_id, CAST(d.modified_on AS TIMESTAMP) AS modified_at
 FROM v_datasets d LEFT JOIN v_catalogs c ON d.catalog_id = c.id
 WHERE CAST(d.modified_on AS TIMESTAMP) >= TIMESTAMP '{CURSOR}' OR (d.modified_on IS NULL AND c.protocol = 'socrata')""",
        "v_datasets", "v_catalogs")

@@ -23,8 +23,8 @@ def q_stream_event_ingest(spark, sf):
     landed = usage_json(spark, sf)
     jobs.land_in_chunks(landed, src, "event_id", CHUNKS)
     paths = jobs.event_ingest(spark, src, out, landed.schema.simpleString()[7:-1].replace(":", " "))
-    both = spark.read.parquet(paths["good"]).unionByName(spark.read.parquet(paths["rejected"]))
-    return both.select("event_id", "type", "valid", "reason")
+    routed = spark.read.parquet(paths["good"].rsplit("/", 1)[0])
+    return routed.select("event_id", "type", (F.col("valid") == "true").alias("valid"), "reason")
 
 
 ORACLES["stream_event_ingest"] = ORACLES["usage_event_validate"]

@@ -132,4 +132,5 @@ def list_since(records: DataFrame, cursor: str, keep_undated: Column | bool = Fa
     keep = keep_undated if isinstance(keep_undated, Column) else F.lit(bool(keep_undated))
     since = (F.col("modified_at") >= F.lit(cursor).cast("timestamp")) | \
         (F.col("modified_at").isNull() & keep)
-    return records.where(since)
+    # a global sort is range-partitioned, so one large catalog spreads over many tasks
+    return records.where(since).orderBy("catalog_id", F.col("modified_at").asc_nulls_last(), "id")

@@ -52,14 +52,13 @@ def run_available_now(stream: DataFrame, sink: Callable[[DataFrame, int], None],
 # ------------------------------------------------------------------ event ingest
 def event_ingest(spark: SparkSession, source: str, out: str, schema: str) -> dict[str, str]:
     """Validate landed usage events (JSON text in column ``json``) and route them."""
-    paths = {"good": f"{out}/good", "rejected": f"{out}/rejected"}
+    paths = {"good": f"{out}/routed/valid=true", "rejected": f"{out}/routed/valid=false"}
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        v = audit.validate_events(batch)
-        v = v.withColumn("batch_id", F.lit(batch_id))
-        v.where("valid").write.mode("append").parquet(paths["good"])
-        v.where("NOT valid").write.mode("append").parquet(paths["rejected"])
+        # one write routes both outputs (valid=true / valid=false folders)
+        v = audit.validate_events(batch).withColumn("batch_id", F.lit(batch_id))
+        v.write.mode("append").partitionBy("valid").parquet(out + "/routed")
 
     run_available_now(stream, sink, f"{out}/_checkpoint")
     return paths
