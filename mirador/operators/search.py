@@ -39,24 +39,43 @@ def index_rows(datasets: DataFrame) -> DataFrame:
         F.coalesce(F.array_join("tags", " "), F.lit("")).alias("tags"))
 
 
-def fts_build(datasets: DataFrame) -> dict[str, DataFrame]:
-    """Index tables for all catalogs at once (statistics grouped by catalog)."""
+def _token_table(datasets: DataFrame) -> DataFrame:
     rows = index_rows(datasets)
     toks = rows.select("catalog_id", "id", *[fts_tokens(F.col(f)).alias(f) for f in FIELDS])
     doc_len = sum((F.size(F.col(f)) for f in FIELDS[1:]), F.size(F.col(FIELDS[0])))
-    toks = toks.withColumn("len", doc_len)
+    return toks.withColumn("len", doc_len)
+
+
+def fts_postings(datasets: DataFrame) -> DataFrame:
+    """(catalog, doc, field, term, len, tf). All tokens of a record are in one
+    row, so the partial aggregation before the shuffle already yields exact tf."""
+    toks = _token_table(datasets)
     per_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens"))
                                     for f in FIELDS]))
-    postings = (toks.select("catalog_id", "id", "len", per_field.alias("ft"))
-                .select("catalog_id", "id", "len", F.col("ft.field").alias("field"),
-                        F.explode("ft.tokens").alias("term"))
-                .groupBy("catalog_id", "id", "field", "term", "len")
-                .agg(F.count(F.lit(1)).alias("tf")))
-    term_df = (postings.select("catalog_id", "term", "id").distinct()
-               .groupBy("catalog_id", "term").agg(F.count(F.lit(1)).alias("df")))
-    stats = toks.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("n_docs"),
-                                           F.avg("len").alias("avgdl"))
-    return {"postings": postings, "term_df": term_df, "stats": stats}
+    return (toks.select("catalog_id", "id", "len", per_field.alias("ft"))
+            .select("catalog_id", "id", "len", F.col("ft.field").alias("field"),
+                    F.explode("ft.tokens").alias("term"))
+            .groupBy("catalog_id", "id", "field", "term", "len")
+            .agg(F.count(F.lit(1)).alias("tf")))
+
+
+def fts_term_df(postings: DataFrame) -> DataFrame:
+    """Documents per (catalog, term): distinct over a document's fields first, then
+    a partially aggregated count, so a very common term is merged from small buffers."""
+    per_doc = postings.select("catalog_id", "term", "id").distinct()
+    return per_doc.groupBy("catalog_id", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def fts_stats(datasets: DataFrame) -> DataFrame:
+    """Documents and mean document length per catalog (all records, empty ones too)."""
+    return _token_table(datasets).groupBy("catalog_id").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avgdl"))
+
+
+def fts_build(datasets: DataFrame) -> dict[str, DataFrame]:
+    """Index tables for all catalogs at once (statistics grouped by catalog)."""
+    postings = fts_postings(datasets)
+    return {"postings": postings, "term_df": fts_term_df(postings), "stats": fts_stats(datasets)}
 
 
 def query_literal(queries: list[tuple[int, str]]) -> Column:

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from mirador.fixtures import AS_OF
 from mirador.operators import scoring, summary
 from mirador.sources import records
+from mirador.session import written_table
 
 
 def dataset_scores(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
-    return scoring.score_datasets(records.datasets(spark, sf_dir), records.resources(spark, sf_dir),
-                                  records.checks(spark, sf_dir), as_of)
+    """The per-dataset score table of a run, written once to the shared folder."""
+    def build():
+        return scoring.score_datasets(records.datasets(spark, sf_dir), records.resources(spark, sf_dir),
+                                      records.checks(spark, sf_dir), as_of)
+    return written_table(spark, ("scores", sf_dir.rstrip("/"), as_of), build)
 
 
 def known_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from mirador.plans.registry import query
 from mirador.plans.sqlparts import (SCORES_CTES, expand_acronyms, expand_synonyms, fold, normalize,
                                     tokens, trim_ws, values_table)
 from mirador.sources import records
+from mirador.session import written_table
 
 # Fixed parameter: the batch of search queries run against every catalog.
 SEARCH_QUERIES = [
@@ -98,7 +99,12 @@ SELECT query_id, catalog_id, array_to_string(list_filter(toks, lambda x, i: list
 
 
 def index_for(spark, sf):
-    return search.fts_build(records.datasets(spark, sf))
+    """The text index tables, built once per input folder and kept in the shared folder."""
+    key = sf.rstrip("/")
+    postings = written_table(spark, ("fts", "postings", key), lambda: search.fts_postings(records.datasets(spark, sf)))
+    return {"postings": postings,
+            "term_df": written_table(spark, ("fts", "term_df", key), lambda: search.fts_term_df(postings)),
+            "stats": written_table(spark, ("fts", "stats", key), lambda: search.fts_stats(records.datasets(spark, sf)))}
 
 
 @query("fts_build")

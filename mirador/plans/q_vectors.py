@@ -13,14 +13,18 @@ from mirador.plans.q_search import (BM25_SQL, HYBRID_FILTERS, HYBRID_LIMIT, INDE
                                     catalog_lang, fts_lists, index_for, qterms_for)
 from mirador.plans.registry import query
 from mirador.sources import records
+from mirador.session import written_table
 
 TOPK = 10
 
 
 def dataset_vectors(spark, sf):
-    docs = build_documents(records.datasets(spark, sf), records.resources(spark, sf))
-    docs = docs.join(records.datasets(spark, sf).select("id", "catalog_id"), "id")
-    return vectors.embed_text(docs, "id", "document", extra_cols=("catalog_id",))
+    """Embeddings of the dataset documents, computed once per input folder."""
+    def build():
+        docs = build_documents(records.datasets(spark, sf), records.resources(spark, sf))
+        docs = docs.join(records.datasets(spark, sf).select("id", "catalog_id"), "id")
+        return vectors.embed_text(docs, "id", "document", extra_cols=("catalog_id",))
+    return written_table(spark, ("vectors", sf.rstrip("/")), build)
 
 
 @query("embed_text")

@@ -78,6 +78,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_TABLES: dict[tuple, str] = {}
+
+
+def written_table(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """A derived table written once (per session and key) to the shared folder and
+    read back: later plans start from the file instead of recomputing the lineage,
+    and a lost executor re-reads files instead of replaying the whole plan."""
+    k = (id(spark),) + tuple(key)
+    path = _TABLES.get(k)
+    if path is None:
+        path = scratch_path(spark, "derived-" + "-".join(str(x) for x in key)[:60].replace("/", "_"))
+        build().write.mode("overwrite").parquet(path)
+        _TABLES[k] = path
+    return spark.read.parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Evaluate once and cut the lineage with a reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
