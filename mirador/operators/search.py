@@ -46,10 +46,14 @@ def _token_table(datasets: DataFrame) -> DataFrame:
     return toks.withColumn("len", doc_len)
 
 
-def fts_postings(datasets: DataFrame) -> DataFrame:
+def token_table(datasets: DataFrame) -> DataFrame:
+    """(catalog, doc, one token array per field, len): the one tokenisation pass."""
+    return _token_table(datasets)
+
+
+def fts_postings(toks: DataFrame) -> DataFrame:
     """(catalog, doc, field, term, len, tf). All tokens of a record are in one
     row, so the partial aggregation before the shuffle already yields exact tf."""
-    toks = _token_table(datasets)
     per_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens"))
                                     for f in FIELDS]))
     return (toks.select("catalog_id", "id", "len", per_field.alias("ft"))
@@ -59,23 +63,24 @@ def fts_postings(datasets: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("tf")))
 
 
-def fts_term_df(postings: DataFrame) -> DataFrame:
-    """Documents per (catalog, term): distinct over a document's fields first, then
-    a partially aggregated count, so a very common term is merged from small buffers."""
-    per_doc = postings.select("catalog_id", "term", "id").distinct()
-    return per_doc.groupBy("catalog_id", "term").agg(F.count(F.lit(1)).alias("df"))
+def fts_term_df(toks: DataFrame) -> DataFrame:
+    """Documents per (catalog, term): a record's distinct terms are found inside its
+    row, then counted with partial aggregation, so a very common term is merged
+    from small per-partition counts (no distinct shuffle)."""
+    terms = F.array_distinct(F.concat(*[F.col(f) for f in FIELDS]))
+    return (toks.select("catalog_id", F.explode(terms).alias("term"))
+            .groupBy("catalog_id", "term").agg(F.count(F.lit(1)).alias("df")))
 
 
-def fts_stats(datasets: DataFrame) -> DataFrame:
+def fts_stats(toks: DataFrame) -> DataFrame:
     """Documents and mean document length per catalog (all records, empty ones too)."""
-    return _token_table(datasets).groupBy("catalog_id").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avgdl"))
+    return toks.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avgdl"))
 
 
 def fts_build(datasets: DataFrame) -> dict[str, DataFrame]:
     """Index tables for all catalogs at once (statistics grouped by catalog)."""
-    postings = fts_postings(datasets)
-    return {"postings": postings, "term_df": fts_term_df(postings), "stats": fts_stats(datasets)}
+    toks = token_table(datasets)
+    return {"postings": fts_postings(toks), "term_df": fts_term_df(toks), "stats": fts_stats(toks)}
 
 
 def query_literal(queries: list[tuple[int, str]]) -> Column:

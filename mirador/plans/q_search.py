@@ -16,7 +16,7 @@ from mirador.plans.registry import query
 from mirador.plans.sqlparts import (SCORES_CTES, expand_acronyms, expand_synonyms, fold, normalize,
                                     tokens, trim_ws, values_table)
 from mirador.sources import records
-from mirador.session import written_table
+from mirador.session import spread, written_table
 
 # Fixed parameter: the batch of search queries run against every catalog.
 SEARCH_QUERIES = [
@@ -55,7 +55,8 @@ cq AS (SELECT cl.catalog_id, cl.language, cl.country_code, q.query_id, q.query F
 @query("normalize_text")
 def q_normalize_text(spark, sf):
     register_views(spark, sf, ())
-    return spark.table("documents").select("doc_id", normalize_text(F.col("text")).alias("normalized"))
+    docs = spread(spark.table("documents"))
+    return docs.select("doc_id", normalize_text(F.col("text")).alias("normalized"))
 
 
 oracle("normalize_text", f"SELECT doc_id, {normalize('text')} AS normalized FROM documents")
@@ -101,10 +102,10 @@ SELECT query_id, catalog_id, array_to_string(list_filter(toks, lambda x, i: list
 def index_for(spark, sf):
     """The text index tables, built once per input folder and kept in the shared folder."""
     key = sf.rstrip("/")
-    postings = written_table(spark, ("fts", "postings", key), lambda: search.fts_postings(records.datasets(spark, sf)))
-    return {"postings": postings,
-            "term_df": written_table(spark, ("fts", "term_df", key), lambda: search.fts_term_df(postings)),
-            "stats": written_table(spark, ("fts", "stats", key), lambda: search.fts_stats(records.datasets(spark, sf)))}
+    toks = written_table(spark, ("fts", "tokens", key), lambda: search.token_table(records.datasets(spark, sf)))
+    return {"postings": written_table(spark, ("fts", "postings", key), lambda: search.fts_postings(toks)),
+            "term_df": written_table(spark, ("fts", "term_df", key), lambda: search.fts_term_df(toks)),
+            "stats": written_table(spark, ("fts", "stats", key), lambda: search.fts_stats(toks))}
 
 
 @query("fts_build")

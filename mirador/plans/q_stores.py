@@ -9,7 +9,7 @@ from mirador.plans import pipeline
 from mirador.plans.oracles import oracle
 from mirador.plans.registry import query
 from mirador.plans.sqlparts import SCORES_CTES, SUMMARY_CTES
-from mirador.session import scratch_path
+from mirador.session import scratch_path, spread
 from mirador.sources import records, stores
 
 # ------------------------------------------------------------------ load plan
@@ -40,7 +40,7 @@ SELECT page_id, url, sha256(url) AS cache_key,
 @query("charset_scan")
 def q_charset_scan(spark, sf):
     register_views(spark, sf, ())
-    docs = spark.table("documents")
+    docs = spread(spark.table("documents"))
     enc = (F.when(F.col("doc_id") % 3 == 0, F.lit("utf-8"))
            .when(F.col("doc_id") % 3 == 1,
                  F.when(F.col("text").rlike("[^\\x00-\\xFF]"), F.lit("utf-8")).otherwise(F.lit("latin-1")))

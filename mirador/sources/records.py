@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirador.fixtures import register_views
+from mirador.session import spread
 
 DATASET_COLUMNS = ["id", "catalog_id", "external_id", "title", "description",
                    "organization", "tags", "license", "created_at", "modified_at", "language"]
@@ -26,7 +27,7 @@ def datasets(spark: SparkSession, sf_dir: str, keep_doc_id: bool = False) -> Dat
     ]
     if keep_doc_id:
         cols.append("doc_id")
-    return d.select(*cols)
+    return spread(d.select(*cols), spark.table("documents"))
 
 
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
