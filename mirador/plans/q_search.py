@@ -102,7 +102,8 @@ SELECT query_id, catalog_id, array_to_string(list_filter(toks, lambda x, i: list
 def index_for(spark, sf):
     """The text index tables, built once per input folder and kept in the shared folder."""
     key = sf.rstrip("/")
-    toks = written_table(spark, ("fts", "tokens", key), lambda: search.token_table(records.datasets(spark, sf)))
+    toks = written_table(spark, ("fts", "tokens", key),
+                         lambda: search.token_table(spread(records.datasets(spark, sf), spark.table("documents"))))
     return {"postings": written_table(spark, ("fts", "postings", key), lambda: search.fts_postings(toks)),
             "term_df": written_table(spark, ("fts", "term_df", key), lambda: search.fts_term_df(toks)),
             "stats": written_table(spark, ("fts", "stats", key), lambda: search.fts_stats(toks))}

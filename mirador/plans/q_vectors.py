@@ -22,6 +22,7 @@ def dataset_vectors(spark, sf):
     """Embeddings of the dataset documents, computed once per input folder."""
     def build():
         docs = build_documents(records.datasets(spark, sf), records.resources(spark, sf))
+        # the join shuffles, so the encoder input is already spread over the cluster
         docs = docs.join(records.datasets(spark, sf).select("id", "catalog_id"), "id")
         return vectors.embed_text(docs, "id", "document", extra_cols=("catalog_id",))
     return written_table(spark, ("vectors", sf.rstrip("/")), build)

@@ -40,14 +40,43 @@ def build_session(master: str | None = None, app: str = "mirador",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
 def apply_runtime_conf(spark: SparkSession) -> None:
-    """Apply the SQL settings that can change at run time to a session we did not build."""
+    """Apply the SQL settings that can change at run time to a session we did not
+    build, and make sure the executors can import this package."""
     for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled",
               "spark.sql.ansi.doubleQuotedIdentifiers"):
         spark.conf.set(k, SESSION_CONF[k])
+    ship_package(spark)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per SparkContext (``addPyFile`` of a
+    zip), so Python steps (mapInPandas, applyInPandasWithState) import it there."""
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import zipfile
+
+    import mirador
+    pkg = os.path.dirname(os.path.abspath(mirador.__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="mirador-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(id(sc))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
