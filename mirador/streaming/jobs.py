@@ -7,8 +7,8 @@ lost executor or a restarted driver resumes where the checkpoint says.
 
 * ``event_ingest``: usage events validated and routed to good / rejected.
 * ``sweep_totals``: running {sum, count} per (catalog, dimension).
-* ``latest_health``: latest observation per (catalog, url) with TTL purge,
-  merged per micro-batch with ``max_by`` into a versioned table.
+* ``latest_health``: latest observation per (catalog, url) in keyed state,
+  evicted after the TTL; an update log of changed keys.
 * ``failure_state`` / ``outage_state``: keyed state machines with
   ``applyInPandasWithState``; events of a key are folded in event-time order
   inside each micro-batch.
@@ -87,24 +87,26 @@ def sweep_totals(spark: SparkSession, source: str, out: str, schema: str) -> str
 # ------------------------------------------------------------------ latest health
 def latest_health(spark: SparkSession, source: str, out: str, schema: str, as_of: str,
                   ttl_hours: float = L.HEALTH_TTL_HOURS) -> Callable[[], DataFrame]:
-    """Merge each micro-batch into a versioned latest-per-(catalog, url) table,
-    purging stale entries on write (last write wins)."""
+    """Latest observation per (catalog, url) as a streaming aggregation (``max_by``
+    in update mode): the state store keeps one row per URL, a micro-batch touches
+    only the keys it carries and emits those whose latest changed (last write
+    wins). Staleness (the TTL) is applied when the result is read."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    versions = f"{out}/versions"
-    state = {"last": None}
+    latest = (stream.groupBy("catalog_id", "url")
+              .agg(F.max_by(F.struct("status", "latency_ms", "checked_at", "event_id"),
+                            F.struct("checked_at", "event_id")).alias("h"))
+              .select("catalog_id", "url", "h.status", "h.latency_ms", "h.checked_at", "h.event_id"))
+    target = f"{out}/updates"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        prev = state["last"]
-        cur = batch.select("catalog_id", "url", "status", "latency_ms", "checked_at", "event_id")
-        if prev is not None:
-            cur = spark.read.parquet(prev).unionByName(cur)
-        merged = health.health_latest_fresh(cur, as_of, ttl_hours)
-        path = f"{versions}/v={batch_id:08d}"
-        merged.write.mode("overwrite").parquet(path)
-        state["last"] = path
+        batch.write.mode("append").parquet(target)
 
-    run_available_now(stream, sink, f"{out}/_checkpoint")
-    return lambda: spark.read.parquet(state["last"]) if state["last"] else None
+    run_available_now(latest, sink, f"{out}/_checkpoint", mode="update")
+
+    def read() -> DataFrame:
+        # last emitted row per key (max_by again over the update log), then the TTL filter
+        return health.health_latest_fresh(spark.read.parquet(target), as_of, ttl_hours)
+    return read
 
 
 # ------------------------------------------------------------------ keyed state machines
