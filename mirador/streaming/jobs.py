@@ -42,6 +42,16 @@ def land_in_chunks(df: DataFrame, path: str, order_col: str, n_chunks: int) -> N
         part.coalesce(1).write.mode("append").parquet(path)
 
 
+def write_batch(df: DataFrame, target: str, batch_id: int, partition_by: str | None = None) -> None:
+    """Idempotent micro-batch sink: each batch owns ``target/batch=<id>`` and is
+    written in overwrite mode, so a batch replayed after a failure (foreachBatch
+    is at-least-once) replaces its own output instead of duplicating it."""
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(f"{target}/batch={batch_id}")
+
+
 def run_available_now(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
                       mode: str = "append") -> None:
     q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
@@ -52,13 +62,12 @@ def run_available_now(stream: DataFrame, sink: Callable[[DataFrame, int], None],
 # ------------------------------------------------------------------ event ingest
 def event_ingest(spark: SparkSession, source: str, out: str, schema: str) -> dict[str, str]:
     """Validate landed usage events (JSON text in column ``json``) and route them."""
-    paths = {"good": f"{out}/routed/valid=true", "rejected": f"{out}/routed/valid=false"}
+    paths = {"routed": f"{out}/routed"}
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        # one write routes both outputs (valid=true / valid=false folders)
-        v = audit.validate_events(batch).withColumn("batch_id", F.lit(batch_id))
-        v.write.mode("append").partitionBy("valid").parquet(out + "/routed")
+        # one idempotent write routes both outputs (valid=true / valid=false folders)
+        write_batch(audit.validate_events(batch), out + "/routed", batch_id, partition_by="valid")
 
     run_available_now(stream, sink, f"{out}/_checkpoint")
     return paths
@@ -99,7 +108,7 @@ def latest_health(spark: SparkSession, source: str, out: str, schema: str, as_of
     target = f"{out}/updates"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(target)
+        write_batch(batch, target, batch_id)
 
     run_available_now(latest, sink, f"{out}/_checkpoint", mode="update")
 
@@ -145,7 +154,7 @@ def failure_state(spark: SparkSession, source: str, out: str, schema: str, key:
     target = f"{out}/updates"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(target)
+        write_batch(batch, target, batch_id)
 
     run_available_now(states, sink, f"{out}/_checkpoint", mode="update")
     return target
@@ -155,7 +164,7 @@ def final_failure_state(spark: SparkSession, updates: str, key: str, as_of: str)
     """The last update per key, with status and retry decision."""
     u = spark.read.parquet(updates)
     last = u.groupBy(key).agg(F.max_by(F.struct("consecutive_failures", "last_failure", "events"),
-                                       F.col("batch_id")).alias("s")).select(key, "s.*")
+                                       F.col("batch").cast("bigint")).alias("s")).select(key, "s.*")
     status = F.when(F.col("consecutive_failures") >= L.UNREACHABLE_AFTER_FAILURES, F.lit("unreachable")) \
         .otherwise(F.lit("ok"))
     days = incremental._age_us(as_of, F.col("last_failure")) / incremental.DAY_US
@@ -250,7 +259,7 @@ def outage_stream(spark: SparkSession, source: str, out: str, schema: str, key:
     target = f"{out}/decisions"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(target)
+        write_batch(batch, target, batch_id)
 
     run_available_now(res, sink, f"{out}/_checkpoint")
     return target

@@ -85,3 +85,18 @@ def test_series_collapse_end_of_period_skips_nulls(spark):
 def test_scratch_paths_are_fresh(spark):
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b and spark.sparkContext.getCheckpointDir() in a
+
+
+def test_outage_stream_equals_batch_twin(spark):
+    from mirador.streaming import jobs
+    base = dt.datetime(2024, 1, 1)
+    rows = [(k, i, base + dt.timedelta(seconds=13 * i), (i * 7 + k) % 5 != 0 and (i // 9) % 3 != 1)
+            for i in range(240) for k in (1, 2)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp_ntz, ok boolean")
+    src, out = scratch_path(spark, "outage-src"), scratch_path(spark, "outage-out")
+    jobs.land_in_chunks(df, src, "event_id", 3)
+    target = jobs.outage_stream(spark, src, out, "user_id long, event_id long, ts timestamp_ntz, ok boolean", "user_id")
+    streamed = {(r["key"], r["event_id"]): (r["decision"], r["state"]) for r in spark.read.parquet(target).collect()}
+    batch = {(r["user_id"], r["event_id"]): (r["decision"], r["state"])
+             for r in jobs.outage_batch(df, "user_id", 2).collect()}
+    assert streamed == batch and len(batch) == len(rows)
