@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -206,22 +206,74 @@ def new_outage_state() -> dict:
 OUTAGE_OUT = "key long, event_id long, ts timestamp_ntz, decision string, state string"
 
 
+def outage_segments(outcomes: DataFrame, key: str, bucket: str = "day") -> DataFrame:
+    """Cut each key's outcome history into independent segments.
+
+    An outcome is a sync point when it and the outcome before it are successes
+    and that earlier success is at least the reset time after the key's last
+    failure: whatever the state was, the first success is admitted (half-open or
+    closed) and the second leaves the circuit closed with zero counts. So after a
+    sync point the fold restarts from the initial state, and the segments between
+    sync points can be folded in parallel.
+
+    "Previous outcome" and "last failure before" come from windows over (key,
+    time bucket), with the value carried in from earlier buckets through a window
+    over one summary row per (key, bucket); segment numbers are a running count
+    of sync points built the same way. A hot key is thus spread over its buckets.
+    """
+    reset_us = L.OUTAGE_RESET_SECONDS * 1_000_000
+    o = outcomes.withColumn("_b", F.date_trunc(bucket, F.col("ts")))
+    o = o.withColumn("_tu", F.unix_micros(F.col("ts").cast("timestamp")))
+    order = [F.col("_tu"), F.col("event_id")]
+    wb = Window.partitionBy(key, "_b").orderBy(*order)
+    before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    o = (o.withColumn("_prev_ok", F.lag("ok").over(wb))
+          .withColumn("_prev_tu", F.lag("_tu").over(wb))
+          .withColumn("_last_fail", F.last(F.when(~F.col("ok"), F.col("_tu")), ignorenulls=True).over(before)))
+    # per (key, bucket): last outcome and last failure; carried into later buckets
+    summ = o.groupBy(key, "_b").agg(
+        F.max_by(F.struct(F.col("ok").alias("ok"), F.col("_tu").alias("tu")), F.struct(*order)).alias("_last"),
+        F.max(F.when(~F.col("ok"), F.col("_tu"))).alias("_bfail"))
+    wk = Window.partitionBy(key).orderBy("_b")
+    carry = (summ.withColumn("_c_last", F.lag("_last").over(wk))
+                 .withColumn("_c_fail", F.last("_bfail", ignorenulls=True)
+                             .over(wk.rowsBetween(Window.unboundedPreceding, -1)))
+                 .select(key, "_b", "_c_last", "_c_fail"))
+    o = o.join(carry, [key, "_b"], "left")
+    prev_ok = F.coalesce(F.col("_prev_ok"), F.col("_c_last.ok"))
+    prev_tu = F.coalesce(F.col("_prev_tu"), F.col("_c_last.tu"))
+    last_fail = F.coalesce(F.col("_last_fail"), F.col("_c_fail"))
+    sync = (F.col("ok") & F.coalesce(prev_ok, F.lit(False))
+            & (last_fail.isNull() | (prev_tu - last_fail >= reset_us)))
+    o = o.withColumn("_sync", sync.cast("int"))
+    # segment = number of sync points strictly before the outcome (two-level running count)
+    o = o.withColumn("_local", F.coalesce(F.sum("_sync").over(before), F.lit(0)))
+    counts = o.groupBy(key, "_b").agg(F.sum("_sync").alias("_n"))
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
+                                                   F.lit(0))).select(key, "_b", "_off")
+    o = o.join(offsets, [key, "_b"], "left")
+    return o.select(key, "event_id", "ts", "ok", (F.col("_off") + F.col("_local")).cast("bigint").alias("segment"))
+
+
 def outage_batch(outcomes: DataFrame, key: str, n_partitions: int | None = None) -> DataFrame:
-    """Batch twin: rows of a key are hash-partitioned together and sorted by time,
-    then folded by streaming through Arrow batches (state carried across batches,
-    so memory stays bounded however many rows a key has)."""
+    """Batch twin: the outcomes are cut into independent segments
+    (``outage_segments``), segments are hash-partitioned and time-sorted, and each
+    is folded from the initial state by streaming through Arrow batches (state
+    carried across batches, so memory stays bounded). A key with many segments is
+    spread over many tasks; one segment is inherently sequential."""
     n = n_partitions or outcomes.sparkSession.sparkContext.defaultParallelism
-    src = (outcomes.select(F.col(key).alias("key"), "event_id", "ts", "ok")
-           .repartition(n, "key").sortWithinPartitions("key", "ts", "event_id"))
+    seg = outage_segments(outcomes.select(key, "event_id", "ts", "ok"), key)
+    src = (seg.select(F.col(key).alias("key"), "segment", "event_id", "ts", "ok")
+           .repartition(n, "key", "segment").sortWithinPartitions("key", "segment", "ts", "event_id"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_key, st = None, None
+        cur, st = None, None
         for pdf in it:
             decisions, states = [], []
             tsu = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-            for k, t, ok in zip(pdf["key"].to_numpy(), tsu, pdf["ok"].to_numpy()):
-                if k != cur_key:
-                    cur_key, st = k, new_outage_state()
+            for k, g, t, ok in zip(pdf["key"].to_numpy(), pdf["segment"].to_numpy(), tsu, pdf["ok"].to_numpy()):
+                if (k, g) != cur:
+                    cur, st = (k, g), new_outage_state()
                 d, s = outage_step(st, int(t), bool(ok))
                 decisions.append(d)
                 states.append(s)

@@ -294,3 +294,24 @@ def test_preset_unknown_and_default(spark):
 
 def test_like_terms():
     assert search.like_terms("  Hola a MUNDO ") == ["hola", "mundo"]
+
+
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_outage_segments_exact_over_days(spark, seed):
+    rnd = random.Random(seed)
+    base = dt.datetime(2024, 1, 1)
+    rows, t = [], {k: base for k in range(1, 5)}
+    for i in range(1500):
+        key = 1 if rnd.random() < 0.5 else rnd.randint(2, 4)       # key 1 holds half of the rows
+        gap = rnd.choice([1, 5, 20, 59, 60, 61, 300, 4000, 30000])
+        t[key] = t[key] + dt.timedelta(seconds=gap)
+        rows.append((key, i, t[key], rnd.random() < 0.7))
+    df = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp, ok boolean")
+    got = {r["event_id"]: (r["decision"], r["state"]) for r in jobs.outage_batch(df, "user_id", 4).collect()}
+    for key in range(1, 5):
+        seq = sorted([r for r in rows if r[0] == key], key=lambda r: (r[2], r[1]))
+        want = brute_outage([(int(r[2].replace(tzinfo=dt.timezone.utc).timestamp() * 1e6), r[3]) for r in seq])
+        for r, w in zip(seq, want):
+            assert got[r[1]] == w, (key, r)
+    segs = jobs.outage_segments(df, "user_id").where("user_id = 1").select("segment").distinct().count()
+    assert segs > 10  # the hot key is cut into many independent segments
