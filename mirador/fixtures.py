@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mirador.session import apply_runtime_conf
+from mirador.session import apply_runtime_conf, session_key
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -110,11 +110,11 @@ def _closure(names) -> list[str]:
 
 # (session, view name) -> the sf_dir it was registered from; lets repeated calls
 # skip re-reading parquet footers and re-analysing view SQL.
-_REGISTERED: dict[tuple[int, str], str] = {}
+_REGISTERED: dict[tuple[str, str], str] = {}
 
 
 def _fresh(spark: SparkSession, name: str, sf_dir: str) -> bool:
-    return _REGISTERED.get((id(spark), name)) == sf_dir
+    return _REGISTERED.get((session_key(spark), name)) == sf_dir
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
@@ -125,9 +125,9 @@ def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
         if _fresh(spark, t, sf_dir):
             continue
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        _REGISTERED[(id(spark), t)] = sf_dir
+        _REGISTERED[(session_key(spark), t)] = sf_dir
         for v in VIEW_SQL:  # views built on older tables are stale now
-            _REGISTERED.pop((id(spark), v), None)
+            _REGISTERED.pop((session_key(spark), v), None)
 
 
 def register_views(spark: SparkSession, sf_dir: str, views=tuple(VIEW_SQL)) -> None:
@@ -138,7 +138,7 @@ def register_views(spark: SparkSession, sf_dir: str, views=tuple(VIEW_SQL)) -> N
         if _fresh(spark, v, sf_dir):
             continue
         spark.sql(VIEW_SQL[v]).createOrReplaceTempView(v)
-        _REGISTERED[(id(spark), v)] = sf_dir
+        _REGISTERED[(session_key(spark), v)] = sf_dir
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -53,14 +53,22 @@ def apply_runtime_conf(spark: SparkSession) -> None:
     ship_package(spark)
 
 
-_SHIPPED: set[int] = set()
+def session_key(spark: SparkSession) -> str:
+    """A key unique to one session (stable while it lives, never reused)."""
+    try:
+        return str(spark._jsparkSession.sessionUUID())
+    except Exception:  # noqa: BLE001 - older JVM side
+        return f"{spark.sparkContext.applicationId}:{id(spark)}"
+
+
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per SparkContext (``addPyFile`` of a
     zip), so Python steps (mapInPandas, applyInPandasWithState) import it there."""
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     import zipfile
 
@@ -76,7 +84,7 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -129,7 +137,7 @@ def written_table(spark: SparkSession, key: tuple, build) -> DataFrame:
     """A derived table written once (per session and key) to the shared folder and
     read back: later plans start from the file instead of recomputing the lineage,
     and a lost executor re-reads files instead of replaying the whole plan."""
-    k = (id(spark),) + tuple(key)
+    k = (session_key(spark),) + tuple(key)
     path = _TABLES.get(k)
     if path is None:
         path = scratch_path(spark, "derived-" + "-".join(str(x) for x in key)[:60].replace("/", "_"))
