@@ -14,6 +14,7 @@ Plan shape (the part that matters at scale):
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,16 +40,39 @@ def index_rows(datasets: DataFrame) -> DataFrame:
         F.coalesce(F.array_join("tags", " "), F.lit("")).alias("tags"))
 
 
-def _token_table(datasets: DataFrame) -> DataFrame:
+def stem_column(tokens: Column, stem) -> Column:
+    """Apply a per-word stemmer to a token array (Arrow-batched pandas UDF);
+    ``stem=None`` keeps the tokens (the default, as no stemmer ships offline)."""
+    if stem is None:
+        return tokens
+
+    @F.pandas_udf("array<string>")
+    def _stem(col: pd.Series) -> pd.Series:
+        cache: dict[str, str] = {}
+
+        def one(words):
+            if words is None:
+                return None
+            out = []
+            for w in words:
+                if w not in cache:
+                    cache[w] = stem(w)
+                out.append(cache[w])
+            return out
+        return col.map(one)
+    return _stem(tokens)
+
+
+def _token_table(datasets: DataFrame, stem=None) -> DataFrame:
     rows = index_rows(datasets)
-    toks = rows.select("catalog_id", "id", *[fts_tokens(F.col(f)).alias(f) for f in FIELDS])
+    toks = rows.select("catalog_id", "id", *[stem_column(fts_tokens(F.col(f)), stem).alias(f) for f in FIELDS])
     doc_len = sum((F.size(F.col(f)) for f in FIELDS[1:]), F.size(F.col(FIELDS[0])))
     return toks.withColumn("len", doc_len)
 
 
-def token_table(datasets: DataFrame) -> DataFrame:
+def token_table(datasets: DataFrame, stem=None) -> DataFrame:
     """(catalog, doc, one token array per field, len): the one tokenisation pass."""
-    return _token_table(datasets)
+    return _token_table(datasets, stem)
 
 
 def fts_postings(toks: DataFrame) -> DataFrame:
@@ -77,9 +101,9 @@ def fts_stats(toks: DataFrame) -> DataFrame:
     return toks.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avgdl"))
 
 
-def fts_build(datasets: DataFrame) -> dict[str, DataFrame]:
+def fts_build(datasets: DataFrame, stem=None) -> dict[str, DataFrame]:
     """Index tables for all catalogs at once (statistics grouped by catalog)."""
-    toks = token_table(datasets)
+    toks = token_table(datasets, stem)
     return {"postings": fts_postings(toks), "term_df": fts_term_df(toks), "stats": fts_stats(toks)}
 
 
@@ -87,7 +111,7 @@ def query_literal(queries: list[tuple[int, str]]) -> Column:
     return F.array(*[F.struct(F.lit(qid).alias("query_id"), F.lit(q).alias("query")) for qid, q in queries])
 
 
-def query_terms(queries: list[tuple[int, str]], catalog_lang: DataFrame) -> DataFrame:
+def query_terms(queries: list[tuple[int, str]], catalog_lang: DataFrame, stem=None) -> DataFrame:
     """(query_id, catalog_id, term): each query expanded with its catalog's packs,
     then tokenised like the index. The (parameter-sized) query list is a literal
     exploded on each catalog row, so no join builds the pairs."""
@@ -96,8 +120,8 @@ def query_terms(queries: list[tuple[int, str]], catalog_lang: DataFrame) -> Data
     exp = cq.select("catalog_id", F.col("q.query_id").alias("query_id"),
                     expand_query(F.col("q.query"), F.col("language"), F.col("country_code"))
                     .alias("expanded"))
-    return (exp.select("query_id", "catalog_id",
-                       F.explode(F.array_distinct(fts_tokens(F.col("expanded")))).alias("term")))
+    terms = F.array_distinct(stem_column(fts_tokens(F.col("expanded")), stem))
+    return exp.select("query_id", "catalog_id", F.explode(terms).alias("term"))
 
 
 def bm25_scores(index: dict[str, DataFrame], qterms: DataFrame) -> DataFrame:

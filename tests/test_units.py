@@ -315,3 +315,16 @@ def test_outage_segments_exact_over_days(spark, seed):
             assert got[r[1]] == w, (key, r)
     segs = jobs.outage_segments(df, "user_id").where("user_id = 1").select("segment").distinct().count()
     assert segs > 10  # the hot key is cut into many independent segments
+
+
+def test_stemmer_hook_applies_to_index_and_queries(spark):
+    def stem(w):
+        return w[:-1] if w.endswith("s") else w
+    d = spark.createDataFrame([FULL[:3] + ("Budgets of cities", "", None, [], None, None, None)], REC_SCHEMA)
+    idx = search.fts_build(d, stem=stem)
+    terms = {r["term"] for r in idx["postings"].collect()}
+    assert {"budget", "citie", "of"} <= terms and "budgets" not in terms
+    cl = spark.createDataFrame([("a", "en", "")], "catalog_id string, language string, country_code string")
+    q = search.query_terms([(1, "budgets")], cl, stem=stem)
+    hits = search.bm25_search(idx, q).collect()
+    assert [r["id"] for r in hits] == ["a:1"]
