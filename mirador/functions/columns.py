@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,9 +66,28 @@ def fold_accents(c: Column) -> Column:
     return F.translate(F.lower(c), L.ACCENTED, L.UNACCENTED)
 
 
-def normalize_text(c: Column) -> Column:
-    """Query normalisation: lower, trim, accents removed."""
-    return fold_accents(js_trim(c))
+def normalize_text(c: Column, full_unicode: bool = False) -> Column:
+    """Query normalisation: lower, trim, accents removed.
+
+    The default folds Latin letters with ``translate`` (JVM-side). With
+    ``full_unicode`` every character is decomposed (NFD) and combining marks
+    (U+0300..U+036F) are dropped, in an Arrow-batched pandas UDF."""
+    if not full_unicode:
+        return fold_accents(js_trim(c))
+    return _strip_marks_udf()(F.lower(js_trim(c)))
+
+
+def _strip_marks_udf():
+    @F.pandas_udf("string")
+    def strip_marks(col: pd.Series) -> pd.Series:
+        import unicodedata
+
+        def one(s):
+            if s is None:
+                return None
+            return "".join(ch for ch in unicodedata.normalize("NFD", s) if not ("\u0300" <= ch <= "\u036f"))
+        return col.map(one)
+    return strip_marks
 
 
 def fts_tokens(c: Column) -> Column:

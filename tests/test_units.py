@@ -328,3 +328,12 @@ def test_stemmer_hook_applies_to_index_and_queries(spark):
     q = search.query_terms([(1, "budgets")], cl, stem=stem)
     hits = search.bm25_search(idx, q).collect()
     assert [r["id"] for r in hits] == ["a:1"]
+
+
+def test_full_unicode_normalisation(spark):
+    from mirador.functions.columns import normalize_text
+    df = spark.createDataFrame([("  Ăn Phở Ñandú  ",), ("Éducation",), (None,)], "q string")
+    got = [r["n"] for r in df.select(normalize_text(F.col("q"), full_unicode=True).alias("n")).collect()]
+    assert got == ["an pho nandu", "education", None]
+    latin = [r["n"] for r in df.select(normalize_text(F.col("q")).alias("n")).collect()]
+    assert latin[1] == "education" and latin[0].startswith("ăn")  # default folds Latin-1 letters only
