@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirador.functions import lookups as L
-from mirador.functions.columns import epoch_micros, int_div, round3, thousandths, weighted_sum
+from mirador.functions.columns import avg3, epoch_micros, int_div, round3, thousandths, weighted_sum
 
 DAY_US = 86_400 * 1_000_000
 
@@ -225,7 +225,7 @@ def run_summary(index: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("run_status") == "processed", 1).otherwise(0)).cast("bigint").alias("processed"),
         F.sum(F.when(F.col("run_status") == "skipped", 1).otherwise(0)).cast("bigint").alias("skipped"),
         F.sum(F.when(F.col("run_status") == "failed", 1).otherwise(0)).cast("bigint").alias("failed"),
-        F.coalesce(round3(F.avg(F.when(agg_tier, F.col("coverage")))), F.lit(0.0)).alias("aggregate_coverage"))
+        F.coalesce(avg3(F.when(agg_tier, F.col("coverage"))), F.lit(0.0)).alias("aggregate_coverage"))
 
 
 # ------------------------------------------------------------------ directory

@@ -339,5 +339,5 @@ SELECT CAST(sum(dataset_count) AS BIGINT) AS total_datasets, CAST(sum(resource_c
  CAST(sum(CASE WHEN run_status = 'processed' THEN 1 ELSE 0 END) AS BIGINT) AS processed,
  CAST(sum(CASE WHEN run_status = 'skipped' THEN 1 ELSE 0 END) AS BIGINT) AS skipped,
  CAST(sum(CASE WHEN run_status = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
- coalesce({r3("avg(CASE WHEN tier = 'aggregate' THEN coverage END)")}, {dbl(0.0)}) AS aggregate_coverage FROM r""",
+ coalesce({avg3("CASE WHEN tier = 'aggregate' THEN coverage END")}, {dbl(0.0)}) AS aggregate_coverage FROM r""",
        "v_datasets", "v_resources", "v_checks", "v_catalogs")
