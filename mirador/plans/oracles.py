@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from mirador.fixtures import with_views
-from mirador.plans.sqlparts import SCORES_CTES, SUMMARY_CTES, dbl, level, mean_exact, r3
+from mirador.plans.sqlparts import SCORES_CTES, SUMMARY_CTES, dbl, level, mean_exact
 
 ORACLES: dict[str, str] = {}
 

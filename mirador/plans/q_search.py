@@ -3,18 +3,17 @@ hybrid search, document text, lookups and listing."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mirador.fixtures import register_views
 from mirador.functions import lookups as L
-from mirador.functions.columns import js_trim, normalize_text
+from mirador.functions.columns import normalize_text
 from mirador.operators import ranking, search, text
 from mirador.plans import pipeline
 from mirador.plans.oracles import oracle
 from mirador.plans.registry import query
-from mirador.plans.sqlparts import (SCORES_CTES, expand_acronyms, expand_synonyms, fold, normalize,
-                                    tokens, trim_ws, values_table)
+from mirador.plans.sqlparts import (SCORES_CTES, expand_acronyms, expand_synonyms, normalize, tokens,
+                                    values_table)
 from mirador.sources import records
 from mirador.session import spread, written_table
 

@@ -8,7 +8,7 @@ from mirador.fixtures import AS_OF, register_views
 from mirador.plans import pipeline
 from mirador.plans.oracles import oracle
 from mirador.plans.registry import query
-from mirador.plans.sqlparts import SCORES_CTES, SUMMARY_CTES
+from mirador.plans.sqlparts import SUMMARY_CTES
 from mirador.session import scratch_path, spread
 from mirador.sources import records, stores
 

@@ -9,8 +9,8 @@ from mirador.functions import lookups as L
 from mirador.operators import search, vectors
 from mirador.operators.documents import build_documents
 from mirador.plans.oracles import oracle
-from mirador.plans.q_search import (BM25_SQL, HYBRID_FILTERS, HYBRID_LIMIT, INDEX_SQL, LIKE_SQL, SEARCH_QUERIES,
-                                    catalog_lang, fts_lists, index_for, qterms_for)
+from mirador.plans.q_search import (BM25_SQL, HYBRID_FILTERS, HYBRID_LIMIT, LIKE_SQL, SEARCH_QUERIES, fts_lists,
+                                    index_for, qterms_for)
 from mirador.plans.registry import query
 from mirador.sources import records
 from mirador.session import written_table
