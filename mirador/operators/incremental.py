@@ -108,10 +108,17 @@ def failure_streak(outcomes: DataFrame, key: str, as_of: str) -> DataFrame:
 
 # ------------------------------------------------------------------ cursor sweeps
 def sweep_plan(catalogs: DataFrame, state: DataFrame, as_of: str,
-               rescore_days: int = L.RESCORE_DAYS) -> DataFrame:
+               rescore_days: int = L.RESCORE_DAYS, known: DataFrame | None = None) -> DataFrame:
     """Per catalog: skip (fresh complete sweep), restart (old complete sweep),
-    resume (incomplete) or fresh (no state); start cursor and carried counts."""
+    resume (incomplete) or fresh (no state); start cursor and carried counts.
+
+    ``known`` (catalog_id, known_count) is what the source reports as its number
+    of records; it is used only while the stored total is unknown (0)."""
     j = catalogs.select(F.col("id").alias("catalog_id")).join(state, "catalog_id", "left")
+    if known is not None:
+        j = j.join(known, "catalog_id", "left")
+    else:
+        j = j.withColumn("known_count", F.lit(None).cast("bigint"))
     has = F.col("complete").isNotNull()
     young = _age_us(as_of, F.col("last_complete_sweep")) < rescore_days * DAY_US
     action = (F.when(~has, F.lit("fresh"))
@@ -127,7 +134,9 @@ def sweep_plan(catalogs: DataFrame, state: DataFrame, as_of: str,
     carried = F.when(action.isin("resume", "skip"), F.col("processed_count")).otherwise(F.lit(0))
     return j.select("catalog_id", action.alias("action"), cursor.alias("start_cursor"),
                     carried.cast("bigint").alias("carried_processed"),
-                    F.coalesce(F.col("total_known"), F.lit(0)).cast("bigint").alias("total_known"),
+                    F.when(F.coalesce(F.col("total_known"), F.lit(0)) == 0,
+                           F.coalesce(F.col("known_count"), F.lit(0)))
+                     .otherwise(F.col("total_known")).cast("bigint").alias("total_known"),
                     F.col("complete").alias("was_complete"), "last_complete_sweep", "cursor")
 
 

@@ -238,7 +238,8 @@ SWEEP_CHUNK = 20
 
 def sweep_run(spark, sf):
     register_views(spark, sf, ("v_sweep_state", "v_sweep_aggs", "v_catalogs"))
-    plan = incremental.sweep_plan(spark.table("v_catalogs"), spark.table("v_sweep_state"), AS_OF)
+    plan = incremental.sweep_plan(spark.table("v_catalogs"), spark.table("v_sweep_state"), AS_OF,
+                                  known=pipeline.known_counts(spark, sf))
     chunk = incremental.sweep_chunk(pipeline.dataset_scores(spark, sf), plan, SWEEP_CHUNK)
     state = incremental.sweep_state(plan, chunk, spark.table("v_sweep_aggs"), SWEEP_CHUNK)
     aggs = incremental.sweep_aggregates(plan, incremental.sweep_partials(chunk), spark.table("v_sweep_aggs"))
@@ -256,15 +257,17 @@ PLAN_SQL = f"""plan AS (SELECT c.id AS catalog_id,
    WHEN s.complete AND s.last_complete_sweep IS NOT NULL AND epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(s.last_complete_sweep) < {L.RESCORE_DAYS} * 86400000000 THEN 'skip'
    WHEN s.complete AND s.last_complete_sweep IS NOT NULL THEN 'restart'
    WHEN NOT s.complete THEN 'resume' ELSE 'fresh' END AS action,
-  s.complete AS was_complete, s.last_complete_sweep, s.cursor, s.processed_count, coalesce(s.total_known, 0) AS total_known
-  FROM v_catalogs c LEFT JOIN v_sweep_state s ON c.id = s.catalog_id),
+  s.complete AS was_complete, s.last_complete_sweep, s.cursor, s.processed_count,
+  CASE WHEN coalesce(s.total_known, 0) = 0 THEN coalesce(k.n, 0) ELSE s.total_known END AS total_known
+  FROM v_catalogs c LEFT JOIN v_sweep_state s ON c.id = s.catalog_id
+  LEFT JOIN (SELECT catalog_id, count(*) AS n FROM v_datasets GROUP BY catalog_id) k ON c.id = k.catalog_id),
 plan2 AS (SELECT *, CASE WHEN action = 'resume' THEN coalesce(cursor, TIMESTAMP '1970-01-01 00:00:00')
    WHEN action = 'restart' THEN last_complete_sweep WHEN action = 'skip' THEN cursor ELSE TIMESTAMP '1970-01-01 00:00:00' END AS start_cursor,
   CAST(CASE WHEN action IN ('resume', 'skip') THEN processed_count ELSE 0 END AS BIGINT) AS carried_processed FROM plan)"""
 
 oracle("sweep_skip_or_restart", f"""WITH {PLAN_SQL}
 SELECT catalog_id, action, start_cursor, carried_processed, CAST(total_known AS BIGINT) AS total_known FROM plan2""",
-       "v_catalogs", "v_sweep_state")
+       "v_catalogs", "v_sweep_state", "v_datasets")
 
 CHUNK_SQL = f"""{SCORES_CTES}, {PLAN_SQL},
 cand AS (SELECT sc.*, p.start_cursor FROM sc JOIN plan2 p ON sc.catalog_id = p.catalog_id
