@@ -67,16 +67,20 @@ def tier_classify(catalogs: DataFrame, membership: DataFrame, detail_presets: li
 
 
 def dataset_list_page(scores: DataFrame, search: str | None, sort: str = "overall",
-                      page: int = 0, page_size: int = L.DATASET_PAGE_SIZE) -> DataFrame:
-    """Case-insensitive substring over title, organization and id, sorted, paged."""
+                      page: int = 0, page_size: int = L.DATASET_PAGE_SIZE,
+                      descending: bool | None = None) -> DataFrame:
+    """Case-insensitive substring over title, organization and id (search text
+    trimmed), sorted by overall (default descending), title (empty title: the id)
+    or organization (missing: empty), then paged. Ties keep id order."""
     df = scores
-    if search:
-        s = search.lower()
-        df = df.where(F.lower(F.coalesce("title", F.lit(""))).contains(s)
-                      | F.lower(F.coalesce("organization", F.lit(""))).contains(s)
-                      | F.lower(F.col("id")).contains(s))
-    if sort == "overall":
-        order = [F.desc("overall"), F.asc("id")]
-    else:
-        order = [F.asc_nulls_last(sort), F.asc("id")]
-    return df.orderBy(*order).offset(page * page_size).limit(page_size)
+    q = (search or "").strip().lower()
+    if q:
+        df = df.where(F.lower(F.coalesce("title", F.lit(""))).contains(q)
+                      | F.lower(F.coalesce("organization", F.lit(""))).contains(q)
+                      | F.lower(F.col("id")).contains(q))
+    key = {"overall": F.col("overall"),
+           "title": F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("id")),
+           "organization": F.coalesce(F.col("organization"), F.lit(""))}[sort]
+    desc = (sort == "overall") if descending is None else descending
+    return df.orderBy(key.desc() if desc else key.asc(), F.asc("id")) \
+             .offset(page * page_size).limit(page_size)
