@@ -214,7 +214,8 @@ def q_hybrid_search(spark, sf):
     lists = fts_lists(spark, sf, HYBRID_LIMIT * L.OVERFETCH_FACTOR)
     r = search.hybrid_search(lists, records.datasets(spark, sf), records.resources(spark, sf),
                              HYBRID_LIMIT, **HYBRID_FILTERS)
-    return r.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return r.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"),
+                    F.lit("fts").alias("mode"))
 
 
 _FETCH = HYBRID_LIMIT * L.OVERFETCH_FACTOR
@@ -229,7 +230,7 @@ rs AS (SELECT mg.*, d.organization, d.tags_text FROM mg JOIN v_datasets d ON mg.
     AND EXISTS (SELECT 1 FROM v_resources r WHERE r.dataset_id = d.id AND lower(r.format) = 'csv')
     AND list_contains(coalesce(list_transform(string_split(d.tags_text, ' '), lambda t: lower(t)), []), 'en')),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM rs)
-SELECT query_id, id, round(score, 6) AS score, rank FROM rk WHERE rank <= {HYBRID_LIMIT}""",
+SELECT query_id, id, round(score, 6) AS score, rank, 'fts' AS mode FROM rk WHERE rank <= {HYBRID_LIMIT}""",
        "v_datasets", "v_catalogs", "v_resources")
 
 # ------------------------------------------------------------------ filters

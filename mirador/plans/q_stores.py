@@ -83,20 +83,27 @@ DIMS = ["overall", "accessibility", "structure", "freshness", "completeness"]
 
 @query("score_export")
 def q_score_export(spark, sf):
-    scores = pipeline.dataset_scores(spark, sf).select("id", "catalog_id", *DIMS)
+    full = pipeline.dataset_scores(spark, sf)
+    scores = full.select("id", "catalog_id", *DIMS)
+    entries = full.select("catalog_id", "external_id", "modified_at",
+                          F.lit(AS_OF).cast("timestamp").alias("last_scored_at"), "overall")
     index = pipeline.catalog_index(spark, sf)
     meta = index.agg(F.count(F.lit(1)).alias("catalogs"), F.sum("dataset_count").alias("datasets"))
-    out = stores.export_scores(index, scores, meta, scratch_path(spark, "export"))
+    out = stores.export_scores(index, scores, meta, scratch_path(spark, "export"), entries)
     back = spark.read.schema("id string, overall double, accessibility double, structure double, "
                              "freshness double, completeness double, catalog_id string").json(out["scores"])
     idx = spark.read.schema("id string, status string").json(out["catalogs"])
-    return back.join(idx.select(F.col("id").alias("catalog_id"), F.col("status").alias("catalog_status")),
-                     "catalog_id", "left")
+    ent = (spark.read.schema("external_id string, overall double, catalog_id string").json(out["entries"])
+           .groupBy("catalog_id").agg(F.count(F.lit(1)).alias("catalog_entries")))
+    return (back.join(idx.select(F.col("id").alias("catalog_id"), F.col("status").alias("catalog_status")),
+                      "catalog_id", "left")
+            .join(ent, "catalog_id", "left"))
 
 
 oracle("score_export", f"""WITH {SUMMARY_CTES}
 SELECT sc.catalog_id, sc.id, sc.overall, sc.accessibility, sc.structure, sc.freshness, sc.completeness,
- idx.status AS catalog_status FROM sc LEFT JOIN idx ON sc.catalog_id = idx.id""",
+ idx.status AS catalog_status, count(*) OVER (PARTITION BY sc.catalog_id) AS catalog_entries
+FROM sc LEFT JOIN idx ON sc.catalog_id = idx.id""",
        "v_datasets", "v_resources", "v_checks", "v_catalogs")
 
 # ------------------------------------------------------------------ state store

@@ -118,4 +118,5 @@ def q_hybrid_search_vector(spark, sf):
     fused = vectors.rrf_fuse(sem, lex, ["query_id", "catalog_id"])
     r = search.hybrid_search(fused, records.datasets(spark, sf), records.resources(spark, sf),
                              HYBRID_LIMIT, **HYBRID_FILTERS)
-    return r.select("query_id", "id", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return r.select("query_id", "id", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"),
+                    F.lit("hybrid").alias("mode"))

@@ -38,11 +38,16 @@ def metadata_load(spark: SparkSession, path: str, as_of: str, ttl_hours: float)
 
 
 # ------------------------------------------------------------------ score export
-def export_scores(index: DataFrame, scores: DataFrame, meta: DataFrame, path: str) -> dict[str, str]:
-    """Write the catalog index, the per-catalog dataset scores and the run metadata as JSON."""
-    out = {"catalogs": f"{path}/catalogs.json", "scores": f"{path}/catalogs", "meta": f"{path}/meta.json"}
+def export_scores(index: DataFrame, scores: DataFrame, meta: DataFrame, path: str,
+                  entries: DataFrame | None = None) -> dict[str, str]:
+    """Write the catalog index, the per-catalog dataset scores, the per-catalog
+    dataset entries (what the next run diffs against) and the run metadata as JSON."""
+    out = {"catalogs": f"{path}/catalogs.json", "scores": f"{path}/catalogs", "meta": f"{path}/meta.json",
+           "entries": f"{path}/entries"}
     index.write.mode("overwrite").json(out["catalogs"])
     scores.write.mode("overwrite").partitionBy("catalog_id").json(out["scores"])
+    if entries is not None:
+        entries.write.mode("overwrite").partitionBy("catalog_id").json(out["entries"])
     meta.coalesce(1).write.mode("overwrite").json(out["meta"])
     return out
 
