@@ -69,6 +69,24 @@ def state_read(spark: SparkSession, path: str) -> DataFrame:
     return df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
+ENTRY_SCHEMA = ("catalog_id string, external_id string, modified_at timestamp, last_scored_at timestamp, "
+                "overall double, _corrupt_record string")
+
+
+def entries_read(spark: SparkSession, path: str) -> DataFrame:
+    """Previous dataset entries (JSON lines, e.g. written by ``export_scores``).
+    A missing folder reads as no entries; corrupt lines are dropped."""
+    try:
+        df = (spark.read.schema(ENTRY_SCHEMA).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+        df.schema  # resolves the path
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+            raise
+        return spark.createDataFrame([], ENTRY_SCHEMA).drop("_corrupt_record")
+    return df.where(F.col("_corrupt_record").isNull() & F.col("external_id").isNotNull()).drop("_corrupt_record")
+
+
 # ------------------------------------------------------------------ load plan
 def load_plan(manifest: DataFrame, as_of: str, ttl_hours: float = L.FILE_CACHE_TTL_HOURS,
               max_bytes: int = L.DIRECT_SCAN_THRESHOLD_BYTES) -> DataFrame:

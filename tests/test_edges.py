@@ -99,3 +99,13 @@ def test_outage_stream_equals_batch_twin(spark):
     batch = {(r["user_id"], r["event_id"]): (r["decision"], r["state"])
              for r in jobs.outage_batch(df, "user_id", 2).collect()}
     assert streamed == batch and len(batch) == len(rows)
+
+
+def test_entries_missing_or_corrupt(spark):
+    path = scratch_path(spark, "entries")
+    assert stores.entries_read(spark, path).count() == 0
+    lines = spark.createDataFrame(
+        [('{"catalog_id": "a", "external_id": "1", "overall": 0.5}',), ('{"catalog_id": "a", "external_',)], "value string")
+    stores.state_write_lines(lines, path)
+    got = stores.entries_read(spark, path).collect()
+    assert [(r["external_id"], r["overall"]) for r in got] == [("1", 0.5)]
