@@ -22,7 +22,7 @@ def q_stream_event_ingest(spark, sf):
     src, out = jobs.scratch(spark, "events-landed"), jobs.scratch(spark, "events-ingest")
     landed = usage_json(spark, sf)
     jobs.land_in_chunks(landed, src, "event_id", CHUNKS)
-    paths = jobs.event_ingest(spark, src, out, landed.schema.simpleString()[7:-1].replace(":", " "))
+    paths = jobs.event_ingest(spark, src, out, landed.schema)
     routed = spark.read.parquet(paths["routed"])
     return routed.select("event_id", "type", (F.col("valid") == "true").alias("valid"), "reason")
 
