@@ -172,7 +172,7 @@ def sweep_partials(chunk: DataFrame) -> DataFrame:
         F.sum(thousandths(F.col("d.score"))).alias("sum_milli"), F.count(F.lit(1)).alias("count"))
 
 
-def sweep_state(plan: DataFrame, chunk: DataFrame, old_aggs: DataFrame, chunk_size: int) -> DataFrame:
+def sweep_state(plan: DataFrame, chunk: DataFrame, chunk_size: int) -> DataFrame:
     """New state per catalog after this run (skipped catalogs keep theirs)."""
     run = chunk.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("chunk_count"),
                                           F.max("modified_at").alias("max_modified"))

@@ -241,7 +241,7 @@ def sweep_run(spark, sf):
     plan = incremental.sweep_plan(spark.table("v_catalogs"), spark.table("v_sweep_state"), AS_OF,
                                   known=pipeline.known_counts(spark, sf))
     chunk = incremental.sweep_chunk(pipeline.dataset_scores(spark, sf), plan, SWEEP_CHUNK)
-    state = incremental.sweep_state(plan, chunk, spark.table("v_sweep_aggs"), SWEEP_CHUNK)
+    state = incremental.sweep_state(plan, chunk, SWEEP_CHUNK)
     aggs = incremental.sweep_aggregates(plan, incremental.sweep_partials(chunk), spark.table("v_sweep_aggs"))
     return plan, chunk, state, aggs
 

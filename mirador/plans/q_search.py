@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mirador.fixtures import register_views
 from mirador.functions import lookups as L
 from mirador.functions.columns import normalize_text
-from mirador.operators import ranking, search, text
+from mirador.operators import documents, ranking, search, text
 from mirador.plans import pipeline
 from mirador.plans.oracles import oracle
 from mirador.plans.registry import query
@@ -269,11 +269,6 @@ WHERE list_contains(list_transform(string_split(tags_text, ' '), lambda t: lower
 
 @query("build_document")
 def q_build_document(spark, sf):
-    return search_docs(spark, sf)
-
-
-def search_docs(spark, sf):
-    from mirador.operators import documents
     return documents.build_documents(records.datasets(spark, sf), records.resources(spark, sf))
 
 
@@ -295,7 +290,6 @@ LOOKUP_CATALOG = "src4"
 
 @query("dataset_lookup")
 def q_dataset_lookup(spark, sf):
-    from mirador.operators import documents
     ds = records.datasets(spark, sf)
     return documents.lookup(ds, LOOKUP_IDS, LOOKUP_CATALOG).select("requested", "id", "catalog_id", "title")
 
