@@ -147,8 +147,12 @@ def vector_upsert(base: DataFrame, batch: DataFrame, id_col: str, vec_col: str,
         bad = batch.where(F.size(vec_col) != dim).limit(1).count()
         if bad:
             return base
-    w = Window.partitionBy(id_col).orderBy(F.desc(version_col))
-    latest = batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    # the highest version per id, as a partial aggregate (an id repeated many
+    # times in a batch is merged from per-partition buffers, not sorted in one task)
+    others = [c for c in batch.columns if c != id_col]
+    latest = (batch.groupBy(id_col)
+              .agg(F.max_by(F.struct(*others), F.col(version_col)).alias("_v"))
+              .select(id_col, *[F.col("_v." + c).alias(c) for c in others]))
     kept = base.join(latest.select(id_col), id_col, "left_anti")
     return kept.unionByName(latest.select(*base.columns))
 
