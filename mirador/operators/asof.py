@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str,
-              right_cols: list[str], bucket: str = "day") -> DataFrame:
+              right_cols: list[str], bucket: str = "hour") -> DataFrame:
     """Left rows with the right columns of the last right row with right.ts <= left.ts.
 
     Ties on ts: a right row at the same instant counts as "before". Among right
