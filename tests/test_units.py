@@ -337,3 +337,51 @@ def test_full_unicode_normalisation(spark):
     assert got == ["an pho nandu", "education", None]
     latin = [r["n"] for r in df.select(normalize_text(F.col("q")).alias("n")).collect()]
     assert latin[1] == "education" and latin[0].startswith("ăn")  # default folds Latin-1 letters only
+
+
+# ------------------------------------------------------------------ incremental rules by hand
+def test_diff_runs_precedence(spark):
+    t = dt.datetime
+    cur = spark.createDataFrame([("a", "new", t(2025, 1, 1)), ("a", "mod", t(2025, 6, 1)), ("a", "exp", t(2025, 1, 1)),
+                                 ("a", "keep", t(2025, 1, 1)), ("a", "nodate", None)],
+                                "catalog_id string, external_id string, modified_at timestamp")
+    prev = spark.createDataFrame([("a", "mod", t(2025, 1, 1), t(2025, 12, 31)), ("a", "exp", t(2025, 1, 1), t(2025, 12, 1)),
+                                  ("a", "keep", t(2025, 1, 1), t(2025, 12, 30)), ("a", "nodate", t(2025, 1, 1), t(2025, 12, 31)),
+                                  ("a", "gone", t(2025, 1, 1), t(2025, 12, 31))],
+                                 "catalog_id string, external_id string, prev_modified_at timestamp, last_scored_at timestamp")
+    got = {r["external_id"]: r["status"] for r in incremental.diff_runs(cur, prev, AS_OF).collect()}
+    assert got == {"new": "new", "mod": "modified", "exp": "expired", "keep": "kept", "nodate": "kept", "gone": "deleted"}
+
+
+def test_tier_classify_order(spark):
+    from mirador.operators import ranking
+    cats = spark.createDataFrame([(f"c{i}", i) for i in range(5)], "id string, pos int")
+    mem = spark.createDataFrame([("ar", "c3", 0), ("ar", "c1", 1), ("all", "c4", 0), ("all", "c0", 1), ("all", "c3", 2)],
+                                "preset string, catalog_id string, member_pos int")
+    got = [(r["id"], r["tier"]) for r in ranking.tier_classify(cats, mem, ["ar"], ["ar", "all"]).orderBy("run_order").collect()]
+    assert got == [("c3", "detail"), ("c1", "detail"), ("c4", "aggregate"), ("c0", "aggregate"), ("c2", "aggregate")]
+
+
+def test_sweep_actions_and_completion(spark):
+    t = dt.datetime
+    cats = spark.createDataFrame([("young",), ("old",), ("part",), ("none",)], "id string")
+    state = spark.createDataFrame(
+        [("young", True, t(2025, 12, 30), t(2025, 12, 1), 10, 10),
+         ("old", True, t(2025, 1, 1), t(2025, 1, 1), 10, 10),
+         ("part", False, None, t(2025, 3, 1), 2, 0)],
+        "catalog_id string, complete boolean, last_complete_sweep timestamp, cursor timestamp, "
+        "processed_count bigint, total_known bigint")
+    known = spark.createDataFrame([("part", 9), ("none", 4)], "catalog_id string, known_count bigint")
+    plan = incremental.sweep_plan(cats, state, AS_OF, known=known)
+    acts = {r["catalog_id"]: (r["action"], r["carried_processed"], r["total_known"]) for r in plan.collect()}
+    assert acts == {"young": ("skip", 10, 10), "old": ("restart", 0, 10), "part": ("resume", 2, 9), "none": ("fresh", 0, 4)}
+    recs = spark.createDataFrame([("part", f"p{i}", t(2025, 3, 1 + i), 0.5, 0.5, 0.5, 0.5) for i in range(5)] +
+                                 [("none", f"n{i}", t(2024, 1, 1 + i), 0.5, 0.5, 0.5, 0.5) for i in range(4)],
+                                 "catalog_id string, id string, modified_at timestamp, accessibility double, "
+                                 "structure double, freshness double, completeness double")
+    chunk = incremental.sweep_chunk(recs, plan, chunk_size=3)
+    st = {r["catalog_id"]: r for r in incremental.sweep_state(plan, chunk, 3).collect()}
+    assert st["part"]["chunk_count"] == 3 and not st["part"]["complete"] and st["part"]["processed_count"] == 5
+    assert st["none"]["chunk_count"] == 3 and not st["none"]["complete"]
+    assert st["young"]["complete"] and st["young"]["processed_count"] == 10
+    assert [r["idx"] for r in chunk.where("catalog_id = 'part'").orderBy("idx").collect()] == [0, 1, 2]
