@@ -65,6 +65,7 @@ class SqlSession:
     def open(cls, spark: SparkSession) -> "SqlSession":
         s = spark.newSession()
         apply_runtime_conf(s)
+        s.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")  # "col" quoting in user SQL
         return cls(s)
 
     @staticmethod

@@ -45,10 +45,10 @@ def build_session(master: str | None = None, app: str = "mirador",
 
 
 def apply_runtime_conf(spark: SparkSession) -> None:
-    """Apply the SQL settings that can change at run time to a session we did not
-    build, and make sure the executors can import this package."""
-    for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled",
-              "spark.sql.ansi.doubleQuotedIdentifiers"):
+    """Apply the settings results depend on (UTC, ANSI) to a session we did not
+    build, and make sure the executors can import this package. Double-quoted
+    identifiers are switched on only in the SQL sessions the tool opens."""
+    for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
         spark.conf.set(k, SESSION_CONF[k])
     ship_package(spark)
 

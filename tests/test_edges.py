@@ -109,3 +109,11 @@ def test_entries_missing_or_corrupt(spark):
     stores.state_write_lines(lines, path)
     got = stores.entries_read(spark, path).collect()
     assert [(r["external_id"], r["overall"]) for r in got] == [("1", 0.5)]
+
+
+def test_session_sql_accepts_double_quoted_identifiers(spark, tmp_path):
+    p = tmp_path / "t.csv"
+    p.write_text("nombre,edad\nAna,30\n")
+    s = sqlapi.SqlSession.open(spark)
+    s.add_table("gente", str(p))
+    assert s.sql('SELECT AVG("edad") AS promedio FROM gente').first()["promedio"] == 30.0
