@@ -385,3 +385,35 @@ def test_sweep_actions_and_completion(spark):
     assert st["none"]["chunk_count"] == 3 and not st["none"]["complete"]
     assert st["young"]["complete"] and st["young"]["processed_count"] == 10
     assert [r["idx"] for r in chunk.where("catalog_id = 'part'").orderBy("idx").collect()] == [0, 1, 2]
+
+
+def test_hybrid_merge_filter_limit_brute_force(spark):
+    rnd = random.Random(21)
+    recs, res = [], []
+    for i in range(60):
+        cat = f"c{i % 3}"
+        org = rnd.choice(["Org 1", "Org 10", "Org 2", None])
+        tags = rnd.sample(["en", "topic1", "topic2"], rnd.randint(0, 2))
+        recs.append((f"{cat}:{i}", cat, str(i), f"t{i}", None, org, tags, None, None, None))
+        for j in range(rnd.randint(0, 2)):
+            res.append((f"{cat}:{i}", cat, j, f"u{i}-{j}", rnd.choice(["CSV", "csv", "json", ""]), None))
+    per = [(q, f"c{i % 3}", f"c{i % 3}:{i}", round(rnd.random(), 6)) for q in (1, 2) for i in range(60) if rnd.random() < 0.6]
+    ds = spark.createDataFrame(recs, REC_SCHEMA)
+    rs = spark.createDataFrame(res, RES_SCHEMA)
+    pc = spark.createDataFrame(per, "query_id int, catalog_id string, id string, score double")
+    got = search.hybrid_search(pc, ds, rs, 5, organization="org 1", fmt="CSV", tags=["EN"]).collect()
+    byid = {r[0]: r for r in recs}
+    fmts = {}
+    for r in res:
+        fmts.setdefault(r[0], set()).add(r[4].lower())
+    for q in (1, 2):
+        best = {}
+        for qq, _, i, sc in per:
+            if qq == q:
+                best[i] = max(best.get(i, 0), sc)
+        ok = [(i, s) for i, s in best.items()
+              if byid[i][5] and "org 1" in byid[i][5].lower() and "csv" in fmts.get(i, set())
+              and "en" in [t.lower() for t in byid[i][6]]]
+        want = [i for i, _ in sorted(ok, key=lambda x: (-x[1], x[0]))[:5]]
+        have = [r["id"] for r in sorted([r for r in got if r["query_id"] == q], key=lambda r: r["rank"])]
+        assert have == want
