@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mirador.fixtures import EVENTS_AS_OF, register_views
+from mirador.functions import lookups as L
 from mirador.plans import pipeline
 from mirador.plans.oracles import ORACLES, oracle
 from mirador.plans.q_events import usage_json
@@ -83,3 +84,35 @@ def q_endpoint_outage_state(spark, sf):
     register_views(spark, sf, ())
     o = spark.table("events").select("user_id", "event_id", "ts", (F.col("event_type") != "error").alias("ok"))
     return jobs.outage_batch(o, "user_id")
+
+
+_RESET_US = L.OUTAGE_RESET_SECONDS * 1_000_000
+# The circuit rules as a recursive walk over each key's outcomes in time order
+# (an independent sequential formulation of the same fold).
+oracle("endpoint_outage_state", f"""WITH RECURSIVE ev AS (
+  SELECT user_id, event_id, ts, event_type <> 'error' AS ok, epoch_us(ts) AS tu,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+fsm(user_id, rn, event_id, ts, decision, state, failures, successes, last_failure) AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR),
+    'closed', 0, 0, CAST(0 AS BIGINT) FROM ev
+  UNION ALL
+  SELECT user_id, rn, event_id, ts,
+    CASE WHEN st1 = 'open' THEN 'rejected' ELSE 'allowed' END,
+    CASE WHEN st1 = 'open' THEN 'open'
+         WHEN ok AND st1 = 'half_open' THEN CASE WHEN s1 + 1 >= {L.OUTAGE_HALF_OPEN_SUCCESSES} THEN 'closed' ELSE 'half_open' END
+         WHEN ok THEN 'closed'
+         WHEN st1 = 'half_open' THEN 'open'
+         WHEN failures + 1 >= {L.OUTAGE_FAILURE_THRESHOLD} THEN 'open' ELSE 'closed' END,
+    CASE WHEN st1 = 'open' THEN failures
+         WHEN ok AND st1 = 'half_open' THEN CASE WHEN s1 + 1 >= {L.OUTAGE_HALF_OPEN_SUCCESSES} THEN 0 ELSE failures END
+         WHEN ok THEN 0 ELSE failures + 1 END,
+    CASE WHEN st1 = 'open' THEN s1
+         WHEN ok AND st1 = 'half_open' THEN CASE WHEN s1 + 1 >= {L.OUTAGE_HALF_OPEN_SUCCESSES} THEN 0 ELSE s1 + 1 END
+         WHEN ok THEN s1
+         WHEN st1 = 'half_open' THEN 0 ELSE s1 END,
+    CASE WHEN st1 <> 'open' AND NOT ok THEN tu ELSE last_failure END
+  FROM (SELECT e.user_id, e.rn, e.event_id, e.ts, e.ok, e.tu, f.failures, f.last_failure,
+          CASE WHEN f.state = 'open' AND e.tu - f.last_failure >= {_RESET_US} THEN 'half_open' ELSE f.state END AS st1,
+          CASE WHEN f.state = 'open' AND e.tu - f.last_failure >= {_RESET_US} THEN 0 ELSE f.successes END AS s1
+        FROM fsm f JOIN ev e ON e.user_id = f.user_id AND e.rn = f.rn + 1) step)
+SELECT user_id, event_id, ts, decision, state FROM fsm WHERE rn > 0""")
