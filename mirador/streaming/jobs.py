@@ -1,17 +1,19 @@
 """Structured Streaming jobs with batch twins.
 
 Each job reads a file stream (``availableNow`` trigger, so it drains what has
-landed and stops), keeps its state in the streaming state store or in a
-versioned table in the shared folder, and has a checkpoint there too, so a
-lost executor or a restarted driver resumes where the checkpoint says.
+landed and stops), keeps its state in the streaming state store, writes each
+micro-batch idempotently to its own folder, and has a checkpoint in the shared
+folder, so a lost executor or a restarted driver resumes where the checkpoint
+says.
 
 * ``event_ingest``: usage events validated and routed to good / rejected.
 * ``sweep_totals``: running {sum, count} per (catalog, dimension).
-* ``latest_health``: latest observation per (catalog, url) in keyed state,
-  evicted after the TTL; an update log of changed keys.
+* ``latest_health``: latest observation per (catalog, url) as a streaming
+  ``max_by`` aggregation; an update log of changed keys, TTL applied on read.
 * ``failure_state`` / ``outage_state``: keyed state machines with
   ``applyInPandasWithState``; events of a key are folded in event-time order
   inside each micro-batch.
+* ``outage_batch``: the batch twin, folded in independent segments.
 """
 
 from __future__ import annotations
