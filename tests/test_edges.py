@@ -117,3 +117,25 @@ def test_session_sql_accepts_double_quoted_identifiers(spark, tmp_path):
     s = sqlapi.SqlSession.open(spark)
     s.add_table("gente", str(p))
     assert s.sql('SELECT AVG("edad") AS promedio FROM gente').first()["promedio"] == 30.0
+
+
+def test_hybrid_vector_query_invariants(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SF_SMALL
+    from mirador.sources import records
+    rows = E.queries()["hybrid_search_vector"](spark, SF_SMALL).collect()
+    assert rows and all(r["mode"] == "hybrid" for r in rows)
+    ds = {r["id"]: r for r in records.datasets(spark, SF_SMALL).collect()}
+    fmts = {}
+    for r in records.resources(spark, SF_SMALL).collect():
+        fmts.setdefault(r["dataset_id"], set()).add((r["format"] or "").lower())
+    by_q = {}
+    for r in rows:
+        d = ds[r["id"]]
+        assert d["organization"] and "org 1" in d["organization"].lower()
+        assert "csv" in fmts.get(r["id"], set()) and "en" in [t.lower() for t in d["tags"]]
+        by_q.setdefault(r["query_id"], []).append(r)
+    for q, rs in by_q.items():
+        ranked = sorted(rs, key=lambda r: r["rank"])
+        assert [r["rank"] for r in ranked] == list(range(1, len(rs) + 1)) and len(rs) <= 10
+        assert all(a["score"] >= b["score"] for a, b in zip(ranked, ranked[1:]))
