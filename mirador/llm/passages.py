@@ -10,8 +10,8 @@ are joined back, so the join shuffles afresh and AQE can split a hot digest.
 
 Offsets count code points of the original text: ``text[start:end]`` is the unit.
 
-Defined results: null and empty texts have no units; a null id ranks first; rows that
-repeat an id and a text count as one document and keep or lose the same units; units of
+Defined results: null and empty texts have no units; a null id ranks first; documents
+are told apart by id and text, so rows that repeat both keep and lose the same units; units of
 fewer than ``min_words`` words are left alone; an empty table removes nothing. Extra
 columns pass through ``remove_repeats``.
 """
@@ -27,42 +27,42 @@ from pyspark.sql import functions as F
 from mirador.llm.common import read_table, temporary_name, written
 
 MIN_WORDS = 20
-UNITS_DDL = "doc_id long, unit long, start long, end long, n_words long, digest binary"
+UNITS_DDL = "doc_id long, th long, unit long, start long, end long, n_words long, digest binary"
 
 
 def units(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, unit, start, end, n_words, digest) of every unit of enough words."""
+    """(doc_id, th, unit, start, end, n_words, digest) of every unit of enough words."""
     def run(batches):
         for b in batches:
             rows = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, th, text in zip(*(c.to_pylist() for c in b.columns)):
                 start = 0
                 for k, unit in enumerate((text or "").split(separator)):
                     words = unit.encode().lower().split()
                     if len(words) >= min_words:
                         digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-                        rows.append((i, k, start, start + len(unit), len(words), digest))
+                        rows.append((i, th, k, start, start + len(unit), len(words), digest))
                     start += len(unit) + len(separator)
             for lo in range(0, len(rows), 10_000):
                 cols = list(zip(*rows[lo:lo + 10_000]))
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())],
-                    names=["doc_id", "unit", "start", "end", "n_words", "digest"])
+                    [*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())],
+                    names=["doc_id", "th", "unit", "start", "end", "n_words", "digest"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
-        .mapInArrow(run, UNITS_DDL)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"),
+                       F.col(text_col).alias("text")).mapInArrow(run, UNITS_DDL)
 
 
 def repeated_units(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The units to remove, with their offsets and the place of the occurrence that stays."""
     u = written(units(docs, separator, min_words, id_col, text_col), "units")
-    place = F.struct("doc_id", "unit")
+    place = F.struct("doc_id", "th", "unit")
     firsts = u.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = written(firsts.filter(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first"), "unit-firsts")
     return u.join(firsts, "digest").filter(~place.eqNullSafe(F.col("first"))).distinct() \
-        .select("doc_id", "unit", "start", "end", "n_words",
+        .select("doc_id", "th", "unit", "start", "end", "n_words",
                 F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit"))
 
 
@@ -70,19 +70,20 @@ def remove_repeats(docs: DataFrame, separator: str = "\n", min_words: int = MIN_
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the repeated units, columns unchanged (a document's removed unit
     numbers are one row, bounded by its own units)."""
-    key, drop = temporary_name("repeat_id", docs.columns), temporary_name("repeat_units", docs.columns)
-    gone = repeated_units(docs, separator, min_words, id_col, text_col).groupBy(F.col("doc_id").alias(key)) \
-        .agg(F.collect_set(F.col("unit").cast("int")).alias(drop))
+    key, of, drop = (temporary_name(x, docs.columns) for x in ("repeat_id", "repeat_text", "repeat_units"))
+    gone = repeated_units(docs, separator, min_words, id_col, text_col) \
+        .groupBy(F.col("doc_id").alias(key), F.col("th").alias(of)).agg(F.collect_set(F.col("unit").cast("int")).alias(drop))
     parts = F.split(F.col(text_col), f"\\Q{separator}\\E", -1)
-    left = F.array_join(F.filter(parts, lambda _, k: ~F.array_contains(F.col(drop), k)), separator)
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col(key)), "left")
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(drop)))
+    left = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), separator)
+    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(of)), "left")
     text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(left)
     return out.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_line_hashing(spark, sf_dir: str) -> DataFrame:
     """Repeated lines of 20 words or more over all ``documents``."""
-    return repeated_units(read_table(spark, sf_dir, "documents"))
+    return repeated_units(read_table(spark, sf_dir, "documents")).drop("th")
 
 
 OP5_SQL = r"""

@@ -9,8 +9,9 @@ Everything is DataFrame expressions and MLlib transformers: no Python on the exe
 and no shuffle in the judging pass. The rules are a short parameter list; they become one
 array literal that is filtered per row.
 
-The labelled table is bounded (``MAX_LABELLED`` rows by hash); it is written and fitted in
-one partition, in id order, so reruns give the same coefficients.
+The labelled table is bounded (``MAX_LABELLED`` rows a class, by hash); it is written and
+fitted in one partition, in a fixed order, so reruns give the same coefficients. The query
+labels pages by a few seed words in host parts; the model carries that to other spellings.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, no rule and
 the model's verdict on the empty host and path; without labelled rows of both classes the
@@ -31,7 +32,9 @@ from mirador.llm.common import positive_hash, read_table, written
 # (host, path, verdict): fixed by the query contract.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block")]
-MAX_LABELLED = 4_000
+# Host parts that mark a URL as bad in the labelled table (the model learns from them).
+SEED_WORDS = ["ads", "adult", "casino", "cheap", "free", "porn", "spam", "viagra"]
+MAX_LABELLED = 2_000       # rows per class
 FEATURES = 1 << 13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,15 +74,21 @@ def n_grams(n: int = 3) -> Column:
 
 
 def fit(labelled: DataFrame, most: int = MAX_LABELLED) -> PipelineModel | None:
-    """Fit on (id, host, path, verdict); None without both classes."""
-    bounded = labelled.orderBy(positive_hash(F.col("id"), F.col("host"), F.col("path")), "id").limit(most)
-    rows = written(bounded.select((F.col("verdict") == "block").cast("double").alias("label"), n_grams().alias("grams"))
-                   .coalesce(1), "url-labels").coalesce(1)
-    if rows.agg(F.countDistinct("label")).first()[0] < 2:
+    """Fit on (id, host, path, verdict), at most ``most`` rows a class, both classes
+    weighing the same; None without both classes."""
+    order = [positive_hash(F.col("id"), F.col("host"), F.col("path")), F.col("id")]
+    classes = [labelled.filter(F.col("verdict") == v).orderBy(*order).limit(most) for v in ("allow", "block")]
+    rows = classes[0].unionByName(classes[1]).select(
+        (F.col("verdict") == "block").cast("double").alias("label"), n_grams().alias("grams"), *order)
+    rows = written(rows.toDF("label", "grams", "h", "id").coalesce(1).sortWithinPartitions("h", "id"), "url-labels")
+    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(n) < 2:
         return None
+    weight = F.lit(sum(n.values()) / 2) / F.when(F.col("label") == 1.0, n[1.0]).otherwise(n[0.0])
     return Pipeline(stages=[
         HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True),
-        LogisticRegression(maxIter=30, regParam=0.01, standardization=False)]).fit(rows)
+        LogisticRegression(maxIter=30, regParam=0.01, standardization=False, weightCol="weight")
+    ]).fit(rows.coalesce(1).withColumn("weight", weight))
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, id_col: str = "page_id",
@@ -94,13 +103,16 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, id_col: str = "pag
                     F.coalesce("r.verdict", guess).alias("verdict"))
 
 
-def labelled_by_rules(pages: DataFrame, rules=RULES) -> DataFrame:
-    """A labelled table from the pages that the rules decide."""
-    p = with_parts(pages.select(F.col("page_id").alias("id"), "url"), F.col("url")).withColumn("r", rule_of(rules))
-    return p.filter("r is not null").select("id", "host", "path", F.col("r.verdict").alias("verdict"))
+def labelled_by_words(pages: DataFrame, words=SEED_WORDS) -> DataFrame:
+    """A labelled URL table: ``block`` where a part of the host is a seed word."""
+    p = with_parts(pages.select(F.col("page_id").alias("id"), "url"), F.col("url"))
+    parts = F.split("host", r"[.\-]")
+    seeds = F.array(*[F.lit(w) for w in words])
+    return p.filter("host <> ''").select("id", "host", "path", F.when(F.arrays_overlap(parts, seeds), "block")
+                                         .otherwise("allow").alias("verdict"))
 
 
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:
-    """Judge every url of ``pages``; the labelled URLs are pages that the rules decide."""
+    """Judge every url of ``pages`` with a model trained on seed-labelled pages."""
     pages = read_table(spark, sf_dir, "pages")
-    return judge(pages, labelled_by_rules(pages))
+    return judge(pages, labelled_by_words(pages))
