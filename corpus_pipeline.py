@@ -8,6 +8,7 @@ every document that the mix took.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mirador.llm import bpe, line_dedup, mixing, ngram_join, quality
 from mirador.llm.common import prepare, read_table, written
@@ -20,7 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return line_dedup.remove_lines(docs)
+    out = line_dedup.remove_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long"))      # the text has changed
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
