@@ -45,33 +45,40 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
     return lines.select("*", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
 
 
-def segment(i: int, length: Column, tau: int) -> tuple[Column, Column]:
-    """(start, length) of segment i of a line of this length; starts count from 0."""
-    short, rest = F.floor(length / (tau + 1)), F.pmod(length, F.lit(tau + 1))
-    longer = F.lit(i) - (F.lit(tau + 1) - rest)            # longer segments before this one
-    return short * i + F.greatest(longer, F.lit(0)), short + F.when(longer >= 0, 1).otherwise(0)
+def measured(lines: DataFrame, tau: int) -> DataFrame:
+    """Add the length ``n`` and, per shorter partner, the segments' least length ``q<D>`` and
+    the number ``r<D>`` of segments that are one longer (columns, so they are computed once)."""
+    lines = lines.withColumn("n", F.length("line"))
+    for shorter in range(tau + 1):
+        length = F.col("n") - shorter
+        lines = lines.withColumn(f"r{shorter}", F.pmod(length, F.lit(tau + 1))) \
+            .withColumn(f"q{shorter}", ((length - F.col(f"r{shorter}")) / (tau + 1)).cast("int"))
+    return lines
 
 
-def keys(line: Column, tau: int, min_chars: int) -> Column:
-    """Array of (key, index): index keys of the line, and probes for partners of its length
-    or up to tau shorter."""
-    n, out = F.length(line), []
+def keys(tau: int) -> Column:
+    """Array of (key, index) of a measured line: its index keys, and probes for partners of
+    its length or up to tau shorter. Lines have at least (tau + 1) ** 2 code points, so a
+    shifted segment never leaves the line."""
+    out = []
     for shorter in range(tau + 1):
-        length = n - shorter
+        q, r = F.col(f"q{shorter}"), F.col(f"r{shorter}")
         for i in range(tau + 1):
-            start, size = segment(i, length, tau)
+            longer = r - (tau + 1 - i)                     # longer segments before this one
+            start, size = q * i + F.greatest(longer, F.lit(0)), q + F.when(longer >= 0, 1).otherwise(0)
             for shift in range(max(-i, shorter - (tau - i)), min(i, shorter + (tau - i)) + 1):
-                part = line.substr((start + shift + 1).cast("int"), size.cast("int"))
-                key = F.xxhash64(length, F.lit(i), part)
-                fits = (length >= min_chars) & (start + shift >= 0) & (start + shift + size <= n)
+                part = F.col("line").substr(start + (shift + 1), size)
+                key = F.xxhash64(F.col("n") - shorter, F.lit(i), part)
                 own = shorter == 0 and shift == 0          # also this line's index key
-                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(own).alias("index"))))
-    return F.filter(F.array(*out), lambda k: k.isNotNull())
+                out.append(F.struct(key.alias("key"), F.lit(own).alias("index")))
+    return F.array(*out)
 
 
 def line_matches(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """(doc_id, th, line_no, kind): the lines to remove; kind is ``equal`` or ``near``."""
+    if min_chars < (tau + 1) ** 2:
+        raise ValueError("min_chars must be at least (tau + 1) ** 2")
     lines = lines_of(docs, id_col, text_col, min_chars)
     place = F.struct("doc_id", "th", "line_no")
     seen = lines.select("a", "b", place.alias("place")).groupBy("a", "b") \
@@ -84,7 +91,8 @@ def line_matches(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id
     later = F.col("first").isNotNull() & (place != F.col("first"))
     once = marked.filter(~later)
 
-    emitted = once.select("a", F.explode(keys(F.col("line"), tau, min_chars)).alias("k")).select("a", "k.key", "k.index")
+    emitted = measured(once.select("a", "line"), tau).select("a", F.explode(keys(tau)).alias("k")) \
+        .select("a", "k.key", "k.index")
     same = Window.partitionBy("key")
     live = emitted.withColumn("indexed", F.max("index").over(same)) \
         .withColumn("lo", F.min("a").over(same)).withColumn("hi", F.max("a").over(same)) \
