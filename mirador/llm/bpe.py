@@ -88,10 +88,13 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, which: n
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Compressed bytes of arrays; equal places of the numbers' bytes lie together, which
+    compresses small numbers well."""
     import zstandard
 
-    head = np.array([len(a.tobytes()) for a in arrays], dtype=np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    planes = [a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    head = np.array([len(x) for x in planes], dtype=np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes))
 
 
 def unpack(data: bytes, *types) -> list[np.ndarray]:
@@ -100,36 +103,45 @@ def unpack(data: bytes, *types) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     sizes, at, out = np.frombuffer(raw, np.int64, len(types)), 8 * len(types), []
     for size, t in zip(sizes, types):
-        out.append(np.frombuffer(raw, t, size // np.dtype(t).itemsize, at))
+        width = np.dtype(t).itemsize
+        plane = np.frombuffer(raw, np.uint8, size, at).reshape(width, -1)
+        out.append(np.ascontiguousarray(plane.T).view(t).ravel())
         at += int(size)
     return out
 
 
 PACKED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("first", pa.int64()),
-                    ("doc_id", pa.int64()), ("payload", pa.binary())])
-PACKED_DDL = "block long, bucket int, first long, doc_id long, payload binary"
+                    ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
+PACKED_DDL = "block long, bucket int, first long, doc_ids array<long>, payload binary"
+DOCS_PER_ROW = 32
+COMMON = (3, 30, 1000)         # occurrences in a block from which a word gets a smaller number
 
 
 def _pack_block(ids: list, tokens: pa.ChunkedArray, lens: list, buckets: int) -> pa.RecordBatch:
-    """Documents (bucket -1) and distinct words by bucket of one block."""
+    """Documents (bucket -1) and distinct words by bucket of one block.
+
+    Block numbers run by (how common, bucket), so each row of words is one run of numbers."""
     coded = tokens.combine_chunks().dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
     words = [w.encode() for w in coded.dictionary.to_pylist()]
+    at = coded.indices.to_numpy(zero_copy_only=False) if words else np.zeros(0, np.int32)
     bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-    order = np.argsort(bucket, kind="stable")
+    rare = len(COMMON) - np.digitize(np.bincount(at, minlength=len(words)), COMMON)
+    run = rare * buckets + bucket
+    order = np.argsort(run, kind="stable")
     number = np.empty(len(words), np.int32)
     number[order] = np.arange(len(words), dtype=np.int32)
-    at = number[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int32)
-    block = uuid.uuid4().int >> 65
-    rows, start = [], 0
-    for i, n in zip(ids, lens):
-        rows.append((block, -1, 0, i, pack(at[start:start + n])))
-        start += n
+    block, rows, start = uuid.uuid4().int >> 65, [], 0
+    for lo in range(0, len(ids), DOCS_PER_ROW):
+        n = np.array(lens[lo:lo + DOCS_PER_ROW], np.int64)
+        end = start + int(n.sum())
+        rows.append((block, -1, 0, ids[lo:lo + DOCS_PER_ROW], pack(n, number[at[start:end]])))
+        start = end
     first = 0
-    for b, n in zip(*np.unique(bucket, return_counts=True)):
+    for r, n in zip(*np.unique(run, return_counts=True)):
         own = [words[j] for j in order[first:first + n]]
-        rows.append((block, int(b), first, None,
+        rows.append((block, int(r) % buckets, first, None,
                      pack(np.array([len(w) for w in own], np.int32), np.frombuffer(b"".join(own), np.uint8))))
         first += int(n)
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), PACKED)], schema=PACKED)
@@ -191,13 +203,17 @@ def reassemble(packed: DataFrame, encoded: DataFrame) -> DataFrame:
         starts = np.cumsum(lens) - lens
         ids, counts = [], []
         for p in docs.column("payload"):
-            got, _ = ragged_take(flat, starts, lens, unpack(p.as_py(), np.int32)[0])
+            n, at = unpack(p.as_py(), np.int64, np.int32)
+            got, per_word = ragged_take(flat, starts, lens, at)
+            upto = np.concatenate([[0], np.cumsum(per_word)])
+            stop = np.cumsum(n)
             ids.append(got)
-            counts.append(len(got))
+            counts += (upto[stop] - upto[stop - n]).tolist()
         ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         values = pa.array(np.concatenate(ids or [np.zeros(0, np.int32)]).astype(np.int32))
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
-        return pa.table({"doc_id": docs.column("doc_id"), "ids": lists})
+        doc_ids = docs.column("doc_ids").combine_chunks()
+        return pa.table({"doc_id": doc_ids.flatten(), "ids": lists})
 
     return packed.filter("bucket < 0").unionByName(encoded).groupBy("block") \
         .applyInArrow(run, "doc_id long, ids array<int>")
