@@ -8,9 +8,11 @@ differing parts never exceeds the symmetric difference, and at least K - d parts
 Bands grow by 1 / t, so similar sets lie in the same or in adjacent bands: a set is
 sketched for its own band and for the one below, and equal (band, part, XOR) keys meet.
 
-K leaves slack: K - d = 1 + slack parts agree, so parts with very few elements (which
-unrelated documents share by way of one common phrase) need no key, as long as a set has
-at most ``slack`` of them; a set with more of them emits all its parts. No pair is lost.
+Unrelated documents share a part of few elements by way of one common phrase. For bands of
+few differences there are therefore more than d + G parts in G groups, so that one group has
+two equal parts, and keys are the pairs within groups. For the others K leaves slack:
+K - d = 1 + slack parts agree, so parts of up to ``weak`` elements need no key as long as a
+set has at most ``slack`` of them; a set with more emits all its parts. No pair is lost.
 
 All pairs of a key are never built. Sets that share a key are joined to the key's first
 set (star), which gives clusters: unions of everything that could be similar. Inside a
@@ -42,10 +44,12 @@ from mirador.llm.bpe import ragged_take
 from mirador.llm.common import join_small, positive_hash, read_table, temporary_name, written
 from mirador.llm.components import components
 
-BLOCK_SETS = 512               # sets per verification block
+MOST_FOR_PAIRS = 48            # differences up to which keys are pairs of parts
+BLOCK_SETS = 4_096             # sets per verification block
 BLOCK_SHINGLES = 1_000_000     # shingles per verification block
 BROADCAST_ROWS = 300_000       # rows of (ids, cluster), some 40 bytes each
-SEEN_SETS = 1_000_000          # set hashes a task remembers to skip repeated keys
+SEEN_SETS = 100_000            # set hashes a task remembers to skip repeated keys
+KNOWN_WORDS = 100_000          # word hashes a task remembers
 U64 = np.uint64
 
 
@@ -72,7 +76,7 @@ class Shingler:
         if len(words) < self.n:
             whole = b"".join(len(w).to_bytes(8, "big") + w for w in words)
             return np.array([self.hash(whole, seed=1)], U64)
-        if len(self.words) > 1_000_000:
+        if len(self.words) > KNOWN_WORDS:
             self.words.clear()
         known, h = self.words, np.empty(len(words), U64)
         for w in set(words).difference(known):
@@ -96,21 +100,34 @@ def edges_of(percent: int, size: int) -> tuple[int, ...]:
 
 
 @lru_cache(maxsize=None)
-def band_plan(percent: int, low: int, high: int) -> tuple[int, int, int]:
-    """(parts, slack, weak) for a band of smaller sets of size low .. high - 1.
+def band_plan(percent: int, low: int, high: int) -> tuple[int, int, int, int]:
+    """(parts, groups, slack, weak) for a band of smaller sets of size low .. high - 1.
 
-    ``weak``: parts of at most so many elements need no key (-1: none)."""
+    Few differences (``groups`` > 0): parts are dealt to groups and there are enough of them
+    that one group holds two equal parts; keys are the pairs of parts within a group.
+    Many differences: keys are single parts of more than ``weak`` elements (-1: all)."""
     d = (high - 1) * (100 - percent) // percent
     if d == 0:
-        return 0, 0, -1                                    # only equal sets are similar
+        return 0, 0, 0, -1                                 # only equal sets are similar
+    if d <= MOST_FOR_PAIRS:
+        groups = 1 if d <= 16 else ceil(0.4 * d)
+        return d + groups + 1, groups, 0, -1
     slack = ceil(d / 4) + 1
     parts = d + 1 + slack
     load = low / parts
     for weak in (2, 1, 0):
         p = sum(exp(-load) * load ** i / factorial(i) for i in range(weak + 1))
         if parts * p + 3 * sqrt(parts * p * (1 - p)) <= slack:
-            return parts, slack, weak
-    return parts, slack, -1
+            return parts, 0, slack, weak
+    return parts, 0, slack, -1
+
+
+@lru_cache(maxsize=None)
+def pairs_in_groups(parts: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of parts with the same number modulo ``groups``."""
+    i, j = np.triu_indices(parts, 1)
+    same = i % groups == j % groups
+    return i[same], j[same]
 
 
 def band_keys(s: np.ndarray, percent: int) -> np.ndarray:
@@ -121,7 +138,7 @@ def band_keys(s: np.ndarray, percent: int) -> np.ndarray:
     for band in (own, own - 1):
         if band < 0:
             continue
-        parts, slack, weak = band_plan(percent, borders[band], borders[band + 1])
+        parts, groups, slack, weak = band_plan(percent, borders[band], borders[band + 1])
         if not parts:
             continue
         part = ((spot * U64(parts)) >> U64(32)).astype(np.int64)
@@ -130,10 +147,14 @@ def band_keys(s: np.ndarray, percent: int) -> np.ndarray:
         xor = np.zeros(parts, U64)
         full = np.flatnonzero(n)
         xor[full] = np.bitwise_xor.reduceat(value[order], (np.cumsum(n) - n)[full])
-        use = np.flatnonzero(n > weak)
-        if parts - len(use) > slack:
-            use = np.arange(parts)
-        out.append(mix(mix(xor[use] ^ use.astype(U64), 13) ^ U64(band), 14))
+        one = mix(xor ^ np.arange(parts, dtype=U64), 13)
+        if groups:
+            i, j = pairs_in_groups(parts, groups)
+            own_keys = mix(one[i], 15) ^ one[j]
+        else:
+            use = n > weak
+            own_keys = one[use] if parts - use.sum() <= slack else one
+        out.append(mix(own_keys ^ U64(band), 14))
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
