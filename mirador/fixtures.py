@@ -26,8 +26,8 @@ SELECT 'src' || CAST(n_nationkey AS STRING) AS id, n_name AS name, r_name AS cou
  FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "v_datasets": """
 SELECT source || ':' || CAST(doc_id AS STRING) AS id, source AS catalog_id, CAST(doc_id AS STRING) AS external_id, doc_id,
- lang AS language, substring(text, 1, 40) AS title,
- CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN substring(text, 1, 12) ELSE substring(text, 1, 600) END AS description,
+ lang AS language, split_part(text, chr(10), 1) AS title,
+ CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN lang || ' ' || source ELSE text END AS description,
  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'Org ' || CAST(doc_id % 11 AS STRING) END AS organization,
  CASE WHEN doc_id % 6 = 0 THEN NULL ELSE lang || ' topic' || CAST(doc_id % 9 AS STRING) END AS tags_text,
  CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'CC-BY-4.0' END AS license,
@@ -35,23 +35,27 @@ SELECT source || ':' || CAST(doc_id AS STRING) AS id, source AS catalog_id, CAST
  CASE WHEN doc_id % 17 = 0 THEN NULL ELSE DATE '2023-01-01' + CAST(doc_id % 1300 AS INT) END AS modified_on
  FROM documents""",
     "v_resources": """
-SELECT d.id AS dataset_id, d.catalog_id, d.doc_id, n.n_nationkey AS i,
- 'https://' || d.catalog_id || '.example.org/' || d.external_id || '/' || CAST(n.n_nationkey AS STRING) AS url,
- CASE (d.doc_id + n.n_nationkey) % 8 WHEN 0 THEN 'CSV' WHEN 1 THEN 'json' WHEN 2 THEN 'PDF' WHEN 3 THEN 'XLSX' WHEN 4 THEN 'geojson' WHEN 5 THEN 'ZIP' WHEN 6 THEN '' ELSE 'xyz' END AS format,
+SELECT d.id AS dataset_id, d.catalog_id, d.doc_id, d.i,
+ 'https://' || d.catalog_id || '.example.org/' || d.external_id || '/' || CAST(d.i AS STRING) AS url,
+ CASE (d.doc_id + d.i) % 8 WHEN 0 THEN 'CSV' WHEN 1 THEN 'json' WHEN 2 THEN 'PDF' WHEN 3 THEN 'XLSX' WHEN 4 THEN 'geojson' WHEN 5 THEN 'ZIP' WHEN 6 THEN '' ELSE 'xyz' END AS format,
  CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE d.doc_id * 1000 END AS size_bytes
- FROM v_datasets d JOIN nation n ON n.n_nationkey < d.doc_id % 4""",
+ FROM (SELECT id, catalog_id, doc_id, external_id, 0 AS i FROM v_datasets WHERE doc_id % 4 > 0
+  UNION ALL SELECT id, catalog_id, doc_id, external_id, 1 FROM v_datasets WHERE doc_id % 4 > 1
+  UNION ALL SELECT id, catalog_id, doc_id, external_id, 2 FROM v_datasets WHERE doc_id % 4 > 2) d""",
+    # Events fall on the resources of all documents; a tenth of the documents is never checked.
     "v_checks": """
 SELECT r.catalog_id, r.url, e.ts AS checked_at, e.event_id, CAST(floor(e.value * 10) AS BIGINT) AS latency_ms,
  CASE e.event_type WHEN 'view' THEN 200 WHEN 'click' THEN 301 WHEN 'purchase' THEN 403 WHEN 'error' THEN 500 ELSE 404 END AS status
- FROM events e JOIN v_resources r ON r.doc_id = e.event_id % 200 AND r.i = e.event_id % 3""",
+ FROM (SELECT *, (event_id * 13) % (SELECT count(*) FROM documents) AS doc FROM events) e
+ JOIN v_resources r ON r.doc_id = e.doc AND r.i = e.event_id % 3 WHERE r.doc_id % 10 <> 9""",
     "v_series": """
 SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS date,
  CASE WHEN day(o_orderdate) = 29 THEN NULL ELSE CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) END AS value
  FROM orders GROUP BY o_orderpriority, CAST(o_orderdate AS DATE), day(o_orderdate)""",
     "v_prev": """
 SELECT catalog_id, external_id, CASE WHEN doc_id % 3 = 0 THEN modified_on - 30 ELSE modified_on END AS modified_on,
- DATE '2026-01-01' - CAST(doc_id % 14 AS INT) AS last_scored_on FROM v_datasets WHERE doc_id % 10 <> 3
- UNION ALL SELECT 'src' || CAST(n_nationkey AS STRING), 'gone' || CAST(n_nationkey AS STRING), DATE '2024-01-01', DATE '2025-12-30' FROM nation""",
+ DATE '2026-01-01' - CAST(doc_id % 14 AS INT) AS last_scored_on, CAST(doc_id % 101 AS DOUBLE) / 100 AS overall FROM v_datasets WHERE doc_id % 10 <> 3
+ UNION ALL SELECT 'src' || CAST(n_nationkey AS STRING), 'gone' || CAST(n_nationkey AS STRING), DATE '2024-01-01', DATE '2025-12-30', CAST(1 AS DOUBLE) / 2 FROM nation""",
     # Preset directory: one preset per region, plus "all"; one member is unknown.
     "v_presets": """
 SELECT lower(r_name) AS preset, 'src' || CAST(n_nationkey AS STRING) AS catalog_id, n_nationkey AS member_pos

@@ -66,6 +66,7 @@ EVENT_SCHEMA = ("id string, timestamp string, clientId string, datasetId string,
                 "success boolean, durationMs double, type string, query string, catalogId string, "
                 "resultCount double, sql string, rowsReturned double, errorMessage string, format string, "
                 "columnCount double, rowCount double, errorCode string")
+STRING_FIELDS = ("timestamp", "clientId", "query", "sql", "errorMessage", "errorCode")
 ISO_DATETIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
 
 
@@ -87,6 +88,12 @@ def validate_events(raw: DataFrame, json_col: str = "json") -> DataFrame:
     }
     optional_counts = {"search": [], "query": ["rowsReturned"], "inspect": ["columnCount", "rowCount"],
                        "error": []}
+    # from_json coerces numbers to strings; the parsed value still knows its JSON type
+    v = F.try_parse_json(F.col(json_col))
+    wrong_type = F.lit(False)
+    for f in STRING_FIELDS:
+        found = F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
+        wrong_type = wrong_type | F.coalesce(~found.isin("STRING", "VOID"), F.lit(False))
     missing = F.lit(False)
     bad_count = F.lit(False)
     for t, fields in required.items():
@@ -99,7 +106,9 @@ def validate_events(raw: DataFrame, json_col: str = "json") -> DataFrame:
     reason = (F.when(F.col("e").isNull(), F.lit("unparsable"))
               .when(typ.isNull() | ~typ.isin(*L.EVENT_TYPES), F.lit("bad_type"))
               .when(c("timestamp").isNull() | c("clientId").isNull() | c("success").isNull(), F.lit("missing_base"))
-              .when(~c("timestamp").rlike(ISO_DATETIME), F.lit("bad_timestamp"))
+              .when(wrong_type, F.lit("bad_field_type"))
+              .when(~c("timestamp").rlike(ISO_DATETIME) | F.try_to_timestamp(c("timestamp")).isNull(),
+                    F.lit("bad_timestamp"))
               .when(c("durationMs").isNotNull() & (c("durationMs") < 0), F.lit("negative_duration"))
               .when(missing, F.lit("missing_field"))
               .when(bad_count, F.lit("bad_count")))

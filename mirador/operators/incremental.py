@@ -8,7 +8,7 @@ grouping by ``catalog_id``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirador.functions import lookups as L
@@ -27,11 +27,14 @@ def diff_runs(current: DataFrame, previous: DataFrame, as_of: str,
     """Classify by (catalog_id, external_id): new / modified / expired / kept / deleted.
 
     ``current``: catalog_id, external_id, modified_at; ``previous``: catalog_id,
-    external_id, prev_modified_at, last_scored_at. Precedence in that order.
+    external_id, prev_modified_at, last_scored_at and, if kept scores are carried
+    on, prev_overall. Precedence in that order.
     """
     keys = ["catalog_id", "external_id"]
+    prev_overall = (F.col("prev_overall") if "prev_overall" in previous.columns
+                    else F.lit(None).cast("double").alias("prev_overall"))
     j = current.select(*keys, "modified_at", F.lit(True).alias("_cur")).join(
-        previous.select(*keys, "prev_modified_at", "last_scored_at", F.lit(True).alias("_prev")), keys, "full")
+        previous.select(*keys, "prev_modified_at", "last_scored_at", prev_overall, F.lit(True).alias("_prev")), keys, "full")
     modified = (F.col("modified_at").isNotNull() & F.col("prev_modified_at").isNotNull()
                 & (F.col("modified_at") > F.col("prev_modified_at")))
     expired = _age_us(as_of, F.col("last_scored_at")) > rescore_days * DAY_US
@@ -40,15 +43,15 @@ def diff_runs(current: DataFrame, previous: DataFrame, as_of: str,
               .when(modified, F.lit("modified"))
               .when(expired, F.lit("expired"))
               .otherwise(F.lit("kept")))
-    return j.select(*keys, "modified_at", "prev_modified_at", "last_scored_at", status.alias("status"))
+    return j.select(*keys, "modified_at", "prev_modified_at", "last_scored_at", "prev_overall", status.alias("status"))
 
 
 def merge_scores(diff: DataFrame, scored: DataFrame, as_of: str) -> DataFrame:
-    """Kept entries stay as they were; new, modified and expired get this run's
+    """Kept entries stay as they were, score included; new, modified and expired get this run's
     scores and as_of as their scoring time; deleted ones drop out."""
     keep = diff.where(F.col("status") == "kept").select(
         "catalog_id", "external_id", F.col("prev_modified_at").alias("modified_at"), "last_scored_at",
-        F.lit("kept").alias("origin"), F.lit(None).cast("double").alias("overall"))
+        F.lit("kept").alias("origin"), F.col("prev_overall").alias("overall"))
     redo = diff.where(F.col("status").isin("new", "modified", "expired")).join(
         scored.select("catalog_id", "external_id", "overall"), ["catalog_id", "external_id"], "left")
     redo = redo.select("catalog_id", "external_id", "modified_at",
@@ -63,20 +66,22 @@ def orphan_cleanup(stored: DataFrame, active: DataFrame) -> DataFrame:
         active.select(F.col("id").alias("catalog_id")), "catalog_id", "left_anti")
 
 
+SUMMARY_ZERO = {"status": "pending", "dataset_count": 0, "datasets_scored": 0, "overall": 0.0, "accessibility": 0.0,
+                "structure": 0.0, "freshness": 0.0, "completeness": 0.0, "coverage": 0.0, "tier": "detail"}
+
+
 def summary_fallback(catalogs: DataFrame, current: DataFrame, previous: DataFrame) -> DataFrame:
-    """Every catalog: this run's summary, else the last known one, else a zero 'pending' row."""
-    c = current.select(F.col("catalog_id").alias("_c"), F.struct(*[F.col(x) for x in current.columns
-                                                                   if x != "catalog_id"]).alias("cur"))
-    p = previous.select(F.col("catalog_id").alias("_p"), F.struct(*[F.col(x) for x in previous.columns
-                                                                    if x != "catalog_id"]).alias("prev"))
-    j = catalogs.join(c, catalogs["id"] == c["_c"], "left").join(p, catalogs["id"] == p["_p"], "left")
-    return j.select(
-        "id",
-        F.when(F.col("_c").isNotNull(), F.lit("ok")).when(F.col("_p").isNotNull(), F.lit("stale"))
-         .otherwise(F.lit("pending")).alias("status"),
-        F.coalesce(F.col("cur.dataset_count"), F.col("prev.dataset_count"), F.lit(0)).cast("bigint")
-         .alias("dataset_count"),
-        F.coalesce(F.col("cur.overall"), F.col("prev.overall"), F.lit(0.0)).alias("overall"))
+    """Every catalog with its name and country: this run's summary, else the last known one
+    unchanged (its stored status included), else a zero 'pending' row. Both summaries hold
+    catalog_id and the fields of ``SUMMARY_ZERO``."""
+    fields = list(SUMMARY_ZERO)
+    one = lambda df, name, key: df.select(F.col("catalog_id").alias(key), F.struct(*fields).alias(name))
+    j = catalogs.join(one(current, "cur", "_c"), F.col("id") == F.col("_c"), "left") \
+        .join(one(previous, "prev", "_p"), F.col("id") == F.col("_p"), "left")
+    types = dict(current.dtypes)
+    chosen = [F.when(F.col("_c").isNotNull(), F.col(f"cur.{f}")).when(F.col("_p").isNotNull(), F.col(f"prev.{f}"))
+              .otherwise(F.lit(zero)).cast(types[f]).alias(f) for f, zero in SUMMARY_ZERO.items()]
+    return j.select("id", "name", "country", *chosen)
 
 
 # ------------------------------------------------------------------ failures
@@ -85,7 +90,7 @@ def failure_streak(outcomes: DataFrame, key: str, as_of: str) -> DataFrame:
 
     Consecutive failures = failures after the key's last success; the state is
     unreachable from 3 on, and an unreachable key is skipped while its last
-    failure is less than 7 days old. Computed with two partial aggregates (the
+    failure is less than 7 days old. A success also clears the last failure. Computed with two partial aggregates (the
     last success per key, then the failures after it), so a hot key is merged
     from per-partition buffers instead of being sorted in one task.
     """
@@ -96,7 +101,7 @@ def failure_streak(outcomes: DataFrame, key: str, as_of: str) -> DataFrame:
     after = F.col("last_ok").isNull() | (order > F.col("last_ok"))
     agg = j.groupBy(key).agg(
         F.sum(F.when(F.col("failed") & after, 1).otherwise(0)).cast("bigint").alias("consecutive_failures"),
-        F.max(F.when(F.col("failed"), F.col("ts"))).alias("last_failure"),
+        F.max(F.when(F.col("failed") & after, F.col("ts"))).alias("last_failure"),
         F.count(F.lit(1)).alias("events"))
     status = F.when(F.col("consecutive_failures") >= L.UNREACHABLE_AFTER_FAILURES, F.lit("unreachable")) \
         .otherwise(F.lit("ok"))
@@ -141,16 +146,18 @@ def sweep_plan(catalogs: DataFrame, state: DataFrame, as_of: str,
 
 
 def sweep_chunk(scores: DataFrame, plan: DataFrame, chunk_size: int = L.SWEEP_CHUNK_SIZE,
-                every: int = L.SWEEP_ACCESS_EVERY) -> DataFrame:
-    """Records of one sweep run per catalog: modified >= cursor (inclusive), first
-    ``chunk_size`` in (modified, id) order; accessibility only for every
+                every: int = L.SWEEP_ACCESS_EVERY, keep_undated: Column | bool = False) -> DataFrame:
+    """Records of one sweep run per catalog: modified >= cursor (inclusive), and where
+    ``keep_undated`` holds (the Socrata path) those without a date, which sort last; the
+    first ``chunk_size`` in (modified, id) order; accessibility only for every
     ``every``-th record. The row_number filter is planned with a per-partition
     limit before the shuffle, so a hot catalog contributes at most
     ``chunk_size`` rows per partition."""
+    keep = keep_undated if isinstance(keep_undated, Column) else F.lit(bool(keep_undated))
     p = plan.where(F.col("action") != "skip").select("catalog_id", "start_cursor")
-    cand = scores.join(F.broadcast(p), "catalog_id") \
-                 .where(F.col("modified_at") >= F.col("start_cursor"))
-    w = Window.partitionBy("catalog_id").orderBy(F.col("modified_at"), F.col("id"))
+    cand = scores.join(p, "catalog_id") \
+                 .where((F.col("modified_at") >= F.col("start_cursor")) | (F.col("modified_at").isNull() & keep))
+    w = Window.partitionBy("catalog_id").orderBy(F.col("modified_at").asc_nulls_last(), F.col("id"))
     ranked = cand.withColumn("rn", F.row_number().over(w))
     if chunk_size > 0:
         # a filter on the rank column itself lets Spark limit each partition first
@@ -254,8 +261,8 @@ def preset_resolve(presets: DataFrame, catalogs: DataFrame, preset_names: list[s
     known_c = catalogs.select(F.col("id").alias("name")).withColumn("_ok", F.lit(True))
     unknown = (r.where(F.col("kind") == "preset").join(known_p, r["name"] == known_p["preset"], "left_anti")
                .unionByName(r.where(F.col("kind") == "catalog").join(known_c, "name", "left_anti")))
-    from_p = r.where(F.col("kind") == "preset").join(F.broadcast(presets), r["name"] == presets["preset"]) \
-        .join(F.broadcast(catalogs.select(F.col("id").alias("catalog_id"))), "catalog_id", "left_semi") \
+    from_p = r.where(F.col("kind") == "preset").join(presets, r["name"] == presets["preset"]) \
+        .join(catalogs.select(F.col("id").alias("catalog_id")), "catalog_id", "left_semi") \
         .select("catalog_id", "req_pos", "member_pos")
     from_c = r.where(F.col("kind") == "catalog").select(F.col("name").alias("catalog_id"), "req_pos",
                                                         F.lit(0).alias("member_pos"))

@@ -58,8 +58,8 @@ def tier_classify(catalogs: DataFrame, membership: DataFrame, detail_presets: li
     prio = (membership.where(F.col("preset").isin(*priority_presets))
             .groupBy("catalog_id")
             .agg(F.min(F.struct(prio_idx.alias("p"), F.col("member_pos").alias("m"))).alias("k")))
-    c = (catalogs.join(F.broadcast(detail), catalogs["id"] == detail["catalog_id"], "left").drop("catalog_id")
-         .join(F.broadcast(prio), catalogs["id"] == prio["catalog_id"], "left").drop("catalog_id"))
+    c = (catalogs.join(detail, catalogs["id"] == detail["catalog_id"], "left").drop("catalog_id")
+         .join(prio, catalogs["id"] == prio["catalog_id"], "left").drop("catalog_id"))
     c = c.withColumn("tier", F.when(F.col("in_detail"), F.lit("detail")).otherwise(F.lit("aggregate")))
     w = Window.orderBy(F.when(F.col("tier") == "detail", 0).otherwise(1),
                        F.col("k.p").asc_nulls_last(), F.col("k.m").asc_nulls_last(), F.col("pos"))

@@ -128,9 +128,9 @@ def bm25_scores(index: dict[str, DataFrame], qterms: DataFrame) -> DataFrame:
     """Weighted BM25 per (query, catalog, doc), scores > 0 only."""
     keys = ["catalog_id", "term"]
     # term statistics of the query terms only (semi join against the small side)
-    dfq = index["term_df"].join(F.broadcast(qterms.select(*keys).distinct()), keys, "left_semi")
-    hits = index["postings"].join(F.broadcast(qterms), keys)
-    hits = hits.join(dfq, keys).join(F.broadcast(index["stats"]), "catalog_id")
+    dfq = index["term_df"].join(qterms.select(*keys).distinct(), keys, "left_semi")
+    hits = index["postings"].join(qterms, keys)
+    hits = hits.join(dfq, keys).join(index["stats"], "catalog_id")
     k, b = L.BM25_K, L.BM25_B
     idf = F.log10((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     tf = F.col("tf")
@@ -153,6 +153,9 @@ def bm25_search(index, qterms, limit: int = L.DEFAULT_FTS_LIMIT) -> DataFrame:
     return top_n(bm25_scores(index, qterms), ["query_id", "catalog_id"], limit)
 
 
+LIKE_ESCAPE = "\x01"
+
+
 def like_terms(query: str) -> list[str]:
     return [t for t in query.lower().split() if len(t) > 1]
 
@@ -160,9 +163,10 @@ def like_terms(query: str) -> list[str]:
 def _like_any(terms: list[str]) -> Column:
     cond = F.lit(False)
     for t in terms:
-        pat = f"%{t}%"
+        # no default escape: an escape character that a word cannot hold leaves "\\" as it is
+        pat = F.lit(f"%{t.replace(LIKE_ESCAPE, '')}%")
         for f in FIELDS:
-            cond = cond | F.lower(F.col(f)).like(pat)
+            cond = cond | F.like(F.lower(F.col(f)), pat, F.lit(LIKE_ESCAPE))
     return cond
 
 

@@ -107,7 +107,7 @@ def parse_series_payloads(payloads: DataFrame, id_col: str = "payload_id",
 
     Metadata is taken only when ``meta`` has at least two entries (temporal
     first, field second); the title is the field description, else the
-    distribution title. Values that are not numbers become null.
+    distribution title. Values that are not numbers and dates that are none become null.
     """
     j = payloads.select(id_col, F.from_json(F.col(json_col), PAYLOAD_SCHEMA).alias("r"))
     has_meta = F.size("r.meta") >= 2
@@ -125,6 +125,6 @@ def parse_series_payloads(payloads: DataFrame, id_col: str = "payload_id",
         F.when(has_meta, t["end_date"]).alias("end_date"),
     ]
     pts = j.select(id_col, *meta_cols, F.explode("r.data").alias("pt"))
-    return pts.select(id_col, F.col("pt")[0].cast("date").alias("date"),
+    return pts.select(id_col, F.col("pt")[0].try_cast("date").alias("date"),
                       F.col("pt")[1].try_cast("double").alias("value"),
                       *[c for c in pts.columns if c not in (id_col, "pt")])

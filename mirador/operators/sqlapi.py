@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mirador.functions import lookups as L
 from mirador.session import apply_runtime_conf, materialize
@@ -111,10 +112,6 @@ class SqlSession:
         return self.spark.sql(text)
 
 
-NUMERIC_TYPE_RE = re.compile(r"int|float|double|decimal|numeric|bigint|real", re.I)
-TEXT_TYPE_RE = re.compile(r"varchar|text|string", re.I)
-
-
 def inspect(df: DataFrame) -> DataFrame:
     """Columns with their types and positions, and the table's row count.
 
@@ -136,8 +133,8 @@ def column_profile(df: DataFrame) -> DataFrame:
     """Suggested aggregates, run: count; avg/min/max of the first numeric column;
     the 10 most frequent values of the first text column (ties by value)."""
     fields = df.schema.fields
-    num = next((f.name for f in fields if NUMERIC_TYPE_RE.search(f.dataType.simpleString())), None)
-    txt = next((f.name for f in fields if TEXT_TYPE_RE.search(f.dataType.simpleString())), None)
+    num = next((f.name for f in fields if isinstance(f.dataType, T.NumericType)), None)
+    txt = next((f.name for f in fields if isinstance(f.dataType, (T.StringType, T.VarcharType))), None)
     aggs = [F.count(F.lit(1)).alias("total")]
     if num:
         c = F.col(num)

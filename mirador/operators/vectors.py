@@ -4,10 +4,9 @@
   the default encoder hashes tokens into a fixed number of dimensions, mean
   pools and L2-normalises (no model is needed offline). Any callable
   ``list[str] -> ndarray[n, dim]`` can replace it, e.g. an ONNX model.
-* ``vector_topk`` is brute force with the query batch broadcast (its size is
-  checked) and a running top-k per (query, catalog) kept inside each task, so a
-  task emits at most queries x catalogs x k rows; the global top-k is then a
-  row_number filter over those candidates.
+* ``vector_topk`` is brute force over blocks: a block of queries meets a block of
+  vectors in one group, which returns at most k rows per query (and catalog); the
+  global top-k is then a row_number filter over those candidates.
 * ``vector_upsert`` replaces by id with an anti join + union (the update batch
   is the small side), so the stored vectors are not shuffled.
 """
@@ -25,7 +24,6 @@ from pyspark.sql import functions as F
 from mirador.functions import lookups as L
 
 TOKEN_RE = re.compile(r"\w+", re.UNICODE)
-MAX_QUERY_BATCH = 10_000
 
 
 def hashed_encoder(dim: int = L.EMBEDDING_DIM) -> Callable[[list[str]], np.ndarray]:
@@ -66,70 +64,56 @@ def embed_text(df: DataFrame, id_col: str, text_col: str, encoder=None,
     return df.select(*keep, text_col).mapInPandas(run, schema)
 
 
-def collect_queries(queries: DataFrame, id_col: str = "query_id", vec_col: str = "vector") -> tuple:
-    """Bring a query batch to the driver after checking its size (it is broadcast)."""
-    n = queries.count()
-    if n > MAX_QUERY_BATCH:
-        raise ValueError(f"query batch of {n} exceeds {MAX_QUERY_BATCH}; split it")
-    rows = queries.select(id_col, vec_col).collect()
-    ids = np.array([r[0] for r in rows])
-    mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows]).reshape(len(rows), -1)
-    return ids, mat
+QUERY_BLOCK = 512           # queries and vectors that one task compares
+VECTOR_BLOCK = 16_384
+
+
+def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best scores (9 decimals), ties to the smaller id."""
+    r = np.round(scores, 9)
+    near = np.flatnonzero(r >= np.partition(r, -k)[-k]) if len(r) > k else np.arange(len(r))
+    return near[np.lexsort((ids[near], -r[near]))[:k]]
+
+
+def unit_rows(vectors) -> np.ndarray:
+    m = np.array([np.asarray(x, dtype=np.float64) for x in vectors])
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
                 vec_col: str = "vector", catalog_col: str | None = None,
                 per_catalog: bool = False) -> DataFrame:
-    """Top-k cosine similarity per query (per query and catalog if ``per_catalog``)."""
-    spark = vectors.sparkSession
-    qids, qmat = collect_queries(queries)
-    qn = np.linalg.norm(qmat, axis=1)
-    qmat = np.divide(qmat, qn[:, None], out=np.zeros_like(qmat), where=qn[:, None] > 0)
-    bq = spark.sparkContext.broadcast((qids, qmat))
+    """Top-k cosine similarity per query (per query and catalog if ``per_catalog``).
+
+    Query batches of any size: queries and vectors are cut into blocks by hash, one group
+    compares a block of each and returns at most k rows per query (and catalog)."""
     cat = catalog_col or "_cat"
     src = vectors if catalog_col else vectors.withColumn("_cat", F.lit(""))
     id_type = src.schema[id_col].dataType.simpleString()
     cat_type = src.schema[cat].dataType.simpleString()
     q_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {q_type}, {cat} {cat_type}, {id_col} {id_type}, score double"
+    nq, nv = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (src, VECTOR_BLOCK)))
+    left = queries.select("query_id", F.col("vector").alias("_q"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("_qb"),
+                          F.explode(F.expr(f"sequence(0L, {nv - 1}L)")).alias("_vb"))
+    right = src.select(id_col, cat, F.col(vec_col).alias("_v"), F.pmod(F.xxhash64(id_col), F.lit(nv)).alias("_vb"),
+                       F.explode(F.expr(f"sequence(0L, {nq - 1}L)")).alias("_qb"))
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_q, mat_q = bq.value
-        best: dict = {}  # group key -> (ids, cats, scores) running top-k per query
-        for pdf in it:
-            if pdf.empty:
-                continue
-            v = np.vstack([np.asarray(x, dtype=np.float64) for x in pdf[vec_col]])
-            vn = np.linalg.norm(v, axis=1)
-            sims = (v @ mat_q.T) / np.where(vn > 0, vn, 1.0)[:, None]
-            sims[vn == 0] = 0.0
-            groups = pdf.groupby(cat).indices if per_catalog else {None: np.arange(len(pdf))}
-            for g, rows in groups.items():
-                cand_ids = pdf[id_col].to_numpy()[rows]
-                cand_cat = pdf[cat].to_numpy()[rows]
-                cand_s = sims[rows]
-                prev = best.get(g)
-                if prev is not None:
-                    cand_ids = np.concatenate([prev[0], cand_ids])
-                    cand_cat = np.concatenate([prev[1], cand_cat])
-                    cand_s = np.vstack([prev[2], cand_s])
-                if len(cand_ids) > k:
-                    # keep, per query column, the rows at or above its k-th best score
-                    # (ties at the boundary stay, so the id tie-break is exact later)
-                    kth = np.partition(np.round(cand_s, 9), -k, axis=0)[-k]
-                    keep = np.nonzero(np.any(np.round(cand_s, 9) >= kth, axis=1))[0]
-                    cand_ids, cand_cat, cand_s = cand_ids[keep], cand_cat[keep], cand_s[keep]
-                best[g] = (cand_ids, cand_cat, cand_s)
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         frames = []
-        for g, (cid, ccat, cs) in best.items():
-            for j, qid in enumerate(ids_q):
-                order = np.lexsort((cid, -np.round(cs[:, j], 9)))[:k]
-                frames.append(pd.DataFrame({"query_id": qid, cat: ccat[order], id_col: cid[order],
-                                            "score": cs[order, j]}))
-        if frames:
-            yield pd.concat(frames, ignore_index=True)
-
-    cand = src.select(id_col, cat, vec_col).mapInPandas(run, schema)
+        if len(a) and len(b):
+            sims = unit_rows(b["_v"]) @ unit_rows(a["_q"]).T
+            ids, cats = b[id_col].to_numpy(), b[cat].to_numpy()
+            groups = b.groupby(cat).indices.values() if per_catalog else [np.arange(len(b))]
+            for rows in groups:
+                for j, qid in enumerate(a["query_id"]):
+                    best = rows[best_rows(sims[rows, j], ids[rows], k)]
+                    frames.append(pd.DataFrame({"query_id": qid, cat: cats[best], id_col: ids[best],
+                                                "score": sims[best, j]}))
+        return pd.concat(frames) if frames else pd.DataFrame(columns=["query_id", cat, id_col, "score"])
+
+    cand = left.groupBy("_qb", "_vb").cogroup(right.groupBy("_qb", "_vb")).applyInPandas(run, schema)
     keys = ["query_id", cat] if per_catalog else ["query_id"]
     w = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), F.asc(id_col))
     out = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -141,7 +125,8 @@ def vector_upsert(base: DataFrame, batch: DataFrame, id_col: str, vec_col: str,
     """Insert or replace rows of ``batch`` by id; all or nothing.
 
     If any batch vector has the wrong dimension the whole batch is rejected and
-    the base is returned unchanged. Within the batch the highest version wins.
+    the base is returned unchanged. Within the batch the highest version wins; a null
+    version is the lowest.
     """
     if dim is not None:
         bad = batch.where(F.size(vec_col) != dim).limit(1).count()
@@ -151,7 +136,7 @@ def vector_upsert(base: DataFrame, batch: DataFrame, id_col: str, vec_col: str,
     # times in a batch is merged from per-partition buffers, not sorted in one task)
     others = [c for c in batch.columns if c != id_col]
     latest = (batch.groupBy(id_col)
-              .agg(F.max_by(F.struct(*others), F.col(version_col)).alias("_v"))
+              .agg(F.max_by(F.struct(*others), F.struct(F.col(version_col).isNotNull(), F.col(version_col))).alias("_v"))
               .select(id_col, *[F.col("_v." + c).alias(c) for c in others]))
     kept = base.join(latest.select(id_col), id_col, "left_anti")
     return kept.unionByName(latest.select(*base.columns))

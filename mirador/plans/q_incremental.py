@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mirador.fixtures import AS_OF, EVENTS_AS_OF, register_views
+from mirador.functions import columns
 from mirador.functions import lookups as L
 from mirador.operators import health, incremental, ranking
 from mirador.plans import pipeline
@@ -138,7 +139,8 @@ def diff_inputs(spark, sf):
                                            F.col("modified_on").cast("timestamp").alias("modified_at"))
     prev = spark.table("v_prev").select("catalog_id", "external_id",
                                         F.col("modified_on").cast("timestamp").alias("prev_modified_at"),
-                                        F.col("last_scored_on").cast("timestamp").alias("last_scored_at"))
+                                        F.col("last_scored_on").cast("timestamp").alias("last_scored_at"),
+                                        F.col("overall").alias("prev_overall"))
     return cur, prev
 
 
@@ -150,9 +152,9 @@ def q_diff_runs(spark, sf):
 
 DIFF_SQL = f"""cur AS (SELECT catalog_id, external_id, CAST(modified_on AS TIMESTAMP) AS modified_at FROM v_datasets),
 prev AS (SELECT catalog_id, external_id, CAST(modified_on AS TIMESTAMP) AS prev_modified_at,
-  CAST(last_scored_on AS TIMESTAMP) AS last_scored_at FROM v_prev),
+  CAST(last_scored_on AS TIMESTAMP) AS last_scored_at, overall AS prev_overall FROM v_prev),
 j AS (SELECT coalesce(c.catalog_id, p.catalog_id) AS catalog_id, coalesce(c.external_id, p.external_id) AS external_id,
-  c.modified_at, p.prev_modified_at, p.last_scored_at, c.external_id IS NOT NULL AS in_cur, p.external_id IS NOT NULL AS in_prev
+  c.modified_at, p.prev_modified_at, p.last_scored_at, p.prev_overall, c.external_id IS NOT NULL AS in_cur, p.external_id IS NOT NULL AS in_prev
   FROM cur c FULL OUTER JOIN prev p ON c.catalog_id = p.catalog_id AND c.external_id = p.external_id),
 diff AS (SELECT *, CASE WHEN NOT in_prev THEN 'new' WHEN NOT in_cur THEN 'deleted'
   WHEN modified_at IS NOT NULL AND prev_modified_at IS NOT NULL AND modified_at > prev_modified_at THEN 'modified'
@@ -171,7 +173,7 @@ def q_merge_scores(spark, sf):
 
 
 oracle("merge_scores", f"""WITH {SCORES_CTES}, {DIFF_SQL}
-SELECT catalog_id, external_id, prev_modified_at AS modified_at, last_scored_at, 'kept' AS origin, CAST(NULL AS DOUBLE) AS overall
+SELECT catalog_id, external_id, prev_modified_at AS modified_at, last_scored_at, 'kept' AS origin, prev_overall AS overall
 FROM diff WHERE status = 'kept'
 UNION ALL SELECT d.catalog_id, d.external_id, d.modified_at, TIMESTAMP '{AS_OF}', 'scored', sc.overall
 FROM diff d LEFT JOIN sc ON d.catalog_id = sc.catalog_id AND d.external_id = sc.external_id
@@ -194,18 +196,33 @@ def q_summary_fallback(spark, sf):
     register_views(spark, sf, ("v_prev", "v_catalogs"))
     cats = spark.table("v_catalogs")
     processed = cats.where(F.col("pos") % 5 != 2).select(F.col("id").alias("catalog_id"))
-    current = pipeline.summaries(spark, sf).join(processed, "catalog_id", "left_semi") \
-        .select("catalog_id", "dataset_count", "overall")
-    previous = spark.table("v_prev").groupBy("catalog_id").agg(
-        F.count(F.lit(1)).alias("dataset_count"), F.lit(None).cast("double").alias("overall"))
+    tier = F.when(F.col("pos") % 2 == 0, F.lit("detail")).otherwise(F.lit("aggregate"))
+    known = cats.select(F.col("id").alias("catalog_id"), tier.alias("tier"), "pos")
+    current = pipeline.summaries(spark, sf).join(processed, "catalog_id", "left_semi").join(known, "catalog_id") \
+        .select("catalog_id", F.lit("ok").alias("status"), "dataset_count", "datasets_scored", "overall", "accessibility",
+                "structure", "freshness", "completeness", "coverage", "tier")
+    n, mean = F.count(F.lit(1)), columns.avg3(F.col("overall"))
+    previous = spark.table("v_prev").groupBy("catalog_id").agg(n.alias("dataset_count"), mean.alias("overall")) \
+        .join(known, "catalog_id").select(
+            "catalog_id", F.when(F.col("pos") % 3 == 0, F.lit("failed")).otherwise(F.lit("ok")).alias("status"),
+            "dataset_count", F.col("dataset_count").alias("datasets_scored"), "overall",
+            *[F.col("overall").alias(c) for c in ("accessibility", "structure", "freshness", "completeness")],
+            F.lit(1.0).alias("coverage"), "tier")
     return incremental.summary_fallback(cats, current, previous)
 
 
+_SUMMARY_FIELDS = ("accessibility", "structure", "freshness", "completeness")
 oracle("summary_fallback", f"""WITH {SUMMARY_CTES},
-cur AS (SELECT catalog_id, dataset_count, overall FROM summ WHERE catalog_id IN (SELECT id FROM v_catalogs WHERE pos % 5 <> 2)),
-prev AS (SELECT catalog_id, count(*) AS dataset_count FROM v_prev GROUP BY catalog_id)
-SELECT c.id, CASE WHEN cur.catalog_id IS NOT NULL THEN 'ok' WHEN prev.catalog_id IS NOT NULL THEN 'stale' ELSE 'pending' END AS status,
- CAST(coalesce(cur.dataset_count, prev.dataset_count, 0) AS BIGINT) AS dataset_count, coalesce(cur.overall, {dbl(0.0)}) AS overall
+cur AS (SELECT * FROM summ WHERE catalog_id IN (SELECT id FROM v_catalogs WHERE pos % 5 <> 2)),
+prev AS (SELECT catalog_id, count(*) AS n, {avg3('overall')} AS o FROM v_prev GROUP BY catalog_id)
+SELECT c.id, c.name, c.country,
+ CASE WHEN cur.catalog_id IS NOT NULL THEN 'ok' WHEN prev.catalog_id IS NULL THEN 'pending' WHEN c.pos % 3 = 0 THEN 'failed' ELSE 'ok' END AS status,
+ CAST(coalesce(cur.dataset_count, prev.n, 0) AS BIGINT) AS dataset_count,
+ CAST(coalesce(cur.datasets_scored, prev.n, 0) AS BIGINT) AS datasets_scored,
+ coalesce(cur.overall, prev.o, {dbl(0.0)}) AS overall,
+ {", ".join(f"coalesce(cur.{f}, prev.o, {dbl(0.0)}) AS {f}" for f in _SUMMARY_FIELDS)},
+ CASE WHEN cur.catalog_id IS NOT NULL THEN cur.coverage WHEN prev.catalog_id IS NOT NULL THEN {dbl(1.0)} ELSE {dbl(0.0)} END AS coverage,
+ CASE WHEN cur.catalog_id IS NULL AND prev.catalog_id IS NULL THEN 'detail' WHEN c.pos % 2 = 0 THEN 'detail' ELSE 'aggregate' END AS tier
 FROM v_catalogs c LEFT JOIN cur ON c.id = cur.catalog_id LEFT JOIN prev ON c.id = prev.catalog_id""",
        "v_datasets", "v_resources", "v_checks", "v_prev", "v_catalogs")
 
@@ -226,7 +243,7 @@ oracle("failure_streak", f"""WITH o AS (SELECT user_id, ts, event_id, event_type
 lo AS (SELECT user_id, ts AS lts, event_id AS leid FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
        FROM o WHERE NOT failed) WHERE rn = 1),
 a AS (SELECT o.user_id, CAST(sum(CASE WHEN failed AND (lo.lts IS NULL OR o.ts > lo.lts OR (o.ts = lo.lts AND o.event_id > lo.leid)) THEN 1 ELSE 0 END) AS BIGINT) AS consecutive_failures,
-  max(CASE WHEN failed THEN o.ts END) AS last_failure, CAST(count(*) AS BIGINT) AS events
+  max(CASE WHEN failed AND (lo.lts IS NULL OR o.ts > lo.lts OR (o.ts = lo.lts AND o.event_id > lo.leid)) THEN o.ts END) AS last_failure, CAST(count(*) AS BIGINT) AS events
   FROM o LEFT JOIN lo ON o.user_id = lo.user_id GROUP BY o.user_id)
 SELECT user_id, consecutive_failures, CASE WHEN consecutive_failures >= {L.UNREACHABLE_AFTER_FAILURES} THEN 'unreachable' ELSE 'ok' END AS status,
  last_failure, consecutive_failures >= {L.UNREACHABLE_AFTER_FAILURES} AND (epoch_us(TIMESTAMP '{EVENTS_AS_OF}') - epoch_us(last_failure)) / 86400000000.0 < {L.RETRY_AFTER_DAYS} AS skip,
@@ -240,7 +257,9 @@ def sweep_run(spark, sf):
     register_views(spark, sf, ("v_sweep_state", "v_sweep_aggs", "v_catalogs"))
     plan = incremental.sweep_plan(spark.table("v_catalogs"), spark.table("v_sweep_state"), AS_OF,
                                   known=pipeline.known_counts(spark, sf))
-    chunk = incremental.sweep_chunk(pipeline.dataset_scores(spark, sf), plan, SWEEP_CHUNK)
+    protocols = spark.table("v_catalogs").select(F.col("id").alias("catalog_id"), "protocol")
+    scores = pipeline.dataset_scores(spark, sf).join(protocols, "catalog_id")
+    chunk = incremental.sweep_chunk(scores, plan, SWEEP_CHUNK, keep_undated=F.col("protocol") == "socrata")
     state = incremental.sweep_state(plan, chunk, SWEEP_CHUNK)
     aggs = incremental.sweep_aggregates(plan, incremental.sweep_partials(chunk), spark.table("v_sweep_aggs"))
     return plan, chunk, state, aggs
@@ -271,8 +290,9 @@ SELECT catalog_id, action, start_cursor, carried_processed, CAST(total_known AS
 
 CHUNK_SQL = f"""{SCORES_CTES}, {PLAN_SQL},
 cand AS (SELECT sc.*, p.start_cursor FROM sc JOIN plan2 p ON sc.catalog_id = p.catalog_id
-  WHERE p.action <> 'skip' AND sc.modified_at >= p.start_cursor),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY catalog_id ORDER BY modified_at, id) - 1 AS idx FROM cand),
+  JOIN v_catalogs vc ON vc.id = sc.catalog_id
+  WHERE p.action <> 'skip' AND (sc.modified_at >= p.start_cursor OR (sc.modified_at IS NULL AND vc.protocol = 'socrata'))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY catalog_id ORDER BY modified_at NULLS LAST, id) - 1 AS idx FROM cand),
 chunk AS (SELECT *, idx % {L.SWEEP_ACCESS_EVERY} = 0 AS with_access FROM ranked WHERE idx < {SWEEP_CHUNK}),
 run AS (SELECT catalog_id, count(*) AS chunk_count, max(modified_at) AS max_modified FROM chunk GROUP BY catalog_id),
 st AS (SELECT p.catalog_id, p.action, p.carried_processed + coalesce(r.chunk_count, 0) AS processed,

@@ -15,7 +15,7 @@ from mirador.plans.registry import query
 from mirador.plans.sqlparts import (SCORES_CTES, expand_acronyms, expand_synonyms, normalize, tokens,
                                     values_table)
 from mirador.sources import records
-from mirador.session import spread, written_table
+from mirador.session import written_table
 
 # Fixed parameter: the batch of search queries run against every catalog.
 SEARCH_QUERIES = [
@@ -54,7 +54,7 @@ cq AS (SELECT cl.catalog_id, cl.language, cl.country_code, q.query_id, q.query F
 @query("normalize_text")
 def q_normalize_text(spark, sf):
     register_views(spark, sf, ())
-    docs = spread(spark.table("documents"))
+    docs = spark.table("documents")
     return docs.select("doc_id", normalize_text(F.col("text")).alias("normalized"))
 
 
@@ -102,7 +102,7 @@ def index_for(spark, sf):
     """The text index tables, built once per input folder and kept in the shared folder."""
     key = sf.rstrip("/")
     toks = written_table(spark, ("fts", "tokens", key),
-                         lambda: search.token_table(spread(records.datasets(spark, sf), spark.table("documents"))))
+                         lambda: search.token_table(records.datasets(spark, sf)))
     return {"postings": written_table(spark, ("fts", "postings", key), lambda: search.fts_postings(toks)),
             "term_df": written_table(spark, ("fts", "term_df", key), lambda: search.fts_term_df(toks)),
             "stats": written_table(spark, ("fts", "stats", key), lambda: search.fts_stats(toks))}

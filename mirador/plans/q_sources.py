@@ -174,7 +174,7 @@ def q_list_since(spark, sf):
     register_views(spark, sf, ("v_datasets", "v_catalogs"))
     d = spark.table("v_datasets").select("id", "catalog_id", F.col("modified_on").cast("timestamp").alias("modified_at"))
     cats = spark.table("v_catalogs").select(F.col("id").alias("catalog_id"), "protocol")
-    d = d.join(F.broadcast(cats), "catalog_id", "left")
+    d = d.join(cats, "catalog_id", "left")
     out = payloads.list_since(d, CURSOR, keep_undated=F.col("protocol") == "socrata")
     return out.select("id", "catalog_id", "modified_at")
 

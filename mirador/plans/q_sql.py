@@ -65,7 +65,7 @@ spark_sql("sql_theta_range_join", """
 WITH b AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part),
 bands AS (SELECT band, lo + (hi - lo) * band / 20 AS band_lo, lo + (hi - lo) * (band + 1) / 20 AS band_hi
           FROM b LATERAL VIEW explode(sequence(0, 19)) s AS band)
-SELECT /*+ BROADCAST(bands) */ band, count(*) AS n_parts, CAST(avg(CAST(p_size AS DECIMAL(18,2))) AS DECIMAL(18,4)) AS avg_size
+SELECT band, count(*) AS n_parts, CAST(avg(CAST(p_size AS DECIMAL(18,2))) AS DECIMAL(18,4)) AS avg_size
 FROM part JOIN bands ON p_retailprice >= band_lo AND (p_retailprice < band_hi OR band = 19)
 GROUP BY band""", """
 WITH b AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part),

@@ -9,7 +9,7 @@ from mirador.plans import pipeline
 from mirador.plans.oracles import oracle
 from mirador.plans.registry import query
 from mirador.plans.sqlparts import SUMMARY_CTES
-from mirador.session import scratch_path, spread
+from mirador.session import scratch_path
 from mirador.sources import records, stores
 
 # ------------------------------------------------------------------ load plan
@@ -40,7 +40,7 @@ SELECT page_id, url, sha256(url) AS cache_key,
 @query("charset_scan")
 def q_charset_scan(spark, sf):
     register_views(spark, sf, ())
-    docs = spread(spark.table("documents"))
+    docs = spark.table("documents")
     enc = (F.when(F.col("doc_id") % 3 == 0, F.lit("utf-8"))
            .when(F.col("doc_id") % 3 == 1,
                  F.when(F.col("text").rlike("[^\\x00-\\xFF]"), F.lit("utf-8")).otherwise(F.lit("latin-1")))
@@ -67,7 +67,7 @@ def q_metadata_store(spark, sf):
     register_views(spark, sf, ("v_datasets", "v_catalogs"))
     d = records.datasets(spark, sf)
     cats = spark.table("v_catalogs").select(F.col("id").alias("catalog_id"), "pos")
-    d = d.join(F.broadcast(cats), "catalog_id")
+    d = d.join(cats, "catalog_id")
     path = scratch_path(spark, "metadata")
     cached_at = F.lit(AS_OF).cast("timestamp") - F.make_interval(hours=(F.col("pos") % 4) * 10)
     stores.metadata_save(d.withColumn("cached_at", cached_at).drop("pos"), path)

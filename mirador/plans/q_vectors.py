@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mirador.fixtures import load_tables
@@ -95,8 +96,9 @@ def q_rrf_fuse(spark, sf):
     lex = search.bm25_search(index_for(spark, sf), qterms_for(spark, sf))
     sem = search.like_fallback(records.datasets(spark, sf), SEARCH_QUERIES)
     fused = vectors.rrf_fuse(sem, lex, keys)
-    return search.top_n(fused, keys, 10 ** 9).select(
-        *keys, "id", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), "id")
+    return fused.select(*keys, "id", F.round("score", 9).alias("score"),
+                        F.row_number().over(w).cast("bigint").alias("rank"))
 
 
 oracle("rrf_fuse", f"""WITH {BM25_SQL}, {LIKE_SQL},

@@ -115,21 +115,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """Spread CPU-heavy row work over the cluster when the input has fewer files
-    than there are task slots (a file of one row group is read by one task).
-
-    With many input files (the large-data case) this returns ``df`` unchanged, so
-    no extra shuffle is added where the scan is already parallel.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        files = len((source if source is not None else df).inputFiles())
-    except Exception:  # noqa: BLE001 - not a file-based plan
-        return df
-    return df.repartition(slots) if files < slots else df
-
-
 _TABLES: dict[tuple, str] = {}
 
 
@@ -146,6 +131,11 @@ def written_table(spark: SparkSession, key: tuple, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def forget_tables() -> None:
+    """Drop the memory of written tables, so the next query builds its own."""
+    _TABLES.clear()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Evaluate once and cut the lineage with a reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)

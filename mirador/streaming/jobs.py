@@ -32,15 +32,17 @@ from mirador.session import scratch_path
 
 def land_in_chunks(df: DataFrame, path: str, order_col: str, n_chunks: int) -> None:
     """Land a table as ``n_chunks`` files, one after the other in ``order_col``
-    order, so a file stream sees them arrive in that order."""
+    order, so a file stream sees them arrive in that order. Rows without a key come
+    first; a table without any key is one chunk."""
     lo_hi = df.agg(F.min(order_col), F.max(order_col)).first()
     lo, hi = lo_hi[0], lo_hi[1]
     if lo is None:
-        df.limit(0).write.mode("append").parquet(path)
+        df.write.mode("append").parquet(path)
         return
     step = (hi - lo) // n_chunks + 1
     for i in range(n_chunks):
-        part = df.where((F.col(order_col) >= lo + i * step) & (F.col(order_col) < lo + (i + 1) * step))
+        inside = (F.col(order_col) >= lo + i * step) & (F.col(order_col) < lo + (i + 1) * step)
+        part = df.where(inside | F.col(order_col).isNull() if i == 0 else inside)
         part.coalesce(1).write.mode("append").parquet(path)
 
 
@@ -130,7 +132,7 @@ def failure_fold(rows: pd.DataFrame, st: tuple | None) -> tuple:
             consecutive += 1
             last_failure = ts if last_failure is None or ts > last_failure else last_failure
         else:
-            consecutive = 0
+            consecutive, last_failure = 0, None
     return consecutive, last_failure, events
 
 
