@@ -122,14 +122,15 @@ TYPES = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa
 
 def quality_filter(docs: DataFrame, bands: Bands = Bands(), text_col: str = "text") -> DataFrame:
     """The documents that pass, columns unchanged."""
-    at, schema = docs.columns.index(text_col), docs.schema
+    at = docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])     # names may hold dots
 
     def run(batches):
         one = _judge(bands)
         for b in batches:
             yield b.filter(pa.array([one(t.as_py())[-1] for t in b.column(at)], type=pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op3_compression_bands(spark, sf_dir: str) -> DataFrame:

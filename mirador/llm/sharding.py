@@ -123,7 +123,8 @@ def kd_tree(meta: DataFrame, dims: list[str], leaves: int, total: float) -> Node
                 heavy = heavy | ((F.col("node") == i) & (F.col(by_id[i].dim) == s["key"]))
             _refine(at.filter(heavy).select("node", F.col("h").alias("key"), "size"), split, TOLERANCE * target)
             for i, s in split.items():
-                by_id[i].cut = (s["key"], s["hi"])
+                before, after = s["goal"] - s["below"], s["below"] + s["bytes"] - s["goal"]
+                by_id[i].cut = (s["key"], s["hi"] if after <= before else s["lo"] - 1)
         for n in open_nodes:
             if n.cut is None:
                 n.dim, n.cut = dims[0], (LAST, LAST)
