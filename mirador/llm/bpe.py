@@ -2,19 +2,22 @@
 
 Encoding
 1. Spark splits every text into pre-tokens (``regexp_extract_all``). Each task packs its
-   documents into blocks of about two million pre-tokens and writes, per block, the
-   documents as positions -> block word numbers, and the block's distinct words by hash
-   bucket (pre-aggregation: a word leaves a block once, however often it occurs).
-2. The buckets are shuffled: one group sees all blocks' words of its bucket and encodes
-   each distinct word once.
-3. The ids are shuffled back to their blocks, joined to the documents' positions, and
-   every document is put together again in order.
+   documents into blocks of about two million pre-tokens and sends off, per block, the
+   block's distinct words by hash bucket (pre-aggregation: a word leaves a block once,
+   however often it occurs).
+2. One group sees all blocks' words of its bucket and encodes each distinct word once.
+3. The ids are shuffled back to their blocks. The documents are split once more, now into
+   positions -> block word numbers, joined to the ids of their block, and put together
+   again in order.
 Decoding joins ids with the token-byte table (the vocabulary, bounded and shipped to the
 tasks) and concatenates the bytes.
 
-Blocks and buckets are written between the steps, so a lost executor repeats only its own
-part. A block is bounded by its pre-tokens, a bucket by the number of buckets, which
-grows with the rows.
+Splitting twice costs less than keeping the documents' positions on disk between the steps.
+A block is named by its partition, its place there and a hash of its pre-tokens, so both
+passes and any repeated task give it the same name; ``docs`` must return the same rows in
+the same order when read again, as a table does. If it doesn't, names differ and the job
+fails instead of mixing blocks up. A block is bounded by its pre-tokens, a bucket by the
+number of buckets, which grows with the rows.
 
 The vocabulary file is a parameter (a path that the driver can read). Defined results: a
 null or empty text has no ids; repeated rows and repeated or null ids stay rows of their
@@ -24,16 +27,16 @@ own; an empty table gives an empty table; extra columns are left out.
 from __future__ import annotations
 
 import base64
-import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import read_table, written
+from mirador.llm.common import read_table
 
 # Java spells Unicode white space out; the rest of the pattern is used as given.
 UNICODE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -117,8 +120,19 @@ DOCS_PER_ROW = 32
 COMMON = (3, 30, 1000)         # occurrences in a block from which a word gets a smaller number
 
 
-def _pack_block(ids: list, tokens: pa.ChunkedArray, lens: list, buckets: int) -> pa.RecordBatch:
-    """Documents (bucket -1) and distinct words by bucket of one block.
+def block_name(partition: int, place: int, words: list[bytes], at: np.ndarray) -> int:
+    """The same number for the same pre-tokens at the same place."""
+    import xxhash
+
+    h = xxhash.xxh3_64(np.array([partition, place, len(words)], np.int64).tobytes())
+    h.update(np.array([len(w) for w in words], np.int32).tobytes())
+    h.update(b"".join(words))
+    h.update(at.astype(np.int32).tobytes())
+    return h.intdigest() >> 1
+
+
+def _pack_block(name, ids: list, tokens: pa.ChunkedArray, lens: list, buckets: int, words_only: bool) -> pa.RecordBatch:
+    """The distinct words by bucket, or the documents (bucket -1), of one block.
 
     Block numbers run by (how common, bucket), so each row of words is one run of numbers."""
     coded = tokens.combine_chunks().dictionary_encode()
@@ -132,25 +146,34 @@ def _pack_block(ids: list, tokens: pa.ChunkedArray, lens: list, buckets: int) ->
     order = np.argsort(run, kind="stable")
     number = np.empty(len(words), np.int32)
     number[order] = np.arange(len(words), dtype=np.int32)
-    block, rows, start = uuid.uuid4().int >> 65, [], 0
-    for lo in range(0, len(ids), DOCS_PER_ROW):
-        n = np.array(lens[lo:lo + DOCS_PER_ROW], np.int64)
-        end = start + int(n.sum())
-        rows.append((block, -1, 0, ids[lo:lo + DOCS_PER_ROW], pack(n, number[at[start:end]])))
-        start = end
-    first = 0
-    for r, n in zip(*np.unique(run, return_counts=True)):
-        own = [words[j] for j in order[first:first + n]]
-        rows.append((block, int(r) % buckets, first, None,
-                     pack(np.array([len(w) for w in own], np.int32), np.frombuffer(b"".join(own), np.uint8))))
-        first += int(n)
+    block, rows, start, first = block_name(*name, words, at), [], 0, 0
+    if words_only:
+        for r, n in zip(*np.unique(run, return_counts=True)):
+            own = [words[j] for j in order[first:first + n]]
+            rows.append((block, int(r) % buckets, first, None,
+                         pack(np.array([len(w) for w in own], np.int32), np.frombuffer(b"".join(own), np.uint8))))
+            first += int(n)
+    else:
+        for lo in range(0, len(ids), DOCS_PER_ROW):
+            n = np.array(lens[lo:lo + DOCS_PER_ROW], np.int64)
+            end = start + int(n.sum())
+            rows.append((block, -1, len(words), ids[lo:lo + DOCS_PER_ROW], pack(n, number[at[start:end]])))
+            start = end
+    if not rows:
+        return pa.RecordBatch.from_pylist([], schema=PACKED)
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), PACKED)], schema=PACKED)
 
 
-def pack_blocks(split: DataFrame, buckets: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(doc_id, tokens array<string>) -> packed blocks."""
+def pack_blocks(split: DataFrame, buckets: int, words_only: bool, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(doc_id, tokens array<string>) -> the words or the documents of packed blocks."""
     def run(batches):
+        partition, place = TaskContext.get().partitionId(), 0
         ids, lens, tokens, held = [], [], [], 0
+
+        def packed():
+            return _pack_block((partition, place), ids, pa.chunked_array(tokens, type=pa.string()), lens, buckets,
+                               words_only)
+
         for b in batches:
             col = b.column(1)
             n = pc.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -163,15 +186,16 @@ def pack_blocks(split: DataFrame, buckets: int, block_tokens: int = BLOCK_TOKENS
                 tokens.append(flat.slice(start, size))
                 start, held = start + size, held + size
                 if held >= block_tokens:
-                    yield _pack_block(ids, pa.chunked_array(tokens, type=pa.string()), lens, buckets)
+                    yield packed()
+                    place += 1
                     ids, lens, tokens, held = [], [], [], 0
         if ids:
-            yield _pack_block(ids, pa.chunked_array(tokens, type=pa.string()), lens, buckets)
+            yield packed()
 
     return split.mapInArrow(run, PACKED_DDL)
 
 
-def encode_buckets(packed: DataFrame, ranks) -> DataFrame:
+def encode_buckets(words: DataFrame, ranks) -> DataFrame:
     """Encode each distinct word of a bucket once; answer every block with its ids."""
     def run(table: pa.Table) -> pa.Table:
         encode, known, out = word_encoder(ranks.value), {}, []
@@ -189,10 +213,10 @@ def encode_buckets(packed: DataFrame, ranks) -> DataFrame:
             out.append(pack(np.array(counts, np.int32), np.array(answer, np.int32)))
         return table.set_column(table.schema.get_field_index("payload"), "payload", pa.array(out, pa.binary()))
 
-    return packed.filter("bucket >= 0").groupBy("bucket").applyInArrow(run, PACKED_DDL)
+    return words.groupBy("bucket").applyInArrow(run, PACKED_DDL)
 
 
-def reassemble(packed: DataFrame, encoded: DataFrame) -> DataFrame:
+def reassemble(packed_docs: DataFrame, encoded: DataFrame) -> DataFrame:
     """Join ids back to their block and put every document together by position."""
     def run(table: pa.Table) -> pa.Table:
         words = table.filter(pc.greater_equal(table.column("bucket"), 0)).sort_by("first")
@@ -200,6 +224,8 @@ def reassemble(packed: DataFrame, encoded: DataFrame) -> DataFrame:
         parts = [unpack(p.as_py(), np.int32, np.int32) for p in words.column("payload")]
         lens = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int32)]).astype(np.int64)
         flat = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int32)])
+        if len(lens) != (docs.column("first")[0].as_py() if docs.num_rows else -1):
+            raise ValueError("the documents changed between the two passes")
         starts = np.cumsum(lens) - lens
         ids, counts = [], []
         for p in docs.column("payload"):
@@ -215,7 +241,7 @@ def reassemble(packed: DataFrame, encoded: DataFrame) -> DataFrame:
         doc_ids = docs.column("doc_ids").combine_chunks()
         return pa.table({"doc_id": doc_ids.flatten(), "ids": lists})
 
-    return packed.filter("bucket < 0").unionByName(encoded).groupBy("block") \
+    return packed_docs.unionByName(encoded).groupBy("block") \
         .applyInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -224,8 +250,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     ranks = share_ranks(docs.sparkSession, ranks_path)
     buckets = max(MIN_BUCKETS, docs.count() // ROWS_PER_BUCKET)
     split = docs.select(F.col(id_col).cast("long").alias("doc_id"), pretokens(F.col(text_col), pattern).alias("tokens"))
-    packed = written(pack_blocks(split, buckets), "bpe-blocks")
-    return reassemble(packed, encode_buckets(packed, ranks))
+    words, packed_docs = pack_blocks(split, buckets, True), pack_blocks(split, buckets, False)
+    return reassemble(packed_docs, encode_buckets(words, ranks))
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:

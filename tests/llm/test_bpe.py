@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from mirador.llm import attribution, bpe
 
@@ -40,12 +41,28 @@ def test_small_blocks_give_the_same(spark, documents, reference, monkeypatch):
     monkeypatch.setattr(bpe, "MIN_BUCKETS", 3)
     split = documents.selectExpr("doc_id", "text").select(
         "doc_id", bpe.pretokens(documents["text"], PATTERN).alias("tokens"))
-    packed = bpe.written(bpe.pack_blocks(split, 3, block_tokens=50), "test-blocks")
+    words, docs = (bpe.pack_blocks(split, 3, words_only, block_tokens=50) for words_only in (True, False))
+    assert words.select("block").distinct().count() > 1
     ranks = bpe.share_ranks(spark, PATH)
-    got = {r.doc_id: r.ids for r in bpe.reassemble(packed, bpe.encode_buckets(packed, ranks)).collect()}
+    got = {r.doc_id: r.ids for r in bpe.reassemble(docs, bpe.encode_buckets(words, ranks)).collect()}
     assert got == {r.doc_id: reference(r.text or "") for r in documents.collect()}
 
 
+def test_documents_that_change_between_the_passes_end_the_job(spark, documents):
+    split, other = (documents.select("doc_id", bpe.pretokens(t, PATTERN).alias("tokens"))
+                    for t in (documents["text"], F.concat(documents["text"], F.lit(" more"))))
+    encoded = bpe.encode_buckets(bpe.pack_blocks(split, 3, True), bpe.share_ranks(spark, PATH))
+    with pytest.raises(Exception, match="changed between"):
+        bpe.reassemble(bpe.pack_blocks(other, 3, False), encoded).collect()
+
+
+def test_copies_in_blocks_of_their_own(spark, documents, reference):
+    same = documents.filter("doc_id = 1").select("text").limit(1).crossJoin(spark.range(0, 40, 1, 4)) \
+        .selectExpr("id AS doc_id", "text")
+    got = {r.doc_id: r.ids for r in bpe.encode(same, PATH, PATTERN).collect()}
+    assert len(got) == same.count() and len(set(map(tuple, got.values()))) <= 1
+
+
 def test_digests(spark, documents, clashing, reference):
     rows = bpe.digests(bpe.decode(bpe.encode(clashing, PATH, PATTERN), PATH)).collect()
     assert len(rows) == documents.count()
