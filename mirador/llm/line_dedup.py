@@ -25,7 +25,7 @@ lines stay; an empty table loses nothing; extra columns pass through ``remove_li
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirador.llm.common import join_small, read_table, temporary_name, written
@@ -45,33 +45,23 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
     return lines.select("*", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
 
 
-def measured(lines: DataFrame, tau: int) -> DataFrame:
-    """Add the length ``n`` and, per shorter partner, the segments' least length ``q<D>`` and
-    the number ``r<D>`` of segments that are one longer (columns, so they are computed once)."""
-    lines = lines.withColumn("n", F.length("line"))
-    for shorter in range(tau + 1):
-        length = F.col("n") - shorter
-        lines = lines.withColumn(f"r{shorter}", F.pmod(length, F.lit(tau + 1))) \
-            .withColumn(f"q{shorter}", ((length - F.col(f"r{shorter}")) / (tau + 1)).cast("int"))
-    return lines
-
-
-def keys(tau: int) -> Column:
-    """Array of (key, index) of a measured line: its index keys, and probes for partners of
-    its length or up to tau shorter. Lines have at least (tau + 1) ** 2 code points, so a
-    shifted segment never leaves the line."""
-    out = []
-    for shorter in range(tau + 1):
-        q, r = F.col(f"q{shorter}"), F.col(f"r{shorter}")
-        for i in range(tau + 1):
-            longer = r - (tau + 1 - i)                     # longer segments before this one
-            start, size = q * i + F.greatest(longer, F.lit(0)), q + F.when(longer >= 0, 1).otherwise(0)
-            for shift in range(max(-i, shorter - (tau - i)), min(i, shorter + (tau - i)) + 1):
-                part = F.col("line").substr(start + (shift + 1), size)
-                key = F.xxhash64(F.col("n") - shorter, F.lit(i), part)
-                own = shorter == 0 and shift == 0          # also this line's index key
-                out.append(F.struct(key.alias("key"), F.lit(own).alias("index")))
-    return F.array(*out)
+def keyed(lines: DataFrame, tau: int) -> DataFrame:
+    """(a, key, index) of every line: its index keys, and probes for partners of its length or
+    up to tau shorter. Lines have at least (tau + 1) ** 2 code points, so a shifted segment
+    never leaves the line. The (shorter, segment, shift) to emit are constants, exploded
+    first, so that the generated code cuts and hashes in one place."""
+    wanted = [(shorter, i, shift) for shorter in range(tau + 1) for i in range(tau + 1)
+              for shift in range(max(-i, shorter - (tau - i)), min(i, shorter + (tau - i)) + 1)]
+    wanted = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(w, ("shorter", "i", "shift"))]) for w in wanted])
+    rows = lines.select("a", "line", F.length("line").alias("n"), F.explode(wanted).alias("w"))
+    rows = rows.select("a", "line", (F.col("n") - F.col("w.shorter")).alias("length"), "w.*")
+    rows = rows.select("*", F.pmod("length", F.lit(tau + 1)).alias("r"))
+    rows = rows.select("*", ((F.col("length") - F.col("r")) / (tau + 1)).cast("int").alias("q"),
+                       (F.col("r") + F.col("i") - (tau + 1)).alias("longer"))   # longer segments before this one
+    start = F.col("q") * F.col("i") + F.greatest("longer", F.lit(0)) + F.col("shift") + 1
+    part = F.col("line").substr(start, F.col("q") + F.when(F.col("longer") >= 0, 1).otherwise(0))
+    own = (F.col("shorter") == 0) & (F.col("shift") == 0)                       # also this line's index key
+    return rows.select("a", F.xxhash64("length", "i", part).alias("key"), own.alias("index"))
 
 
 def line_matches(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
@@ -91,8 +81,7 @@ def line_matches(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id
     later = F.col("first").isNotNull() & (place != F.col("first"))
     once = marked.filter(~later)
 
-    emitted = measured(once.select("a", "line"), tau).select("a", F.explode(keys(tau)).alias("k")) \
-        .select("a", "k.key", "k.index")
+    emitted = keyed(once.select("a", "line"), tau)
     same = Window.partitionBy("key")
     live = emitted.withColumn("indexed", F.max("index").over(same)) \
         .withColumn("lo", F.min("a").over(same)).withColumn("hi", F.max("a").over(same)) \
