@@ -110,20 +110,23 @@ def remove_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id
                  text_col: str = "text") -> DataFrame:
     """``docs`` without the repeated lines, columns unchanged. Documents left without a
     word by it are dropped: all they held stands elsewhere in the corpus."""
-    names = [temporary_name(x, docs.columns) for x in ("line_id", "line_th", "line_gone")]
-    key, th, gone = names
+    names = [temporary_name(x, docs.columns) for x in ("line_id", "line_th", "line_gone", "line_parts")]
+    key, th, gone, parts = names
     removed = line_matches(docs, tau, min_chars, id_col, text_col) \
         .groupBy(F.col("doc_id").alias(key), F.col("th").alias(th)).agg(F.collect_set("line_no").alias(gone))
     removed = written(removed, "removed-lines")
     text = F.col(text_col)
     on = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(th))
     out = join_small(docs, removed, on, "left", removed.count(), BROADCAST_ROWS)
-    parts = F.split(text, "\n", -1)
+    # a column of its own, used twice: split once a text, not once a line. Documents without a
+    # word are left out by an empty array, not a filter, which Spark would push down and so
+    # put the text together twice
+    out = out.withColumn(parts, F.when(F.col(gone).isNotNull(), F.split(text, "\n", -1)))
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
-    left = F.array_join(F.transform(F.array_sort(stay), lambda i: F.get(parts, i)), "\n")
-    out = out.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(left))
-    emptied = F.col(gone).isNotNull() & ~F.rlike(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]"))
-    return out.filter(~emptied).select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = F.array_join(F.transform(stay, lambda i: F.get(F.col(parts), i)), "\n")
+    left = F.filter(F.array(left), lambda t: F.rlike(t, F.lit(r"[^\x20\x09-\x0D]")))
+    out = out.withColumn(parts, F.explode(F.when(F.col(gone).isNull(), F.array(text)).otherwise(left)))
+    return out.select(*[(F.col(parts) if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

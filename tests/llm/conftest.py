@@ -18,5 +18,5 @@ def documents(spark):
 def clashing(documents):
     """The same with extra columns named like the operators' own."""
     names = ["size", "target", "shard", "kept", "ids", "key", "doc", "first", "kind", "h", "tokens", "sid", "line", "a",
-             "repeat_id", "line_id", "line_th", "line_gone", "group_member", "unit"]
+             "repeat_id", "line_id", "line_th", "line_gone", "line_parts", "group_member", "unit"]
     return documents.selectExpr("*", *[f"{i} as `{n}`" for i, n in enumerate(names)], "1 as `odd.name`")
