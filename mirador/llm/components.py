@@ -18,7 +18,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if not large:
         both = both.filter(F.col("b") < F.col("a"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = both.join(least, "a")
+    joined = both.join(written(least, "least"), "a")      # a table, so that a hub's rows can be split
     if large:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

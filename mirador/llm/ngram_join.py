@@ -37,7 +37,7 @@ from math import ceil, exp, factorial, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirador.llm.bpe import ragged_take
@@ -187,11 +187,14 @@ def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str
 
 
 def candidate_clusters(sig: DataFrame) -> DataFrame:
-    """(id, root): sets joined to the first set of every key they share."""
+    """(id, root): sets joined to the first set of every key they share. First sets come
+    from partial aggregates and are written, so a key that a third of all sets share is
+    split by the join, not sorted in one task; keys of one set go before the join."""
     index = sig.filter("keys is not null").select(F.explode("keys").alias("key"), "sid")
-    first = F.first("sid").over(Window.partitionBy("key").orderBy("sid")
-                                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    stars = index.withColumn("first", first).filter("sid <> first")
+    shared = index.groupBy("key").agg(F.min("sid").alias("first"), F.max("sid").alias("last"))
+    shared = written(shared.filter("first <> last").select(F.col("key").alias("k"), "first"), "shared-keys")
+    stars = join_small(index, shared, F.col("key") == F.col("k"), "inner", shared.count(), BROADCAST_ROWS) \
+        .filter("sid <> first")
     return components(stars.select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct())
 
 
