@@ -93,7 +93,8 @@ def mix_plan(base: DataFrame, max_epochs: float = 3.0, weigh=cycling_weights,
         .join(fits, F.col("source").eqNullSafe(F.col("f_source")), "left")
     range_start = F.shiftleft(F.col("c_r").cast("long"), 63 - RANGES_BITS) - 1
     return written(out.select("source", "source_size", "weight", "target", "whole",
-                              F.coalesce("h", range_start, F.lit(-1)).alias("below")), "mix-plan")
+                              F.when(F.col("rest") > 0, F.coalesce("h", range_start, F.lit(-1)))
+                              .otherwise(-1).alias("below")), "mix-plan")
 
 
 def base_of(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:

@@ -57,6 +57,10 @@ def test_mix_awkward_rows(spark, documents, clashing):
     assert by[20][0].size == by[21][0].size == by[26][0].taken == 0 and len(by[4]) == 3
     assert len({r.taken for r in by[4]}) == 1
     assert out.filter("doc_id = 4").count() == sum(r.repetitions for r in by[4])
+    # a source at its three epochs is taken three times, its documents without words too
+    few = spark.createDataFrame([(i, "", "a") for i in range(50)] + [(50, "one two", "a")]
+                                + [(100 + i, "w " * 50, "b") for i in range(9)], "doc_id long, text string, source string")
+    assert {r.repetitions for r in mixing.mix_sizes(few).filter("source = 'a'").collect()} == {3}
     none = clashing.limit(0)
     assert mixing.mix(none).count() == 0 and mixing.mix_sizes(none).count() == 0
 
