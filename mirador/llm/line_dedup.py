@@ -12,8 +12,9 @@ code points after trimming are left alone.
    segment number, hash of the text), and for every partner length l the substrings of s
    that may equal segment i: those shifted by max(-i, D - (TAU - i)) ..
    min(i, D + (TAU - i)), D = |s| - l (12 keys a line in all for TAU = 2).
-3. Keys meet in one shuffle of (key, line hash); only lines under a key that another line's
-   index key shares live on. Their texts are fetched, and two left semi joins on the key
+3. Keys are grouped with partial aggregation (least and greatest line hash), so a key that a
+   third of all lines share is never gathered; only lines under a key that another line's
+   index key shares live on, found by a join whose hot keys can be split. Their texts are fetched, and two left semi joins on the key
    (index lines before probes, probes before index lines) verify with the banded
    ``levenshtein`` of Spark. A semi join stops at the first earlier line and returns each
    line once, so a group of near copies is never expanded into its pairs.
@@ -25,7 +26,7 @@ lines stay; an empty table loses nothing; extra columns pass through ``remove_li
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirador.llm.common import join_small, read_table, temporary_name, written
@@ -82,10 +83,9 @@ def line_matches(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id
     once = marked.filter(~later)
 
     emitted = keyed(once.select("a", "line"), tau)
-    same = Window.partitionBy("key")
-    live = emitted.withColumn("indexed", F.max("index").over(same)) \
-        .withColumn("lo", F.min("a").over(same)).withColumn("hi", F.max("a").over(same)) \
-        .filter("indexed and lo <> hi").select("key", "a", "index")
+    shared = emitted.groupBy("key").agg(F.max("index").alias("indexed"), F.min("a").alias("lo"), F.max("a").alias("hi"))
+    shared = written(shared.filter("indexed and lo <> hi").select(F.col("key").alias("k")), "shared-keys")
+    live = join_small(emitted, shared, F.col("key") == F.col("k"), "left_semi", shared.count(), BROADCAST_ROWS)
     live = written(live, "line-keys")
     named = written(live.select(F.col("a").alias("la")).distinct(), "live-lines")
     texts = written(join_small(once, named, F.col("a") == F.col("la"), "left_semi", named.count(), BROADCAST_ROWS)
