@@ -269,7 +269,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
                 .otherwise(F.col("component_id")).alias("component_id"))
 
 
-def one_per_group(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
+def one_per_group(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """``docs`` without those that are not the first of their group, columns unchanged.
     Rows without an id are kept; rows that repeat an id stay or go together."""

@@ -12,8 +12,8 @@ def shingles(text, n=4):
     return {tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
-def brute(rows, percent=85):
-    sets = {i: shingles(t) for i, t in rows}
+def brute(rows, percent=85, n=4):
+    sets = {i: shingles(t, n) for i, t in rows}
     root = {i: i for i in sets}
 
     def find(i):
@@ -56,6 +56,14 @@ def test_components_equal_brute_force(spark, family):
     assert got == brute(family)
 
 
+def test_one_per_group_takes_five_words_and_four_fifths(spark, family):
+    df = spark.createDataFrame(family, "doc_id long, text string")
+    want = brute(family, 80, 5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.jaccard_components(df, 5, 80).collect()}
+    assert got == want
+    assert {r.doc_id for r in nj.one_per_group(df).collect()} == {c for _, c in want.values()}
+
+
 def test_split_clusters_give_the_same_components(spark, family, monkeypatch):
     monkeypatch.setattr(nj, "BLOCK_SETS", 5)
     df = spark.createDataFrame(family, "doc_id long, text string")
@@ -70,22 +78,23 @@ def test_joins_without_broadcast_give_the_same(spark, family, monkeypatch):
     assert got == brute(family)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
 @pytest.mark.parametrize("size", [5, 6, 11, 30, 60, 95, 100, 200, 290, 1000, 4000])
-def test_no_similar_pair_without_a_common_key(size):
+def test_no_similar_pair_without_a_common_key(size, percent):
     rng = np.random.default_rng(size)
     for _ in range(30):
         a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
-        worst = len(a) * 15 // 85
+        worst = len(a) * (100 - percent) // percent
         drop = int(rng.integers(0, worst + 1))
-        # the smaller set lacks ``drop`` elements or swaps them, at the border of 0.85
+        # the smaller set lacks ``drop`` elements or swaps them, at the border of ``percent``
         b = a[drop:]
         if rng.integers(2) and drop:
-            swap = max(0, int(len(a) * 0.15 / 1.85))
+            swap = max(0, int(len(a) * (100 - percent) / (100 + percent)))
             b = np.unique(np.concatenate([a[swap:], rng.integers(0, 1 << 63, swap, dtype=np.uint64)]))
         common = len(np.intersect1d(a, b))
-        if len(b) == len(a) == common or 100 * common < 85 * (len(a) + len(b) - common):
+        if len(b) == len(a) == common or 100 * common < percent * (len(a) + len(b) - common):
             continue
-        assert set(nj.band_keys(a, 85).tolist()) & set(nj.band_keys(b, 85).tolist()), (size, drop)
+        assert set(nj.band_keys(a, percent).tolist()) & set(nj.band_keys(b, percent).tolist()), (size, drop)
 
 
 def test_awkward_rows(spark, documents, clashing):
