@@ -37,7 +37,8 @@ from math import ceil, exp, factorial, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirador.llm.bpe import ragged_take
@@ -49,6 +50,7 @@ BLOCK_SETS = 4_096             # sets per verification block
 BLOCK_SHINGLES = 1_000_000     # shingles per verification block
 BROADCAST_ROWS = 300_000       # rows of (ids, cluster), some 40 bytes each
 SEEN_SETS = 100_000            # set hashes a task remembers to skip repeated keys
+CHUNK_KEYS = 1_000_000         # keys a task joins before the shuffle
 KNOWN_WORDS = 100_000          # word hashes a task remembers
 U64 = np.uint64
 
@@ -186,16 +188,61 @@ def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str
         .mapInArrow(run, "doc_id long, n_shingles long, sid long, keys array<long>")
 
 
+def stars_of(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(key, first, sid, n) of a chunk: the first n rows are the keys, each with its least
+    set; the others join the chunk's other sets to the least set of a key they hold."""
+    order = np.lexsort((sid, key))
+    key, sid = key[order], sid[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    start = np.flatnonzero(new)
+    first = np.repeat(sid[start], np.diff(np.append(start, len(key))))
+    other = first != sid
+    a, b = first[other], sid[other]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b = a[new], b[new]
+    spread = mix(a.view(U64) ^ mix(b.view(U64), 31), 32).view(np.int64)
+    return (np.concatenate([key[start], spread]), np.concatenate([sid[start], a]),
+            np.concatenate([sid[start], b]), len(start))
+
+
 def candidate_clusters(sig: DataFrame) -> DataFrame:
-    """(id, root): sets joined to the first set of every key they share. First sets come
-    from partial aggregates and are written, so a key that a third of all sets share is
-    split by the join, not sorted in one task; keys of one set go before the join."""
-    index = sig.filter("keys is not null").select(F.explode("keys").alias("key"), "sid")
-    shared = index.groupBy("key").agg(F.min("sid").alias("first"), F.max("sid").alias("last"))
-    shared = written(shared.filter("first <> last").select(F.col("key").alias("k"), "first"), "shared-keys")
-    stars = join_small(index, shared, F.col("key") == F.col("k"), "inner", shared.count(), BROADCAST_ROWS) \
-        .filter("sid <> first")
-    return components(stars.select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct())
+    """(id, root): sets joined to the first set of every key they share.
+
+    Tasks join the sets of a chunk of keys first, and send each key once a chunk. A key
+    that a third of all sets share is thus as many rows as there are chunks. Links found
+    in a chunk go through the same shuffle, under keys of their own."""
+    def run(batches):
+        keys, sids, held = [], [], 0
+
+        def stars():
+            key, first, sid, n = stars_of(np.concatenate(keys), np.concatenate(sids))
+            is_key = np.arange(len(key)) < n
+            for lo in range(0, len(key), 100_000):
+                part = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[part]), pa.array(first[part], mask=is_key[part]), pa.array(sid[part])],
+                    names=["key", "first", "sid"])
+
+        for b in batches:
+            n = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            keys.append(b.column(1).flatten().to_numpy(zero_copy_only=False))
+            sids.append(np.repeat(b.column(0).to_numpy(zero_copy_only=False), n))
+            held += len(keys[-1])
+            if held >= CHUNK_KEYS:
+                yield from stars()
+                keys, sids, held = [], [], 0
+        if held:
+            yield from stars()
+
+    rows = sig.filter("keys is not null").select("sid", "keys").mapInArrow(run, "key long, first long, sid long")
+    first = F.first("sid").over(Window.partitionBy("key").orderBy("sid")
+                                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    stars = rows.select(F.coalesce("first", first).alias("a"), F.col("sid").alias("b"))
+    return components(stars.filter("a <> b").distinct())
 
 
 def linked(sets: list[np.ndarray], sides: list[int], percent: int) -> list[tuple[int, int]]:

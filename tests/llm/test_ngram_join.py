@@ -71,6 +71,25 @@ def test_split_clusters_give_the_same_components(spark, family, monkeypatch):
     assert got == brute(family)
 
 
+@pytest.mark.parametrize("chunk", [1, 300, 10 ** 9])
+def test_chunks_of_keys_give_the_same_components(spark, family, monkeypatch, chunk):
+    monkeypatch.setattr(nj, "CHUNK_KEYS", chunk)
+    df = spark.createDataFrame(family, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.jaccard_components(df).collect()}
+    assert got == brute(family)
+
+
+def test_a_chunk_sends_each_key_once():
+    rng = np.random.default_rng(2)
+    key, sid = rng.integers(-50, 50, 900), rng.integers(-2 ** 62, 2 ** 62, 900)
+    key[:300] = 7
+    k, first, s, n = nj.stars_of(key, sid)
+    least = {x: sid[key == x].min() for x in set(key.tolist())}
+    assert n == len(least) and dict(zip(k[:n].tolist(), s[:n].tolist())) == least
+    assert {(a, b) for a, b in zip(first[n:].tolist(), s[n:].tolist())} == \
+        {(int(least[x]), y) for x, y in zip(key.tolist(), sid.tolist()) if y != least[x]}
+
+
 def test_joins_without_broadcast_give_the_same(spark, family, monkeypatch):
     monkeypatch.setattr(nj, "BROADCAST_ROWS", -1)
     df = spark.createDataFrame(family, "doc_id long, text string")
