@@ -188,9 +188,10 @@ def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str
         .mapInArrow(run, "doc_id long, n_shingles long, sid long, keys array<long>")
 
 
-def stars_of(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(key, first, sid, n) of a chunk: the first n rows are the keys, each with its least
-    set; the others join the chunk's other sets to the least set of a key they hold."""
+def stars_of(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(key, sid, n) of a chunk: the first n rows are the keys, each with its least set. Then
+    the chunk's other sets, each as two rows with the least set of a key they hold, under a
+    key of the two sets' own."""
     order = np.lexsort((sid, key))
     key, sid = key[order], sid[order]
     new = np.ones(len(key), bool)
@@ -205,8 +206,7 @@ def stars_of(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     a, b = a[new], b[new]
     spread = mix(a.view(U64) ^ mix(b.view(U64), 31), 32).view(np.int64)
-    return (np.concatenate([key[start], spread]), np.concatenate([sid[start], a]),
-            np.concatenate([sid[start], b]), len(start))
+    return np.concatenate([key[start], spread, spread]), np.concatenate([sid[start], a, b]), len(start)
 
 
 def candidate_clusters(sig: DataFrame) -> DataFrame:
@@ -219,13 +219,10 @@ def candidate_clusters(sig: DataFrame) -> DataFrame:
         keys, sids, held = [], [], 0
 
         def stars():
-            key, first, sid, n = stars_of(np.concatenate(keys), np.concatenate(sids))
-            is_key = np.arange(len(key)) < n
+            key, sid, _ = stars_of(np.concatenate(keys), np.concatenate(sids))
             for lo in range(0, len(key), 100_000):
-                part = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[part]), pa.array(first[part], mask=is_key[part]), pa.array(sid[part])],
-                    names=["key", "first", "sid"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[lo:lo + 100_000]), pa.array(sid[lo:lo + 100_000])],
+                                                 names=["key", "sid"])
 
         for b in batches:
             n = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
@@ -238,10 +235,10 @@ def candidate_clusters(sig: DataFrame) -> DataFrame:
         if held:
             yield from stars()
 
-    rows = sig.filter("keys is not null").select("sid", "keys").mapInArrow(run, "key long, first long, sid long")
+    rows = sig.filter("keys is not null").select("sid", "keys").mapInArrow(run, "key long, sid long")
     first = F.first("sid").over(Window.partitionBy("key").orderBy("sid")
                                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    stars = rows.select(F.coalesce("first", first).alias("a"), F.col("sid").alias("b"))
+    stars = rows.select(first.alias("a"), F.col("sid").alias("b"))
     return components(stars.filter("a <> b").distinct())
 
 

@@ -83,11 +83,13 @@ def test_a_chunk_sends_each_key_once():
     rng = np.random.default_rng(2)
     key, sid = rng.integers(-50, 50, 900), rng.integers(-2 ** 62, 2 ** 62, 900)
     key[:300] = 7
-    k, first, s, n = nj.stars_of(key, sid)
+    k, s, n = nj.stars_of(key, sid)
     least = {x: sid[key == x].min() for x in set(key.tolist())}
     assert n == len(least) and dict(zip(k[:n].tolist(), s[:n].tolist())) == least
-    assert {(a, b) for a, b in zip(first[n:].tolist(), s[n:].tolist())} == \
+    a, b = np.split(s[n:], 2)
+    assert {(x, y) for x, y in zip(a.tolist(), b.tolist())} == \
         {(int(least[x]), y) for x, y in zip(key.tolist(), sid.tolist()) if y != least[x]}
+    assert (k[n:n + len(a)] == k[n + len(a):]).all() and len(set(k[n:].tolist())) == len(a)
 
 
 def test_joins_without_broadcast_give_the_same(spark, family, monkeypatch):
