@@ -27,7 +27,9 @@ Class ids are 64-bit set hashes; a clash of two different sets is as likely as f
 Defined results: null texts and texts without words have no shingles, belong to no
 class and are their own component; texts with fewer words than n have one shingle, the
 whole sequence; a null id stays null; repeated rows are members of the same class; an empty
-table gives no rows; extra columns are ignored, and pass through ``one_per_group``.
+table gives no rows; extra columns are ignored, and pass through ``one_per_group``. Documents
+are told apart by id and text: a class is verified with the text of its first document by
+(doc_id, text hash), null ids last, whatever other rows hold that id.
 """
 
 from __future__ import annotations
@@ -161,13 +163,13 @@ def band_keys(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, sid, keys): keys are null where the task has emitted the set
+    """(doc_id, th, n_shingles, sid, keys): keys are null where the task has emitted the set
     before, so copies do not swell their keys."""
     def run(batches):
         shingle, seen = Shingler(n), set()
         for b in batches:
             sizes, sids, keys = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 s = shingle(text)
                 sizes.append(len(s))
                 if not len(s):
@@ -181,11 +183,12 @@ def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str
                 if len(seen) < SEEN_SETS:
                     seen.add(sid)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "sid", "keys"])
+                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()),
+                 pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "n_shingles", "sid", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
-        .mapInArrow(run, "doc_id long, n_shingles long, sid long, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"),
+                       F.col(text_col).alias("text")) \
+        .mapInArrow(run, "doc_id long, th long, n_shingles long, sid long, keys array<long>")
 
 
 def stars_of(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -276,9 +279,11 @@ def verified_links(docs: DataFrame, sig: DataFrame, firsts: DataFrame, clusters:
     sizes = own.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS),
                                                   F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
     own = written(own.join(sizes, "cluster").select(
-        "sid", "cluster", "blocks", "first_id", F.pmod(F.xxhash64("sid"), F.col("blocks")).alias("i")), "clusters")
-    d = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("text")).filter("text is not null")
-    texts = join_small(d, own, F.col("d_id").eqNullSafe(F.col("first_id")), "inner", own.count(), BROADCAST_ROWS)
+        "sid", "cluster", "blocks", "first.doc_id", "first.th", F.pmod(F.xxhash64("sid"), F.col("blocks")).alias("i")), "clusters")
+    d = docs.select(F.col(id_col).cast("long").alias("d_id"), F.xxhash64(text_col).alias("d_th"),
+                    F.col(text_col).alias("text")).filter("text is not null")
+    texts = join_small(d, own, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_th") == F.col("th")), "inner",
+                       own.count(), BROADCAST_ROWS)
     # a set goes to every pair of blocks that holds its own
     texts = texts.select("cluster", "sid", "i", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     texts = texts.select("cluster", "sid", "i", "text", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"))
@@ -286,7 +291,8 @@ def verified_links(docs: DataFrame, sig: DataFrame, firsts: DataFrame, clusters:
     def run(table: pa.Table) -> pa.Table:
         shingle, sets = Shingler(n), {}
         for sid, i, text in zip(*(table.column(c).to_pylist() for c in ("sid", "i", "text"))):
-            sets.setdefault(sid, (shingle(text), i))
+            if sid not in sets:                            # rows that repeat id and text
+                sets[sid] = shingle(text), i
         ids = sorted(sets)
         got = linked([sets[x][0] for x in ids], [sets[x][1] for x in ids], percent) if len(ids) > 1 else []
         return pa.table({"a": pa.array([ids[a] for a, _ in got], pa.int64()),
@@ -295,33 +301,43 @@ def verified_links(docs: DataFrame, sig: DataFrame, firsts: DataFrame, clusters:
     return texts.groupBy("cluster", "p", "q").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
-                       text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row; links at Jaccard >= percent / 100."""
+def grouped(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, th, n_shingles, sid, first) per row; ``first`` is the (no_id, doc_id, th) of the
+    group's first document, null for texts without words."""
     sig = written(signatures(docs, n, percent, id_col, text_col), "signatures")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
     firsts = sig.filter("sid is not null").groupBy("sid") \
-        .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"))
+        .agg(F.min(place).alias("first"), F.first("n_shingles").alias("n_shingles"))
     links = verified_links(docs, sig, firsts, candidate_clusters(sig), n, percent, id_col, text_col)
     roots = components(links)
-    least = roots.join(firsts.select(F.col("sid").alias("id"), "first_id"), "id")
-    least = least.groupBy("root").agg(F.min("first_id").alias("component_id")).join(roots, "root")
-    named = firsts.join(least.select(F.col("id").alias("sid"), "component_id"), "sid", "left") \
-        .select("sid", F.coalesce("component_id", "first_id").alias("component_id"))
+    least = roots.join(firsts.select(F.col("sid").alias("id"), "first"), "id")
+    least = least.groupBy("root").agg(F.min("first").alias("least")).join(roots, "root")
+    named = firsts.join(least.select(F.col("id").alias("sid"), "least"), "sid", "left") \
+        .select("sid", F.coalesce("least", "first").alias("first"))
     named = written(named, "named")
-    return sig.select("doc_id", "n_shingles", "sid").join(named, "sid", "left") \
+    return sig.select("doc_id", "th", "n_shingles", "sid").join(named, "sid", "left")
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
+                       text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row; links at Jaccard >= percent / 100."""
+    return grouped(docs, n, percent, id_col, text_col) \
         .select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id"))
-                .otherwise(F.col("component_id")).alias("component_id"))
+                .otherwise(F.col("first.doc_id")).alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """``docs`` without those that are not the first of their group, columns unchanged.
-    Rows without an id are kept; rows that repeat an id stay or go together."""
-    key = temporary_name("group_member", docs.columns)
-    gone = jaccard_components(docs, n, percent, id_col, text_col).filter("doc_id <> component_id") \
-        .select(F.col("doc_id").alias(key)).distinct()
+    """``docs`` without those that are not the first of their group by (doc_id, text hash), null
+    ids last, columns unchanged. Texts without words are kept; rows that repeat both id and
+    text stay or go together."""
+    key, of = (temporary_name(x, docs.columns) for x in ("group_member", "group_text"))
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))
+    gone = grouped(docs, n, percent, id_col, text_col).filter(F.col("sid").isNotNull() & other) \
+        .select(F.col("doc_id").alias(key), F.col("th").alias(of)).distinct()
     gone = written(gone, "near-duplicates")
-    return join_small(docs, gone, F.col(id_col) == F.col(key), "left_anti", gone.count(), BROADCAST_ROWS)
+    on = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(of))
+    return join_small(docs, gone, on, "left_anti", gone.count(), BROADCAST_ROWS)
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

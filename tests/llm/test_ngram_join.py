@@ -131,6 +131,54 @@ def test_awkward_rows(spark, documents, clashing):
     assert 25 not in ids and ids.count(4) == 3 and None in ids
 
 
+@pytest.fixture(scope="module")
+def repeated_ids(family):
+    """The families' texts with few ids: null for a third, one id for many different texts."""
+    rng = random.Random(6)
+    rows = [(None if i % 3 == 0 else i % 7 if i % 3 == 1 else 100 + i, t) for i, t in family]
+    rows += [(None, t) for _, t in family[:9]]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_repeated_and_null_ids_equal_brute_force(spark, repeated_ids):
+    groups = brute(list(enumerate(t for _, t in repeated_ids)), 80, 5)
+    members = {}
+    for k, (_, root) in groups.items():
+        members.setdefault(root, []).append(k)
+    want, heads = [], {}
+    for ks in members.values():
+        ids = [repeated_ids[k][0] for k in ks if repeated_ids[k][0] is not None]
+        least = min(ids, default=None)
+        want += [(repeated_ids[k][0], groups[k][0], least) for k in ks]
+        heads[frozenset(repeated_ids[k][1] for k in ks)] = least
+
+    def key(r):
+        return tuple((x is None, x) for x in r)
+
+    df = spark.createDataFrame(repeated_ids, "doc_id long, text string")
+    got = [tuple(r) for r in nj.jaccard_components(df, 5, 80).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    kept = {(r.doc_id, r.text) for r in nj.one_per_group(df).collect()}
+    assert len(kept) == len(heads)                          # one document a group
+    for texts, least in heads.items():
+        assert [i for i, t in kept if t in texts] == [least]
+    assert kept == {(r.doc_id, r.text) for r in nj.one_per_group(df.orderBy(df.text.desc())).collect()}
+
+
+def test_two_classes_without_ids(spark):
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    rows = [(None, " ".join(w[:60 - k])) for w in (a, b) for k in range(3)] + [(7, " ".join(a)), (7, "other words " + " ".join(b))]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        got = nj.jaccard_components(df, 5, 80).collect()
+        assert {r.component_id for r in got} == {7}
+        assert sorted(r.text for r in nj.one_per_group(df).collect()) == [rows[6][1], rows[7][1]]
+    alone = spark.createDataFrame(rows[:6], "doc_id long, text string")
+    kept = [r.text[0] for r in nj.one_per_group(alone).collect()]
+    assert sorted(kept) == ["a", "b"]
+
+
 def test_empty_table(spark, documents):
     none = documents.limit(0)
     assert nj.jaccard_components(none).count() == 0 and nj.one_per_group(none).count() == 0
