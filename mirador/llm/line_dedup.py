@@ -19,6 +19,11 @@ code points after trimming are left alone.
    ``levenshtein`` of Spark. A semi join stops at the first earlier line and returns each
    line once, so a group of near copies is never expanded into its pairs.
 
+``line_classes`` joins the same keys in full: all links between different lines, whose
+components with the copies of every line are the classes. ``remove_lines`` keeps the first
+line of each class, so in a chain of links a line may go whose kept line is more than ``TAU``
+edits away. Links grow with the square of a group of near copies; none is left out.
+
 Defined results: null texts have no lines; null ids rank first; documents are told apart by
 id and text, so rows that repeat both lose the same lines and keep the same lines; empty
 lines stay; an empty table loses nothing; extra columns pass through ``remove_lines``.
@@ -30,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirador.llm.common import join_small, read_table, temporary_name, written
+from mirador.llm.components import components
 
 TAU = 2
 MIN_CHARS = 20
@@ -65,9 +71,9 @@ def keyed(lines: DataFrame, tau: int) -> DataFrame:
     return rows.select("a", F.xxhash64("length", "i", part).alias("key"), own.alias("index"))
 
 
-def line_matches(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """(doc_id, th, line_no, kind): the lines to remove; kind is ``equal`` or ``near``."""
+def candidates(docs: DataFrame, tau: int, min_chars: int, id_col: str, text_col: str) -> tuple:
+    """All lines, with the first place of those that are seen twice; the first places' texts
+    under a shared key; and their keys."""
     if min_chars < (tau + 1) ** 2:
         raise ValueError("min_chars must be at least (tau + 1) ** 2")
     lines = lines_of(docs, id_col, text_col, min_chars)
@@ -90,7 +96,16 @@ def line_matches(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id
     named = written(live.select(F.col("a").alias("la")).distinct(), "live-lines")
     texts = written(join_small(once, named, F.col("a") == F.col("la"), "left_semi", named.count(), BROADCAST_ROWS)
                     .select("a", place.alias("place"), "line"), "live-texts")
-    rows = live.join(texts, "a").select("key", "index", "a", "place", "line")
+    return marked, texts, live.join(texts, "a").select("key", "index", "a", "place", "line")
+
+
+def line_matches(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """(doc_id, th, line_no, kind): the lines that an earlier line equals or nearly equals;
+    kind is ``equal`` or ``near``."""
+    marked, texts, rows = candidates(docs, tau, min_chars, id_col, text_col)
+    place = F.struct("doc_id", "th", "line_no")
+    later = F.col("first").isNotNull() & (place != F.col("first"))
 
     def earlier(left: DataFrame, right: DataFrame) -> DataFrame:
         x, y = left.alias("x"), right.alias("y")
@@ -106,13 +121,38 @@ def line_matches(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id
     return equal_lines.unionByName(near_lines).select("place.*", "kind").distinct()
 
 
+def line_classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """(doc_id, th, line_no, class_doc_id, class_line_no, n_links, kind) of every line with an equal
+    or a near one. The class is named by its first line; ``n_links`` counts the different lines
+    within ``tau`` edits. kind is ``first``, ``equal`` (a copy of an earlier line) or ``near``
+    (first of its copies, not of its class)."""
+    marked, _, rows = candidates(docs, tau, min_chars, id_col, text_col)
+    x, y = rows.filter("index").alias("x"), rows.alias("y")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.a") != F.col("y.a")) \
+        & (F.levenshtein(F.col("x.line"), F.col("y.line"), tau) >= 0)
+    links = x.join(y, on).select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
+    links = written(links, "line-links")
+    counts = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n"))
+    linked = components(links).join(counts, F.col("id") == F.col("a")).select("id", "root", "n")
+    place = F.struct("doc_id", "th", "line_no")
+    own = written(marked.join(linked, F.col("a") == F.col("id"), "left").filter("first is not null or id is not null")
+                  .select(place.alias("place"), F.coalesce("first", place).alias("first"),
+                          F.coalesce("root", "a").alias("root"), F.coalesce("n", F.lit(0)).alias("n_links")), "line-members")
+    heads = written(own.groupBy("root").agg(F.min("first").alias("head")), "line-heads")
+    kind = F.when(F.col("place") != F.col("first"), "equal").when(F.col("place") != F.col("head"), "near").otherwise("first")
+    return own.join(heads, "root").select(
+        "place.*", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"),
+        "n_links", kind.alias("kind")).distinct()
+
+
 def remove_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """``docs`` without the repeated lines, columns unchanged. Documents left without a
+    """``docs`` with the first line of every class only, columns unchanged. Documents left without a
     word by it are dropped: all they held stands elsewhere in the corpus."""
     names = [temporary_name(x, docs.columns) for x in ("line_id", "line_th", "line_gone", "line_parts")]
     key, th, gone, parts = names
-    removed = line_matches(docs, tau, min_chars, id_col, text_col) \
+    removed = line_classes(docs, tau, min_chars, id_col, text_col).filter("kind <> 'first'") \
         .groupBy(F.col("doc_id").alias(key), F.col("th").alias(th)).agg(F.collect_set("line_no").alias(gone))
     removed = written(removed, "removed-lines")
     text = F.col(text_col)
@@ -130,5 +170,5 @@ def remove_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Lines of all ``documents`` that an earlier line equals or nearly equals."""
-    return line_matches(read_table(spark, sf_dir, "documents")).select("doc_id", "line_no", "kind")
+    """Classes of equal and nearly equal lines over all ``documents``, with their links counted."""
+    return line_classes(read_table(spark, sf_dir, "documents")).drop("th")

@@ -66,6 +66,45 @@ def test_without_broadcasts(spark, edited, monkeypatch):
     assert found(spark.createDataFrame(edited, "doc_id long, text string")) == brute(edited)
 
 
+def brute_classes(rows):
+    """(doc_id, line_no, class_doc_id, class_line_no, n_links, kind), by all pairs of lines."""
+    lines = sorted((i, k, line.strip(" ")) for i, t in rows for k, line in enumerate((t or "").split("\n")))
+    at = {}
+    for i, k, line in lines:
+        if len(line) >= ld.MIN_CHARS:
+            at.setdefault(line, []).append((i, k))
+    near = {x: [y for y in at if x != y and abs(len(x) - len(y)) <= ld.TAU and distance(x, y) <= ld.TAU] for x in at}
+    out, seen = set(), set()
+    for line in at:                                   # in order of their first places
+        group, todo = {line}, [line]
+        while todo and line not in seen:
+            for y in set(near[todo.pop()]) - group:
+                group.add(y)
+                todo.append(y)
+        if line in seen or len(group) == len(at[line]) == 1:
+            continue
+        seen |= group
+        out |= {(*p, *at[line][0], len(near[x]), "equal" if p != at[x][0] else "first" if x == line else "near")
+                for x in group for p in at[x]}
+    return out
+
+
+def test_classes_and_links_equal_brute_force(spark, edited):
+    df = spark.createDataFrame(edited, "doc_id long, text string")
+    got = [tuple(r) for r in ld.line_classes(df).drop("th").collect()]
+    want = brute_classes(edited)
+    assert len(got) == len(set(got)) and set(got) == want and {r[5] for r in want} == {"first", "equal", "near"}
+
+
+def test_one_line_of_a_chain_stays(spark):
+    base = "a line of words that is long enough"
+    rows = [(1, base + "12"), (2, base + "3456"), (3, base + "1234"), (4, "quite another line of words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = sorted(tuple(r) for r in ld.line_classes(df).drop("th").collect())
+    assert {r[:5] for r in rows} == {x[:5] for x in brute_classes([(r.doc_id, r.text) for r in df.collect()])}
+    assert sorted(r.doc_id for r in ld.remove_lines(df).collect()) == sorted({1, 2, 3, 4} - {r[0] for r in rows if r[5] != "first"})
+
+
 def test_awkward_rows(spark, documents, clashing):
     got = found(clashing)
     assert (25, 0, "equal") in got and (25, 1, "equal") in got
