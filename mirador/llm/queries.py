@@ -6,6 +6,7 @@ from mirador.llm.line_dedup import op8_line_dedup
 from mirador.llm.mixing import op1_mix_sources
 from mirador.llm.nearest import OP6_SQL, op6_pivot_search
 from mirador.llm.ngram_join import OP10_SQL, op10_ngram_jaccard
+from mirador.llm.packing import op13_best_two_fit
 from mirador.llm.passages import OP5_SQL, op5_line_hashing, op5_shared_passages
 from mirador.llm.periodic import op11_periodic_runs
 from mirador.llm.quality import op3_compression_bands
@@ -15,7 +16,7 @@ from mirador.llm.urls import op7_url_filter
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_kd_shards, op3_compression_bands, op4_byte_bpe, op5_line_hashing,
     op5_shared_passages, op6_pivot_search, op7_url_filter, op8_line_dedup, op9_token_attribution, op10_ngram_jaccard,
-    op11_periodic_runs)}
+    op11_periodic_runs, op13_best_two_fit)}
 # The others have no SQL form (seeded hashes, zstandard, tokenizers, a trained model, an edit join that is
 # too slow in SQL over whole tables); tests compare them with brute force.
 ORACLES = {"op5_line_hashing": OP5_SQL, "op6_pivot_search": OP6_SQL, "op10_ngram_jaccard": OP10_SQL}
