@@ -25,6 +25,7 @@ extra columns are left out.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -38,7 +39,8 @@ from mirador.llm.ngram_join import mix
 SHORTEST = 6
 EXPONENT = 4
 BATCH_WORDS = 500_000          # words whose results are sent on together
-RUNS_DDL = "doc_id long, n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed string"
+RUNS_DDL = ("doc_id long, n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed string, "
+            "collapsed_sha256 string")
 
 
 def least_lcp(shortest: int, exponent: int) -> int:
@@ -129,20 +131,22 @@ def kept_words(n: int, runs: list[tuple[int, int, int]]) -> np.ndarray:
 
 
 def periodic_runs(docs: DataFrame, shortest: int = SHORTEST, exponent: int = EXPONENT, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, runs, collapsed) per row: the runs of the text's words by start, then
-    period, and the words that no run drops, joined by one space."""
+                  text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """(doc_id, n_words, runs, collapsed, collapsed_sha256) per row: the runs of the text's words
+    by start, then period, and the words that no run drops, joined by one space, with their
+    digest; only the digest without ``keep_text``."""
     if exponent < 2:
         raise ValueError("a run has two periods at least")
 
     def run(batches):
         def packed():
-            ids, sizes, found, texts = zip(*rows)
+            ids, sizes, found, texts, digests = zip(*rows)
             kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "period")]))
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
                  pa.array([[dict(zip(("start", "length", "period"), r)) for r in f] for f in found], kind),
-                 pa.array(texts, pa.string())], names=["doc_id", "n_words", "runs", "collapsed"])
+                 pa.array(texts, pa.string()), pa.array(digests, pa.string())],
+                names=["doc_id", "n_words", "runs", "collapsed", "collapsed_sha256"])
 
         for b in batches:
             rows, held = [], 0
@@ -153,7 +157,8 @@ def periodic_runs(docs: DataFrame, shortest: int = SHORTEST, exponent: int = EXP
                 found = runs_of(codes, shortest, exponent)
                 if found:
                     words = [words[k] for k in np.flatnonzero(kept_words(len(words), found)).tolist()]
-                rows.append((i, len(codes), found, b" ".join(words).decode()))
+                left = b" ".join(words)
+                rows.append((i, len(codes), found, left.decode() if keep_text else None, hashlib.sha256(left).hexdigest()))
                 held += len(codes)
                 if held >= BATCH_WORDS:
                     yield packed()
@@ -187,7 +192,7 @@ def op11_periodic_runs(spark, sf_dir: str) -> DataFrame:
     """Runs of six words and four periods in every text of ``documents``, one id in ten with a
     periodic tail planted by the query."""
     docs = read_table(spark, sf_dir, "documents")
-    found = periodic_runs(docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text")))
+    found = periodic_runs(docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text")), keep_text=False)
     longest = F.get(F.array_sort("runs", lambda a, b: F.when(a["length"] != b["length"], b["length"] - a["length"])
                                  .when(a["start"] != b["start"], a["start"] - b["start"])
                                  .otherwise(a["period"] - b["period"]).cast("int")), F.lit(0))
@@ -197,5 +202,4 @@ def op11_periodic_runs(spark, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"),
         F.col("top.length").alias("length"), F.col("top.period").alias("period"),
         F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
-        F.sha2(text.cast("binary"), 256).alias("runs_sha256"),
-        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+        F.sha2(text.cast("binary"), 256).alias("runs_sha256"), "collapsed_sha256")

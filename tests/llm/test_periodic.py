@@ -83,7 +83,7 @@ def test_query_equals_brute_force(spark, tmp_path):
 
 def test_awkward_documents(spark, documents, clashing):
     got = periodic.periodic_runs(clashing)
-    assert got.columns == ["doc_id", "n_words", "runs", "collapsed"] and got.count() == documents.count()
+    assert got.columns == ["doc_id", "n_words", "runs", "collapsed", "collapsed_sha256"] and got.count() == documents.count()
     assert periodic.periodic_runs(clashing.limit(0)).count() == 0
     texts = {r.doc_id: r for r in got.collect()}
     assert (texts[20].n_words, texts[20].runs, texts[20].collapsed) == (0, [], "")
