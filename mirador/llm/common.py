@@ -33,6 +33,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the scratch tables that ``df`` reads, when nothing reads them any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str, rows: int, most_rows: int) -> DataFrame:
     """Join with a written table of ``rows`` counted rows: it is broadcast up to
     ``most_rows``; beyond that the join shuffles (AQE splits skewed keys)."""

@@ -9,22 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirador.llm.common import written
+from mirador.llm.common import discard, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (a, b), a > b. Large: neighbours above a node; small: those below it."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """edges (a, b), a > b. Large: neighbours above a node; small: those below it. Returns the
+    new edges and the written table that they read."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not large:
         both = both.filter(F.col("b") < F.col("a"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = both.join(written(least, "least"), "a")      # a table, so that a hub's rows can be split
+    least = written(least, "least")                        # a table, so that a hub's rows can be split
+    joined = both.join(least, "a")
     if large:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")) \
             .unionByName(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b")
+    return out.filter("a <> b").distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,7 +35,12 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(e, "edges")
     state = None
     while True:
-        e = written(_star(_star(e, True).distinct(), False).distinct(), "edges")
+        wide, least = _star(e, True)
+        wide = written(wide, "edges")
+        narrow, least2 = _star(wide, False)
+        old, e = e, written(narrow, "edges")
+        for done in (old, least, wide, least2):            # a finished round's tables
+            discard(done)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

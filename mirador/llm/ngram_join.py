@@ -2,17 +2,22 @@
 
 A document is its set of distinct word n-grams (64-bit hashes); documents with equal sets
 are one class. Two sets with Jaccard >= t, the smaller of size a, differ in at most
-d = a (1 - t) / t elements. A band's sketch deals the elements by hash into K > d parts;
-each part is the XOR of its elements, so an element changes one part only, the number of
-differing parts never exceeds the symmetric difference, and at least K - d parts are equal.
-Bands grow by 1 / t, so similar sets lie in the same or in adjacent bands: a set is
-sketched for its own band and for the one below, and equal (band, part, XOR) keys meet.
-
-Unrelated documents share a part of few elements by way of one common phrase. For bands of
-few differences there are therefore more than d + G parts in G groups, so that one group has
-two equal parts, and keys are the pairs within groups. For the others K leaves slack:
-K - d = 1 + slack parts agree, so parts of up to ``weak`` elements need no key as long as a
-set has at most ``slack`` of them; a set with more emits all its parts. No pair is lost.
+d = a (1 - t) / t elements. A band's sketch deals the elements by hash into parts; each part
+is the XOR of its elements, so an element changes one part only, and of K parts at least
+K - d are equal. Bands grow by 1 / t, so similar sets lie in the same or in adjacent bands: a
+set is sketched for its own band and for the one below, and equal (band, parts, XOR) keys meet.
+
+Keys are pairs of parts that both hold elements, within G groups of parts; an empty part is
+never a key, since it says nothing. K = d + G + 1 + slack. Of two similar sets, let c be the
+parts that are empty in both. If c <= slack, at least K - d - c > G equal parts hold elements,
+so a group has two of them and the sets share that pair. If c > slack, both sets have more than
+``slack`` empty parts; such sets are dealt anew with another hash, and the same holds there.
+Sets with too many empty parts in all dealings (slack is the mean number and one deviation, so
+one set in some thousands) emit their d + 1 elements of least hash instead: at most d of those
+of either set are not in the other, so the least common element is among both sets' d + 1. No
+pair is lost. Groups are as many as leave a part ``MIN_LOAD`` elements or more, since two
+parts of few elements are one common phrase that unrelated documents share. Below a threshold
+of some 0.65, d is too near to a for any such plan, and all sets go by their least elements.
 
 All pairs of a key are never built. Sets that share a key are joined to the key's first
 set (star), which gives clusters: unions of everything that could be similar. Inside a
@@ -35,24 +40,27 @@ are told apart by id and text: a class is verified with the text of its first do
 from __future__ import annotations
 
 from functools import lru_cache
-from math import ceil, exp, factorial, sqrt
+from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirador.llm.bpe import ragged_take
-from mirador.llm.common import join_small, positive_hash, read_table, temporary_name, written
+from mirador.llm.bpe import pack, ragged_take, unpack
+from mirador.llm.common import join_small, read_table, temporary_name, written
 from mirador.llm.components import components
 
-MOST_FOR_PAIRS = 48            # differences up to which keys are pairs of parts
+MIN_LOAD = 1.8                 # mean elements of a part, at least, where a plan allows
+DEALINGS = 3                   # hashes by which a set with many empty parts is dealt
 BLOCK_SETS = 4_096             # sets per verification block
 BLOCK_SHINGLES = 1_000_000     # shingles per verification block
 BROADCAST_ROWS = 300_000       # rows of (ids, cluster), some 40 bytes each
 SEEN_SETS = 100_000            # set hashes a task remembers to skip repeated keys
 CHUNK_KEYS = 1_000_000         # keys a task joins before the shuffle
+ROWS_PER_BUCKET = 2_000        # documents per hash bucket of keys
+MIN_BUCKETS = 16
 KNOWN_WORDS = 100_000          # word hashes a task remembers
 U64 = np.uint64
 
@@ -103,94 +111,79 @@ def edges_of(percent: int, size: int) -> tuple[int, ...]:
     return tuple(out)
 
 
+def slack_for(low: int, parts_without: int) -> int:
+    """Empty parts to allow for: the mean and one deviation for a set of ``low`` elements; -1 if no
+    number of parts has so few."""
+    slack = 0
+    while slack < low:
+        parts = parts_without + slack
+        load = low / parts
+        empty = parts * (1 - 1 / parts) ** low
+        spread = parts * exp(-load) * (1 - (1 + load) * exp(-load))
+        need = ceil(empty + sqrt(max(0.0, spread)))
+        if need <= slack:
+            return slack
+        slack = need
+    return -1
+
+
 @lru_cache(maxsize=None)
 def band_plan(percent: int, low: int, high: int) -> tuple[int, int, int, int]:
-    """(parts, groups, slack, weak) for a band of smaller sets of size low .. high - 1.
-
-    Few differences (``groups`` > 0): parts are dealt to groups and there are enough of them
-    that one group holds two equal parts; keys are the pairs of parts within a group.
-    Many differences: keys are single parts of more than ``weak`` elements (-1: all)."""
+    """(differences, parts, groups, slack) for a band of smaller sets of size low .. high - 1:
+    the most groups (hence the fewest keys) that leave ``MIN_LOAD``, or else one group; no
+    parts if there is no plan."""
     d = (high - 1) * (100 - percent) // percent
-    if d == 0:
-        return 0, 0, 0, -1                                 # only equal sets are similar
-    if d <= MOST_FOR_PAIRS:
-        groups = 1 if d <= 16 else ceil(0.4 * d)
-        return d + groups + 1, groups, 0, -1
-    slack = ceil(d / 4) + 1
-    parts = d + 1 + slack
-    load = low / parts
-    for weak in (2, 1, 0):
-        p = sum(exp(-load) * load ** i / factorial(i) for i in range(weak + 1))
-        if parts * p + 3 * sqrt(parts * p * (1 - p)) <= slack:
-            return parts, 0, slack, weak
-    return parts, 0, slack, -1
 
+    def plan(groups: int) -> tuple[int, int, int, int] | None:
+        slack = slack_for(low, d + groups + 1)
+        return None if slack < 0 else (d, d + groups + 1 + slack, groups, slack)
 
-@lru_cache(maxsize=None)
+    good, bad = 1, d + 1                                   # more groups than d hardly save keys
+    while bad - good > 1:
+        mid = (good + bad) // 2
+        p = plan(mid)
+        good, bad = (mid, bad) if p and low >= MIN_LOAD * p[1] else (good, mid)
+    return (plan(good) if d else None) or (d, 0, 0, 0)
+
+
+@lru_cache(maxsize=256)
 def pairs_in_groups(parts: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs i < j of parts with the same number modulo ``groups``."""
-    i, j = np.triu_indices(parts, 1)
-    same = i % groups == j % groups
-    return i[same], j[same]
+    steps = range(groups, parts, groups)
+    i = [np.arange(parts - step) for step in steps] or [np.zeros(0, np.int64)]
+    j = [np.arange(step, parts) for step in steps] or [np.zeros(0, np.int64)]
+    return np.concatenate(i), np.concatenate(j)
 
 
 def band_keys(s: np.ndarray, percent: int) -> np.ndarray:
     """The pigeonhole keys of a set, for its own band and the one below."""
     borders = edges_of(percent, 1 << max(4, len(s).bit_length()))
-    own = int(np.searchsorted(borders, len(s), side="right")) - 1
-    spot, value, out = mix(s, 11) >> U64(32), mix(s, 12), []
+    own, out = int(np.searchsorted(borders, len(s), side="right")) - 1, []
     for band in (own, own - 1):
         if band < 0:
             continue
-        parts, groups, slack, weak = band_plan(percent, borders[band], borders[band + 1])
-        if not parts:
-            continue
-        part = ((spot * U64(parts)) >> U64(32)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        n = np.bincount(part, minlength=parts)
-        xor = np.zeros(parts, U64)
-        full = np.flatnonzero(n)
-        xor[full] = np.bitwise_xor.reduceat(value[order], (np.cumsum(n) - n)[full])
-        one = mix(xor ^ np.arange(parts, dtype=U64), 13)
-        if groups:
+        d, parts, groups, slack = band_plan(percent, borders[band], borders[band + 1])
+        if not d:
+            continue                                       # only equal sets are similar
+        for deal in range(DEALINGS if parts else 0):
+            spot, value = mix(s, 100 * deal + 11) >> U64(32), mix(s, 100 * deal + 12)
+            part = ((spot * U64(parts)) >> U64(32)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            n = np.bincount(part, minlength=parts)
+            xor = np.zeros(parts, U64)
+            full = np.flatnonzero(n)
+            xor[full] = np.bitwise_xor.reduceat(value[order], (np.cumsum(n) - n)[full])
+            one = mix(xor ^ np.arange(parts, dtype=U64), 100 * deal + 13)
             i, j = pairs_in_groups(parts, groups)
-            own_keys = mix(one[i], 15) ^ one[j]
+            use = (n[i] > 0) & (n[j] > 0)
+            out.append(mix(mix(one[i[use]], 15) ^ one[j[use]] ^ U64(band), 100 * deal + 14))
+            if parts - len(full) <= slack:
+                break
         else:
-            use = n > weak
-            own_keys = one[use] if parts - use.sum() <= slack else one
-        out.append(mix(own_keys ^ U64(band), 14))
+            out.append(mix(np.sort(mix(s, 17))[:d + 1] ^ U64(band), 18))
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
-def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, th, n_shingles, sid, keys): keys are null where the task has emitted the set
-    before, so copies do not swell their keys."""
-    def run(batches):
-        shingle, seen = Shingler(n), set()
-        for b in batches:
-            sizes, sids, keys = [], [], []
-            for text in b.column(2).to_pylist():
-                s = shingle(text)
-                sizes.append(len(s))
-                if not len(s):
-                    sids.append(None)
-                    keys.append(None)
-                    continue
-                one = mix(np.array([np.bitwise_xor.reduce(mix(s, 21)) ^ mix(s, 22).sum(dtype=U64), len(s)], U64), 23)
-                sid = int(mix(one[:1] ^ one[1:], 24).view(np.int64)[0])
-                sids.append(sid)
-                keys.append(None if sid in seen else band_keys(s, percent).view(np.int64))
-                if len(seen) < SEEN_SETS:
-                    seen.add(sid)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "n_shingles", "sid", "keys"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"),
-                       F.col(text_col).alias("text")) \
-        .mapInArrow(run, "doc_id long, th long, n_shingles long, sid long, keys array<long>")
-
-
 def stars_of(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(key, sid, n) of a chunk: the first n rows are the keys, each with its least set. Then
     the chunk's other sets, each as two rows with the least set of a key they hold, under a
@@ -212,37 +205,112 @@ def stars_of(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate([key[start], spread, spread]), np.concatenate([sid[start], a, b]), len(start)
 
 
-def candidate_clusters(sig: DataFrame) -> DataFrame:
-    """(id, root): sets joined to the first set of every key they share.
+SKETCH_DDL = "bucket long, doc_id long, th long, n_shingles long, sid long, payload binary"
+SKETCHED = pa.schema([(c, pa.int64()) for c in ("bucket", "doc_id", "th", "n_shingles", "sid")] + [("payload", pa.binary())])
+
 
-    Tasks join the sets of a chunk of keys first, and send each key once a chunk. A key
-    that a third of all sets share is thus as many rows as there are chunks. Links found
-    in a chunk go through the same shuffle, under keys of their own."""
+def packed_keys(key: np.ndarray, sid: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(key, sid) rows by bucket of the key: sorted keys as differences, sets as places in a list."""
+    bucket = (mix(key.view(U64), 33) % U64(buckets)).astype(np.int64)
+    order = np.lexsort((key.view(U64), bucket))
+    key, sid, bucket = key[order], sid[order], bucket[order]
+    start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    rows = []
+    for lo, hi in zip(start, np.append(start[1:], len(key))):
+        own, at = np.unique(sid[lo:hi], return_inverse=True)
+        rows.append(pack(np.diff(key[lo:hi].view(U64), prepend=U64(0)), at.astype(np.uint32), own))
+    none = pa.nulls(len(rows), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[start]), none, none, none, none, pa.array(rows, pa.binary())],
+                                      schema=SKETCHED)
+
+
+def sketches(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """A row per document (payload null), and the keys of new sets by bucket.
+
+    Tasks join the sets of a chunk of keys first, and send each key once a chunk. A key that a
+    third of all sets share is thus as many keys as there are chunks; links found in a chunk go
+    under keys of their own. A set that the task has seen sends no keys again."""
     def run(batches):
-        keys, sids, held = [], [], 0
+        shingle, seen, row = Shingler(n), set(), 0
+        keys, owners, held = [], [], 0
+
+        def joined():
+            key, sid, _ = stars_of(np.concatenate(keys).view(np.int64), np.concatenate(owners))
+            return packed_keys(key, sid, buckets)
+
+        for b in batches:
+            sizes, sids = [], []
+            for text in b.column(2).to_pylist():
+                s = shingle(text)
+                sizes.append(len(s))
+                if not len(s):
+                    sids.append(None)
+                    continue
+                one = mix(np.array([np.bitwise_xor.reduce(mix(s, 21)) ^ mix(s, 22).sum(dtype=U64), len(s)], U64), 23)
+                sid = int(mix(one[:1] ^ one[1:], 24).view(np.int64)[0])
+                sids.append(sid)
+                if sid not in seen:
+                    keys.append(band_keys(s, percent))
+                    owners.append(np.full(len(keys[-1]), sid, np.int64))
+                    held += len(keys[-1])
+                if len(seen) < SEEN_SETS:
+                    seen.add(sid)
+                if held >= CHUNK_KEYS:
+                    yield joined()
+                    keys, owners, held = [], [], 0
+            spread = (np.arange(row, row + b.num_rows) * 7919 + TaskContext.get().partitionId()) % buckets
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(spread, pa.int64()), b.column(0), b.column(1), pa.array(sizes, pa.int64()),
+                 pa.array(sids, pa.int64()), pa.nulls(b.num_rows, pa.binary())], schema=SKETCHED)
+        if held:
+            yield joined()
 
-        def stars():
-            key, sid, _ = stars_of(np.concatenate(keys), np.concatenate(sids))
-            for lo in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[lo:lo + 100_000]), pa.array(sid[lo:lo + 100_000])],
-                                                 names=["key", "sid"])
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"),
+                       F.col(text_col).alias("text")).mapInArrow(run, SKETCH_DDL)
+
+
+def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, th, n_shingles, sid, other): a row per document (``other`` null), and the links
+    (sid, other) of every key's sets to its least.
+
+    Keys cross the shuffle packed, in buckets whose number grows with the rows; a task holds
+    one bucket at a time."""
+    buckets = max(MIN_BUCKETS, docs.count() // ROWS_PER_BUCKET)
+    names = ["doc_id", "th", "n_shingles", "sid", "other"]
+
+    def run(batches):
+        bucket, held = None, []
+
+        def links():
+            parts = [unpack(p, np.uint64, np.uint32, np.int64) for p in held]
+            key = np.concatenate([np.cumsum(k, dtype=U64) for k, _, _ in parts])
+            sid = np.concatenate([own[at] for _, at, own in parts])
+            order = np.lexsort((sid, key))
+            key, sid = key[order], sid[order]
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            first = np.repeat(sid[start], np.diff(np.append(start, len(key))))
+            got = np.unique(np.stack([first, sid])[:, first != sid], axis=1)
+            none = pa.nulls(got.shape[1], pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(got[0]), pa.array(got[1])], names=names)
 
         for b in batches:
-            n = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
-            keys.append(b.column(1).flatten().to_numpy(zero_copy_only=False))
-            sids.append(np.repeat(b.column(0).to_numpy(zero_copy_only=False), n))
-            held += len(keys[-1])
-            if held >= CHUNK_KEYS:
-                yield from stars()
-                keys, sids, held = [], [], 0
+            payload = b.column(5)
+            plain = b.filter(payload.is_null())
+            if plain.num_rows:
+                yield pa.RecordBatch.from_arrays([*plain.columns[1:5], pa.nulls(plain.num_rows, pa.int64())], names=names)
+            for k in np.flatnonzero(payload.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                if b.column(0)[k].as_py() != bucket:
+                    if held:
+                        yield links()
+                    bucket, held = b.column(0)[k].as_py(), []
+                held.append(payload[k].as_py())
         if held:
-            yield from stars()
+            yield links()
 
-    rows = sig.filter("keys is not null").select("sid", "keys").mapInArrow(run, "key long, sid long")
-    first = F.first("sid").over(Window.partitionBy("key").orderBy("sid")
-                                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    stars = rows.select(first.alias("a"), F.col("sid").alias("b"))
-    return components(stars.filter("a <> b").distinct())
+    rows = sketches(docs, n, percent, id_col, text_col, buckets)
+    return rows.repartition("bucket").sortWithinPartitions("bucket") \
+        .mapInArrow(run, "doc_id long, th long, n_shingles long, sid long, other long")
 
 
 def linked(sets: list[np.ndarray], sides: list[int], percent: int) -> list[tuple[int, int]]:
@@ -272,7 +340,7 @@ def linked(sets: list[np.ndarray], sides: list[int], percent: int) -> list[tuple
     return out
 
 
-def verified_links(docs: DataFrame, sig: DataFrame, firsts: DataFrame, clusters: DataFrame, n: int, percent: int,
+def verified_links(docs: DataFrame, firsts: DataFrame, clusters: DataFrame, n: int, percent: int,
                    id_col: str, text_col: str) -> DataFrame:
     """(a, b): verified links between set ids that span every group."""
     own = clusters.select(F.col("id").alias("sid"), F.col("root").alias("cluster")).join(firsts, "sid")
@@ -304,11 +372,13 @@ def verified_links(docs: DataFrame, sig: DataFrame, firsts: DataFrame, clusters:
 def grouped(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, th, n_shingles, sid, first) per row; ``first`` is the (no_id, doc_id, th) of the
     group's first document, null for texts without words."""
-    sig = written(signatures(docs, n, percent, id_col, text_col), "signatures")
+    both = written(signatures(docs, n, percent, id_col, text_col), "signatures")
+    sig, met = both.filter("other is null").drop("other"), both.filter("other is not null")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
     firsts = sig.filter("sid is not null").groupBy("sid") \
         .agg(F.min(place).alias("first"), F.first("n_shingles").alias("n_shingles"))
-    links = verified_links(docs, sig, firsts, candidate_clusters(sig), n, percent, id_col, text_col)
+    clusters = components(met.select(F.col("sid").alias("a"), F.col("other").alias("b")))
+    links = verified_links(docs, firsts, clusters, n, percent, id_col, text_col)
     roots = components(links)
     least = roots.join(firsts.select(F.col("sid").alias("id"), "first"), "id")
     least = least.groupBy("root").agg(F.min("first").alias("least")).join(roots, "root")

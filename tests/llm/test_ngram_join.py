@@ -188,3 +188,53 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + i, 200 + (i + 1) % 7) for i in range(7)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, **{200 + i: 200 for i in range(7)}}
+
+
+def test_low_threshold_equals_brute_force(spark, family):
+    df = spark.createDataFrame(family[:120], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.jaccard_components(df, 3, 50).collect()}
+    assert got == brute(family[:120], 50, 3)
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80, 85, 95])
+def test_sets_with_empty_parts_share_keys(percent):
+    """The border of a threshold for many sizes, with a third of the elements in one part."""
+    rng = np.random.default_rng(percent)
+    for size in [*range(2, 40), 64, 100, 150, 300]:
+        for _ in range(8):
+            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            drop = len(a) * (100 - percent) // 100
+            b = a[drop:]
+            if 0 < drop and 100 * len(b) >= percent * len(a):
+                assert set(nj.band_keys(a, percent).tolist()) & set(nj.band_keys(b, percent).tolist()), size
+
+
+def test_no_key_without_elements():
+    """Unrelated sets of one size share no key, whatever their empty parts."""
+    rng = np.random.default_rng(4)
+    for percent in (70, 80, 85):
+        for size in (4, 8, 16, 30, 50, 100, 150, 200, 400):
+            sets = [rng.integers(0, 1 << 63, size, dtype=np.uint64) for _ in range(60)]
+            keys = np.concatenate([np.unique(nj.band_keys(s, percent)) for s in sets])
+            assert len(np.unique(keys)) == len(keys), (percent, size)
+
+
+def test_plans_hold_the_pigeonhole():
+    for percent in (70, 80, 85, 90):
+        borders = nj.edges_of(percent, 5000)
+        for low, high in zip(borders, borders[1:]):
+            d, parts, groups, slack = nj.band_plan(percent, low, high)
+            assert d == (high - 1) * (100 - percent) // percent
+            assert not parts or parts - d - slack == groups + 1
+
+
+def test_keys_of_one_bucket_come_back(spark):
+    rng = np.random.default_rng(9)
+    key, sid = rng.integers(-2 ** 62, 2 ** 62, 5000), rng.integers(-2 ** 62, 2 ** 62, 5000)
+    key[:1000], sid[::3] = key[0], sid[0]
+    rows = nj.packed_keys(key, sid, 7)
+    got = []
+    for p in rows.column(5).to_pylist():
+        k, at, own = nj.unpack(p, np.uint64, np.uint32, np.int64)
+        got += zip(np.cumsum(k, dtype=np.uint64).view(np.int64).tolist(), own[at].tolist())
+    assert sorted(got) == sorted(zip(key.tolist(), sid.tolist())) and rows.num_rows == 7
