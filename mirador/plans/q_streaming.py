@@ -38,9 +38,9 @@ def q_stream_sweep_totals(spark, sf):
         "catalog_id", F.col("external_id").cast("bigint").alias("doc_id"),
         "accessibility", "structure", "freshness", "completeness")
     jobs.land_in_chunks(s, src, "doc_id", CHUNKS)
-    target = jobs.sweep_totals(spark, src, out, "catalog_id string, doc_id bigint, accessibility double, "
-                                                "structure double, freshness double, completeness double")
-    return spark.read.parquet(target).select("catalog_id", "dimension", F.col("sum_milli").cast("bigint"),
+    log = jobs.sweep_totals(spark, src, out, "catalog_id string, doc_id bigint, accessibility double, "
+                                             "structure double, freshness double, completeness double")
+    return log.read().select("catalog_id", "dimension", F.col("sum_milli").cast("bigint"),
                                              F.col("count").cast("bigint"))
 
 
@@ -71,8 +71,8 @@ def q_stream_failure_state(spark, sf):
     register_views(spark, sf, ())
     o = spark.table("events").select("user_id", "ts", "event_id", (F.col("event_type") == "error").alias("failed"))
     jobs.land_in_chunks(o, src, "event_id", CHUNKS)
-    updates = jobs.failure_state(spark, src, out, "user_id bigint, ts timestamp_ntz, event_id bigint, failed boolean")
-    return jobs.final_failure_state(spark, updates, "user_id", EVENTS_AS_OF)
+    log = jobs.failure_state(spark, src, out, "user_id bigint, ts timestamp_ntz, event_id bigint, failed boolean")
+    return jobs.final_failure_state(log, "user_id", EVENTS_AS_OF)
 
 
 ORACLES["stream_failure_state"] = ORACLES["failure_streak"]
@@ -86,6 +86,19 @@ def q_endpoint_outage_state(spark, sf):
     return jobs.outage_batch(o, "user_id")
 
 
+@query("stream_outage_state")
+def q_stream_outage_state(spark, sf):
+    """The outage state as a stream whose outcomes land up to twelve hours out of order."""
+    src, out = jobs.scratch(spark, "outage-landed"), jobs.scratch(spark, "outage-state")
+    register_views(spark, sf, ())
+    late = F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.col("event_id") * 7919, F.lit(43_200))
+    o = spark.table("events").select("user_id", "event_id", "ts", (F.col("event_type") != "error").alias("ok"),
+                                     late.alias("arrival"))
+    jobs.land_in_chunks(o, src, "arrival", CHUNKS)
+    done = jobs.outage_stream(spark, src, out, "user_id bigint, event_id bigint, ts timestamp_ntz, ok boolean", "user_id")
+    return spark.read.parquet(done).select(F.col("key").alias("user_id"), "event_id", "ts", "decision", "state")
+
+
 _RESET_US = L.OUTAGE_RESET_SECONDS * 1_000_000
 # The circuit rules as a recursive walk over each key's outcomes in time order
 # (an independent sequential formulation of the same fold).
@@ -116,3 +129,6 @@ fsm(user_id, rn, event_id, ts, decision, state, failures, successes, last_failur
           CASE WHEN f.state = 'open' AND e.tu - f.last_failure >= {_RESET_US} THEN 0 ELSE f.successes END AS s1
         FROM fsm f JOIN ev e ON e.user_id = f.user_id AND e.rn = f.rn + 1) step)
 SELECT user_id, event_id, ts, decision, state FROM fsm WHERE rn > 0""")
+
+
+ORACLES["stream_outage_state"] = ORACLES["endpoint_outage_state"]

@@ -9,41 +9,29 @@ says.
 * ``event_ingest``: usage events validated and routed to good / rejected.
 * ``sweep_totals``: running {sum, count} per (catalog, dimension).
 * ``latest_health``: latest observation per (catalog, url) as a streaming
-  ``max_by`` aggregation; an update log of changed keys, TTL applied on read.
-* ``failure_state`` / ``outage_state``: keyed state machines with
-  ``applyInPandasWithState``; events of a key are folded in event-time order
-  inside each micro-batch.
+  ``max_by`` aggregation whose state and update log expire with the TTL.
+* ``failure_state`` / ``outage_stream``: keyed state (``transformWithState``) with the
+  outcomes that a late one may still change, settled behind the watermark.
 * ``outage_batch``: the batch twin, folded in independent segments.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mirador.functions import lookups as L
 from mirador.operators import audit, health, incremental
 from mirador.session import scratch_path
-
-
-def land_in_chunks(df: DataFrame, path: str, order_col: str, n_chunks: int) -> None:
-    """Land a table as ``n_chunks`` files, one after the other in ``order_col``
-    order, so a file stream sees them arrive in that order. Rows without a key come
-    first; a table without any key is one chunk."""
-    lo_hi = df.agg(F.min(order_col), F.max(order_col)).first()
-    lo, hi = lo_hi[0], lo_hi[1]
-    if lo is None:
-        df.write.mode("append").parquet(path)
-        return
-    step = (hi - lo) // n_chunks + 1
-    for i in range(n_chunks):
-        inside = (F.col(order_col) >= lo + i * step) & (F.col(order_col) < lo + (i + 1) * step)
-        part = df.where(inside | F.col(order_col).isNull() if i == 0 else inside)
-        part.coalesce(1).write.mode("append").parquet(path)
+from mirador.sources import versions
+from mirador.streaming import failures, landing, outage
+from mirador.streaming.landing import land_in_chunks  # noqa: F401 - part of this module's interface
+from mirador.streaming.updates import UpdateLog
 
 
 def write_batch(df: DataFrame, target: str, batch_id: int, partition_by: str | None = None) -> None:
@@ -67,7 +55,7 @@ def run_available_now(stream: DataFrame, sink: Callable[[DataFrame, int], None],
 def event_ingest(spark: SparkSession, source: str, out: str, schema) -> dict[str, str]:
     """Validate landed usage events (JSON text in column ``json``) and route them."""
     paths = {"routed": f"{out}/routed"}
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", landing.FILES).parquet(source)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         # one idempotent write routes both outputs (valid=true / valid=false folders)
@@ -78,47 +66,54 @@ def event_ingest(spark: SparkSession, source: str, out: str, schema) -> dict[str
 
 
 # ------------------------------------------------------------------ running totals
-def sweep_totals(spark: SparkSession, source: str, out: str, schema: str) -> str:
-    """Running per (catalog, dimension) exact sums (thousandths) and counts."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+def sweep_totals(spark: SparkSession, source: str, out: str, schema: str) -> UpdateLog:
+    """Running per (catalog, dimension) exact sums (thousandths) and counts: update mode, so a
+    micro-batch emits only the totals that it changed."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", landing.FILES).parquet(source)
     dims = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("score"))
                      for d in ("accessibility", "structure", "freshness", "completeness")])
     long = stream.select("catalog_id", F.explode(dims).alias("d"))
     agg = long.groupBy("catalog_id", F.col("d.dimension").alias("dimension")).agg(
         F.sum(F.round(F.col("d.score") * 1000).cast("bigint")).alias("sum_milli"),
         F.count(F.lit(1)).alias("count"))
-    target = f"{out}/totals"
+    log = UpdateLog(spark, f"{out}/totals", "catalog_id string, dimension string, sum_milli bigint, count bigint",
+                    ["catalog_id", "dimension"])
+    run_available_now(agg, log.add, f"{out}/_checkpoint", mode="update")
+    return log
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        # complete mode: each batch carries the full (small) aggregate; keep the latest
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(target)
 
-    run_available_now(agg, sink, f"{out}/_checkpoint", mode="complete")
-    return target
+# ------------------------------------------------------------------ latest health
+HEALTH_OUT = "catalog_id string, url string, status int, latency_ms bigint, checked_at timestamp_ntz, event_id bigint"
+HEALTH_WINDOW_HOURS = 6        # a URL has one state row for each window within the TTL
 
 
-# ------------------------------------------------------------------ latest health
 def latest_health(spark: SparkSession, source: str, out: str, schema: str, as_of: str,
-                  ttl_hours: float = L.HEALTH_TTL_HOURS) -> Callable[[], DataFrame]:
-    """Latest observation per (catalog, url) as a streaming aggregation (``max_by``
-    in update mode): the state store keeps one row per URL, a micro-batch touches
-    only the keys it carries and emits those whose latest changed (last write
-    wins). Staleness (the TTL) is applied when the result is read."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    latest = (stream.groupBy("catalog_id", "url")
+                  ttl_hours: float = L.HEALTH_TTL_HOURS, files: int = landing.FILES) -> Callable[[], DataFrame]:
+    """Latest observation per (catalog, url), with state and log bounded by the live URLs.
+
+    A streaming ``max_by`` per (catalog, url, time window) in update mode, under a watermark of
+    the TTL: the state of a window goes when all of it is older than the TTL, and so does a URL
+    that is no longer checked. Observations that come later than that are stale anyway. The
+    update log keeps the last row per key and drops expired ones when it is compacted."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source) \
+        .withColumn("at", F.col("checked_at").cast("timestamp")).withWatermark("at", f"{int(ttl_hours * 3600)} seconds")
+    latest = (stream.groupBy(F.window("at", f"{HEALTH_WINDOW_HOURS} hours"), "catalog_id", "url")
               .agg(F.max_by(F.struct("status", "latency_ms", "checked_at", "event_id"),
                             F.struct("checked_at", "event_id")).alias("h"))
-              .select("catalog_id", "url", "h.status", "h.latency_ms", "h.checked_at", "h.event_id"))
-    target = f"{out}/updates"
+              .select("catalog_id", "url", "h.status", "h.latency_ms", "h.checked_at", "h.event_id",
+                      F.date_trunc("hour", F.col("window.start")).cast("timestamp_ntz").alias("since")))
+    log = UpdateLog(spark, f"{out}/updates", HEALTH_OUT + ", since timestamp_ntz", ["catalog_id", "url", "since"])
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, target, batch_id)
+        newest = batch.agg(F.max("checked_at")).first()[0]       # expiry by event time, one value
+        alive = None if newest is None else F.col("checked_at") >= F.lit(newest) - F.make_interval(hours=F.lit(int(ttl_hours)))
+        log.add(batch, batch_id, alive)
 
     run_available_now(latest, sink, f"{out}/_checkpoint", mode="update")
 
     def read() -> DataFrame:
-        # last emitted row per key (max_by again over the update log), then the TTL filter
-        return health.health_latest_fresh(spark.read.parquet(target), as_of, ttl_hours)
+        # the latest of a key's windows, then the TTL filter
+        return health.health_latest_fresh(log.read(), as_of, ttl_hours)
     return read
 
 
@@ -137,38 +132,25 @@ def failure_fold(rows: pd.DataFrame, st: tuple | None) -> tuple:
 
 
 FAILURE_OUT = "user_id long, consecutive_failures long, last_failure timestamp, events long"
-FAILURE_STATE = "consecutive long, last_failure timestamp, events long"
 
 
-def failure_state(spark: SparkSession, source: str, out: str, schema: str, key: str = "user_id") -> str:
-    """Per key: consecutive failures (a success resets), last failure, events seen."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-
-    def step(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-        prev = state.get if state.exists else None
-        if prev is not None:
-            prev = (int(prev[0]), prev[1], int(prev[2]))
-        c, lf, n = failure_fold(rows, prev)
-        state.update((c, lf, n))
-        yield pd.DataFrame({key: [k[0]], "consecutive_failures": [c], "last_failure": [lf], "events": [n]})
-
-    states = stream.groupBy(key).applyInPandasWithState(
-        step, FAILURE_OUT, FAILURE_STATE, "update", GroupStateTimeout.NoTimeout)
-    target = f"{out}/updates"
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, target, batch_id)
-
-    run_available_now(states, sink, f"{out}/_checkpoint", mode="update")
-    return target
+def failure_state(spark: SparkSession, source: str, out: str, schema: str, key: str = "user_id",
+                  lateness: str = "1 day", files: int = landing.FILES) -> UpdateLog:
+    """Per key: consecutive failures (a success resets), last failure, events seen. Outcomes up to
+    ``lateness`` behind the latest count in their place."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source) \
+        .withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    schema_out = FAILURE_OUT.replace("user_id", key)
+    states = stream.groupBy(key).transformWithStateInPandas(failures.Failures(key), schema_out, "Update", "EventTime")
+    log = UpdateLog(spark, f"{out}/updates", schema_out, [key])
+    with rocksdb(spark):
+        run_available_now(states, log.add, f"{out}/_checkpoint", mode="update")
+    return log
 
 
-def final_failure_state(spark: SparkSession, updates: str, key: str, as_of: str) -> DataFrame:
+def final_failure_state(log: UpdateLog, key: str, as_of: str) -> DataFrame:
     """The last update per key, with status and retry decision."""
-    u = spark.read.parquet(updates)
-    last = u.groupBy(key).agg(F.max_by(F.struct("consecutive_failures", "last_failure", "events"),
-                                       F.col("batch").cast("bigint")).alias("s")).select(key, "s.*")
+    last = log.read()
     status = F.when(F.col("consecutive_failures") >= L.UNREACHABLE_AFTER_FAILURES, F.lit("unreachable")) \
         .otherwise(F.lit("ok"))
     days = incremental._age_us(as_of, F.col("last_failure")) / incremental.DAY_US
@@ -179,32 +161,14 @@ def final_failure_state(spark: SparkSession, updates: str, key: str, as_of: str)
 
 
 # ------------------------------------------------------------------ outage (circuit) state
-def outage_step(state: dict, ts_us: int, ok: bool) -> tuple[str, str]:
-    """One outcome through the circuit rules; returns (decision, state after)."""
-    thr, succ, reset_us = L.OUTAGE_FAILURE_THRESHOLD, L.OUTAGE_HALF_OPEN_SUCCESSES, L.OUTAGE_RESET_SECONDS * 1_000_000
-    if state["state"] == "open" and ts_us - state["last_failure"] >= reset_us:
-        state["state"], state["successes"] = "half_open", 0
-    if state["state"] == "open":
-        return "rejected", "open"
-    if ok:
-        if state["state"] == "half_open":
-            state["successes"] += 1
-            if state["successes"] >= succ:
-                state.update(state="closed", failures=0, successes=0)
-        else:
-            state["failures"] = 0
-    else:
-        state["failures"] += 1
-        state["last_failure"] = ts_us
-        if state["state"] == "half_open":
-            state.update(state="open", successes=0)
-        elif state["failures"] >= thr:
-            state["state"] = "open"
-    return "allowed", state["state"]
+def new_outage_state() -> dict:
+    return {"state": outage.START}
 
 
-def new_outage_state() -> dict:
-    return {"state": "closed", "failures": 0, "successes": 0, "last_failure": 0}
+def outage_step(held: dict, ts_us: int, ok: bool) -> tuple[str, str]:
+    """One outcome; returns (decision, state after)."""
+    allowed, after, held["state"] = outage.fold(held["state"], np.array([ts_us]), np.array([ok]))
+    return "allowed" if allowed[0] else "rejected", str(outage.NAMES[after[0]])
 
 
 OUTAGE_OUT = "key long, event_id long, ts timestamp_ntz, decision string, state string"
@@ -265,60 +229,62 @@ def outage_batch(outcomes: DataFrame, key: str, n_partitions: int | None = None)
     is folded from the initial state by streaming through Arrow batches (state
     carried across batches, so memory stays bounded). A key with many segments is
     spread over many tasks; one segment is inherently sequential."""
-    n = n_partitions or outcomes.sparkSession.sparkContext.defaultParallelism
     seg = outage_segments(outcomes.select(key, "event_id", "ts", "ok"), key)
+    by = ["key", "segment"] if n_partitions is None else [n_partitions, "key", "segment"]
     src = (seg.select(F.col(key).alias("key"), "segment", "event_id", "ts", "ok")
-           .repartition(n, "key", "segment").sortWithinPartitions("key", "segment", "ts", "event_id"))
+           .repartition(*by).sortWithinPartitions("key", "segment", "ts", "event_id"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur, st = None, None
+        last, state = None, outage.START
         for pdf in it:
-            decisions, states = [], []
-            tsu = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-            for k, g, t, ok in zip(pdf["key"].to_numpy(), pdf["segment"].to_numpy(), tsu, pdf["ok"].to_numpy()):
-                if (k, g) != cur:
-                    cur, st = (k, g), new_outage_state()
-                d, s = outage_step(st, int(t), bool(ok))
-                decisions.append(d)
-                states.append(s)
-            yield pd.DataFrame({"key": pdf["key"], "event_id": pdf["event_id"], "ts": pdf["ts"],
-                                "decision": decisions, "state": states})
+            if pdf.empty:
+                continue
+            ts, ok = outage.micros(pdf["ts"]), pdf["ok"].to_numpy().astype(bool)
+            names = list(zip(pdf["key"], pdf["segment"]))
+            new = (pdf[["key", "segment"]] != pdf[["key", "segment"]].shift()).any(axis=1).to_numpy()
+            new[0] = names[0] != last
+            cuts = np.unique(np.append(0, np.flatnonzero(new)))
+            allowed, after = [], []
+            for a, b in zip(cuts, np.append(cuts[1:], len(pdf))):
+                got, then, state = outage.fold(outage.START if new[a] else state, ts[a:b], ok[a:b])
+                allowed.append(got)
+                after.append(then)
+            last = names[-1]
+            yield outage.decided(pdf["key"], ts, pdf["event_id"].to_numpy(), np.concatenate(allowed), np.concatenate(after))
     return src.mapInPandas(run, OUTAGE_OUT).withColumnRenamed("key", key)
 
 
-OUTAGE_STATE = "state string, failures long, successes long, last_failure long"
-
-
-def outage_stream(spark: SparkSession, source: str, out: str, schema: str, key: str) -> str:
-    """Streaming form: per key, fold each micro-batch in time order from the stored state."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source) \
-        .select(F.col(key).alias("key"), "event_id", "ts", "ok")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def step(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-        st = new_outage_state()
-        if state.exists:
-            s = state.get
-            st = {"state": s[0], "failures": int(s[1]), "successes": int(s[2]), "last_failure": int(s[3])}
-        tsu = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        decisions, states = [], []
-        for t, ok in zip(tsu, rows["ok"].to_numpy()):
-            d, s2 = outage_step(st, int(t), bool(ok))
-            decisions.append(d)
-            states.append(s2)
-        state.update((st["state"], st["failures"], st["successes"], st["last_failure"]))
-        yield pd.DataFrame({"key": k[0], "event_id": rows["event_id"].to_numpy(), "ts": rows["ts"].to_numpy(),
-                            "decision": decisions, "state": states})
 
-    res = stream.groupBy("key").applyInPandasWithState(step, OUTAGE_OUT, OUTAGE_STATE, "append",
-                                                      GroupStateTimeout.NoTimeout)
-    target = f"{out}/decisions"
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, target, batch_id)
-
-    run_available_now(res, sink, f"{out}/_checkpoint")
-    return target
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Start streams with the RocksDB state store (``transformWithState`` needs it), for this start only."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def outage_stream(spark: SparkSession, source: str, out: str, schema: str, key: str,
+                  lateness: str = "1 day", files: int = landing.FILES) -> str:
+    """Streaming form: outcomes up to ``lateness`` behind the latest are folded in their place;
+    the update log's last decision of every outcome is the batch twin's."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source) \
+        .select(F.col(key).alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "ok") \
+        .withWatermark("ts", lateness)
+    states = stream.groupBy("key").transformWithStateInPandas(outage.Outages(), OUTAGE_OUT, "Update", "EventTime")
+    log = UpdateLog(spark, f"{out}/decisions", OUTAGE_OUT, ["key", "event_id"])
+    with rocksdb(spark):
+        run_available_now(states, log.add, f"{out}/_checkpoint", mode="update")
+    log.compact()
+    return versions.current(spark, f"{out}/decisions/base")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
