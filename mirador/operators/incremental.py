@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mirador.functions import lookups as L
 from mirador.functions.columns import avg3, epoch_micros, int_div, round3, thousandths, weighted_sum
+from mirador.operators.numbering import numbered
 
 DAY_US = 86_400 * 1_000_000
 
@@ -152,16 +153,19 @@ def sweep_chunk(scores: DataFrame, plan: DataFrame, chunk_size: int = L.SWEEP_CH
     first ``chunk_size`` in (modified, id) order; accessibility only for every
     ``every``-th record. The row_number filter is planned with a per-partition
     limit before the shuffle, so a hot catalog contributes at most
-    ``chunk_size`` rows per partition."""
+    ``chunk_size`` rows per partition. Without a chunk size (0) all records are numbered, by
+    range partitions with counted offsets, so a hot catalog is no single task's."""
     keep = keep_undated if isinstance(keep_undated, Column) else F.lit(bool(keep_undated))
     p = plan.where(F.col("action") != "skip").select("catalog_id", "start_cursor")
     cand = scores.join(p, "catalog_id") \
                  .where((F.col("modified_at") >= F.col("start_cursor")) | (F.col("modified_at").isNull() & keep))
-    w = Window.partitionBy("catalog_id").orderBy(F.col("modified_at").asc_nulls_last(), F.col("id"))
-    ranked = cand.withColumn("rn", F.row_number().over(w))
+    order = [F.col("modified_at").asc_nulls_last(), F.col("id")]
     if chunk_size > 0:
         # a filter on the rank column itself lets Spark limit each partition first
-        ranked = ranked.where(F.col("rn") <= chunk_size)
+        ranked = cand.withColumn("rn", F.row_number().over(Window.partitionBy("catalog_id").orderBy(*order))) \
+            .where(F.col("rn") <= chunk_size)
+    else:
+        ranked = numbered(cand, ["catalog_id"], order)
     return ranked.withColumn("idx", F.col("rn") - 1).drop("rn") \
                  .withColumn("with_access", (F.col("idx") % every) == 0)
 
@@ -179,8 +183,9 @@ def sweep_partials(chunk: DataFrame) -> DataFrame:
         F.sum(thousandths(F.col("d.score"))).alias("sum_milli"), F.count(F.lit(1)).alias("count"))
 
 
-def sweep_state(plan: DataFrame, chunk: DataFrame, chunk_size: int) -> DataFrame:
-    """New state per catalog after this run (skipped catalogs keep theirs)."""
+def sweep_state(plan: DataFrame, chunk: DataFrame, chunk_size: int, as_of: str | None = None) -> DataFrame:
+    """New state per catalog after this run (skipped catalogs keep theirs), as the next run's
+    ``sweep_plan`` reads it; a sweep that ends now (``as_of``) is the last complete one."""
     run = chunk.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("chunk_count"),
                                           F.max("modified_at").alias("max_modified"))
     j = plan.join(run, "catalog_id", "left")
@@ -198,6 +203,8 @@ def sweep_state(plan: DataFrame, chunk: DataFrame, chunk_size: int) -> DataFrame
         total.cast("bigint").alias("total_known"),
         F.when(skip, F.col("was_complete")).otherwise(complete).alias("complete"),
         F.when(skip, F.col("cursor")).otherwise(new_cursor).alias("cursor"),
+        F.when(~skip & complete, F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp())
+         .otherwise(F.col("last_complete_sweep")).alias("last_complete_sweep"),
         round3(cov).alias("coverage"), cc.cast("bigint").alias("chunk_count"))
 
 

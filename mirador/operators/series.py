@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mirador.functions import lookups as L
 from mirador.functions.columns import int_div
+from mirador.operators.numbering import numbered
 
 
 def normalize_frequency(raw: Column) -> Column:
@@ -22,8 +23,7 @@ def clamp(n: int | None, default: int, hi: int) -> int:
 
 def series_catalog(meta: DataFrame) -> DataFrame:
     """Series grouped by category in first-seen order (position), with counts."""
-    w = Window.orderBy("id")
-    m = meta.withColumn("position", F.row_number().over(w))  # meta is one row per series
+    m = numbered(meta.select("id", "category"), [], [F.col("id")], "position")
     return (m.groupBy("category")
             .agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first_position"),
                  F.array_sort(F.collect_list(F.struct("position", "id"))).alias("members"))
@@ -40,8 +40,11 @@ def series_search(meta: DataFrame, q: str, limit: int | None = None) -> DataFram
     hit = meta
     for w in words:
         hit = hit.where(text.contains(w))
-    total = hit.count()
-    return hit.orderBy("id").limit(n).select("id", "title", F.lit(total).cast("bigint").alias("total"))
+    # the first rows and the count in one lazy plan: both sides are one row
+    first = hit.orderBy("id").limit(n).agg(F.collect_list(F.struct("id", "title")).alias("rows"), F.lit(None).cast("bigint").alias("total"))
+    total = hit.agg(F.lit(None).cast(first.schema["rows"].dataType).alias("rows"), F.count(F.lit(1)).alias("total"))
+    both = first.unionByName(total).agg(F.first("rows", ignorenulls=True).alias("rows"), F.max("total").alias("total"))
+    return both.select(F.explode(F.array_sort("rows")).alias("r"), "total").select("r.id", "r.title", "total")
 
 
 def series_range(points: DataFrame, start: str, end: str, limit: int | None = None) -> DataFrame:

@@ -16,16 +16,16 @@ from pyspark.sql import types as T
 
 from mirador.functions import lookups as L
 from mirador.session import apply_runtime_conf, materialize
+from mirador.sources import csvfiles
 
 RESERVED_NAMES = ("datos", "__q", "information_schema", "pg_catalog")
 NAME_RE = re.compile(r"^[a-zA-Z_][a-zA-Z0-9_]*$")
 
 
-def read_csv_infer(spark: SparkSession, path: str, sampling_ratio: float = 1.0) -> DataFrame:
-    """CSV with a header row and inferred column types (quotes and backslash escapes)."""
-    return (spark.read.option("header", True).option("inferSchema", True)
-            .option("samplingRatio", sampling_ratio).option("escape", '"')
-            .option("multiLine", False).csv(path))
+def read_csv_infer(spark: SparkSession, path: str, sampling_ratio: float = 1.0, dialect: dict | None = None) -> DataFrame:
+    """CSV with a header row and inferred column types; separator, quote, encoding and quoted line
+    breaks are detected from the files unless ``dialect`` names them."""
+    return csvfiles.read(spark, path, sampling_ratio, dialect)
 
 
 def clamp_limit(limit: int | None) -> int:
@@ -112,17 +112,30 @@ class SqlSession:
         return self.spark.sql(text)
 
 
-def inspect(df: DataFrame) -> DataFrame:
-    """Columns with their types and positions, and the table's row count.
-
-    (The 5-row preview is ``preview(df)``.) The schema is metadata; the only job
-    is the count.
-    """
-    total = df.count()
-    rows = [(f.name, f.dataType.simpleString(), i + 1) for i, f in enumerate(df.schema.fields)]
-    meta = df.sparkSession.createDataFrame(rows, "column_name string, column_type string, position int")
-    return meta.select("column_name", "column_type", F.col("position").cast("bigint"),
-                       F.lit(total).cast("bigint").alias("row_count"))
+def inspect(df: DataFrame, encoding: str = "auto") -> DataFrame:
+    """Columns with their types and positions, the table's row count, the files' encoding and each
+    column's values in the first rows (as text). One row of counts and one of values are united
+    and spread over the columns; nothing runs before the result is read."""
+    fields = df.schema.fields
+    texts = [F.col(f"`{f.name}`").cast("string") for f in fields]
+    none = F.lit(None).cast("array<string>")
+    names = [f"p{i}" for i in range(len(fields))]
+    counts = df.agg(F.count(F.lit(1)).alias("n")).select("n", *[none.alias(p) for p in names])
+    first = df.limit(L.INSPECT_SAMPLE_ROWS).select(*[t.alias(p) for t, p in zip(texts, names)]) \
+        .agg(*[F.collect_list(F.struct(p)).getField(p).alias(p) for p in names]) \
+        .select(F.lit(None).cast("bigint").alias("n"), *names)
+    both = counts.unionByName(first).agg(F.max("n").alias("n"), *[F.first(p, ignorenulls=True).alias(p) for p in names])
+    columns = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("column_type"),
+                                 F.lit(i + 1).cast("bigint").alias("position"), F.col(names[i]).alias("preview"))
+                        for i, f in enumerate(fields)])
+    return both.select("n", F.explode(columns).alias("c")).select(
+        "c.column_name", "c.column_type", "c.position", F.col("n").alias("row_count"),
+        F.lit(encoding).alias("encoding"), "c.preview")
+
+
+def inspect_csv(spark: SparkSession, path: str) -> DataFrame:
+    """``inspect`` of CSV files with their detected encoding."""
+    return inspect(read_csv_infer(spark, path), csvfiles.encodings(spark, path))
 
 
 def preview(df: DataFrame, n: int = L.INSPECT_SAMPLE_ROWS) -> DataFrame:

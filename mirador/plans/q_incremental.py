@@ -12,7 +12,8 @@ from mirador.plans import pipeline
 from mirador.plans.oracles import oracle
 from mirador.plans.registry import query
 from mirador.plans.sqlparts import SCORES_CTES, SUMMARY_CTES, avg3, dbl, r3
-from mirador.sources import records
+from mirador.session import scratch_path
+from mirador.sources import records, stores
 
 HEALTH_TS = f"TIMESTAMP '{EVENTS_AS_OF}'"
 TTL_US = L.HEALTH_TTL_HOURS * 3600 * 1_000_000
@@ -182,13 +183,23 @@ WHERE d.status IN ('new', 'modified', 'expired')""", "v_datasets", "v_prev", "v_
 
 @query("orphan_cleanup")
 def q_orphan_cleanup(spark, sf):
+    """The previous run's entries in a store, before and after its orphans are removed."""
     register_views(spark, sf, ("v_prev", "v_catalogs"))
     active = spark.table("v_catalogs").where(F.col("pos") % 4 != 3)
-    return incremental.orphan_cleanup(spark.table("v_prev"), active)
+    store = stores.CatalogStore(spark, scratch_path(spark, "entries"), "external_id string, overall double, catalog_id string", "external_id")
+    store.save(spark.table("v_prev").select("external_id", "overall", "catalog_id"))
+    stored = spark.createDataFrame([(c,) for c in store.catalogs()], "catalog_id string")
+    listed = incremental.orphan_cleanup(stored, active).withColumn("orphan", F.lit(True))
+    store.remove_orphans(active)
+    left = store.load().groupBy("catalog_id").agg(F.count(F.lit(1)).alias("entries_left"))
+    return stored.join(listed, "catalog_id", "left").join(left, "catalog_id", "left").select(
+        "catalog_id", F.coalesce("orphan", F.lit(False)).alias("removed"), F.coalesce("entries_left", F.lit(0)).alias("entries_left"))
 
 
-oracle("orphan_cleanup", """SELECT DISTINCT catalog_id FROM v_prev
-WHERE catalog_id NOT IN (SELECT id FROM v_catalogs WHERE pos % 4 <> 3)""", "v_prev", "v_catalogs")
+oracle("orphan_cleanup", """SELECT p.catalog_id, c.id IS NULL AS removed,
+ CAST(sum(CASE WHEN c.id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS entries_left
+FROM v_prev p LEFT JOIN (SELECT id FROM v_catalogs WHERE pos % 4 <> 3) c ON p.catalog_id = c.id
+GROUP BY p.catalog_id, c.id""", "v_prev", "v_catalogs")
 
 
 @query("summary_fallback")
@@ -260,7 +271,7 @@ def sweep_run(spark, sf):
     protocols = spark.table("v_catalogs").select(F.col("id").alias("catalog_id"), "protocol")
     scores = pipeline.dataset_scores(spark, sf).join(protocols, "catalog_id")
     chunk = incremental.sweep_chunk(scores, plan, SWEEP_CHUNK, keep_undated=F.col("protocol") == "socrata")
-    state = incremental.sweep_state(plan, chunk, SWEEP_CHUNK)
+    state = incremental.sweep_state(plan, chunk, SWEEP_CHUNK, AS_OF)
     aggs = incremental.sweep_aggregates(plan, incremental.sweep_partials(chunk), spark.table("v_sweep_aggs"))
     return plan, chunk, state, aggs
 
@@ -296,13 +307,15 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY catalog_id ORDER BY modifie
 chunk AS (SELECT *, idx % {L.SWEEP_ACCESS_EVERY} = 0 AS with_access FROM ranked WHERE idx < {SWEEP_CHUNK}),
 run AS (SELECT catalog_id, count(*) AS chunk_count, max(modified_at) AS max_modified FROM chunk GROUP BY catalog_id),
 st AS (SELECT p.catalog_id, p.action, p.carried_processed + coalesce(r.chunk_count, 0) AS processed,
-  coalesce(r.chunk_count, 0) AS cc, p.total_known, p.was_complete, p.cursor, p.start_cursor, r.max_modified, p.carried_processed
+  coalesce(r.chunk_count, 0) AS cc, p.total_known, p.was_complete, p.cursor, p.start_cursor, r.max_modified, p.carried_processed,
+  p.last_complete_sweep
   FROM plan2 p LEFT JOIN run r ON p.catalog_id = r.catalog_id),
 st2 AS (SELECT *, cc < {SWEEP_CHUNK} AS complete_now,
   CASE WHEN action <> 'skip' AND cc < {SWEEP_CHUNK} AND processed > total_known THEN processed ELSE total_known END AS total_new FROM st),
 state AS (SELECT catalog_id, action, CAST(CASE WHEN action = 'skip' THEN carried_processed ELSE processed END AS BIGINT) AS processed_count,
   CAST(total_new AS BIGINT) AS total_known, CASE WHEN action = 'skip' THEN was_complete ELSE complete_now END AS complete,
   CASE WHEN action = 'skip' THEN cursor ELSE greatest(start_cursor, coalesce(max_modified, start_cursor)) END AS cursor,
+  CASE WHEN action <> 'skip' AND complete_now THEN TIMESTAMP '{AS_OF}' ELSE last_complete_sweep END AS last_complete_sweep,
   {r3("CASE WHEN total_new > 0 THEN least(" + dbl(1.0) + ", processed / total_new) ELSE " + dbl(0.0) + " END")} AS coverage,
   CAST(cc AS BIGINT) AS chunk_count FROM st2)"""
 
@@ -315,6 +328,52 @@ def q_sweep_chunk(spark, sf):
 oracle("sweep_chunk", f"WITH {CHUNK_SQL}\nSELECT * FROM state", "v_datasets", "v_resources", "v_checks", "v_catalogs",
        "v_sweep_state")
 
+NEXT_AS_OF = "2026-01-05 00:00:00"
+
+
+@query("sweep_next_run")
+def q_sweep_next_run(spark, sf):
+    """A run's state goes through the state store into the plan of the next, which takes all that is left."""
+    _, _, state, _ = sweep_run(spark, sf)
+    path = scratch_path(spark, "sweep-state")
+    stores.state_save(state.drop("action", "chunk_count"), path)
+    cats = spark.table("v_catalogs")
+    plan = incremental.sweep_plan(cats, stores.state_read(spark, path), NEXT_AS_OF)
+    protocols = cats.select(F.col("id").alias("catalog_id"), "protocol")
+    scores = pipeline.dataset_scores(spark, sf).join(protocols, "catalog_id")
+    chunk = incremental.sweep_chunk(scores, plan, 0, keep_undated=F.col("protocol") == "socrata")
+    new = incremental.sweep_state(plan, chunk, 0, NEXT_AS_OF)
+    access = chunk.groupBy("catalog_id").agg(F.sum(F.col("with_access").cast("bigint")).alias("with_access"),
+                                             F.max("idx").cast("bigint").alias("last_idx"))
+    return new.join(access, "catalog_id", "left")
+
+
+NEXT_SQL = f"""{CHUNK_SQL},
+nplan AS (SELECT c.id AS catalog_id, CASE WHEN s.complete AND epoch_us(TIMESTAMP '{NEXT_AS_OF}') - epoch_us(s.last_complete_sweep) < {L.RESCORE_DAYS} * 86400000000 THEN 'skip'
+   WHEN s.complete THEN 'restart' WHEN NOT s.complete THEN 'resume' ELSE 'fresh' END AS action, s.complete AS was_complete,
+   s.last_complete_sweep, s.cursor, s.processed_count, coalesce(s.total_known, 0) AS total_known
+  FROM v_catalogs c LEFT JOIN state s ON c.id = s.catalog_id),
+nplan2 AS (SELECT *, CASE action WHEN 'resume' THEN coalesce(cursor, TIMESTAMP '1970-01-01 00:00:00') WHEN 'restart' THEN last_complete_sweep
+   WHEN 'skip' THEN cursor ELSE TIMESTAMP '1970-01-01 00:00:00' END AS start_cursor,
+   CASE WHEN action IN ('resume', 'skip') THEN processed_count ELSE 0 END AS carried FROM nplan),
+nranked AS (SELECT sc.catalog_id, sc.modified_at, row_number() OVER (PARTITION BY sc.catalog_id ORDER BY sc.modified_at NULLS LAST, sc.id) - 1 AS idx
+  FROM sc JOIN nplan2 p ON sc.catalog_id = p.catalog_id JOIN v_catalogs vc ON vc.id = sc.catalog_id
+  WHERE p.action <> 'skip' AND (sc.modified_at >= p.start_cursor OR (sc.modified_at IS NULL AND vc.protocol = 'socrata'))),
+nrun AS (SELECT catalog_id, count(*) AS cc, max(modified_at) AS max_modified, max(idx) AS last_idx,
+   sum(CASE WHEN idx % {L.SWEEP_ACCESS_EVERY} = 0 THEN 1 ELSE 0 END) AS with_access FROM nranked GROUP BY catalog_id),
+nst AS (SELECT p.*, coalesce(r.cc, 0) AS cc, r.max_modified, r.last_idx, r.with_access, p.carried + coalesce(r.cc, 0) AS processed,
+   CASE WHEN p.action <> 'skip' THEN greatest(p.total_known, p.carried + coalesce(r.cc, 0)) ELSE p.total_known END AS total_new
+  FROM nplan2 p LEFT JOIN nrun r ON p.catalog_id = r.catalog_id)"""
+
+oracle("sweep_next_run", f"""WITH {NEXT_SQL}
+SELECT catalog_id, action, CAST(CASE WHEN action = 'skip' THEN carried ELSE processed END AS BIGINT) AS processed_count,
+ CAST(total_new AS BIGINT) AS total_known, CASE WHEN action = 'skip' THEN was_complete ELSE true END AS complete,
+ CASE WHEN action = 'skip' THEN cursor ELSE greatest(start_cursor, coalesce(max_modified, start_cursor)) END AS cursor,
+ CASE WHEN action = 'skip' THEN last_complete_sweep ELSE TIMESTAMP '{NEXT_AS_OF}' END AS last_complete_sweep,
+ {r3("CASE WHEN total_new > 0 THEN least(" + dbl(1.0) + ", processed / total_new) ELSE " + dbl(0.0) + " END")} AS coverage,
+ CAST(cc AS BIGINT) AS chunk_count, CAST(with_access AS BIGINT) AS with_access, CAST(last_idx AS BIGINT) AS last_idx FROM nst""",
+       "v_datasets", "v_resources", "v_checks", "v_catalogs", "v_sweep_state")
+
 AGGS_SQL = f"""{CHUNK_SQL},
 long AS (SELECT catalog_id, 'completeness' AS dimension, completeness AS score FROM chunk
   UNION ALL SELECT catalog_id, 'freshness', freshness FROM chunk UNION ALL SELECT catalog_id, 'structure', structure FROM chunk

@@ -14,8 +14,8 @@ from mirador.plans.oracles import oracle
 from mirador.plans.registry import query
 from mirador.plans.sqlparts import (SCORES_CTES, expand_acronyms, expand_synonyms, normalize, tokens,
                                     values_table)
-from mirador.sources import records
-from mirador.session import written_table
+from mirador.session import scratch_path, written_table
+from mirador.sources import records, stores
 
 # Fixed parameter: the batch of search queries run against every catalog.
 SEARCH_QUERIES = [
@@ -290,8 +290,13 @@ LOOKUP_CATALOG = "src4"
 
 @query("dataset_lookup")
 def q_dataset_lookup(spark, sf):
-    ds = records.datasets(spark, sf)
-    return documents.lookup(ds, LOOKUP_IDS, LOOKUP_CATALOG).select("requested", "id", "catalog_id", "title")
+    """Records in a catalog store, looked up by id; each id opens its catalog's folder only."""
+    ds = records.datasets(spark, sf).select("id", "title", "catalog_id")
+    store = stores.CatalogStore(spark, scratch_path(spark, "lookup"), "id string, title string, catalog_id string")
+    store.save(ds)
+    wanted = {i.split(":", 1)[0] for i in LOOKUP_IDS if ":" in i} | {LOOKUP_CATALOG}
+    return documents.lookup(store.load(sorted(wanted)), LOOKUP_IDS, LOOKUP_CATALOG) \
+        .select("requested", "id", "catalog_id", "title")
 
 
 oracle("dataset_lookup", f"""WITH req AS (SELECT unnest({"[" + ", ".join(repr(x) for x in LOOKUP_IDS) + "]"}) AS requested)

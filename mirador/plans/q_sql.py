@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mirador.fixtures import load_tables
-from mirador.operators import asof, sqlapi
+from mirador.operators import asof, rangejoin, sqlapi
 from mirador.plans.oracles import oracle
 from mirador.plans.registry import query
 from mirador.session import scratch_path
@@ -61,19 +61,22 @@ UNION ALL SELECT 'anti', count(*), 0 FROM customer c ANTI JOIN orders o ON c.c_c
 
 # Range (band) join: 20 equal-width price bands built from the data (20 rows by
 # construction, so the broadcast side has a proven size), parts matched by range.
-spark_sql("sql_theta_range_join", """
-WITH b AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part),
-bands AS (SELECT band, lo + (hi - lo) * band / 20 AS band_lo, lo + (hi - lo) * (band + 1) / 20 AS band_hi
-          FROM b LATERAL VIEW explode(sequence(0, 19)) s AS band)
-SELECT band, count(*) AS n_parts, CAST(avg(CAST(p_size AS DECIMAL(18,2))) AS DECIMAL(18,4)) AS avg_size
-FROM part JOIN bands ON p_retailprice >= band_lo AND (p_retailprice < band_hi OR band = 19)
-GROUP BY band""", """
-WITH b AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part),
-bands AS (SELECT band, lo + (hi - lo) * band / 20 AS band_lo, lo + (hi - lo) * (band + 1) / 20 AS band_hi
-          FROM b, (SELECT unnest(range(0, 20)) AS band) s)
-SELECT CAST(band AS INTEGER) AS band, count(*) AS n_parts, CAST(avg(CAST(p_size AS DECIMAL(18,2))) AS DECIMAL(18,4)) AS avg_size
-FROM part JOIN bands ON p_retailprice >= band_lo AND (p_retailprice < band_hi OR band = 19)
-GROUP BY band""")
+@query("sql_theta_range_join")
+def q_sql_theta_range_join(spark, sf):
+    """Parts with the line items whose price lies in a band above the part's, as wide as its size says."""
+    load_tables(spark, sf)
+    bands = spark.table("part").select("p_partkey", F.col("p_retailprice").alias("lo"),
+                                       (F.col("p_retailprice") + F.col("p_size") / F.lit(8.0)).alias("hi"))
+    lines = spark.table("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    j = rangejoin.range_join(lines, bands, "l_extendedprice", "lo", "hi")
+    return j.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n_lines"),
+                                      F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("sum_qty"))
+
+
+oracle("sql_theta_range_join", """
+SELECT p_partkey, count(*) AS n_lines, sum(CAST(l_quantity AS DECIMAL(18,2))) AS sum_qty
+FROM part JOIN lineitem ON l_extendedprice >= p_retailprice AND l_extendedprice < p_retailprice + p_size / 8.0::DOUBLE
+GROUP BY p_partkey""")
 
 spark_sql("sql_grouping_sets", """
 SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS BIGINT) AS g_flag,
@@ -240,28 +243,68 @@ SELECT o_orderpriority, count(*) AS n, max(o_totalprice) AS top FROM grandes GRO
 # ------------------------------------------------------------------ CSV, inspect, profile
 
 
+CSV_DIALECTS = {"semicolon": {"sep": ";"}, "quoted_lines": {"quoteAll": True},
+                "latin_1": {"sep": "|", "encoding": "ISO-8859-1"}, "utf_16": {"sep": "\t", "encoding": "UTF-16"}}
+
+
+def customer_files(spark, sf):
+    """The customers as CSV folders of four dialects, with names that need each of them."""
+    root = scratch_path(spark, "customer-csv")
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    line = F.concat("c_name", F.lit('\nsecond "line", '), "c_mktsegment")
+    for name, options in CSV_DIALECTS.items():
+        text = line if name == "quoted_lines" else F.concat("c_name", F.lit(" é, ñ; o"))
+        c.withColumn("c_name", text).write.option("header", True).option("escape", '"').options(**options).csv(f"{root}/{name}")
+    return root
+
+
 @query("csv_scan_infer")
 def q_csv_scan_infer(spark, sf):
-    path = scratch_path(spark, "customer-csv")
-    spark.read.parquet(f"{sf}/customer.parquet").write.option("header", True).csv(path)
-    return sqlapi.read_csv_infer(spark, path)
+    root, out = customer_files(spark, sf), None
+    for name in CSV_DIALECTS:
+        df = sqlapi.read_csv_infer(spark, f"{root}/{name}").withColumn("dialect", F.lit(name))
+        out = df if out is None else out.unionByName(df)
+    return out
 
 
 oracle("csv_scan_infer", """
-SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, CAST(c_nationkey AS INTEGER) AS c_nationkey, c_acctbal, c_mktsegment
-FROM customer""")
+SELECT CAST(c_custkey AS INTEGER) AS c_custkey, CASE WHEN dialect = 'quoted_lines'
+  THEN c_name || chr(10) || 'second "line", ' || c_mktsegment ELSE c_name || ' é, ñ; o' END AS c_name,
+ CAST(c_nationkey AS INTEGER) AS c_nationkey, c_acctbal, c_mktsegment, dialect
+FROM customer, (VALUES ('semicolon'), ('quoted_lines'), ('latin_1'), ('utf_16')) d(dialect)""")
 
 
 @query("inspect_table")
 def q_inspect_table(spark, sf):
-    return sqlapi.inspect(spark.read.parquet(f"{sf}/orders.parquet"))
+    """A Latin-1 file with ``;`` and a Parquet table, inspected."""
+    path = scratch_path(spark, "orders-csv")
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    o.orderBy("o_orderkey").select("o_orderkey", "o_custkey", "o_orderstatus", F.concat("o_orderpriority", F.lit(" é")).alias("o_orderpriority")) \
+        .write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").csv(path)
+    both = sqlapi.inspect_csv(spark, path).withColumn("source", F.lit("csv")) \
+        .unionByName(sqlapi.inspect(o.orderBy("o_orderkey").drop("o_totalprice")).withColumn("source", F.lit("parquet")))
+    return both.withColumn("preview", F.array_join("preview", "|", "NULL"))
 
 
 oracle("inspect_table", """
-SELECT column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
-  WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'INTEGER' THEN 'int' ELSE lower(data_type) END AS column_type,
- CAST(ordinal_position AS BIGINT) AS position, (SELECT count(*) FROM orders) AS row_count
-FROM information_schema.columns WHERE table_name = 'orders'""")
+WITH o AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 5),
+p AS (SELECT string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY o_orderkey) AS o_orderkey,
+  string_agg(CAST(o_custkey AS VARCHAR), '|' ORDER BY o_orderkey) AS o_custkey,
+  string_agg(o_orderstatus, '|' ORDER BY o_orderkey) AS o_orderstatus,
+  string_agg(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), '|' ORDER BY o_orderkey) AS o_orderdate,
+  string_agg(o_orderpriority, '|' ORDER BY o_orderkey) AS o_orderpriority,
+  string_agg(o_orderpriority || ' é', '|' ORDER BY o_orderkey) AS accented FROM o),
+n AS (SELECT count(*) AS row_count FROM orders)
+SELECT c.column_name, c.column_type, CAST(c.position AS BIGINT) AS position, row_count, c.encoding, c.preview, c.source FROM n, (
+ SELECT 'o_orderkey' AS column_name, 'int' AS column_type, 1 AS position, o_orderkey AS preview, 'ISO-8859-1' AS encoding, 'csv' AS source FROM p
+ UNION ALL SELECT 'o_custkey', 'int', 2, o_custkey, 'ISO-8859-1', 'csv' FROM p
+ UNION ALL SELECT 'o_orderstatus', 'string', 3, o_orderstatus, 'ISO-8859-1', 'csv' FROM p
+ UNION ALL SELECT 'o_orderpriority', 'string', 4, accented, 'ISO-8859-1', 'csv' FROM p
+ UNION ALL SELECT 'o_orderkey', 'bigint', 1, o_orderkey, 'auto', 'parquet' FROM p
+ UNION ALL SELECT 'o_custkey', 'bigint', 2, o_custkey, 'auto', 'parquet' FROM p
+ UNION ALL SELECT 'o_orderstatus', 'string', 3, o_orderstatus, 'auto', 'parquet' FROM p
+ UNION ALL SELECT 'o_orderdate', 'timestamp_ntz', 4, o_orderdate, 'auto', 'parquet' FROM p
+ UNION ALL SELECT 'o_orderpriority', 'string', 5, o_orderpriority, 'auto', 'parquet' FROM p) c""")
 
 
 @query("column_profile")

@@ -60,6 +60,7 @@ oracle("charset_scan", """SELECT doc_id,
 
 # ------------------------------------------------------------------ metadata store
 META_TTL_HOURS = 24
+METADATA_SCHEMA = "id string, title string, cached_at timestamp, catalog_id string"
 
 
 @query("metadata_store")
@@ -68,13 +69,15 @@ def q_metadata_store(spark, sf):
     d = records.datasets(spark, sf)
     cats = spark.table("v_catalogs").select(F.col("id").alias("catalog_id"), "pos")
     d = d.join(cats, "catalog_id")
-    path = scratch_path(spark, "metadata")
+    store = stores.CatalogStore(spark, scratch_path(spark, "metadata"), METADATA_SCHEMA)
     cached_at = F.lit(AS_OF).cast("timestamp") - F.make_interval(hours=(F.col("pos") % 4) * 10)
-    stores.metadata_save(d.withColumn("cached_at", cached_at).drop("pos"), path)
-    return stores.metadata_load(spark, path, AS_OF, META_TTL_HOURS).select("id", "catalog_id", "title")
+    cached = d.select("id", "catalog_id", "title", cached_at.alias("cached_at"), "pos")
+    store.save(cached.withColumn("title", F.lit("an old title")).drop("pos"))
+    store.save(cached.where("pos % 4 <> 1").drop("pos"))             # replaces these catalogs only
+    return stores.fresh_records(store.load(), AS_OF, META_TTL_HOURS).select("id", "catalog_id", "title")
 
 
-oracle("metadata_store", """SELECT d.id, d.catalog_id, d.title FROM v_datasets d JOIN v_catalogs c ON d.catalog_id = c.id
+oracle("metadata_store", """SELECT d.id, d.catalog_id, CASE WHEN c.pos % 4 = 1 THEN 'an old title' ELSE d.title END AS title FROM v_datasets d JOIN v_catalogs c ON d.catalog_id = c.id
 WHERE c.pos % 4 <> 3""", "v_datasets", "v_catalogs")
 
 # ------------------------------------------------------------------ score export
@@ -116,7 +119,8 @@ def q_state_store(spark, sf):
     cats = spark.table("v_catalogs")
     pos = F.col("pos")
     state = F.to_json(F.struct(
-        F.col("id").alias("catalog_id"),
+        F.col("id").alias("catalog_id"), (pos * 3).cast("bigint").alias("processed_count"),
+        F.when(pos % 3 == 0, F.lit("2025-12-30T00:00:00.000Z")).alias("last_complete_sweep"),
         F.when(pos % 2 == 0, F.lit("detail")).otherwise(F.lit("aggregate")).alias("tier"),
         F.when(pos % 5 == 2, F.lit("unreachable")).otherwise(F.lit("ok")).alias("status"),
         F.when(pos % 5 == 2, F.lit(3)).otherwise(F.lit(0)).cast("bigint").alias("consecutive_failures"),
@@ -126,12 +130,16 @@ def q_state_store(spark, sf):
     path = scratch_path(spark, "state")
     stores.state_write_lines(cats.where(pos % 4 != 3).select(line.alias("value")), path)
     st = stores.state_read(spark, path)
-    return cats.join(st, cats["id"] == st["catalog_id"], "left").select(
-        "id", F.col("catalog_id").isNotNull().alias("has_state"), "tier", "status", "consecutive_failures")
+    none = stores.state_read(spark, scratch_path(spark, "no-state")).select(F.col("catalog_id").alias("nothing"))
+    return cats.join(st, cats["id"] == st["catalog_id"], "left").join(none, cats["id"] == none["nothing"], "left").select(
+        "id", F.col("catalog_id").isNotNull().alias("has_state"), "tier", "status", "consecutive_failures",
+        "processed_count", "last_complete_sweep", F.col("nothing").isNotNull().alias("in_missing_folder"))
 
 
 oracle("state_store", f"""WITH s AS (SELECT id, pos % 4 <> 3 AND pos <> {CORRUPT_POS} AS has_state, pos FROM v_catalogs)
 SELECT id, has_state, CASE WHEN has_state THEN CASE WHEN pos % 2 = 0 THEN 'detail' ELSE 'aggregate' END END AS tier,
  CASE WHEN has_state THEN CASE WHEN pos % 5 = 2 THEN 'unreachable' ELSE 'ok' END END AS status,
- CAST(CASE WHEN has_state THEN CASE WHEN pos % 5 = 2 THEN 3 ELSE 0 END END AS BIGINT) AS consecutive_failures FROM s""",
+ CAST(CASE WHEN has_state THEN CASE WHEN pos % 5 = 2 THEN 3 ELSE 0 END END AS BIGINT) AS consecutive_failures,
+ CAST(CASE WHEN has_state THEN pos * 3 END AS BIGINT) AS processed_count,
+ CASE WHEN has_state AND pos % 3 = 0 THEN TIMESTAMP '2025-12-30 00:00:00' END AS last_complete_sweep, false AS in_missing_folder FROM s""",
        "v_catalogs")

@@ -1,15 +1,15 @@
 """Stores in the shared folder: cached catalog records, score exports and run
 state; plus the per-URL load plan and a charset scan over raw files.
 
-Everything is written by executors with the DataFrame writers (partitioned by
-catalog, so a catalog can be replaced or read alone) and read back with
-pruning; nothing is assembled on the driver. Per-catalog files hold one JSON
-line per record instead of one nested document per catalog, so no catalog is
-ever collected into a single row.
+Everything is written by executors with the DataFrame writers into new folders, and a manifest
+is switched last (``versions``), so readers see the old version or the new one; nothing is
+assembled on the driver. Per-catalog files hold one JSON line per record instead of one
+nested document per catalog, so no catalog is ever collected into a single row.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,21 +18,77 @@ from pyspark.sql import functions as F
 
 from mirador.functions import lookups as L
 from mirador.functions.columns import epoch_micros
+from mirador.sources import versions
 
 HOUR_US = 3600 * 1_000_000
 
 
 # ------------------------------------------------------------------ metadata store
-def metadata_save(records: DataFrame, path: str) -> None:
-    """Save records (with their ``cached_at`` time) per catalog; dynamic partition
-    overwrite replaces only the catalogs present in ``records``."""
-    (records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("catalog_id").parquet(path))
-
+class CatalogStore:
+    """Records by catalog, of which a write replaces whole catalogs.
+
+    A write fills ``version=<uuid>/catalog_id=<c>`` folders, clustered by (catalog, id): rows are
+    range-partitioned by both, so a task holds few catalogs and a large catalog spreads over
+    many tasks. Then the manifest, a line (catalog, version) per catalog, is switched; a failed
+    write leaves every catalog as it was. Reads name the catalogs' folders, so a point lookup
+    opens one, where Parquet's statistics and a bloom filter on the id skip row groups. The
+    driver holds the list of catalogs, as a metastore holds partitions.
+    """
 
-def metadata_load(spark: SparkSession, path: str, as_of: str, ttl_hours: float) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str, schema: str, id_col: str = "id") -> None:
+        self.spark, self.path, self.schema, self.id_col = spark, path.rstrip("/"), schema, id_col
+
+    def catalogs(self) -> dict[str, str]:
+        """Catalog -> version, as the manifest says."""
+        lines = (versions.head(self.spark, self.path) or "").splitlines()
+        return dict(line.split("\t") for line in lines)
+
+    def publish(self, mapping: dict[str, str], before: dict[str, str], seen: int) -> None:
+        versions.switch(self.spark, self.path, "\n".join(f"{c}\t{v}" for c, v in sorted(mapping.items())), seen)
+        for c, v in before.items():
+            if mapping.get(c) != v:
+                versions.delete(self.spark, self.folder(c, v))
+
+    def folder(self, catalog: str, version: str) -> str:
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        return f"{self.path}/version={version}/catalog_id={escape(catalog)}"
+
+    def save(self, records: DataFrame, **options) -> None:
+        """Replace the catalogs that ``records`` holds (rows without a catalog are left out)."""
+        seen, before, version = versions.entries(self.spark, self.path), self.catalogs(), uuid.uuid4().hex[:12]
+        bloom = {f"parquet.bloom.filter.enabled#{self.id_col}": "true"}
+        (records.where(F.col("catalog_id").isNotNull()).repartitionByRange("catalog_id", self.id_col)
+         .sortWithinPartitions("catalog_id", self.id_col).write.options(**{**bloom, **options})
+         .partitionBy("catalog_id").parquet(f"{self.path}/version={version}"))
+        unescape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        new = [unescape(n.split("=", 1)[1]) for n in versions.listed(self.spark, f"{self.path}/version={version}") if "=" in n]
+        self.publish({**before, **dict.fromkeys(new, version)}, before, seen[-1] if seen else 0)
+
+    def load(self, catalogs: list[str] | None = None) -> DataFrame:
+        """Records of the catalogs (all, if none are named); none if nothing is stored."""
+        held = self.catalogs()
+        names = sorted(held) if catalogs is None else sorted(set(catalogs) & set(held))
+        if not names:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).option("basePath", self.path) \
+            .parquet(*[self.folder(c, held[c]) for c in names])
+
+    def lookup(self, ids: list[str], catalogs: dict[str, str]) -> DataFrame:
+        """Records by id; ``catalogs`` names each id's catalog, and only those folders are read."""
+        return self.load(sorted(set(catalogs.values()))).where(F.col(self.id_col).isin(*ids))
+
+    def remove_orphans(self, active: DataFrame, column: str = "id") -> list[str]:
+        """Remove the catalogs that are not active; returns them."""
+        seen, before = versions.entries(self.spark, self.path), self.catalogs()
+        stored = self.spark.createDataFrame([(c,) for c in sorted(before)], "catalog_id string")
+        gone = [r[0] for r in stored.join(active.select(F.col(column).alias("catalog_id")), "catalog_id", "left_anti").collect()]
+        if gone:
+            self.publish({c: v for c, v in before.items() if c not in set(gone)}, before, seen[-1])
+        return sorted(gone)
+
+
+def fresh_records(df: DataFrame, as_of: str, ttl_hours: float) -> DataFrame:
     """Records of the catalogs whose cache is younger than the TTL."""
-    df = spark.read.parquet(path)
     age = epoch_micros(F.lit(as_of).cast("timestamp")) - epoch_micros(F.col("cached_at"))
     return df.where(age < int(ttl_hours * HOUR_US))
 
@@ -41,20 +97,26 @@ def metadata_load(spark: SparkSession, path: str, as_of: str, ttl_hours: float)
 def export_scores(index: DataFrame, scores: DataFrame, meta: DataFrame, path: str,
                   entries: DataFrame | None = None) -> dict[str, str]:
     """Write the catalog index, the per-catalog dataset scores, the per-catalog
-    dataset entries (what the next run diffs against) and the run metadata as JSON."""
-    out = {"catalogs": f"{path}/catalogs.json", "scores": f"{path}/catalogs", "meta": f"{path}/meta.json",
-           "entries": f"{path}/entries"}
-    index.write.mode("overwrite").json(out["catalogs"])
-    scores.write.mode("overwrite").partitionBy("catalog_id").json(out["scores"])
-    if entries is not None:
-        entries.write.mode("overwrite").partitionBy("catalog_id").json(out["entries"])
-    meta.coalesce(1).write.mode("overwrite").json(out["meta"])
-    return out
+    dataset entries (what the next run diffs against) and the run metadata as JSON: a new
+    version of the export, which is switched when all of it is written. Per-catalog rows are
+    range-partitioned by (catalog, id), so a task writes few files."""
+    def write(folder: str) -> None:
+        index.write.json(f"{folder}/catalogs.json")
+        scores.repartitionByRange("catalog_id", "id").write.partitionBy("catalog_id").json(f"{folder}/catalogs")
+        if entries is not None:
+            entries.repartitionByRange("catalog_id", "external_id").write.partitionBy("catalog_id").json(f"{folder}/entries")
+        meta.coalesce(1).write.json(f"{folder}/meta.json")
+
+    folder = versions.publish(index.sparkSession, path, write)
+    return {"catalogs": f"{folder}/catalogs.json", "scores": f"{folder}/catalogs", "meta": f"{folder}/meta.json",
+            "entries": f"{folder}/entries"}
 
 
 # ------------------------------------------------------------------ state store
+SWEEP_SCHEMA = ("processed_count bigint, total_known bigint, complete boolean, cursor timestamp, "
+                "last_complete_sweep timestamp, coverage double")
 STATE_SCHEMA = ("catalog_id string, tier string, status string, consecutive_failures bigint, "
-                "last_run_at string, _corrupt_record string")
+                f"last_run_at string, {SWEEP_SCHEMA}, _corrupt_record string")
 
 
 def state_write_lines(lines: DataFrame, path: str) -> None:
@@ -62,10 +124,18 @@ def state_write_lines(lines: DataFrame, path: str) -> None:
     lines.select("value").write.mode("overwrite").text(path)
 
 
+def state_save(state: DataFrame, path: str) -> None:
+    """Publish a run's state (any of the schema's columns) as the next version."""
+    versions.save(state.select(F.to_json(F.struct(*state.columns)).alias("value")), path, "text")
+
+
 def state_read(spark: SparkSession, path: str) -> DataFrame:
-    """Read state; a corrupt line yields no state for its catalog (PERMISSIVE mode)."""
+    """Read state, of the current version if there are versions; a missing folder is no state, a
+    corrupt line yields no state for its catalog (PERMISSIVE mode)."""
+    if not versions.listed(spark, path):
+        return spark.createDataFrame([], STATE_SCHEMA).drop("_corrupt_record")
     df = (spark.read.schema(STATE_SCHEMA).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+          .option("columnNameOfCorruptRecord", "_corrupt_record").json(versions.current(spark, path) or path))
     return df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 

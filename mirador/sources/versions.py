@@ -38,46 +38,57 @@ def entries(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n) for n in listed(spark, f"{path}/_manifest") if n.isdigit())
 
 
-def current(spark: SparkSession, path: str) -> str | None:
-    """The folder of the current version, if there is one."""
-    numbers = entries(spark, path)
-    if not numbers:
-        return None
-    fs, p = path_of(spark, f"{path}/_manifest/{numbers[-1]}")
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    fs, p = path_of(spark, path)
     stream = fs.open(p)
     try:
-        name = bytes(stream.readAllBytes()).decode().strip()
+        return bytes(stream.readAllBytes()).decode()
     finally:
         stream.close()
-    return f"{path}/{name}"
 
 
-def publish(spark: SparkSession, path: str, write: Callable[[str], None], keep: int = 2) -> str:
-    """Let ``write`` fill a new folder, then make it the current version; older versions beyond
-    ``keep`` and folders without an entry are deleted."""
-    name, before = f"v-{uuid.uuid4().hex[:12]}", entries(spark, path)
-    write(f"{path}/{name}")
-    number = before[-1] + 1 if before else 1
-    fs, staged = path_of(spark, f"{path}/_manifest/.{name}")
+def head(spark: SparkSession, path: str) -> str | None:
+    """The text of the current manifest entry, if there is one."""
+    numbers = entries(spark, path)
+    return read_text(spark, f"{path}/_manifest/{numbers[-1]}") if numbers else None
+
+
+def switch(spark: SparkSession, path: str, text: str, seen: int) -> int:
+    """Make ``text`` the entry after number ``seen``; fails if another writer was first."""
+    number = seen + 1
+    fs, staged = path_of(spark, f"{path}/_manifest/.{uuid.uuid4().hex}")
     out = fs.create(staged, False)
-    out.write(bytearray(name.encode()))
+    out.write(bytearray(text.encode()))
     out.close()
     if not fs.rename(staged, path_of(spark, f"{path}/_manifest/{number}")[1]):
         fs.delete(staged, False)
         raise RuntimeError(f"version {number} of {path} was published by another writer")
+    return number
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the current version, if there is one."""
+    name = head(spark, path)
+    return None if name is None else f"{path}/{name.strip()}"
+
+
+def publish(spark: SparkSession, path: str, write: Callable[[str], None], keep: int = 2) -> str:
+    """Let ``write`` fill a new folder, then make it the current version; versions older than the
+    last ``keep`` are deleted."""
+    name, before = f"v-{uuid.uuid4().hex[:12]}", entries(spark, path)
+    write(f"{path}/{name}")
+    switch(spark, path, name, before[-1] if before else 0)
     vacuum(spark, path, keep)
     return f"{path}/{name}"
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
     """Delete versions older than the last ``keep``; returns the folders' names."""
-    numbers, gone = entries(spark, path), []
-    for number in numbers[:-keep]:
-        fs, p = path_of(spark, f"{path}/_manifest/{number}")
-        stream = fs.open(p)
-        name = bytes(stream.readAllBytes()).decode().strip()
-        stream.close()
-        fs.delete(p, False)
+    gone = []
+    for number in entries(spark, path)[:-keep]:
+        name = read_text(spark, f"{path}/_manifest/{number}").strip()
+        delete(spark, f"{path}/_manifest/{number}")
         delete(spark, f"{path}/{name}")
         gone.append(name)
     return gone
