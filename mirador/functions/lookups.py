@@ -195,6 +195,97 @@ ACRONYMS = {
         "IGN": "Instituto Geográfico Nacional",
         "SMN": "Servicio Meteorológico Nacional",
     },
+    "CA": {
+        "StatCan": "Statistics Canada",
+        "CRA": "Canada Revenue Agency",
+        "PHAC": "Public Health Agency of Canada",
+        "NRCan": "Natural Resources Canada",
+        "ECCC": "Environment and Climate Change Canada",
+        "AAFC": "Agriculture and Agri-Food Canada",
+        "IRCC": "Immigration, Refugees and Citizenship Canada",
+        "DFO": "Fisheries and Oceans Canada",
+        "CBSA": "Canada Border Services Agency",
+        "TC": "Transport Canada",
+    },
+    "CL": {
+        "INE": "Instituto Nacional de Estadísticas",
+        "SII": "Servicio de Impuestos Internos",
+        "SERVEL": "Servicio Electoral de Chile",
+        "SAG": "Servicio Agrícola y Ganadero",
+        "CONAF": "Corporación Nacional Forestal",
+        "SERNAC": "Servicio Nacional del Consumidor",
+        "MINSAL": "Ministerio de Salud",
+        "MINEDUC": "Ministerio de Educación",
+        "MOP": "Ministerio de Obras Públicas",
+        "JUNAEB": "Junta Nacional de Auxilio Escolar y Becas",
+    },
+    "CO": {
+        "DANE": "Departamento Administrativo Nacional de Estadística",
+        "DNP": "Departamento Nacional de Planeación",
+        "DIAN": "Dirección de Impuestos y Aduanas Nacionales",
+        "IDEAM": "Instituto de Hidrología, Meteorología y Estudios Ambientales",
+        "IGAC": "Instituto Geográfico Agustín Codazzi",
+        "INVIMA": "Instituto Nacional de Vigilancia de Medicamentos y Alimentos",
+        "SENA": "Servicio Nacional de Aprendizaje",
+        "ANI": "Agencia Nacional de Infraestructura",
+        "ICBF": "Instituto Colombiano de Bienestar Familiar",
+        "ICFES": "Instituto Colombiano para la Evaluación de la Educación",
+        "COLCIENCIAS": "Departamento Administrativo de Ciencia, Tecnología e Innovación",
+        "SUPERFINANCIERA": "Superintendencia Financiera de Colombia",
+        "MINTIC": "Ministerio de Tecnologías de la Información y las Comunicaciones",
+        "MINSALUD": "Ministerio de Salud y Protección Social",
+        "MINTRANSPORTE": "Ministerio de Transporte",
+    },
+    "GB": {
+        "ONS": "Office for National Statistics",
+        "HMRC": "His Majesty's Revenue and Customs",
+        "NHS": "National Health Service",
+        "DEFRA": "Department for Environment, Food and Rural Affairs",
+        "DfT": "Department for Transport",
+        "DfE": "Department for Education",
+        "DLUHC": "Department for Levelling Up, Housing and Communities",
+        "MOD": "Ministry of Defence",
+        "MOJ": "Ministry of Justice",
+        "EA": "Environment Agency",
+    },
+    "MX": {
+        "INEGI": "Instituto Nacional de Estadística y Geografía",
+        "SAT": "Servicio de Administración Tributaria",
+        "CONEVAL": "Consejo Nacional de Evaluación de la Política de Desarrollo Social",
+        "CONAGUA": "Comisión Nacional del Agua",
+        "CONAPO": "Consejo Nacional de Población",
+        "SEMARNAT": "Secretaría de Medio Ambiente y Recursos Naturales",
+        "SEP": "Secretaría de Educación Pública",
+        "IMSS": "Instituto Mexicano del Seguro Social",
+        "BANXICO": "Banco de México",
+        "SHCP": "Secretaría de Hacienda y Crédito Público",
+    },
+    "US": {
+        "EPA": "Environmental Protection Agency",
+        "FDA": "Food and Drug Administration",
+        "CDC": "Centers for Disease Control and Prevention",
+        "USDA": "United States Department of Agriculture",
+        "DOT": "Department of Transportation",
+        "HHS": "Department of Health and Human Services",
+        "DOE": "Department of Energy",
+        "NOAA": "National Oceanic and Atmospheric Administration",
+        "FEMA": "Federal Emergency Management Agency",
+        "IRS": "Internal Revenue Service",
+        "BLS": "Bureau of Labor Statistics",
+        "NHTSA": "National Highway Traffic Safety Administration",
+    },
+    "UY": {
+        "INE": "Instituto Nacional de Estadística",
+        "DGI": "Dirección General Impositiva",
+        "AGESIC": "Agencia de Gobierno Electrónico y Sociedad de la Información y del Conocimiento",
+        "ANEP": "Administración Nacional de Educación Pública",
+        "ASSE": "Administración de los Servicios de Salud del Estado",
+        "BPS": "Banco de Previsión Social",
+        "OSE": "Obras Sanitarias del Estado",
+        "UTE": "Usinas y Trasmisiones Eléctricas",
+        "MGAP": "Ministerio de Ganadería, Agricultura y Pesca",
+        "MSP": "Ministerio de Salud Pública",
+    },
 }
 
 # ---------------------------------------------------------------- SQL guard

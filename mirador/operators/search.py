@@ -20,14 +20,16 @@ from pyspark.sql import functions as F
 
 from mirador.functions import lookups as L
 from mirador.functions.columns import fts_tokens
+from mirador.operators.numbering import numbered
 from mirador.operators.text import expand_query
 
 FIELDS = ("title", "description", "organization", "tags")
 
 # Fixed parameter: the languages and acronym pack each stand-in catalog uses.
-CATALOG_LANG_SQL = """
+PACK_OF = "CASE {} % 9 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(L.ACRONYMS)) + " ELSE '' END"
+CATALOG_LANG_SQL = f"""
 SELECT id AS catalog_id, CASE WHEN pos % 2 = 0 THEN 'es' ELSE 'en' END AS language,
- CASE WHEN country = 'AMERICA' THEN 'AR' ELSE '' END AS country_code FROM v_catalogs"""
+ {PACK_OF.format('pos')} AS country_code FROM v_catalogs"""
 
 
 def index_rows(datasets: DataFrame) -> DataFrame:
@@ -124,13 +126,8 @@ def query_terms(queries: list[tuple[int, str]], catalog_lang: DataFrame, stem=No
     return exp.select("query_id", "catalog_id", F.explode(terms).alias("term"))
 
 
-def bm25_scores(index: dict[str, DataFrame], qterms: DataFrame) -> DataFrame:
-    """Weighted BM25 per (query, catalog, doc), scores > 0 only."""
-    keys = ["catalog_id", "term"]
-    # term statistics of the query terms only (semi join against the small side)
-    dfq = index["term_df"].join(qterms.select(*keys).distinct(), keys, "left_semi")
-    hits = index["postings"].join(qterms, keys)
-    hits = hits.join(dfq, keys).join(index["stats"], "catalog_id")
+def score_part() -> Column:
+    """One posting's weighted BM25 part, from its row with df and the catalog's stats."""
     k, b = L.BM25_K, L.BM25_B
     idf = F.log10((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     tf = F.col("tf")
@@ -138,9 +135,18 @@ def bm25_scores(index: dict[str, DataFrame], qterms: DataFrame) -> DataFrame:
     weight = F.lit(0.0)
     for f, w in L.FIELD_WEIGHTS.items():
         weight = F.when(F.col("field") == f, F.lit(w)).otherwise(weight)
-    scored = (hits.groupBy("query_id", "catalog_id", "id").agg(F.sum(part * weight).alias("score"))
-              .where(F.col("score") > 0))
-    return scored
+    return part * weight
+
+
+def bm25_scores(index: dict[str, DataFrame], qterms: DataFrame) -> DataFrame:
+    """Weighted BM25 per (query, catalog, doc), scores > 0 only."""
+    keys = ["catalog_id", "term"]
+    # term statistics of the query terms only (semi join against the small side)
+    dfq = index["term_df"].join(qterms.select(*keys).distinct(), keys, "left_semi")
+    hits = index["postings"].join(qterms, keys)
+    hits = hits.join(dfq, keys).join(index["stats"], "catalog_id")
+    return (hits.groupBy("query_id", "catalog_id", "id").agg(F.sum(score_part()).alias("score"))
+            .where(F.col("score") > 0))
 
 
 def top_n(df: DataFrame, keys: list[str], n: int, score: str = "score") -> DataFrame:
@@ -153,6 +159,76 @@ def bm25_search(index, qterms, limit: int = L.DEFAULT_FTS_LIMIT) -> DataFrame:
     return top_n(bm25_scores(index, qterms), ["query_id", "catalog_id"], limit)
 
 
+# ------------------------------------------------------------------ postings by impact
+BLOCK_POSTINGS = 128           # postings a block; at least the largest limit that is pruned for
+TERM_BUCKETS = 64              # folders of the postings
+
+
+def term_bucket(catalog: Column, term: Column) -> Column:
+    return F.pmod(F.xxhash64(catalog, term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def impacts(index: dict[str, DataFrame]) -> DataFrame:
+    """(catalog_id, term, id, impact): what a term adds to a document's score, over its fields."""
+    j = index["postings"].join(index["term_df"], ["catalog_id", "term"]).join(index["stats"], "catalog_id")
+    return j.groupBy("catalog_id", "term", "id").agg(F.sum(score_part()).alias("impact")).where(F.col("impact") > 0)
+
+
+def write_impacts(index: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
+    """Postings in blocks of ``BLOCK_POSTINGS``, greatest impacts first, in folders by (catalog,
+    term); and a row per block with its greatest impact, the first block's with all of its
+    impacts. Numbers come from range partitions, so a very common term is no single task's."""
+    ranked = numbered(impacts(index), ["catalog_id", "term"], [F.col("impact").desc(), F.col("id")])
+    ranked = ranked.select("*", F.floor((F.col("rn") - 1) / BLOCK_POSTINGS).cast("int").alias("block"),
+                           term_bucket(F.col("catalog_id"), F.col("term")).alias("bucket"))
+    (ranked.repartitionByRange("bucket", "catalog_id", "term", "block").sortWithinPartitions("bucket", "catalog_id", "term", "rn")
+     .write.partitionBy("bucket").parquet(f"{path}/postings"))
+    spark = ranked.sparkSession
+    rows = spark.read.parquet(f"{path}/postings")
+    (rows.groupBy("bucket", "catalog_id", "term", "block").agg(F.max("impact").alias("bound"), F.collect_list("impact").alias("all"))
+     .select("bucket", "catalog_id", "term", "block", "bound", F.when(F.col("block") == 0, F.sort_array("all", asc=False)).alias("top"))
+     .repartitionByRange("bucket", "catalog_id", "term").sortWithinPartitions("bucket", "catalog_id", "term")
+     .write.partitionBy("bucket").parquet(f"{path}/blocks"))
+    return read_impacts(spark, path)
+
+
+def read_impacts(spark, path: str) -> dict[str, DataFrame]:
+    return {"impacts": spark.read.parquet(f"{path}/postings"), "blocks": spark.read.parquet(f"{path}/blocks")}
+
+
+def useful_blocks(blocks: DataFrame, qterms: DataFrame, limit: int) -> DataFrame:
+    """The blocks of the query terms that can hold one of the ``limit`` best documents.
+
+    A term's ``limit``-th impact is a lower bound of a query's ``limit``-th score, the greatest
+    of them the threshold. A document in a block scores at most the block's bound and the other
+    terms' greatest impacts; below the threshold the block is left out. Documents at or
+    above it lose no block, and at least ``limit`` of them are, so the result is exact."""
+    if limit > BLOCK_POSTINGS:
+        raise ValueError("the limit goes beyond a block")
+    mine = blocks.join(qterms, ["catalog_id", "term"])
+    key = ["query_id", "catalog_id"]
+    firsts = mine.where(F.col("block") == 0)
+    kth = F.when(F.size("top") >= limit, F.element_at("top", limit)).otherwise(F.lit(0.0))
+    sums = firsts.groupBy(*key).agg(F.sum("bound").alias("most"), F.max(kth).alias("threshold"))
+    own = firsts.select(*key, "term", F.col("bound").alias("own"))
+    j = mine.join(sums, key).join(own, [*key, "term"])
+    reach = F.col("bound") + F.col("most") - F.col("own") + F.lit(1e-6)
+    return j.where(reach >= F.col("threshold")).select(*key, "term", "block")
+
+
+def bm25_topk(index: dict[str, DataFrame], qterms: DataFrame, limit: int = L.DEFAULT_FTS_LIMIT) -> DataFrame:
+    """The ``limit`` best documents per (query, catalog), from the blocks that can hold them. Only
+    the folders of the query's terms are read (a partition filter), and within them the row
+    groups of their blocks."""
+    terms = qterms.withColumn("bucket", term_bucket(F.col("catalog_id"), F.col("term")))
+    buckets = [r[0] for r in terms.select("bucket").distinct().collect()]       # at most TERM_BUCKETS numbers
+    here = F.col("bucket").isin(*buckets) if buckets else F.lit(False)
+    wanted = useful_blocks(index["blocks"].where(here), qterms, limit)
+    hits = index["impacts"].where(here).join(wanted, ["catalog_id", "term", "block"])
+    scored = hits.groupBy("query_id", "catalog_id", "id").agg(F.sum("impact").alias("score"))
+    return top_n(scored, ["query_id", "catalog_id"], limit)
+
+
 LIKE_ESCAPE = "\x01"
 
 
@@ -171,17 +247,23 @@ def _like_any(terms: list[str]) -> Column:
 
 
 def like_fallback(datasets: DataFrame, queries: list[tuple[int, str]],
-                  limit: int = L.DEFAULT_FTS_LIMIT) -> DataFrame:
+                  limit: int = L.DEFAULT_FTS_LIMIT, pairs: DataFrame | None = None) -> DataFrame:
     """Rows where any query word (> 1 letter) is a substring of any field; score =
     number of words; the first ``limit`` per (query, catalog) by id.
 
     Each record is tested against the (parameter-sized) query list in one
-    projection and only matches are emitted; no record x query product.
+    projection and only matches are emitted; no record x query product. With ``pairs``
+    (query_id, catalog_id) only those are looked for: a catalog without a pair is not read
+    further, and a record is tested for its catalog's queries only.
     """
     rows = index_rows(datasets)
+    asked = F.lit(True)
+    if pairs is not None:
+        wanted = pairs.groupBy("catalog_id").agg(F.collect_set("query_id").alias("asked"))    # the queries at most
+        rows = rows.join(wanted, "catalog_id")
     matched = F.array_compact(F.array(*[
-        F.when(_like_any(like_terms(q)), F.struct(F.lit(qid).alias("query_id"),
-                                                   F.lit(float(len(like_terms(q)))).alias("score")))
+        F.when((F.array_contains("asked", qid) if pairs is not None else asked) & _like_any(like_terms(q)),
+               F.struct(F.lit(qid).alias("query_id"), F.lit(float(len(like_terms(q)))).alias("score")))
         for qid, q in queries if like_terms(q)] or [F.lit(None).cast("struct<query_id:int,score:double>")]))
     hits = rows.select("id", "catalog_id", F.explode(matched).alias("m")) \
                .select(F.col("m.query_id").alias("query_id"), "catalog_id", "id", F.col("m.score").alias("score"))
@@ -189,12 +271,14 @@ def like_fallback(datasets: DataFrame, queries: list[tuple[int, str]],
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def fts_search(datasets, index, qterms, queries, limit: int) -> DataFrame:
-    """BM25 per (query, catalog); where it finds nothing, the LIKE fallback."""
-    lex = bm25_search(index, qterms, limit)
-    fb = like_fallback(datasets, queries, limit)
-    missing = fb.join(lex.select("query_id", "catalog_id").distinct(), ["query_id", "catalog_id"], "left_anti")
-    return lex.unionByName(missing)
+def fts_search(datasets, index, qterms, queries, limit: int, catalogs: DataFrame | None = None) -> DataFrame:
+    """BM25 per (query, catalog); the LIKE fallback for the pairs where it finds nothing.
+    ``catalogs`` (catalog_id) are those searched (default: all that have records)."""
+    lex = bm25_topk(index, qterms, limit) if "impacts" in index else bm25_search(index, qterms, limit)
+    known = (index["stats"] if catalogs is None else catalogs).select("catalog_id")
+    pairs = known.withColumn("query_id", F.explode(F.array(*[F.lit(qid) for qid, _ in queries])))
+    empty = pairs.join(lex.select("query_id", "catalog_id").distinct(), ["query_id", "catalog_id"], "left_anti")
+    return lex.unionByName(like_fallback(datasets, queries, limit, empty))
 
 
 # ------------------------------------------------------------------ post-filters
@@ -226,6 +310,12 @@ def merge_over_catalogs(per_catalog: DataFrame) -> DataFrame:
     return per_catalog.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
+def in_catalog(df: DataFrame, catalog: str | None) -> DataFrame:
+    """Rows of one catalog, if one is named: put on the query terms, the vectors and the records,
+    so postings, vectors and texts of the others are not read."""
+    return df if catalog is None else df.where(F.col("catalog_id") == catalog)
+
+
 def hybrid_search(per_catalog: DataFrame, datasets: DataFrame, resources: DataFrame,
                   limit: int = L.DEFAULT_SEARCH_LIMIT, organization: str | None = None,
                   fmt: str | None = None, tags: list[str] | None = None) -> DataFrame:

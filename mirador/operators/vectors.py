@@ -1,9 +1,9 @@
 """Vectors: text embedding, upsert by id, and top-k cosine search.
 
 * ``embed_text`` runs a pluggable encoder over Arrow batches (``mapInPandas``);
-  the default encoder hashes tokens into a fixed number of dimensions, mean
-  pools and L2-normalises (no model is needed offline). Any callable
-  ``list[str] -> ndarray[n, dim]`` can replace it, e.g. an ONNX model.
+  the default encoder hashes the index's tokens (MD5) into a fixed number of dimensions, mean
+  pools and L2-normalises (no model is needed offline, and SQL can compute the same). Any
+  callable ``list[str] -> ndarray[n, dim]`` can replace it, e.g. an ONNX model.
 * ``vector_topk`` is brute force over blocks: a block of queries meets a block of
   vectors in one group, which returns at most k rows per query (and catalog); the
   global top-k is then a row_number filter over those candidates.
@@ -13,7 +13,7 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,46 +22,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirador.functions import lookups as L
-
-TOKEN_RE = re.compile(r"\w+", re.UNICODE)
-
-
-def hashed_encoder(dim: int = L.EMBEDDING_DIM) -> Callable[[list[str]], np.ndarray]:
-    """Token hashing encoder: each token adds +-1 at a hashed position; mean, L2 norm."""
-    import xxhash
-
-    def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float64)
-        for r, t in enumerate(texts):
-            toks = TOKEN_RE.findall((t or "").lower())
-            if not toks:
-                continue
-            h = np.fromiter((xxhash.xxh64_intdigest(w) for w in toks), dtype=np.uint64, count=len(toks))
-            idx = (h % np.uint64(dim)).astype(np.int64)
-            sign = np.where((h >> np.uint64(63)) == 0, 1.0, -1.0)
-            np.add.at(out[r], idx, sign)
-            out[r] /= len(toks)
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
+from mirador.functions.columns import fts_tokens
+
+KNOWN_TOKENS = 200_000         # token positions an encoder remembers
+
+
+def token_place(token: str, dim: int) -> tuple[int, int]:
+    """(position, sign) of a token, from its MD5 (which SQL engines have as well)."""
+    h = hashlib.md5(token.encode()).hexdigest()
+    return int(h[:8], 16) % dim, 1 - 2 * (int(h[8], 16) % 2)
+
+
+def hashed_encoder(dim: int = L.EMBEDDING_DIM) -> Callable[[list[list[str]]], np.ndarray]:
+    """Token hashing encoder: each token adds its sign at its position; mean, L2 norm. A token is
+    hashed once; the sums are one ``bincount`` over all tokens of the batch."""
+    known: dict[str, int] = {}
+
+    def encode(rows: list[list[str]]) -> np.ndarray:
+        if len(known) > KNOWN_TOKENS:
+            known.clear()
+        lens = np.array([len(r) for r in rows], np.int64)
+        flat = [t for r in rows for t in r]
+        for t in set(flat).difference(known):
+            at, sign = token_place(t, dim)
+            known[t] = at * 2 + (sign < 0)
+        code = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        cell = np.repeat(np.arange(len(rows)), lens) * dim + code // 2
+        out = np.bincount(cell, 1.0 - 2.0 * (code % 2), len(rows) * dim).reshape(len(rows), dim)
+        norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
     return encode
 
 
 def embed_text(df: DataFrame, id_col: str, text_col: str, encoder=None,
                batch: int = L.EMBED_BATCH, extra_cols: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *extra, vector array<float>) for each row, encoded ``batch`` texts at a time."""
-    enc = encoder or hashed_encoder()
+    """(id, *extra, vector array<float>) for each row, encoded ``batch`` texts at a time. The default
+    encoder takes the index's tokens, which Spark cuts; another one takes the texts."""
     keep = [id_col, *extra_cols]
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep) + ", vector array<float>"
+    source = F.col(text_col) if encoder else fts_tokens(F.coalesce(F.col(text_col), F.lit("")))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = encoder or hashed_encoder()
         for pdf in it:
-            texts = pdf[text_col].tolist()
+            texts = [x if isinstance(x, str) or x is None else list(x) for x in pdf["encoded_text"]]
             vecs = [enc(texts[i:i + batch]) for i in range(0, len(texts), batch)]
             mat = np.vstack(vecs) if vecs else np.zeros((0, L.EMBEDDING_DIM))
             out = pdf[keep].copy()
             out["vector"] = list(mat.astype(np.float32))
             yield out
-    return df.select(*keep, text_col).mapInPandas(run, schema)
+    return df.select(*keep, source.alias("encoded_text")).mapInPandas(run, schema)
 
 
 QUERY_BLOCK = 512           # queries and vectors that one task compares

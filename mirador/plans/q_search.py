@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mirador.fixtures import register_views
+from mirador.fixtures import load_tables, register_views
 from mirador.functions import lookups as L
 from mirador.functions.columns import normalize_text
 from mirador.operators import documents, ranking, search, text
@@ -14,7 +14,7 @@ from mirador.plans.oracles import oracle
 from mirador.plans.registry import query
 from mirador.plans.sqlparts import (SCORES_CTES, expand_acronyms, expand_synonyms, normalize, tokens,
                                     values_table)
-from mirador.session import scratch_path, written_table
+from mirador.session import scratch_path, written_folder, written_table
 from mirador.sources import records, stores
 
 # Fixed parameter: the batch of search queries run against every catalog.
@@ -61,39 +61,55 @@ def q_normalize_text(spark, sf):
 oracle("normalize_text", f"SELECT doc_id, {normalize('text')} AS normalized FROM documents")
 
 
+# Each turn of a conversation ends in a word of the packs, chosen by its number, so that all packs
+# occur; its pack and language follow from the conversation.
+PACK_WORDS = sorted({w for pack in L.ACRONYMS.values() for w in pack} | {w for pack in L.SYNONYMS.values() for w in pack})
+WORD_NO = f"(conv_id * 7 + turn) % {len(PACK_WORDS)}"
+TURNS_SQL = f"""
+SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'es' ELSE 'en' END AS language, {search.PACK_OF.format('conv_id')} AS country_code,
+ {{text}} AS text FROM conversations"""
+
+
+def turns(spark, sf):
+    load_tables(spark, sf, ("conversations",))
+    word = F.element_at(F.array(*[F.lit(w) for w in PACK_WORDS]), (F.expr(WORD_NO) + 1).cast("int"))
+    t = spark.sql(TURNS_SQL.format(text="text"))
+    return t.withColumn("text", F.concat_ws(" ", "text", word))
+
+
+_WORDS_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in PACK_WORDS) + "]"
+TURNS_CTE = "turns AS (" + TURNS_SQL.strip().format(text=f"concat_ws(' ', text, ({_WORDS_SQL})[CAST({WORD_NO} + 1 AS INTEGER)])") + ")"
+
+
 @query("expand_acronyms")
 def q_expand_acronyms(spark, sf):
-    return query_pairs(spark, sf).select(
-        "query_id", "catalog_id",
-        text.expand_acronyms(normalize_text(F.col("query")), F.col("country_code")).alias("expanded"))
+    return turns(spark, sf).select(
+        "conv_id", "turn", text.expand_acronyms(normalize_text(F.col("text")), F.col("country_code")).alias("expanded"))
 
 
-oracle("expand_acronyms", f"""WITH {CQ_SQL}
-SELECT query_id, catalog_id, {expand_acronyms(normalize('query'), 'country_code')} AS expanded FROM cq""", "v_catalogs")
+oracle("expand_acronyms", f"""WITH {TURNS_CTE}
+SELECT conv_id, turn, {expand_acronyms(normalize('text'), 'country_code')} AS expanded FROM turns""")
 
 
 @query("expand_synonyms")
 def q_expand_synonyms(spark, sf):
-    return query_pairs(spark, sf).select(
-        "query_id", "catalog_id",
-        text.expand_synonyms(normalize_text(F.col("query")), F.col("language")).alias("expanded"))
+    return turns(spark, sf).select(
+        "conv_id", "turn", text.expand_synonyms(normalize_text(F.col("text")), F.col("language")).alias("expanded"))
 
 
-oracle("expand_synonyms", f"""WITH {CQ_SQL}
-SELECT query_id, catalog_id, {expand_synonyms(normalize('query'), 'language')} AS expanded FROM cq""", "v_catalogs")
+oracle("expand_synonyms", f"""WITH {TURNS_CTE}
+SELECT conv_id, turn, {expand_synonyms(normalize('text'), 'language')} AS expanded FROM turns""")
 
 
 @query("expand_query")
 def q_expand_query(spark, sf):
-    return query_pairs(spark, sf).select(
-        "query_id", "catalog_id",
-        text.expand_query(F.col("query"), F.col("language"), F.col("country_code")).alias("expanded"))
+    return turns(spark, sf).select(
+        "conv_id", "turn", text.expand_query(F.col("text"), F.col("language"), F.col("country_code")).alias("expanded"))
 
 
-oracle("expand_query", f"""WITH {CQ_SQL},
-e AS (SELECT query_id, catalog_id, list_filter(string_split_regex({expand_synonyms(expand_acronyms(normalize('query'), 'country_code'), 'language')}, '\\s+'), lambda t: t <> '') AS toks FROM cq)
-SELECT query_id, catalog_id, array_to_string(list_filter(toks, lambda x, i: list_position(toks, x) = i), ' ') AS expanded FROM e""",
-       "v_catalogs")
+oracle("expand_query", f"""WITH {TURNS_CTE},
+e AS (SELECT conv_id, turn, list_filter(string_split_regex({expand_synonyms(expand_acronyms(normalize('text'), 'country_code'), 'language')}, '\\s+'), lambda t: t <> '') AS toks FROM turns)
+SELECT conv_id, turn, array_to_string(list_filter(toks, lambda x, i: list_position(toks, x) = i), ' ') AS expanded FROM e""")
 
 # ------------------------------------------------------------------ index and BM25
 
@@ -162,9 +178,16 @@ sc AS (SELECT query_id, catalog_id, id,
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id, catalog_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc)"""
 
 
+def search_index(spark, sf):
+    """The index with its postings by impact, written once per input folder."""
+    index = index_for(spark, sf)
+    path = written_folder(spark, ("fts", "impacts", sf.rstrip("/")), lambda folder: search.write_impacts(index, folder))
+    return {**index, **search.read_impacts(spark, path)}
+
+
 @query("bm25_search")
 def q_bm25_search(spark, sf):
-    r = search.bm25_search(index_for(spark, sf), qterms_for(spark, sf))
+    r = search.bm25_topk(search_index(spark, sf), qterms_for(spark, sf))
     return r.select("query_id", "catalog_id", "id", F.round("score", 6).alias("score"),
                     F.col("rank").cast("bigint").alias("rank"))
 
@@ -206,7 +229,7 @@ HYBRID_FILTERS = {"organization": "org 1", "fmt": "csv", "tags": ["EN"]}
 
 def fts_lists(spark, sf, fetch):
     ds = records.datasets(spark, sf)
-    return search.fts_search(ds, index_for(spark, sf), qterms_for(spark, sf), SEARCH_QUERIES, fetch)
+    return search.fts_search(ds, search_index(spark, sf), qterms_for(spark, sf), SEARCH_QUERIES, fetch)
 
 
 @query("hybrid_search")
@@ -272,7 +295,7 @@ def q_build_document(spark, sf):
     return documents.build_documents(records.datasets(spark, sf), records.resources(spark, sf))
 
 
-oracle("build_document", """WITH fm AS (SELECT dataset_id, upper(format) AS f, min(i) AS first_i FROM v_resources GROUP BY dataset_id, upper(format)),
+DOC_SQL = """fm AS (SELECT dataset_id, upper(format) AS f, min(i) AS first_i FROM v_resources GROUP BY dataset_id, upper(format)),
 fl AS (SELECT dataset_id, string_agg(f, ', ' ORDER BY first_i) AS formats FROM fm GROUP BY dataset_id),
 parts AS (SELECT d.id, concat_ws('. ',
    CASE WHEN d.organization IS NOT NULL AND d.organization <> '' THEN 'Fuente: ' || d.organization END,
@@ -280,8 +303,9 @@ parts AS (SELECT d.id, concat_ws('. ',
    CASE WHEN d.tags_text IS NOT NULL THEN 'Tema: ' || replace(d.tags_text, ' ', ', ') END,
    CASE WHEN fl.formats IS NOT NULL THEN 'Formatos: ' || fl.formats END,
    CASE WHEN d.description IS NOT NULL AND d.description <> '' THEN 'Descripción: ' || d.description END) AS t
- FROM v_datasets d LEFT JOIN fl ON fl.dataset_id = d.id)
-SELECT id, CASE WHEN ends_with(t, '.') THEN t ELSE t || '.' END AS document FROM parts""", "v_resources")
+ FROM v_datasets d LEFT JOIN fl ON fl.dataset_id = d.id),
+dtext AS (SELECT id, CASE WHEN ends_with(t, '.') THEN t ELSE t || '.' END AS document FROM parts)"""
+oracle("build_document", f"WITH {DOC_SQL}\nSELECT id, document FROM dtext", "v_resources")
 
 # ------------------------------------------------------------------ lookup and listing
 LOOKUP_IDS = ["src3:3", "src5:105", "no-colon", "src9:999999", "src1:21"]

@@ -10,9 +10,10 @@ from mirador.functions import lookups as L
 from mirador.operators import search, vectors
 from mirador.operators.documents import build_documents
 from mirador.plans.oracles import oracle
-from mirador.plans.q_search import (BM25_SQL, HYBRID_FILTERS, HYBRID_LIMIT, LIKE_SQL, SEARCH_QUERIES, fts_lists,
-                                    index_for, qterms_for)
+from mirador.plans.q_search import (BM25_SQL, DOC_SQL, HYBRID_FILTERS, HYBRID_LIMIT, LIKE_SQL, SEARCH_QUERIES,
+                                    qterms_for, search_index)
 from mirador.plans.registry import query
+from mirador.plans.sqlparts import tokens, values_table
 from mirador.sources import records
 from mirador.session import written_table
 
@@ -31,14 +32,43 @@ def dataset_vectors(spark, sf):
 
 @query("embed_text")
 def q_embed_text(spark, sf):
+    """The vectors' components that are not zero, as (id, position, weight)."""
     v = dataset_vectors(spark, sf)
-    norm = F.sqrt(F.aggregate(F.transform("vector", lambda x: x.cast("double") * x.cast("double")),
-                              F.lit(0.0), lambda a, b: a + b))
-    return v.select("id", F.size("vector").cast("bigint").alias("dim"),
-                    (F.abs(norm - 1.0) < 1e-5).alias("norm_ok"))
+    return v.select("id", F.posexplode("vector").alias("position", "w")).where("w <> 0") \
+        .select("id", F.col("position").cast("bigint").alias("position"), F.round(F.col("w").cast("double"), 6).alias("weight"))
 
 
-oracle("embed_text", f"SELECT id, CAST({L.EMBEDDING_DIM} AS BIGINT) AS dim, true AS norm_ok FROM v_datasets", "v_datasets")
+def vectors_sql(name: str, source: str, key: str, expr: str) -> str:
+    """CTEs: ``name`` (key, position, w as stored in 32 bits) and ``name_n`` (key, norm of it)."""
+    h = "md5(term)"
+    return f"""{name}_t AS (SELECT {key}, unnest({tokens(expr)}) AS term FROM {source}),
+{name}_s AS (SELECT {key}, CAST('0x' || substr({h}, 1, 8) AS BIGINT) % {L.EMBEDDING_DIM} AS position,
+  sum(1 - 2 * (CAST('0x' || substr({h}, 9, 1) AS INTEGER) % 2)) AS s FROM {name}_t GROUP BY {key}, position HAVING s <> 0),
+{name}_l AS (SELECT {key}, sqrt(CAST(sum(s * s) AS DOUBLE)) AS l FROM {name}_s GROUP BY {key}),
+{name} AS (SELECT {key}, position, CAST(CAST(s AS DOUBLE) / l AS FLOAT) AS w FROM {name}_s JOIN {name}_l USING ({key})),
+{name}_n AS (SELECT {key}, sqrt(sum(CAST(w AS DOUBLE) * w)) AS n FROM {name} GROUP BY {key})"""
+
+
+DOCS_SQL = f"{DOC_SQL}, {vectors_sql('dv', 'dtext', 'id', 'document')}"
+
+oracle("embed_text", f"WITH {DOCS_SQL}\nSELECT id, position, round(CAST(w AS DOUBLE), 6) AS weight FROM dv", "v_resources")
+
+# Each query's ``fetch`` nearest documents per catalog, by the cosine of their vectors.
+SEMANTIC_SQL = f"""{DOCS_SQL}, qx AS {values_table(SEARCH_QUERIES)}, {vectors_sql('qv', 'qx', 'query_id', 'query')},
+dots AS (SELECT query_id, id, sum((CAST(q.w AS DOUBLE) / qn.n) * (CAST(d.w AS DOUBLE) / dn.n)) AS dot
+  FROM qv q JOIN dv d USING (position) JOIN qv_n qn USING (query_id) JOIN dv_n dn USING (id) GROUP BY query_id, id),
+sem AS (SELECT qx.query_id, d.catalog_id, d.id, row_number() OVER (PARTITION BY qx.query_id, d.catalog_id
+   ORDER BY round(coalesce(dot, 0.0::DOUBLE), 9) DESC, d.id) AS rank
+  FROM qx CROSS JOIN v_datasets d LEFT JOIN dots ON dots.query_id = qx.query_id AND dots.id = d.id)"""
+
+
+def query_vectors(spark):
+    return vectors.embed_text(spark.createDataFrame(SEARCH_QUERIES, "query_id int, query string"), "query_id", "query")
+
+
+def semantic_lists(spark, sf, fetch, catalog=None):
+    return vectors.vector_topk(search.in_catalog(dataset_vectors(spark, sf), catalog), query_vectors(spark), fetch,
+                               catalog_col="catalog_id", per_catalog=True)
 
 
 def label_centroids(emb):
@@ -92,33 +122,71 @@ SELECT vec_id, label, version, round(CAST(embedding[1] AS DOUBLE), 6) AS first_v
 
 @query("rrf_fuse")
 def q_rrf_fuse(spark, sf):
+    """Vector and BM25 lists per (query, catalog), fused."""
     keys = ["query_id", "catalog_id"]
-    lex = search.bm25_search(index_for(spark, sf), qterms_for(spark, sf))
-    sem = search.like_fallback(records.datasets(spark, sf), SEARCH_QUERIES)
-    fused = vectors.rrf_fuse(sem, lex, keys)
+    lex = search.bm25_topk(search_index(spark, sf), qterms_for(spark, sf))
+    fused = vectors.rrf_fuse(semantic_lists(spark, sf, L.DEFAULT_FTS_LIMIT), lex, keys)
     w = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), "id")
     return fused.select(*keys, "id", F.round("score", 9).alias("score"),
                         F.row_number().over(w).cast("bigint").alias("rank"))
 
 
-oracle("rrf_fuse", f"""WITH {BM25_SQL}, {LIKE_SQL},
-c AS (SELECT query_id, catalog_id, id, {L.RRF_SEMANTIC_WEIGHT} / ({L.RRF_K} + rank) AS c FROM lk WHERE rank <= {L.DEFAULT_FTS_LIMIT}
-  UNION ALL SELECT query_id, catalog_id, id, {L.RRF_LEXICAL_WEIGHT} / ({L.RRF_K} + rank) FROM bm WHERE rank <= {L.DEFAULT_FTS_LIMIT}),
-f AS (SELECT query_id, catalog_id, id, sum(c) AS score FROM c GROUP BY query_id, catalog_id, id),
+def fused_sql(lexical: str, fetch: int) -> str:
+    """``f`` (query_id, catalog_id, id, score) from the lexical list's CTE and the vectors' ``sem``."""
+    return f"""c AS (SELECT query_id, catalog_id, id, {L.RRF_SEMANTIC_WEIGHT} / ({L.RRF_K} + rank) AS c FROM sem WHERE rank <= {fetch}
+  UNION ALL SELECT query_id, catalog_id, id, {L.RRF_LEXICAL_WEIGHT} / ({L.RRF_K} + rank) FROM {lexical} WHERE rank <= {fetch}),
+f AS (SELECT query_id, catalog_id, id, CAST(sum(c) AS DOUBLE) AS score FROM c GROUP BY query_id, catalog_id, id)"""
+
+
+oracle("rrf_fuse", f"""WITH {BM25_SQL}, {SEMANTIC_SQL}, {fused_sql('bm', L.DEFAULT_FTS_LIMIT)},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, catalog_id ORDER BY round(score, 9) DESC, id) AS rank FROM f)
-SELECT query_id, catalog_id, id, round(score, 9) AS score, rank FROM r""", "v_datasets", "v_catalogs")
+SELECT query_id, catalog_id, id, round(score, 9) AS score, rank FROM r""", "v_datasets", "v_catalogs", "v_resources")
 
 
-@query("hybrid_search_vector")
-def q_hybrid_search_vector(spark, sf):
+def hybrid_in(spark, sf, catalog=None):
     """Hybrid mode: per catalog, lexical and vector lists of 3 x limit fused, merged by max."""
     fetch = HYBRID_LIMIT * L.OVERFETCH_FACTOR
-    lex = fts_lists(spark, sf, fetch)
-    qv = vectors.embed_text(
-        spark.createDataFrame(SEARCH_QUERIES, "query_id int, query string"), "query_id", "query")
-    sem = vectors.vector_topk(dataset_vectors(spark, sf), qv, fetch, catalog_col="catalog_id", per_catalog=True)
-    fused = vectors.rrf_fuse(sem, lex, ["query_id", "catalog_id"])
-    r = search.hybrid_search(fused, records.datasets(spark, sf), records.resources(spark, sf),
-                             HYBRID_LIMIT, **HYBRID_FILTERS)
+    ds = search.in_catalog(records.datasets(spark, sf), catalog)
+    catalogs = None if catalog is None else spark.createDataFrame([(catalog,)], "catalog_id string")
+    lex = search.fts_search(ds, search_index(spark, sf), search.in_catalog(qterms_for(spark, sf), catalog), SEARCH_QUERIES,
+                            fetch, catalogs)
+    fused = vectors.rrf_fuse(semantic_lists(spark, sf, fetch, catalog), lex, ["query_id", "catalog_id"])
+    filters = HYBRID_FILTERS if catalog is None else {}
+    r = search.hybrid_search(fused, ds, records.resources(spark, sf), HYBRID_LIMIT, **filters)
     return r.select("query_id", "id", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"),
                     F.lit("hybrid").alias("mode"))
+
+
+@query("hybrid_search_vector")
+def q_hybrid_search_vector(spark, sf):
+    return hybrid_in(spark, sf)
+
+
+_FETCH = HYBRID_LIMIT * L.OVERFETCH_FACTOR
+LISTS_SQL = f"""{BM25_SQL}, {LIKE_SQL}, {SEMANTIC_SQL},
+lx AS (SELECT query_id, catalog_id, id, rank FROM bm WHERE rank <= {_FETCH}
+  UNION ALL SELECT query_id, catalog_id, id, rank FROM lk WHERE rank <= {_FETCH}
+   AND (query_id, catalog_id) NOT IN (SELECT query_id, catalog_id FROM bm)), {fused_sql('lx', _FETCH)}"""
+_VIEWS = ("v_datasets", "v_catalogs", "v_resources")
+
+oracle("hybrid_search_vector", f"""WITH {LISTS_SQL},
+mg AS (SELECT query_id, id, max(score) AS score FROM f GROUP BY query_id, id),
+rs AS (SELECT mg.* FROM mg JOIN v_datasets d ON mg.id = d.id
+  WHERE d.organization IS NOT NULL AND contains(lower(d.organization), 'org 1')
+    AND EXISTS (SELECT 1 FROM v_resources r WHERE r.dataset_id = d.id AND lower(r.format) = 'csv')
+    AND list_contains(coalesce(list_transform(string_split(d.tags_text, ' '), lambda t: lower(t)), []), 'en')),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM rs)
+SELECT query_id, id, round(score, 9) AS score, rank, 'hybrid' AS mode FROM rk WHERE rank <= {HYBRID_LIMIT}""", *_VIEWS)
+
+SEARCH_CATALOG = "src4"
+
+
+@query("hybrid_search_catalog")
+def q_hybrid_search_catalog(spark, sf):
+    """The hybrid search in one catalog."""
+    return hybrid_in(spark, sf, SEARCH_CATALOG)
+
+
+oracle("hybrid_search_catalog", f"""WITH {LISTS_SQL},
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM f WHERE catalog_id = '{SEARCH_CATALOG}')
+SELECT query_id, id, round(score, 9) AS score, rank, 'hybrid' AS mode FROM rk WHERE rank <= {HYBRID_LIMIT}""", *_VIEWS)

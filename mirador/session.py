@@ -118,6 +118,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _TABLES: dict[tuple, str] = {}
 
 
+def written_folder(spark: SparkSession, key: tuple, write) -> str:
+    """A folder that ``write(path)`` fills once (per session and key)."""
+    k = (session_key(spark), "folder") + tuple(key)
+    if k not in _TABLES:
+        path = scratch_path(spark, "derived-" + "-".join(str(x) for x in key)[:60].replace("/", "_"))
+        write(path)
+        _TABLES[k] = path
+    return _TABLES[k]
+
+
 def written_table(spark: SparkSession, key: tuple, build) -> DataFrame:
     """A derived table written once (per session and key) to the shared folder and
     read back: later plans start from the file instead of recomputing the lineage,
