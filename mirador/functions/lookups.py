@@ -300,6 +300,7 @@ BLOCKED_FUNCTIONS = [
     "write_csv", "write_parquet", "read_blob", "read_text", "glob", "httpfs", "s3",
 ]
 SIMPLE_MODE_TABLE = "datos"
+RESERVED_TABLE_NAMES = ["datos", "__q", "information_schema", "pg_catalog"]
 MAX_TEMP_TABLES = 10
 MAX_SESSION_TABLES = 10
 TABLE_NAME_PATTERN = r"^[a-z_][a-z0-9_]*$"

@@ -120,6 +120,7 @@ def parse_series_payloads(payloads: DataFrame, id_col: str = "payload_id",
         F.when(has_meta, f["field"]["id"]).alias("field_id"),
         F.when(has_meta, F.coalesce(F.when(f["field"]["description"] != "", f["field"]["description"]),
                                     f["distribution"]["title"])).alias("title"),
+        F.when(has_meta, f["dataset"]["description"]).alias("description"),
         F.when(has_meta, normalize_frequency(F.coalesce(t["frequency"], F.lit("")))).alias("frequency"),
         F.when(has_meta, f["field"]["units"]).alias("units"),
         F.when(has_meta, f["dataset"]["source"]).alias("source"),

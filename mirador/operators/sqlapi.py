@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mirador.functions import lookups as L
+from mirador.operators.audit import IDENTIFIER
 from mirador.session import apply_runtime_conf, materialize
 from mirador.sources import csvfiles
 
-RESERVED_NAMES = ("datos", "__q", "information_schema", "pg_catalog")
-NAME_RE = re.compile(r"^[a-zA-Z_][a-zA-Z0-9_]*$")
+NAME_RE = re.compile(f"^{IDENTIFIER}$")
 
 
 def read_csv_infer(spark: SparkSession, path: str, sampling_ratio: float = 1.0, dialect: dict | None = None) -> DataFrame:
@@ -74,7 +74,7 @@ class SqlSession:
         if not NAME_RE.match(name):
             raise SessionError(f"invalid table name: {name!r}")
         low = name.lower()
-        if low in RESERVED_NAMES:
+        if low in L.RESERVED_TABLE_NAMES:
             raise SessionError(f"reserved table name: {name!r}")
         if low in existing:
             raise SessionError(f"duplicate table name: {name!r}")

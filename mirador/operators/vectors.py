@@ -48,7 +48,7 @@ def hashed_encoder(dim: int = L.EMBEDDING_DIM) -> Callable[[list[list[str]]], np
             known[t] = at * 2 + (sign < 0)
         code = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
         cell = np.repeat(np.arange(len(rows)), lens) * dim + code // 2
-        out = np.bincount(cell, 1.0 - 2.0 * (code % 2), len(rows) * dim).reshape(len(rows), dim)
+        out = np.bincount(cell, 1.0 - 2.0 * (code % 2), len(rows) * dim).astype(float).reshape(len(rows), dim)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
     return encode

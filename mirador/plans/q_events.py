@@ -11,22 +11,28 @@ from mirador.plans.oracles import oracle
 from mirador.plans.registry import query
 from mirador.plans.sqlparts import trim_ws
 
-# Fixed parameter: SQL texts of the query log (one per event_id % 12).
+# Fixed parameter: SQL texts of the query log (one per event_id % 16; {n} is a number of the event's own).
 LOG_SQL = [
-    "SELECT * FROM datos LIMIT 10",
+    "SELECT * FROM datos LIMIT {n}",
     "SELECT * FROM datos; DROP TABLE datos",
-    "SELECT * FROM datos WHERE name = 'a;b'",
-    "  drop table datos",
-    "SELECT * FROM read_csv('/etc/passwd')",
-    "SELECT 1",
+    "SELECT * FROM datos WHERE name = 'a;b{n}'",
+    "  drop table t{n}",
+    "SELECT * FROM read_csv('/etc/passwd{n}')",
+    "SELECT {n}",
     "   ",
-    "CREATE TEMP TABLE t1 AS SELECT * FROM datos",
+    "CREATE TEMP TABLE t{n} AS SELECT * FROM datos",
     "with x as (select * from datos) select * from x",
     "EXPLAIN SELECT * FROM datos",
-    "SELECT 'it''s;' AS s FROM datos",
+    "SELECT 'it''s;' AS s{n} FROM datos",
     "select * from datos where x = 'unterminated;",
+    "select count(*) from T{n}",
+    "create temporary table if not exists \"T{n}\" as select * from ventas",
+    "CREATE TEMP TABLE datos AS SELECT {n}",
+    "SELECT a.x FROM t{n} a JOIN t1 b ON a.k = b.k",
 ]
+LOG_NO = "(event_id * 31 + user_id) % 23"
 SESSION_TABLES = ["datos", "ventas"]
+SESSIONS = 40                  # sessions a day
 
 
 def _case_sql(col: str) -> str:
@@ -37,14 +43,16 @@ def _case_sql(col: str) -> str:
 def query_log(spark, sf):
     register_views(spark, sf, ())
     sql = F.element_at(F.array(*[F.lit(s) for s in LOG_SQL]), (F.col("event_id") % len(LOG_SQL) + 1).cast("int"))
-    return spark.table("events").select("event_id", F.col("user_id").alias("client_id"), sql.alias("sql"))
+    session = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("/"), (F.col("user_id") % SESSIONS).cast("string"))
+    return spark.table("events").select("event_id", "ts", session.alias("session"),
+                                        F.replace(sql, F.lit("{n}"), F.expr(LOG_NO).cast("string")).alias("sql"))
 
 
 @query("sql_policy_audit")
 def q_sql_policy_audit(spark, sf):
-    log = query_log(spark, sf)
-    return log.select("event_id", audit.audit_simple(F.col("sql")).alias("verdict_simple"),
-                      audit.audit_session(F.col("sql"), SESSION_TABLES).alias("verdict_session"))
+    log = audit.audit_log(query_log(spark, sf), SESSION_TABLES, "session", ["ts", "event_id"])
+    return log.select("event_id", "session", audit.audit_simple(F.col("sql")).alias("verdict_simple"),
+                      F.col("verdict").alias("verdict_session"))
 
 
 def _duck_audit(simple: bool) -> str:
@@ -70,13 +78,25 @@ def _duck_audit(simple: bool) -> str:
             f"WHEN NOT regexp_matches({t}, '{table_re}') THEN 'missing_table' ELSE 'ok' END")
 
 
-oracle("sql_policy_audit", f"""WITH q AS (SELECT event_id, {_case_sql('event_id')} AS sql FROM events)
-SELECT event_id, {_duck_audit(True)} AS verdict_simple, {_duck_audit(False)} AS verdict_session FROM q""")
+oracle("sql_policy_audit", f"""WITH q AS (SELECT event_id, ts, strftime(ts, '%Y-%m-%d') || '/' || CAST(user_id % {SESSIONS} AS VARCHAR) AS session,
+  replace({_case_sql('event_id')}, '{{n}}', CAST({LOG_NO} AS VARCHAR)) AS sql FROM events),
+v AS (SELECT *, {_duck_audit(True)} AS verdict_simple, {_duck_audit(False)} AS verdict FROM q),
+made AS (SELECT session, substr(verdict, 13) AS name, min((ts, event_id)) AS first FROM v WHERE starts_with(verdict, 'create_temp:') GROUP BY 1, 2),
+held AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY first) AS nth FROM made)
+SELECT event_id, session, verdict_simple, CASE
+ WHEN (starts_with(verdict, 'create_temp:') OR verdict = 'reserved_table_name') AND EXISTS (SELECT 1 FROM held h
+   WHERE h.session = v.session AND h.nth = {L.MAX_TEMP_TABLES} AND (v.ts, v.event_id) > h.first) THEN 'temp_limit'
+ WHEN verdict = 'missing_table' AND EXISTS (SELECT 1 FROM held h WHERE h.session = v.session AND h.nth <= {L.MAX_TEMP_TABLES}
+   AND h.first < (v.ts, v.event_id) AND list_contains(regexp_extract_all(lower(v.sql), '\w+'), h.name)) THEN 'ok'
+ ELSE verdict END AS verdict_session FROM v""")
 
 # ------------------------------------------------------------------ usage events
 TYPE_MAP = {"view": "search", "click": "query", "signup": "inspect", "error": "error", "purchase": "purchase"}
 
 
+NUMBER_FIELDS = ("catalogId", "datasetId", "resourceUrl", "format")
+
+
 def usage_json(spark, sf):
     """Usage events as landed JSON, built from the events table (some deliberately invalid)."""
     register_views(spark, sf, ())
@@ -86,7 +106,7 @@ def usage_json(spark, sf):
     typ = F.coalesce(*[F.when(F.col("event_type") == a, F.lit(b)) for a, b in TYPE_MAP.items()])
     ts = F.when(eid % 19 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")) \
           .otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z")))
-    body = F.struct(
+    fields = [
         F.concat(F.lit("e"), eid.cast("string")).alias("id"), ts.alias("timestamp"),
         F.when(eid % 29 != 0, F.col("user_id").cast("string")).alias("clientId"),
         (F.col("event_type") != "error").alias("success"),
@@ -99,8 +119,12 @@ def usage_json(spark, sf):
         F.when(typ == "query", (k - 50).cast("double")).alias("rowsReturned"),
         F.when(typ == "inspect", k.cast("double")).alias("rowCount"),
         F.when(typ == "error", F.concat(F.lit("E"), k.cast("string"))).alias("errorCode"),
-        F.when((typ == "error") & (eid % 11 != 0), F.lit("boom")).alias("errorMessage"))
-    return e.select("event_id", "user_id", "ts", F.to_json(body).alias("json"))
+        F.when((typ == "error") & (eid % 11 != 0), F.lit("boom")).alias("errorMessage")]
+    # each of the text fields holds a number in some events
+    body = F.to_json(F.struct(*fields, F.lit("src1").alias("catalogId"), F.lit("CSV").alias("format")))
+    for i, name in enumerate(NUMBER_FIELDS):
+        body = F.when(eid % 31 == i, F.to_json(F.struct(*fields, k.alias(name)))).otherwise(body)
+    return e.select("event_id", "user_id", "ts", body.alias("json"))
 
 
 @query("usage_event_validate")
@@ -114,6 +138,7 @@ oracle("usage_event_validate", f"""WITH e AS (SELECT event_id, CAST(json_extract
 r AS (SELECT event_id, type, CASE
   WHEN type NOT IN ({", ".join(repr(t) for t in L.EVENT_TYPES)}) THEN 'bad_type'
   WHEN event_id % 29 = 0 THEN 'missing_base'
+  WHEN event_id % 31 < {len(NUMBER_FIELDS)} THEN 'bad_field_type'
   WHEN event_id % 19 = 0 THEN 'bad_timestamp'
   WHEN event_id % 17 = 0 AND value - 100 < 0 THEN 'negative_duration'
   WHEN (type = 'search' AND event_id % 13 = 0) OR (type = 'error' AND event_id % 11 = 0) THEN 'missing_field'

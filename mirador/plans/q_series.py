@@ -104,7 +104,7 @@ def build_payloads(points):
                      F.date_format("ed", "yyyy-MM-dd").alias("end_date"),
                      F.lit(None).cast("struct<id:string,description:string,units:string>").alias("field"),
                      F.lit(None).cast("struct<title:string>").alias("distribution"),
-                     F.lit(None).cast("struct<source:string,theme:array<string>>").alias("dataset"))
+                     F.lit(None).cast("struct<source:string,description:string,theme:array<string>>").alias("dataset"))
     meta1 = F.struct(F.lit(None).cast("string").alias("frequency"), F.lit(None).cast("string").alias("start_date"),
                      F.lit(None).cast("string").alias("end_date"),
                      F.struct(F.col("series_id").alias("id"),
@@ -112,6 +112,8 @@ def build_payloads(points):
                               .alias("description"), F.lit("USD").alias("units")).alias("field"),
                      F.struct(F.concat(F.lit("Distribucion "), F.col("series_id")).alias("title")).alias("distribution"),
                      F.struct(F.lit("orders").alias("source"),
+                              F.when(F.col("series_id") > "2", F.concat(F.lit("Pedidos por prioridad "), F.col("series_id")))
+                              .alias("description"),
                               F.array(F.lit("comercio"), F.lit("ventas")).alias("theme")).alias("dataset"))
     meta = F.when(F.col("yr") % 3 == 0, F.array(meta0)).otherwise(F.array(meta0, meta1))
     payload = F.concat(F.lit('{"data":['), F.array_join(F.transform("pts", lambda s: s["p"]), ","),
@@ -131,6 +133,7 @@ g AS (SELECT series_id, yr, min(date) AS sd, max(date) AS ed FROM y GROUP BY ser
 SELECT y.series_id || ':' || CAST(y.yr AS VARCHAR) AS payload_id, y.date, y.value,
  CASE WHEN y.yr % 3 <> 0 THEN y.series_id END AS field_id,
  CASE WHEN y.yr % 3 <> 0 THEN coalesce(CASE WHEN y.series_id < '3' THEN 'Pedidos ' || y.series_id END, 'Distribucion ' || y.series_id) END AS title,
+ CASE WHEN y.yr % 3 <> 0 AND y.series_id > '2' THEN 'Pedidos por prioridad ' || y.series_id END AS description,
  CASE WHEN y.yr % 3 <> 0 THEN 'daily' END AS frequency, CASE WHEN y.yr % 3 <> 0 THEN 'USD' END AS units,
  CASE WHEN y.yr % 3 <> 0 THEN 'orders' END AS source, CASE WHEN y.yr % 3 <> 0 THEN 'comercio' END AS theme,
  CASE WHEN y.yr % 3 <> 0 THEN CAST(g.sd AS VARCHAR) END AS start_date, CASE WHEN y.yr % 3 <> 0 THEN CAST(g.ed AS VARCHAR) END AS end_date

@@ -134,13 +134,17 @@ FROM pages WHERE page_id % 10 <> 0""")
 # ------------------------------------------------------------------ protocol detection
 
 
+SOCRATA_LANGUAGES = {"Español": "es", "english": "en", "Português": "pt", "Français": "fr", "Deutsch": None,
+                     "Idioma español": "es", "PT-br": "pt"}
+
+
 def probe_payloads(spark, sf):
     """Landed probe responses of four kinds, built from the pages table."""
     register_views(spark, sf, ())
     pid = F.col("page_id")
     lang_ckan = F.when(pid % 3 == 0, F.lit("es-AR")).when(pid % 3 == 1, F.lit("EN")).otherwise(F.lit("x"))
-    lang_val = F.when(pid % 5 == 0, F.lit("Español")).when(pid % 5 == 1, F.lit("english"))\
-        .when(pid % 5 == 2, F.lit("Português")).when(pid % 5 == 3, F.lit("Français")).otherwise(F.lit("Deutsch"))
+    no = F.pmod(F.floor(pid / 5), F.lit(7))                     # independent of the payload's kind
+    lang_val = F.element_at(F.array(*[F.lit(x) for x in SOCRATA_LANGUAGES]), (no + 1).cast("int"))
     ckan = F.to_json(F.struct(F.lit(True).alias("success"), F.struct(F.array(F.struct(
         lang_ckan.alias("metadata_language"))).alias("results")).alias("result")))
     soc = F.to_json(F.struct(pid.alias("resultSetSize"), F.array(F.struct(F.struct(F.array(
@@ -159,10 +163,11 @@ def q_payload_protocol(spark, sf):
     return payloads.payload_protocol(probe_payloads(spark, sf)).select("page_id", "protocol", "language")
 
 
-oracle("payload_protocol", """SELECT page_id,
+_LANG_SQL = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(SOCRATA_LANGUAGES.values()) if v)
+oracle("payload_protocol", f"""SELECT page_id,
  CASE page_id % 5 WHEN 0 THEN 'ckan' WHEN 1 THEN 'socrata' WHEN 3 THEN 'socrata' END AS protocol,
  CASE WHEN page_id % 5 = 0 THEN (CASE page_id % 3 WHEN 0 THEN 'es' WHEN 1 THEN 'en' END)
-      WHEN page_id % 5 = 1 THEN (CASE page_id % 5 WHEN 0 THEN 'es' WHEN 1 THEN 'en' WHEN 2 THEN 'pt' WHEN 3 THEN 'fr' END) END AS language
+      WHEN page_id % 5 = 1 THEN (CASE (page_id // 5) % 7 {_LANG_SQL} END) END AS language
 FROM pages""")
 
 # ------------------------------------------------------------------ cursor listing
