@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import read_table
+from mirador.llm.common import lean, read_table
 
 # Java spells Unicode white space out; the rest of the pattern is used as given.
 UNICODE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -192,7 +192,7 @@ def pack_blocks(split: DataFrame, buckets: int, words_only: bool, block_tokens:
         if ids:
             yield packed()
 
-    return split.mapInArrow(run, PACKED_DDL)
+    return split.mapInArrow(lean(run), PACKED_DDL)
 
 
 def encode_buckets(words: DataFrame, ranks) -> DataFrame:
@@ -272,7 +272,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), ids, joined.cast(pa.binary())],
                                              names=["doc_id", "ids", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, ids array<int>, bytes binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -41,6 +41,29 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release_memory() -> None:
+    """Give a task's freed memory back to the system: Python workers are kept between tasks, and
+    what they hold on to counts against the executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """A task function over batches that releases its memory at the end."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+    return wrapped
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str, rows: int, most_rows: int) -> DataFrame:
     """Join with a written table of ``rows`` counted rows: it is broadcast up to
     ``most_rows``; beyond that the join shuffles (AQE splits skewed keys)."""

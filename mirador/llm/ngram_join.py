@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirador.llm.bpe import pack, ragged_take, unpack
-from mirador.llm.common import join_small, read_table, temporary_name, written
+from mirador.llm.common import join_small, lean, read_table, temporary_name, written
 from mirador.llm.components import components
 
 MIN_LOAD = 1.8                 # mean elements of a part, at least, where a plan allows
@@ -58,8 +58,8 @@ BLOCK_SETS = 4_096             # sets per verification block
 BLOCK_SHINGLES = 1_000_000     # shingles per verification block
 BROADCAST_ROWS = 300_000       # rows of (ids, cluster), some 40 bytes each
 SEEN_SETS = 100_000            # set hashes a task remembers to skip repeated keys
-CHUNK_KEYS = 1_000_000         # keys a task joins before the shuffle
-ROWS_PER_BUCKET = 2_000        # documents per hash bucket of keys
+CHUNK_KEYS = 500_000           # keys a task joins before the shuffle
+ROWS_PER_BUCKET = 1_000        # documents per hash bucket of keys
 MIN_BUCKETS = 16
 KNOWN_WORDS = 100_000          # word hashes a task remembers
 U64 = np.uint64
@@ -267,7 +267,7 @@ def sketches(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
             yield joined()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"),
-                       F.col(text_col).alias("text")).mapInArrow(run, SKETCH_DDL)
+                       F.col(text_col).alias("text")).mapInArrow(lean(run), SKETCH_DDL)
 
 
 def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -290,9 +290,12 @@ def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str
             key, sid = key[order], sid[order]
             start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             first = np.repeat(sid[start], np.diff(np.append(start, len(key))))
-            got = np.unique(np.stack([first, sid])[:, first != sid], axis=1)
-            none = pa.nulls(got.shape[1], pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(got[0]), pa.array(got[1])], names=names)
+            a, b = first[first != sid], sid[first != sid]
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[:len(a)]
+            none = pa.nulls(int(new.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(a[new]), pa.array(b[new])], names=names)
 
         for b in batches:
             payload = b.column(5)
@@ -310,7 +313,7 @@ def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str
 
     rows = sketches(docs, n, percent, id_col, text_col, buckets)
     return rows.repartition("bucket").sortWithinPartitions("bucket") \
-        .mapInArrow(run, "doc_id long, th long, n_shingles long, sid long, other long")
+        .mapInArrow(lean(run), "doc_id long, th long, n_shingles long, sid long, other long")
 
 
 def linked(sets: list[np.ndarray], sides: list[int], percent: int) -> list[tuple[int, int]]:

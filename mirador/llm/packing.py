@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirador.llm.bpe import read_ranks
-from mirador.llm.common import read_table, written
+from mirador.llm.common import lean, read_table, written
 
 CAPACITY = 2_048
 BATCH_TOKENS = 4_000_000       # tokens whose pieces are sent on together
@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int
         if rows:
             yield packed()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES_DDL)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), PIECES_DDL)
 
 
 def best_pair(rest: np.ndarray, room: int, more_than: int) -> tuple[int, int] | None:
@@ -190,7 +190,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([cols[c.split()[0]] for c in ddl.split(", ")], names=[c.split()[0] for c in ddl.split(", ")])
 
     numbered = parts.join(firsts, ["length", "block"]).withColumn("number", F.col("first") + F.col("nth"))
-    return numbered.select(*keep, "number").mapInArrow(run, ddl)
+    return numbered.select(*keep, "number").mapInArrow(lean(run), ddl)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY,

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mirador.llm.common import WORD, read_table
+from mirador.llm.common import WORD, lean, read_table
 from mirador.llm.ngram_join import mix
 
 SHORTEST = 6
@@ -166,7 +166,7 @@ def periodic_runs(docs: DataFrame, shortest: int = SHORTEST, exponent: int = EXP
             if rows:
                 yield packed()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, RUNS_DDL)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), RUNS_DDL)
 
 
 def planted(doc_id: Column, text: Column) -> Column:

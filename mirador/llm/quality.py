@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirador.llm.common import read_table
+from mirador.llm.common import lean, read_table
 
 SPACE = " \t\n\x0b\x0c\r"
 HAS_WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -114,7 +114,7 @@ def quality_scores(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_i
                 [b.column(0), *(pa.array(c, type=t) for c, t in zip(cols, TYPES))], names=["doc_id", *NAMES])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, f"doc_id long, {SCHEMA}")
+    return d.mapInArrow(lean(run), f"doc_id long, {SCHEMA}")
 
 
 TYPES = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
@@ -130,7 +130,7 @@ def quality_filter(docs: DataFrame, bands: Bands = Bands(), text_col: str = "tex
         for b in batches:
             yield b.filter(pa.array([one(t.as_py())[-1] for t in b.column(at)], type=pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*docs.columns)
 
 
 def op3_compression_bands(spark, sf_dir: str) -> DataFrame:

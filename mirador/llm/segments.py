@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirador.llm.bpe import pack, unpack
-from mirador.llm.common import read_table, temporary_name, written
+from mirador.llm.common import lean, read_table, temporary_name, written
 from mirador.llm.ngram_join import KNOWN_WORDS, U64, mix
 
 EVERY = 6                      # words a unit, on average
@@ -157,7 +157,7 @@ def units(docs: DataFrame, every: int, buckets: int, id_col: str, text_col: str)
             yield from chunk.batches(buckets, row)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"),
-                       F.col(text_col).alias("text")).mapInArrow(run, UNITS_DDL)
+                       F.col(text_col).alias("text")).mapInArrow(lean(run), UNITS_DDL)
 
 
 def placed(docs: DataFrame, every: int, id_col: str, text_col: str) -> DataFrame:
@@ -210,7 +210,7 @@ def placed(docs: DataFrame, every: int, id_col: str, text_col: str) -> DataFrame
             yield repeats()
 
     return units(docs, every, buckets, id_col, text_col).repartition("bucket").sortWithinPartitions("bucket") \
-        .mapInArrow(run, PLACED_DDL)
+        .mapInArrow(lean(run), PLACED_DDL)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, every: int = EVERY, id_col: str = "doc_id",
