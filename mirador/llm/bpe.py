@@ -38,23 +38,75 @@ from pyspark.sql import functions as F
 
 from mirador.llm.common import lean, read_table
 
-# Java spells Unicode white space out; the rest of the pattern is used as given.
+# Java's \s is ASCII: Unicode white space is spelt out.
 UNICODE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
 BLOCK_TOKENS = 2_000_000
 ROWS_PER_BUCKET = 4_000        # documents per hash bucket of words
 MIN_BUCKETS = 16
 
 
-def java_pattern(pattern: str) -> str:
-    """The pre-token pattern with Unicode white space for Java's regex engine."""
+def library_class(prop: str) -> set[int]:
+    """The code points that the tokenizer library's regex counts as \\p{prop}."""
+    import tiktoken
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    found = tiktoken.Encoding("class", pat_str=rf"\p{{{prop}}}+", special_tokens={},
+                              mergeable_ranks={bytes([i]): i for i in range(256)})
+    return set(map(ord, bytes(found.encode_ordinary(every)).decode()))
+
+
+def jvm_class(spark: SparkSession, prop: str) -> set[int]:
+    """The same of the JVM's regex, whose Unicode version may be older."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    kept = spark._jvm.java.util.regex.Pattern.compile(rf"\P{{{prop}}}+").matcher(every).replaceAll("")
+    return set(map(ord, kept))
+
+
+def ranges(points: set[int]) -> str:
+    """Code points as the inside of a Java character class."""
+    out, last = [], None
+    for c in sorted(points):
+        if last is not None and c == last + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+        last = c
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out)
+
+
+_DIFFERENCES: dict[str, dict[str, tuple[set[int], set[int]]]] = {}
+
+
+def class_differences(spark: SparkSession) -> dict[str, tuple[set[int], set[int]]]:
+    """Per class, the code points that only the library has, and those that only the JVM has."""
+    app = spark.sparkContext.applicationId
+    if app not in _DIFFERENCES:
+        both = {p: (library_class(p), jvm_class(spark, p)) for p in "LN"}
+        _DIFFERENCES[app] = {p: (a - b, b - a) for p, (a, b) in both.items()}
+    return _DIFFERENCES[app]
+
+
+def java_pattern(pattern: str, differences: dict | None = None) -> str:
+    """The pre-token pattern with Unicode white space, and the library's classes, for Java's regex engine."""
     out = pattern.replace(r"[^\s", f"[^{UNICODE_SPACE}")
-    return out.replace(r"\S", f"[^{UNICODE_SPACE}]").replace(r"\s", f"[{UNICODE_SPACE}]")
+    out = out.replace(r"\S", f"[^{UNICODE_SPACE}]").replace(r"\s", f"[{UNICODE_SPACE}]")
+    for p, (more, fewer) in (differences or {}).items():
+        own = rf"[\p{{{p}}}&&[^{ranges(fewer)}]]" if fewer else rf"\p{{{p}}}"
+        out = out.replace(rf"\p{{{p}}}", f"[{own}{ranges(more)}]")
+    return out
 
 
 def pretokens(text: Column, pattern: str) -> Column:
-    """Array of pre-tokens in order; empty for null."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0)),
-                      F.array().cast("array<string>"))
+    """Array of pre-tokens in order; empty for null. Texts that hold no code point beyond the first
+    on which the JVM and the library differ take the plain, quicker pattern."""
+    spark = SparkSession.getActiveSession()
+    differences = {p: d for p, d in class_differences(spark).items() if d[0] or d[1]}
+    out = F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
+    if differences:
+        lowest = min(min(more | fewer) for more, fewer in differences.values())
+        exact = F.regexp_extract_all(text, F.lit(java_pattern(pattern, differences)), F.lit(0))
+        out = F.when(F.rlike(text, F.lit(rf"[\x{{{lowest:x}}}-\x{{10ffff}}]")), exact).otherwise(out)
+    return F.coalesce(out, F.array().cast("array<string>"))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -11,10 +11,12 @@ Queries and candidates are cut into blocks by a hash of the id; one group joins
 block with a candidate block and returns at most k rows per query; the best k of those
 are ranked in Spark. No block depends on how common a vector is, so copies spread evenly.
 
-Vectors are integers after quantising, so scores are exact while |q||x| < 2^53.
+Vectors are integers after quantising, and scores are exact: products below 2^53 are summed in
+doubles, others in 64-bit integers. A vector whose scaled components' squares sum to 4e18 or
+more takes no part, so that every score fits a long (Cauchy-Schwarz).
 
-Defined results: vectors that are null, empty, or hold null or non-finite components take
-no part, nor do rows with a null id; only vectors of one dimension meet; rows that repeat
+Defined results: vectors that are null, empty, too large (above), or hold null or non-finite
+components take no part, nor do rows with a null id; only vectors of one dimension meet; rows that repeat
 exactly count once; ties go to the smaller id; an empty table gives no rows; extra columns
 are ignored.
 """
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirador.llm.common import positive_hash, read_table, written
+from mirador.llm.hard_negatives import SQUARES, products
 
 PIVOTS = 32
 PIVOT_SAMPLE = 2_000       # vectors the pivots are chosen from (bounded, by hash)
@@ -41,9 +44,10 @@ def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> D
     v = F.col(vector_col).cast("array<double>")
     ok = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) \
         & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.filter(F.coalesce(ok, F.lit(False))).select(
-        F.col(id_col).cast("long").alias("vec_id"),
-        F.transform(v, lambda x: F.floor(x * scale).cast("double")).alias("v")).distinct()
+    small = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x * scale) * (x * scale)) < SQUARES
+    whole = F.when(small, F.transform(v, lambda x: F.floor(x * scale).cast("double")))
+    return vectors.filter(F.coalesce(ok & small, F.lit(False))).select(
+        F.col(id_col).cast("long").alias("vec_id"), whole.alias("v")).distinct()
 
 
 def choose_pivots(q: DataFrame, n: int) -> dict[int, np.ndarray]:
@@ -76,18 +80,20 @@ def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> list[tupl
     order = np.argsort(ids, kind="stable")          # ties in score then fall to the smaller id
     ids = ids[order]
     x, dx = np.stack(rows["v"].to_numpy())[order], np.stack(rows["d"].to_numpy())[order]
+    whole = x.astype(np.int64)
     norm, out = (x * x).sum(axis=1), []
     for qid, q, dq in zip(queries["vec_id"], queries["v"], queries["d"]):
         low = np.abs(dx - dq).max(axis=1) if dx.shape[1] else np.zeros(len(ids))
         bound = (norm + (q * q).sum() - low * low) / 2
         bound += 1e-9 * (np.abs(bound) + norm) + 0.25   # scores are integers; covers rounding
         bound[ids == qid] = -np.inf                     # the query's own row
-        top_i, top_s, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 256
+        top_i, top_s, done, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 256
+        own = q.astype(np.int64)[None]
         by = np.argsort(-bound, kind="stable")
         while done < len(by) and not (len(top_s) == k and top_s[-1] > bound[by[done]]):
             part = by[done:done + step]
             part = part[bound[part] > -np.inf]
-            s, i = np.concatenate([top_s, x[part] @ q]), np.concatenate([top_i, part])
+            s, i = np.concatenate([top_s, products(whole[part], own)[:, 0]]), np.concatenate([top_i, part])
             best = np.lexsort((ids[i], -s))[:k]
             top_s, top_i = s[best], i[best]
             done, step = done + step, step * 2

@@ -3,8 +3,9 @@
 A text is compressed with zstandard as a whole and in fixed chunks. Its ratio
 (compressed / plain bytes) must lie in a band that depends on its length: below it the
 text repeats itself, above it it is noise that does not compress (keys, base64). A
-document also goes if too large a share of its chunks is out of the chunk band, so a
-long document cannot hide a repetitive half behind a clean one.
+document also goes if too large a share of its bytes lies in chunks out of the band for the
+chunk's length, so a long document cannot hide a repetitive half behind a clean one. Every text
+is cut, the last chunk being what is left; a text of one chunk is that chunk.
 
 Before the bands come the base rules: at least 50 words, and at most half of the words
 in three-word windows that occur twice or more.
@@ -20,7 +21,7 @@ through ``quality_filter``; ``quality_scores`` returns only its own columns.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,8 +41,8 @@ class Bands:
     whole: tuple = ((300, 0.45, 1.60), (1_000, 0.47, 0.85), (3_000, 0.445, 0.70),
                     (10_000, 0.41, 0.66), (float("inf"), 0.38, 0.64))
     chunk_bytes: int = 4096
-    chunk: tuple = field(default=(0.40, 0.68))
-    bad_chunks: float = 0.25       # of a text's whole chunks, at most
+    chunk: tuple = ((300, 0.40, 1.70), (1_000, 0.42, 0.95), (3_000, 0.42, 0.74), (float("inf"), 0.40, 0.68))
+    bad_chunks: float = 0.25       # of a text's bytes, at most, in chunks out of their band
     symbols: str = "#*$%&|<>"
 
 
@@ -62,18 +63,25 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def ratios(data: bytes, bands: Bands, compress) -> tuple[float, int, int]:
-    """(ratio of the whole, whole chunks, chunks out of the band)."""
+def inside(ratio: float, size: int, bands: tuple) -> bool:
+    """Whether the ratio lies in the band for the size."""
+    low, high = next((lo, hi) for limit, lo, hi in bands if size < limit)
+    return low <= ratio <= high
+
+
+def ratios(data: bytes, bands: Bands, compress) -> tuple[float, int, int, int]:
+    """(ratio of the whole, chunks, chunks out of their band, bytes in those)."""
     if not data:
-        return 0.0, 0, 0
-    size, bad, chunks = bands.chunk_bytes, 0, 0
-    if len(data) >= 2 * size:
-        low, high = bands.chunk
-        for i in range(0, len(data) - size + 1, size):
-            r = len(compress(data[i:i + size])) / size
-            chunks += 1
-            bad += not low <= r <= high
-    return len(compress(data)) / len(data), chunks, bad
+        return 0.0, 0, 0, 0
+    whole = len(compress(data)) / len(data)
+    chunks, bad, bad_bytes = 0, 0, 0
+    for i in range(0, len(data), bands.chunk_bytes):
+        part = data[i:i + bands.chunk_bytes]
+        ratio = whole if len(part) == len(data) else len(compress(part)) / len(part)
+        chunks += 1
+        if not inside(ratio, len(part), bands.chunk):
+            bad, bad_bytes = bad + 1, bad_bytes + len(part)
+    return whole, chunks, bad, bad_bytes
 
 
 def judge(text: str | None, bands: Bands, compress) -> tuple:
@@ -85,9 +93,8 @@ def judge(text: str | None, bands: Bands, compress) -> tuple:
     symbols = sum(text.count(c) for c in bands.symbols)
     repeats = repeated_words(words)
     base_failed = n < 50 or 100 * repeats > 50 * n
-    ratio, chunks, bad = ratios(data, bands, compress)
-    low, high = next((lo, hi) for limit, lo, hi in bands.whole if len(data) < limit)
-    kept = not base_failed and low <= ratio <= high and bad <= bands.bad_chunks * chunks
+    ratio, chunks, bad, bad_bytes = ratios(data, bands, compress)
+    kept = not base_failed and inside(ratio, len(data), bands.whole) and bad_bytes <= bands.bad_chunks * len(data)
     return n, chars, symbols, duplicate_lines(text), repeats, base_failed, ratio, chunks, bad, kept
 
 

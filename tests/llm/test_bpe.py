@@ -114,3 +114,29 @@ def test_sections_add_up(spark, documents, clashing, texts, reference):
     assert attribution.token_counts(documents.limit(0), PATH, PATTERN).count() == 0
     with pytest.raises(ValueError):
         attribution.token_counts(documents, PATH, PATTERN, "none")
+
+
+def test_every_character_is_split_as_the_library_does(spark):
+    """Letters and numbers newer than the JVM's Unicode included."""
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [(k, "".join(f"a{c}a {c}{c} 1{c}1 !{c}! {c}" for c in chars[lo:lo + 4000])) for k, lo in enumerate(range(0, len(chars), 4000))]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    want = {i: own.encode_ordinary(t) for i, t in texts}
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(df, path, PATTERN).collect()}
+    assert [i for i in want if got[i] != want[i]] == []
+
+
+def test_letters_newer_than_the_jvm(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    texts = [(1, "a\U000105a7a"), (2, "xࡰy \U00010d40\U00010d41 z"), (3, "plain text 12")]
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(spark.createDataFrame(texts, "doc_id long, text string"), path, PATTERN).collect()}
+    assert got == {i: own.encode_ordinary(t) for i, t in texts} and got[1] == [64, 172, 238, 244, 11898]
+
+
+def test_classes_are_the_library_s(spark):
+    letters, numbers = bpe.library_class("L"), bpe.library_class("N")
+    assert {0x41, 0xe9, 0x4e00, 0x105a7} <= letters and {0x30, 0xb2, 0x10d40} <= numbers and not letters & numbers
+    assert bpe.ranges({1, 2, 3, 9}) == r"\x{1}-\x{3}\x{9}-\x{9}"

@@ -211,3 +211,57 @@ def test_pipeline_stages(spark):
     final = corpus_pipeline.STAGES[-1][1](spark, last, SF_SMALL)
     assert sorted(r.doc_id for r in final.collect()) == sorted(r.doc_id for r in last.collect())
     assert final.filter("n_tokens = 0").count() == 0
+
+
+# ---------------------------------------------------------------- exactness and cuts
+def test_scores_are_exact_beyond_doubles(spark):
+    a, b = [1e6, 1e6 + 1 / 256, 3.0], [1e6 + 1 / 256, 1e6 + 3 / 256, 1 / 256]
+    rows = [(0, a), (1, b), (50, [1e18, 1.0]), (51, [1e18, 1.0])]
+    got = nearest.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5).collect()
+    ints = [[int(256 * x) for x in v] for v in (a, b)]
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(0, 1, sum(x * y for x, y in zip(*ints)))]
+    assert got[0].score == 131072001280000771
+
+
+def test_every_byte_is_in_a_chunk():
+    import zstandard
+
+    bands, seen = quality.Bands(), []
+    compress = zstandard.ZstdCompressor(level=3).compress
+
+    def counted(data):
+        seen.append(len(data))
+        return compress(data)
+
+    for n in (0, 1, 50, 4095, 4096, 4097, 8191, 8192, 50_001):
+        seen.clear()
+        whole, chunks, bad, bad_bytes = quality.ratios(b"x" * n, bands, counted)
+        assert chunks == -(-n // 4096) and sum(seen) == (n if n <= 4096 else 2 * n)
+        assert bad_bytes <= n and (bad == 0) == (bad_bytes == 0)
+
+
+def brute_quality(text):
+    """Counts of the base rules, by their own words."""
+    import re
+
+    text = text or ""
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    grams = {}
+    for i in range(len(words) - 2):
+        grams.setdefault(tuple(words[i:i + 3]), []).append(i)
+    repeat = {j for at in grams.values() if len(at) > 1 for i in at for j in range(i, i + 3)}
+    lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    return (len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text)),
+            sum(x in lines[:i] for i, x in enumerate(lines)), len(repeat), len(words) < 50 or 100 * len(repeat) > 50 * len(words))
+
+
+def test_quality_counts_equal_brute_force(spark):
+    rng = random.Random(77)
+    texts = ["".join(rng.choice(["a", "b ", "é", "\n", "# ", " c d e ", "東 ", "\t", "$"]) for _ in range(rng.randrange(0, 300))) for _ in range(200)]
+    texts += [None, "", " \n ", "one\ntwo\none\n\none", "w " * 49, "w%d " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.quality_scores(df).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(t), t
+        assert not (r.base_failed and r.kept)
