@@ -79,26 +79,26 @@ def audit_log(log: DataFrame, tables: list[str], key: str, order: list[str],
     created before. Both follow from each name's first creation, a partial aggregate: the
     first ``max_temp_tables`` names by it exist, and the last one's place is the limit's."""
     place = F.struct(*order)
-    v = log.withColumn("place", place).withColumn("verdict", audit_session(F.col("sql"), tables))
+    v = log.withColumn("_place", place).withColumn("verdict", audit_session(F.col("sql"), tables))
     created = v.where(F.col("verdict").startswith("create_temp:")) \
-        .groupBy(F.col(key).alias("owner"), F.substring("verdict", len("create_temp:") + 1, 10_000).alias("name")) \
-        .agg(F.min("place").alias("first"))
-    nth = F.row_number().over(Window.partitionBy("owner").orderBy("first"))
+        .groupBy(F.col(key).alias("_owner"), F.substring("verdict", len("create_temp:") + 1, 10_000).alias("name")) \
+        .agg(F.min("_place").alias("first"))
+    nth = F.row_number().over(Window.partitionBy("_owner").orderBy("first"))
     held = created.withColumn("nth", nth).where(F.col("nth") <= max_temp_tables)
-    full = held.where(F.col("nth") == max_temp_tables).select("owner", F.col("first").alias("full_at"))
-    v = v.join(full, F.col(key) == F.col("owner"), "left").drop("owner")
+    full = held.where(F.col("nth") == max_temp_tables).select("_owner", F.col("first").alias("_full_at"))
+    v = v.join(full, F.col(key) == F.col("_owner"), "left").drop("_owner")
     is_create = F.col("verdict").startswith("create_temp:") | (F.col("verdict") == "reserved_table_name")
-    v = v.withColumn("verdict", F.when(is_create & (F.col("place") > F.col("full_at")), F.lit("temp_limit"))
-                     .otherwise(F.col("verdict"))).drop("full_at")
+    v = v.withColumn("verdict", F.when(is_create & (F.col("_place") > F.col("_full_at")), F.lit("temp_limit"))
+                     .otherwise(F.col("verdict"))).drop("_full_at")
     # texts without a base table: do their words name a temp table of the session?
     asked = v.where(F.col("verdict") == "missing_table") \
-        .select(F.col(key).alias("k"), F.col("place").alias("at"), F.explode(F.array_distinct(
+        .select(F.col(key).alias("_k"), F.col("_place").alias("_at"), F.explode(F.array_distinct(
             F.regexp_extract_all(F.lower("sql"), F.lit(r"\w+"), F.lit(0)))).alias("word"))
-    named = asked.join(held, (F.col("k") == F.col("owner")) & (F.col("word") == F.col("name")) & (F.col("first") < F.col("at"))) \
-        .select("k", "at").distinct()
-    v = v.join(named, (F.col(key) == F.col("k")) & (F.col("place") == F.col("at")), "left")
-    return v.withColumn("verdict", F.when(F.col("k").isNotNull(), F.lit("ok")).otherwise(F.col("verdict"))) \
-        .drop("k", "at", "place")
+    named = asked.join(held, (F.col("_k") == F.col("_owner")) & (F.col("word") == F.col("name")) & (F.col("first") < F.col("_at"))) \
+        .select("_k", "_at").distinct()
+    v = v.join(named, (F.col(key) == F.col("_k")) & (F.col("_place") == F.col("_at")), "left")
+    return v.withColumn("verdict", F.when(F.col("_k").isNotNull(), F.lit("ok")).otherwise(F.col("verdict"))) \
+        .drop("_k", "_at", "_place")
 
 
 # ------------------------------------------------------------------ usage events

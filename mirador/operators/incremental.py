@@ -67,22 +67,31 @@ def orphan_cleanup(stored: DataFrame, active: DataFrame) -> DataFrame:
         active.select(F.col("id").alias("catalog_id")), "catalog_id", "left_anti")
 
 
-SUMMARY_ZERO = {"status": "pending", "dataset_count": 0, "datasets_scored": 0, "overall": 0.0, "accessibility": 0.0,
-                "structure": 0.0, "freshness": 0.0, "completeness": 0.0, "coverage": 0.0, "tier": "detail"}
-
-
-def summary_fallback(catalogs: DataFrame, current: DataFrame, previous: DataFrame) -> DataFrame:
-    """Every catalog with its name and country: this run's summary, else the last known one
-    unchanged (its stored status included), else a zero 'pending' row. Both summaries hold
-    catalog_id and the fields of ``SUMMARY_ZERO``."""
+# A summary row's fields and what a catalog without any summary holds in them.
+SUMMARY_ZERO = {"status": "pending", "dataset_count": 0, "resource_count": 0, "datasets_scored": 0, "overall": 0.0,
+                "accessibility": 0.0, "structure": 0.0, "freshness": 0.0, "completeness": 0.0, "usability": 0.0,
+                "accessible_pct": 0.0, "median_freshness_days": None, "top_formats": [], "coverage": 0.0, "tier": "detail",
+                "scored_at": None}
+
+
+def summary_fallback(catalogs: DataFrame, current: DataFrame, previous: DataFrame, as_of: str) -> DataFrame:
+    """Every catalog with its own columns (name, country, protocol, language): this run's summary,
+    else the last known one unchanged (its stored status and time included), else a zero
+    'pending' row of now. Both summaries hold catalog_id and the fields of ``SUMMARY_ZERO``; the
+    tier of a pending catalog is the directory's, if it has one."""
     fields = list(SUMMARY_ZERO)
     one = lambda df, name, key: df.select(F.col("catalog_id").alias(key), F.struct(*fields).alias(name))
-    j = catalogs.join(one(current, "cur", "_c"), F.col("id") == F.col("_c"), "left") \
-        .join(one(previous, "prev", "_p"), F.col("id") == F.col("_p"), "left")
+    own = [c for c in catalogs.columns if c not in fields]
+    j = catalogs.alias("c").join(one(current, "cur", "_c"), F.col("c.id") == F.col("_c"), "left") \
+        .join(one(previous, "prev", "_p"), F.col("c.id") == F.col("_p"), "left")
     types = dict(current.dtypes)
+    zeros = {f: F.array() if z == [] else F.lit(z) for f, z in SUMMARY_ZERO.items()}
+    zeros["scored_at"] = F.lit(as_of).cast("timestamp")
+    if "tier" in catalogs.columns:
+        zeros["tier"] = F.col("c.tier")
     chosen = [F.when(F.col("_c").isNotNull(), F.col(f"cur.{f}")).when(F.col("_p").isNotNull(), F.col(f"prev.{f}"))
-              .otherwise(F.lit(zero)).cast(types[f]).alias(f) for f, zero in SUMMARY_ZERO.items()]
-    return j.select("id", "name", "country", *chosen)
+              .otherwise(zeros[f].cast(types[f])).cast(types[f]).alias(f) for f in fields]
+    return j.select(*[F.col(f"c.{c}") for c in own], *chosen)
 
 
 # ------------------------------------------------------------------ failures

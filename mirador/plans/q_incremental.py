@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mirador.fixtures import AS_OF, EVENTS_AS_OF, register_views
 from mirador.functions import columns
 from mirador.functions import lookups as L
-from mirador.operators import health, incremental, ranking
+from mirador.operators import health, incremental, ranking, search, summary
 from mirador.plans import pipeline
 from mirador.plans.oracles import oracle
 from mirador.plans.registry import query
@@ -15,6 +15,7 @@ from mirador.plans.sqlparts import SCORES_CTES, SUMMARY_CTES, avg3, dbl, r3
 from mirador.session import scratch_path
 from mirador.sources import records, stores
 
+NEXT_AS_OF = "2026-01-05 00:00:00"       # the run after AS_OF's
 HEALTH_TS = f"TIMESTAMP '{EVENTS_AS_OF}'"
 TTL_US = L.HEALTH_TTL_HOURS * 3600 * 1_000_000
 
@@ -205,36 +206,62 @@ GROUP BY p.catalog_id, c.id""", "v_prev", "v_catalogs")
 @query("summary_fallback")
 def q_summary_fallback(spark, sf):
     register_views(spark, sf, ("v_prev", "v_catalogs"))
-    cats = spark.table("v_catalogs")
-    processed = cats.where(F.col("pos") % 5 != 2).select(F.col("id").alias("catalog_id"))
     tier = F.when(F.col("pos") % 2 == 0, F.lit("detail")).otherwise(F.lit("aggregate"))
-    known = cats.select(F.col("id").alias("catalog_id"), tier.alias("tier"), "pos")
-    current = pipeline.summaries(spark, sf).join(processed, "catalog_id", "left_semi").join(known, "catalog_id") \
-        .select("catalog_id", F.lit("ok").alias("status"), "dataset_count", "datasets_scored", "overall", "accessibility",
-                "structure", "freshness", "completeness", "coverage", "tier")
+    langs = spark.sql(search.CATALOG_LANG_SQL).select(F.col("catalog_id").alias("id"), "language")
+    cats = spark.table("v_catalogs").join(langs, "id").select("id", "name", "country", "protocol", "language", "pos", tier.alias("tier"))
+    known = cats.select(F.col("id").alias("catalog_id"), "tier", "pos")
+    scores = pipeline.dataset_scores(spark, sf)
+    formats = summary.top_formats(scores).groupBy("catalog_id") \
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "format"))).getField("format").alias("top_formats"))
+    current = pipeline.summaries(spark, sf).join(known.where(F.col("pos") % 5 != 2), "catalog_id") \
+        .join(summary.median_freshness(scores), "catalog_id", "left").join(formats, "catalog_id", "left") \
+        .select("catalog_id", F.lit("ok").alias("status"), "dataset_count", "resource_count", "datasets_scored", "overall",
+                "accessibility", "structure", "freshness", "completeness", F.lit(0.0).alias("usability"), "accessible_pct",
+                "median_freshness_days", F.coalesce("top_formats", F.array().cast("array<string>")).alias("top_formats"),
+                "coverage", "tier", F.lit(AS_OF).cast("timestamp").alias("scored_at"))
     n, mean = F.count(F.lit(1)), columns.avg3(F.col("overall"))
-    previous = spark.table("v_prev").groupBy("catalog_id").agg(n.alias("dataset_count"), mean.alias("overall")) \
+    previous = spark.table("v_prev").groupBy("catalog_id").agg(n.alias("dataset_count"), mean.alias("overall"),
+                                                               F.max("last_scored_on").cast("timestamp").alias("scored_at")) \
         .join(known, "catalog_id").select(
             "catalog_id", F.when(F.col("pos") % 3 == 0, F.lit("failed")).otherwise(F.lit("ok")).alias("status"),
-            "dataset_count", F.col("dataset_count").alias("datasets_scored"), "overall",
-            *[F.col("overall").alias(c) for c in ("accessibility", "structure", "freshness", "completeness")],
-            F.lit(1.0).alias("coverage"), "tier")
-    return incremental.summary_fallback(cats, current, previous)
+            "dataset_count", (F.col("dataset_count") * 2).alias("resource_count"), F.col("dataset_count").alias("datasets_scored"),
+            "overall", *[F.col("overall").alias(c) for c in ("accessibility", "structure", "freshness", "completeness")],
+            F.lit(0.0).alias("usability"), F.lit(0.5).alias("accessible_pct"),
+            F.col("pos").cast("double").alias("median_freshness_days"), F.array(F.lit("csv"), F.lit("json")).alias("top_formats"),
+            F.lit(1.0).alias("coverage"), "tier", "scored_at")
+    out = incremental.summary_fallback(cats, current, previous, NEXT_AS_OF).drop("pos")
+    return out.withColumn("top_formats", F.array_join("top_formats", ","))
 
 
 _SUMMARY_FIELDS = ("accessibility", "structure", "freshness", "completeness")
-oracle("summary_fallback", f"""WITH {SUMMARY_CTES},
-cur AS (SELECT * FROM summ WHERE catalog_id IN (SELECT id FROM v_catalogs WHERE pos % 5 <> 2)),
-prev AS (SELECT catalog_id, count(*) AS n, {avg3('overall')} AS o FROM v_prev GROUP BY catalog_id)
-SELECT c.id, c.name, c.country,
- CASE WHEN cur.catalog_id IS NOT NULL THEN 'ok' WHEN prev.catalog_id IS NULL THEN 'pending' WHEN c.pos % 3 = 0 THEN 'failed' ELSE 'ok' END AS status,
+
+
+def _pick(cur: str, prev: str, zero: str, name: str) -> str:
+    return f"CASE WHEN cur.catalog_id IS NOT NULL THEN {cur} WHEN prev.catalog_id IS NOT NULL THEN {prev} ELSE {zero} END AS {name}"
+
+
+oracle("summary_fallback", f"""WITH {SUMMARY_CTES}, lang AS ({search.CATALOG_LANG_SQL.strip()}),
+med AS (SELECT catalog_id, CAST(median(days_since_modified) AS DOUBLE) AS m FROM sc GROUP BY catalog_id),
+fc AS (SELECT catalog_id, f, count(*) AS n FROM (SELECT catalog_id, unnest(formats) AS f FROM sc) GROUP BY catalog_id, f),
+fr AS (SELECT *, row_number() OVER (PARTITION BY catalog_id ORDER BY n DESC, f) AS rank FROM fc),
+tf AS (SELECT catalog_id, string_agg(f, ',' ORDER BY rank) AS formats FROM fr WHERE rank <= 5 GROUP BY catalog_id),
+cur AS (SELECT summ.*, m, formats FROM summ LEFT JOIN med USING (catalog_id) LEFT JOIN tf USING (catalog_id)
+  WHERE catalog_id IN (SELECT id FROM v_catalogs WHERE pos % 5 <> 2)),
+prev AS (SELECT catalog_id, count(*) AS n, {avg3('overall')} AS o, max(last_scored_on) AS at FROM v_prev GROUP BY catalog_id)
+SELECT c.id, c.name, c.country, c.protocol, lang.language,
+ {_pick("'ok'", "CASE WHEN c.pos % 3 = 0 THEN 'failed' ELSE 'ok' END", "'pending'", 'status')},
  CAST(coalesce(cur.dataset_count, prev.n, 0) AS BIGINT) AS dataset_count,
+ CAST({_pick('cur.resource_count', 'prev.n * 2', '0', 'x')[:-5]} AS BIGINT) AS resource_count,
  CAST(coalesce(cur.datasets_scored, prev.n, 0) AS BIGINT) AS datasets_scored,
  coalesce(cur.overall, prev.o, {dbl(0.0)}) AS overall,
- {", ".join(f"coalesce(cur.{f}, prev.o, {dbl(0.0)}) AS {f}" for f in _SUMMARY_FIELDS)},
- CASE WHEN cur.catalog_id IS NOT NULL THEN cur.coverage WHEN prev.catalog_id IS NOT NULL THEN {dbl(1.0)} ELSE {dbl(0.0)} END AS coverage,
- CASE WHEN cur.catalog_id IS NULL AND prev.catalog_id IS NULL THEN 'detail' WHEN c.pos % 2 = 0 THEN 'detail' ELSE 'aggregate' END AS tier
-FROM v_catalogs c LEFT JOIN cur ON c.id = cur.catalog_id LEFT JOIN prev ON c.id = prev.catalog_id""",
+ {", ".join(f"coalesce(cur.{f}, prev.o, {dbl(0.0)}) AS {f}" for f in _SUMMARY_FIELDS)}, {dbl(0.0)} AS usability,
+ {_pick('cur.accessible_pct', dbl(0.5), dbl(0.0), 'accessible_pct')},
+ {_pick('cur.m', 'CAST(c.pos AS DOUBLE)', 'NULL', 'median_freshness_days')},
+ {_pick("coalesce(cur.formats, '')", "'csv,json'", "''", 'top_formats')},
+ {_pick('cur.coverage', dbl(1.0), dbl(0.0), 'coverage')},
+ CASE WHEN c.pos % 2 = 0 THEN 'detail' ELSE 'aggregate' END AS tier,
+ {_pick(f"TIMESTAMP '{AS_OF}'", 'CAST(prev.at AS TIMESTAMP)', f"TIMESTAMP '{NEXT_AS_OF}'", 'scored_at')}
+FROM v_catalogs c JOIN lang ON lang.catalog_id = c.id LEFT JOIN cur ON c.id = cur.catalog_id LEFT JOIN prev ON c.id = prev.catalog_id""",
        "v_datasets", "v_resources", "v_checks", "v_prev", "v_catalogs")
 
 # ------------------------------------------------------------------ failures
@@ -328,9 +355,6 @@ def q_sweep_chunk(spark, sf):
 oracle("sweep_chunk", f"WITH {CHUNK_SQL}\nSELECT * FROM state", "v_datasets", "v_resources", "v_checks", "v_catalogs",
        "v_sweep_state")
 
-NEXT_AS_OF = "2026-01-05 00:00:00"
-
-
 @query("sweep_next_run")
 def q_sweep_next_run(spark, sf):
     """A run's state goes through the state store into the plan of the next, which takes all that is left."""
