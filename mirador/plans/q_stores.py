@@ -49,14 +49,18 @@ def q_charset_scan(spark, sf):
     written = stores.write_text_files(docs.withColumn("enc", enc), path, "doc_id", "text", "enc")
     written.count()  # the write job (files land in the shared folder)
     scan = stores.charset_scan(spark, path)
-    return scan.select(F.regexp_extract("path", r"/(\d+)\.txt$", 1).cast("bigint").alias("doc_id"),
-                       "encoding", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("md5"))
+    number = lambda: F.regexp_extract("path", r"/(\d+)\.txt$", 1).cast("bigint").alias("doc_id")
+    found = stores.file_encodings(spark, path).select(number(), "encoding")
+    lines = stores.decoded_lines(spark, path).groupBy(number()).agg(F.sum(F.length("line")).cast("bigint").alias("line_chars"))
+    return scan.drop("encoding").select(number(), "text").join(found, "doc_id").join(lines, "doc_id", "left").select(
+                       "doc_id", "encoding", "line_chars", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("md5"))
 
 
 oracle("charset_scan", """SELECT doc_id,
  CASE doc_id % 3 WHEN 0 THEN 'UTF-8' WHEN 1 THEN
    CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') AND NOT regexp_matches(text, '[^\\x00-\\xFF]') THEN 'ISO-8859-1' ELSE 'UTF-8' END
-  ELSE 'UTF-16' END AS encoding, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS md5 FROM documents""")
+  ELSE 'UTF-16' END AS encoding,
+ CASE WHEN doc_id % 3 <> 2 THEN CAST(length(replace(text, chr(10), '')) AS BIGINT) END AS line_chars, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS md5 FROM documents""")
 
 # ------------------------------------------------------------------ metadata store
 META_TTL_HOURS = 24

@@ -20,13 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mirador.sources.stores import filesystem
+from mirador.sources.stores import MARKS, filesystem
 
 HEAD_BYTES = 65_536
 SEPARATORS = (",", ";", "\t", "|")
 QUOTES = ('"', "'")
 DIALECT_DDL = "path string, encoding string, sep string, quote string, multi_line boolean"
-MARKS = ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16"), (b"\xfe\xff", "UTF-16"))
 WIDER = [T.IntegerType(), T.LongType(), T.DoubleType()]
 
 

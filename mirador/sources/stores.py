@@ -21,6 +21,7 @@ from mirador.functions.columns import epoch_micros
 from mirador.sources import versions
 
 HOUR_US = 3600 * 1_000_000
+MARKS = ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16"), (b"\xfe\xff", "UTF-16"))     # byte order marks
 
 
 # ------------------------------------------------------------------ metadata store
@@ -204,6 +205,40 @@ def write_text_files(df: DataFrame, path: str, id_col: str, text_col: str, enc_c
     return df.select(id_col, text_col, enc_col).mapInPandas(run, schema)
 
 
+def file_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """(path, encoding) per file, whatever its size: the byte order mark is read from the head, and
+    lines are tested for valid UTF-8 split by split (a line feed never lies inside a UTF-8
+    character), so no file has to be one row."""
+    files = spark.read.format("binaryFile").load(path).select("path")          # contents are not read
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            marks = []
+            for name in pdf["path"]:
+                fs, inside = filesystem(name)
+                with fs.open_input_stream(inside) as f:
+                    head = f.read(3)
+                marks.append(next((e for mark, e in MARKS if head.startswith(mark)), None))
+            yield pd.DataFrame({"path": pdf["path"], "mark": marks})
+
+    key = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    lines = spark.read.text(path).groupBy(key(F.col("_metadata.file_path")).alias("key")) \
+        .agg(F.min(F.is_valid_utf8(F.col("value"))).alias("valid"))
+    heads = files.mapInPandas(run, "path string, mark string").withColumn("key", key(F.col("path")))
+    return heads.join(lines, "key", "left").select("path", F.coalesce(
+        "mark", F.when(F.coalesce("valid", F.lit(True)), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1"))).alias("encoding"))
+
+
+def decoded_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line) of UTF-8 and Latin-1 files of any size, decoded as detected; a large file is
+    many rows in many tasks. (UTF-16 files have no lines of bytes; ``charset_scan`` reads them.)"""
+    key = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    found = file_encodings(spark, path).where(F.col("encoding") != "UTF-16").select(key(F.col("path")).alias("key"), "path", "encoding")
+    raw = spark.read.text(path).select(key(F.col("_metadata.file_path")).alias("key"), "value")
+    line = F.when(F.col("encoding") == "UTF-8", F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    return raw.join(found, "key").select("path", line.alias("line"))
+
+
 def charset_scan(spark: SparkSession, path: str) -> DataFrame:
     """Detect and decode raw text files: BOM first, then valid UTF-8, else Latin-1."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)

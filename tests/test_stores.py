@@ -144,3 +144,16 @@ def test_quoted_line_break_behind_the_head(spark, tmp_path):
     found = {r.column_name: r for r in sqlapi.inspect_csv(spark, str(tmp_path / "c.csv")).collect()}
     assert (found["k"].column_type, found["k"].row_count, found["k"].encoding) == ("int", 3001, "UTF-8")
     assert found["k"].preview == ["0", "1", "2", "3", "4"]
+
+
+def test_encodings_without_reading_files_as_rows(spark, tmp_path):
+    files = {"a.txt": "añb\nline é".encode(), "b.txt": "añb\nlíne".encode("latin-1"), "c.txt": "x\ny".encode("utf-16"),
+             "d.txt": b"\xef\xbb\xbfz", "e.txt": b"plain\nascii\n"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: r.encoding for r in stores.file_encodings(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": "UTF-8", "b.txt": "ISO-8859-1", "c.txt": "UTF-16", "d.txt": "UTF-8", "e.txt": "UTF-8"}
+    lines = {}
+    for r in stores.decoded_lines(spark, str(tmp_path)).collect():
+        lines.setdefault(r.path.rsplit("/", 1)[1], set()).add(r.line)
+    assert lines["b.txt"] == {"añb", "líne"} and lines["a.txt"] == {"añb", "line é"} and "c.txt" not in lines
