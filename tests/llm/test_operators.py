@@ -85,6 +85,46 @@ def test_shards_balance_and_number(spark):
     assert len(of["a small group"]) == 1
 
 
+def brute_leaves(rows, leaves, dims):
+    """Leaf per row by exact weighted medians; rows are (size, h, key per dimension)."""
+    extent = [max(r[2 + d] for r in rows) - min(r[2 + d] for r in rows) for d in range(dims)]
+    out = {}
+
+    def split(at, n, first):
+        if n == 1:
+            out.update(dict.fromkeys(at, first))
+            return
+        if not at:
+            return
+        wide = [max(rows[i][2 + d] for i in at) - min(rows[i][2 + d] for i in at) for d in range(dims)]
+        d = max(range(dims), key=lambda d: wide[d] / max(1, extent[d]))
+        goal, below = sum(rows[i][0] for i in at) * (n // 2) / n, 0
+        for key in sorted({rows[i][2 + d] for i in at}):
+            here = sum(rows[i][0] for i in at if rows[i][2 + d] == key)
+            if below + here >= goal:
+                cut = key if below + here - goal <= goal - below else key - 1
+                break
+            below += here
+        split([i for i in at if rows[i][2 + d] <= cut], n // 2, first)
+        split([i for i in at if rows[i][2 + d] > cut], n - n // 2, first + n // 2)
+
+    split(list(range(len(rows))), leaves, 0)
+    return out
+
+
+@pytest.mark.parametrize("leaves, most", [(1, 9), (2, 9), (7, 9), (24, 9), (24, -1)])
+def test_shards_equal_brute_force(spark, monkeypatch, leaves, most):
+    rng = random.Random(leaves)
+    rows = [(rng.randrange(1, 50), i, rng.randrange(40), rng.randrange(10 ** 6), rng.choice([0, 0, 0, 5])) for i in range(700)]
+    monkeypatch.setattr(sharding, "TOLERANCE", 0.0)
+    monkeypatch.setattr(sharding, "WHOLE_GROUP", 1e9)           # no value is cut
+    monkeypatch.setattr(sharding, "BINS", 8)
+    monkeypatch.setattr(sharding, "BROADCAST_NODES", most)
+    meta = spark.createDataFrame(rows, "size long, h long, a long, b long, c long").repartition(3)
+    got = {r.h: r.leaf for r in sharding.kd_leaves(meta, ["a", "b", "c"], leaves, sum(r[0] for r in rows)).collect()}
+    assert got == brute_leaves(rows, leaves, 3)
+
+
 def test_shards_awkward_rows(spark, documents, clashing):
     got = sharding.kd_shards(clashing, shards=3).collect()
     assert len(got) == documents.count()
