@@ -87,7 +87,7 @@ SELECT event_id, session, verdict_simple, CASE
  WHEN (starts_with(verdict, 'create_temp:') OR verdict = 'reserved_table_name') AND EXISTS (SELECT 1 FROM held h
    WHERE h.session = v.session AND h.nth = {L.MAX_TEMP_TABLES} AND (v.ts, v.event_id) > h.first) THEN 'temp_limit'
  WHEN verdict = 'missing_table' AND EXISTS (SELECT 1 FROM held h WHERE h.session = v.session AND h.nth <= {L.MAX_TEMP_TABLES}
-   AND h.first < (v.ts, v.event_id) AND list_contains(regexp_extract_all(lower(v.sql), '\w+'), h.name)) THEN 'ok'
+   AND h.first < (v.ts, v.event_id) AND list_contains(regexp_extract_all(lower(v.sql), '\\w+'), h.name)) THEN 'ok'
  ELSE verdict END AS verdict_session FROM v""")
 
 # ------------------------------------------------------------------ usage events
