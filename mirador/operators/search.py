@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from mirador.functions import lookups as L
 from mirador.functions.columns import fts_tokens
-from mirador.operators.numbering import numbered
 from mirador.operators.text import expand_query
 
 FIELDS = ("title", "description", "organization", "tags")
@@ -160,7 +159,7 @@ def bm25_search(index, qterms, limit: int = L.DEFAULT_FTS_LIMIT) -> DataFrame:
 
 
 # ------------------------------------------------------------------ postings by impact
-BLOCK_POSTINGS = 128           # postings a block; at least the largest limit that is pruned for
+BLOCK_POSTINGS = 128           # postings a block, at most
 TERM_BUCKETS = 64              # folders of the postings
 
 
@@ -175,18 +174,19 @@ def impacts(index: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_impacts(index: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
-    """Postings in blocks of ``BLOCK_POSTINGS``, greatest impacts first, in folders by (catalog,
-    term); and a row per block with its greatest impact, the first block's with all of its
-    impacts. Numbers come from range partitions, so a very common term is no single task's."""
-    ranked = numbered(impacts(index), ["catalog_id", "term"], [F.col("impact").desc(), F.col("id")])
-    ranked = ranked.select("*", F.floor((F.col("rn") - 1) / BLOCK_POSTINGS).cast("int").alias("block"),
-                           term_bucket(F.col("catalog_id"), F.col("term")).alias("bucket"))
-    (ranked.repartitionByRange("bucket", "catalog_id", "term", "block").sortWithinPartitions("bucket", "catalog_id", "term", "rn")
+    """Postings by (catalog, term), greatest impacts first, in folders by a hash of both; and a row
+    per block with its size, greatest and least impact.
+
+    One range-partitioned sort does it: a block is what a term holds of ``BLOCK_POSTINGS``
+    consecutive rows, so a very common term spreads over many tasks, and needs no numbering."""
+    order = ["bucket", "catalog_id", "term", F.col("impact").desc(), "id"]
+    rows = impacts(index).withColumn("bucket", term_bucket(F.col("catalog_id"), F.col("term")))
+    (rows.repartitionByRange(*order).sortWithinPartitions(*order)
+     .withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK_POSTINGS))
      .write.partitionBy("bucket").parquet(f"{path}/postings"))
-    spark = ranked.sparkSession
-    rows = spark.read.parquet(f"{path}/postings")
-    (rows.groupBy("bucket", "catalog_id", "term", "block").agg(F.max("impact").alias("bound"), F.collect_list("impact").alias("all"))
-     .select("bucket", "catalog_id", "term", "block", "bound", F.when(F.col("block") == 0, F.sort_array("all", asc=False)).alias("top"))
+    spark = rows.sparkSession
+    (spark.read.parquet(f"{path}/postings").groupBy("bucket", "catalog_id", "term", "block")
+     .agg(F.max("impact").alias("bound"), F.min("impact").alias("low"), F.count(F.lit(1)).alias("n"))
      .repartitionByRange("bucket", "catalog_id", "term").sortWithinPartitions("bucket", "catalog_id", "term")
      .write.partitionBy("bucket").parquet(f"{path}/blocks"))
     return read_impacts(spark, path)
@@ -199,19 +199,18 @@ def read_impacts(spark, path: str) -> dict[str, DataFrame]:
 def useful_blocks(blocks: DataFrame, qterms: DataFrame, limit: int) -> DataFrame:
     """The blocks of the query terms that can hold one of the ``limit`` best documents.
 
-    A term's ``limit``-th impact is a lower bound of a query's ``limit``-th score, the greatest
-    of them the threshold. A document in a block scores at most the block's bound and the other
-    terms' greatest impacts; below the threshold the block is left out. Documents at or
-    above it lose no block, and at least ``limit`` of them are, so the result is exact."""
-    if limit > BLOCK_POSTINGS:
-        raise ValueError("the limit goes beyond a block")
-    mine = blocks.join(qterms, ["catalog_id", "term"])
+    The least impact of a term's first blocks that hold ``limit`` postings is a lower bound of a
+    query's ``limit``-th score; the greatest over its terms is the threshold. A document in a
+    block scores at most the block's bound and the other terms' greatest impacts; below the
+    threshold the block is left out. Documents at or above it lose no block, and at least
+    ``limit`` of them are, so the result is exact."""
     key = ["query_id", "catalog_id"]
-    firsts = mine.where(F.col("block") == 0)
-    kth = F.when(F.size("top") >= limit, F.element_at("top", limit)).otherwise(F.lit(0.0))
-    sums = firsts.groupBy(*key).agg(F.sum("bound").alias("most"), F.max(kth).alias("threshold"))
-    own = firsts.select(*key, "term", F.col("bound").alias("own"))
-    j = mine.join(sums, key).join(own, [*key, "term"])
+    mine = blocks.join(qterms, ["catalog_id", "term"])
+    down = Window.partitionBy(*key, "term").orderBy(F.desc("bound"), F.desc("low"), "block")
+    seen = mine.withColumn("upto", F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    terms = seen.groupBy(*key, "term").agg(F.max("bound").alias("own"), F.max(F.when(F.col("upto") >= limit, F.col("low"))).alias("kth"))
+    sums = terms.groupBy(*key).agg(F.sum("own").alias("most"), F.coalesce(F.max("kth"), F.lit(0.0)).alias("threshold"))
+    j = mine.join(sums, key).join(terms.select(*key, "term", "own"), [*key, "term"])
     reach = F.col("bound") + F.col("most") - F.col("own") + F.lit(1e-6)
     return j.where(reach >= F.col("threshold")).select(*key, "term", "block")
 

@@ -179,10 +179,13 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY query_id, catalog_id ORDER BY r
 
 
 def search_index(spark, sf):
-    """The index with its postings by impact, written once per input folder."""
-    index = index_for(spark, sf)
-    path = written_folder(spark, ("fts", "impacts", sf.rstrip("/")), lambda folder: search.write_impacts(index, folder))
-    return {**index, **search.read_impacts(spark, path)}
+    """The postings by impact and the catalogs' statistics, written once per input folder."""
+    key = sf.rstrip("/")
+    toks = written_table(spark, ("fts", "tokens", key), lambda: search.token_table(records.datasets(spark, sf)))
+    stats = written_table(spark, ("fts", "stats", key), lambda: search.fts_stats(toks))
+    parts = {"postings": search.fts_postings(toks), "term_df": search.fts_term_df(toks), "stats": stats}
+    path = written_folder(spark, ("fts", "impacts", key), lambda folder: search.write_impacts(parts, folder))
+    return {"stats": stats, **search.read_impacts(spark, path)}
 
 
 @query("bm25_search")
