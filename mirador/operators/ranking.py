@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirador.functions import lookups as L
+from mirador.operators.numbering import numbered
 
 
 def weighted(df: DataFrame) -> DataFrame:
@@ -66,12 +67,18 @@ def tier_classify(catalogs: DataFrame, membership: DataFrame, detail_presets: li
     return c.select("id", "tier", F.row_number().over(w).alias("run_order"))
 
 
+DEEP_ROWS = 100_000            # rows before a page from which it is found by numbers
+
+
 def dataset_list_page(scores: DataFrame, search: str | None, sort: str = "overall",
                       page: int = 0, page_size: int = L.DATASET_PAGE_SIZE,
                       descending: bool | None = None) -> DataFrame:
     """Case-insensitive substring over title, organization and id (search text
     trimmed), sorted by overall (default descending), title (empty title: the id)
-    or organization (missing: empty), then paged. Ties keep id order."""
+    or organization (missing: empty), then paged. Ties keep id order.
+
+    A first page is a limit per partition and a merge of those; far pages would put all rows
+    before them into one task, so they are found by row numbers from range partitions."""
     df = scores
     q = (search or "").strip().lower()
     if q:
@@ -82,5 +89,10 @@ def dataset_list_page(scores: DataFrame, search: str | None, sort: str = "overal
            "title": F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("id")),
            "organization": F.coalesce(F.col("organization"), F.lit(""))}[sort]
     desc = (sort == "overall") if descending is None else descending
-    return df.orderBy(key.desc() if desc else key.asc(), F.asc("id")) \
-             .offset(page * page_size).limit(page_size)
+    start = page * page_size
+    if start < DEEP_ROWS:
+        return df.orderBy(key.desc() if desc else key.asc(), F.asc("id")).offset(start).limit(page_size)
+    keyed = df.withColumn("_key", key)
+    order = [F.col("_key").desc() if desc else F.col("_key").asc(), F.col("id").asc()]
+    here = F.col("_rn").between(start + 1, start + page_size)
+    return numbered(keyed, [], order, "_rn").where(here).orderBy("_rn").drop("_rn", "_key")

@@ -68,3 +68,15 @@ def test_a_sweep_s_state_feeds_the_next(spark):
     everything = incremental.sweep_chunk(recs, incremental.sweep_plan(cats, state.limit(0), "2026-01-01 00:00:00"), 0)
     assert [r.idx for r in everything.orderBy("modified_at").collect()] == list(range(7))
     assert everything.where(F.col("with_access")).count() == 1
+
+
+def test_far_pages_equal_near_ones(spark, monkeypatch):
+    from mirador.operators import ranking
+    rows = [(f"c:{i}", f"title {i % 7}" if i % 5 else "", None if i % 4 == 0 else f"org {i % 3}", (i * 37 % 11) / 10) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, title string, organization string, overall double").repartition(5)
+    for sort in ("overall", "title", "organization"):
+        for page in (0, 3, 14, 40):
+            near = ranking.dataset_list_page(df, "c:", sort, page).collect()
+            with monkeypatch.context() as m:
+                m.setattr(ranking, "DEEP_ROWS", 0)
+                assert ranking.dataset_list_page(df, "c:", sort, page).collect() == near
