@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirador.llm.common import join_small, read_table, temporary_name, written
+from mirador.llm.common import discard, join_small, read_table, temporary_name, written
 from mirador.llm.components import components
 
 TAU = 2
@@ -88,11 +88,12 @@ def candidates(docs: DataFrame, tau: int, min_chars: int, id_col: str, text_col:
     later = F.col("first").isNotNull() & (place != F.col("first"))
     once = marked.filter(~later)
 
-    emitted = keyed(once.select("a", "line"), tau)
+    emitted = written(keyed(once.select("a", "line"), tau), "line-all-keys")      # cut and hashed once
     shared = emitted.groupBy("key").agg(F.max("index").alias("indexed"), F.min("a").alias("lo"), F.max("a").alias("hi"))
     shared = written(shared.filter("indexed and lo <> hi").select(F.col("key").alias("k")), "shared-keys")
     live = join_small(emitted, shared, F.col("key") == F.col("k"), "left_semi", shared.count(), BROADCAST_ROWS)
     live = written(live, "line-keys")
+    discard(emitted)
     named = written(live.select(F.col("a").alias("la")).distinct(), "live-lines")
     texts = written(join_small(once, named, F.col("a") == F.col("la"), "left_semi", named.count(), BROADCAST_ROWS)
                     .select("a", place.alias("place"), "line"), "live-texts")
