@@ -80,7 +80,7 @@ def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> list[tupl
     order = np.argsort(ids, kind="stable")          # ties in score then fall to the smaller id
     ids = ids[order]
     x, dx = np.stack(rows["v"].to_numpy())[order], np.stack(rows["d"].to_numpy())[order]
-    whole = x.astype(np.int64)
+    whole, most = x.astype(np.int64), x.shape[1] * float(np.abs(x).max(initial=0.0))
     norm, out = (x * x).sum(axis=1), []
     for qid, q, dq in zip(queries["vec_id"], queries["v"], queries["d"]):
         low = np.abs(dx - dq).max(axis=1) if dx.shape[1] else np.zeros(len(ids))
@@ -88,12 +88,13 @@ def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> list[tupl
         bound += 1e-9 * (np.abs(bound) + norm) + 0.25   # scores are integers; covers rounding
         bound[ids == qid] = -np.inf                     # the query's own row
         top_i, top_s, done, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 256
-        own = q.astype(np.int64)[None]
+        own = q.astype(np.int64)[None] if most * float(np.abs(q).max(initial=0.0)) >= 2 ** 53 else None
         by = np.argsort(-bound, kind="stable")
         while done < len(by) and not (len(top_s) == k and top_s[-1] > bound[by[done]]):
             part = by[done:done + step]
             part = part[bound[part] > -np.inf]
-            s, i = np.concatenate([top_s, products(whole[part], own)[:, 0]]), np.concatenate([top_i, part])
+            got = (x[part] @ q).astype(np.int64) if own is None else products(whole[part], own)[:, 0]
+            s, i = np.concatenate([top_s, got]), np.concatenate([top_i, part])
             best = np.lexsort((ids[i], -s))[:k]
             top_s, top_i = s[best], i[best]
             done, step = done + step, step * 2
