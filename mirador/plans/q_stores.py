@@ -9,7 +9,7 @@ from mirador.plans import pipeline
 from mirador.plans.oracles import oracle
 from mirador.plans.registry import query
 from mirador.plans.sqlparts import SUMMARY_CTES
-from mirador.session import scratch_path
+from mirador.session import materialize, scratch_path
 from mirador.sources import records, stores
 
 # ------------------------------------------------------------------ load plan
@@ -46,14 +46,16 @@ def q_charset_scan(spark, sf):
                  F.when(F.col("text").rlike("[^\\x00-\\xFF]"), F.lit("utf-8")).otherwise(F.lit("latin-1")))
            .otherwise(F.lit("utf-16")))
     path = scratch_path(spark, "raw-docs")
-    written = stores.write_text_files(docs.withColumn("enc", enc), path, "doc_id", "text", "enc")
-    written.count()  # the write job (files land in the shared folder)
-    scan = stores.charset_scan(spark, path)
+    # the write job lands the files in the shared folder; their names and sizes are a table
+    files = materialize(stores.write_text_files(docs.withColumn("enc", enc), path, "doc_id", "text", "enc"))
+    files = files.groupBy("path").agg(F.max("n_bytes").alias("n_bytes"))        # rows that repeat an id share a file
+    scan = stores.charset_scan(spark, files)
     number = lambda: F.regexp_extract("path", r"/(\d+)\.txt$", 1).cast("bigint").alias("doc_id")
-    found = stores.file_encodings(spark, path).select(number(), "encoding")
-    lines = stores.decoded_lines(spark, path).groupBy(number()).agg(F.sum(F.length("line")).cast("bigint").alias("line_chars"))
-    return scan.drop("encoding").select(number(), "text").join(found, "doc_id").join(lines, "doc_id", "left").select(
-                       "doc_id", "encoding", "line_chars", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("md5"))
+    found = materialize(stores.file_encodings(spark, files))
+    lines = stores.decoded_lines(spark, files, found).groupBy(number()).agg(F.sum(F.length("line")).cast("bigint").alias("line_chars"))
+    texts = scan.select(number(), F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("md5"))
+    return texts.join(found.select(number(), "encoding"), "doc_id").join(lines, "doc_id", "left") \
+        .select("doc_id", "encoding", "line_chars", "n_chars", "md5")
 
 
 oracle("charset_scan", """SELECT doc_id,

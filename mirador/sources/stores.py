@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,9 +188,14 @@ def filesystem(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
+def named(path: str) -> str:
+    """The path as Spark names it: with a scheme."""
+    return ("" if ":/" in path else "file:") + path.rstrip("/")
+
+
 def write_text_files(df: DataFrame, path: str, id_col: str, text_col: str, enc_col: str) -> DataFrame:
     """Each task writes its rows as raw files ``<id>.txt`` in the given encoding
-    (into a shared folder); returns (id, bytes written)."""
+    (into a shared folder); returns (id, path, bytes written)."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = filesystem(path)
         fs.create_dir(root, recursive=True)
@@ -200,16 +206,140 @@ def write_text_files(df: DataFrame, path: str, id_col: str, text_col: str, enc_c
                 with fs.open_output_stream(f"{root}/{rid}.txt") as fh:
                     fh.write(data)
                 sizes.append(len(data))
-            yield pd.DataFrame({id_col: pdf[id_col], "n_bytes": sizes})
-    schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_bytes bigint"
+            names = [f"{named(path)}/{rid}.txt" for rid in pdf[id_col]]
+            yield pd.DataFrame({id_col: pdf[id_col], "path": names, "n_bytes": sizes})
+    schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, path string, n_bytes bigint"
     return df.select(id_col, text_col, enc_col).mapInPandas(run, schema)
 
 
-def file_encodings(spark: SparkSession, path: str) -> DataFrame:
+FILES_A_TASK, BYTES_A_TASK = 2_000, 32 << 20
+PIECE = 8 << 20                # bytes of a file that one row of work names
+READ = 1 << 20
+
+
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n_bytes) of a folder's files, or of one file, listed in a task: the driver holds no
+    names. Names that begin with ``_`` or ``.`` are left out, as Spark does."""
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as pafs
+        for _ in it:
+            fs, root = filesystem(path)
+            one = fs.get_file_info(root)
+            if one.type == pafs.FileType.NotFound:
+                raise FileNotFoundError(path)
+            here = [one] if one.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root))
+            files = [f for f in here if f.type == pafs.FileType.File and f.base_name[:1] not in "_."]
+            head = named(path)
+            for k in range(0, len(files), 10_000):
+                some = files[k:k + 10_000]
+                yield pd.DataFrame({"path": [head if f is one else f"{head}/{f.base_name}" for f in some],
+                                    "n_bytes": [f.size for f in some]})
+    return spark.range(0, 1, 1, 1).mapInPandas(run, "path string, n_bytes bigint")
+
+
+def file_table(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """(path, n_bytes) of ``source``: a folder, or such a table."""
+    return (listed_files(spark, source) if isinstance(source, str) else source).select("path", "n_bytes")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows with ``n_bytes``, dealt to tasks by number and bytes."""
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    return rows.repartition(max(1, -(-n // FILES_A_TASK), -(-size // BYTES_A_TASK)))
+
+
+def file_contents(files: DataFrame) -> DataFrame:
+    """(path, content) per file; a file is one row."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            names, data, held = [], [], 0
+            for name in b.column(0).to_pylist():
+                fs, inside = filesystem(name)
+                with fs.open_input_stream(inside) as f:
+                    names.append(name)
+                    data.append(f.read())
+                held += len(data[-1])
+                if held >= PIECE:
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(data, pa.binary())], names=["path", "content"])
+                    names, data, held = [], [], 0
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(data, pa.binary())], names=["path", "content"])
+    return files.select("path").mapInArrow(run, "path string, content binary")
+
+
+def lines_from(f, start: int, stop: int) -> Iterator[bytes]:
+    """The lines of an open file in the stretches behind line feeds that begin in [start, stop): read
+    to their end, which may lie beyond; a file's pieces give each line once."""
+    at, rest = start, b""
+    if start:                                                  # from behind the first line feed
+        f.seek(start - 1)
+        at = start - 1
+        while at < stop - 1:
+            chunk = f.read(min(READ, stop - 1 - at))
+            if not chunk:
+                return
+            k = chunk.find(b"\n")
+            if k >= 0:
+                at, rest = at + len(chunk), chunk[k + 1:]
+                break
+            at += len(chunk)
+        else:
+            return
+    else:
+        f.seek(0)
+        rest = f.read(3)
+        at = len(rest)
+        rest = rest.removeprefix(MARKS[0][0])
+    while True:
+        # behind ``stop - 1`` the first line feed ends the last stretch
+        inside = stop - 1 - at
+        chunk = f.read(min(READ, inside)) if inside > 0 else f.read(READ)
+        if inside <= 0:
+            k = chunk.find(b"\n")
+            if k >= 0 or not chunk:
+                yield from (rest + chunk[:k + 1]).splitlines()
+                return
+        elif not chunk:
+            yield from rest.splitlines()
+            return
+        at, rest = at + len(chunk), rest + chunk
+        k = rest.rfind(b"\n") + 1
+        if k:
+            yield from rest[:k].splitlines()
+            rest = rest[k:]
+
+
+def raw_lines(files: DataFrame) -> DataFrame:
+    """(path, value) per line of files of any size, as bytes: large files are many pieces."""
+    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(PIECE).cast("bigint"))
+    pieces = files.select("path", "n_bytes", F.explode(starts).alias("start")) \
+        .withColumn("stop", F.least(F.col("start") + PIECE, "n_bytes"))
+    pieces = dealt(pieces.select("path", "start", "stop", (F.col("stop") - F.col("start")).alias("n_bytes")))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, data, held = [], [], 0
+        for b in it:
+            for name, start, stop in zip(*(c.to_pylist() for c in b.columns)):
+                fs, inside = filesystem(name)
+                with fs.open_input_file(inside) as f:
+                    for line in lines_from(f, start, stop):
+                        names.append(name)
+                        data.append(line)
+                        held += len(line) + 1
+                        if held >= PIECE or len(data) >= 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(data, pa.binary())], names=["path", "value"])
+                            names, data, held = [], [], 0
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(data, pa.binary())], names=["path", "value"])
+
+    return pieces.select("path", "start", "stop").mapInArrow(run, "path string, value binary")
+
+
+def file_encodings(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """(path, encoding) per file, whatever its size: the byte order mark is read from the head, and
-    lines are tested for valid UTF-8 split by split (a line feed never lies inside a UTF-8
-    character), so no file has to be one row."""
-    files = spark.read.format("binaryFile").load(path).select("path")          # contents are not read
+    lines are tested for valid UTF-8 piece by piece (a line feed never lies inside a UTF-8
+    character), so no file has to be one row. ``path``: a folder, or a table (path, n_bytes)."""
+    files = file_table(spark, path)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -221,27 +351,28 @@ def file_encodings(spark: SparkSession, path: str) -> DataFrame:
                 marks.append(next((e for mark, e in MARKS if head.startswith(mark)), None))
             yield pd.DataFrame({"path": pdf["path"], "mark": marks})
 
-    key = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    lines = spark.read.text(path).groupBy(key(F.col("_metadata.file_path")).alias("key")) \
-        .agg(F.min(F.is_valid_utf8(F.col("value"))).alias("valid"))
-    heads = files.mapInPandas(run, "path string, mark string").withColumn("key", key(F.col("path")))
-    return heads.join(lines, "key", "left").select("path", F.coalesce(
+    lines = raw_lines(files).groupBy("path").agg(F.min(F.is_valid_utf8(F.col("value").cast("string"))).alias("valid"))
+    heads = dealt(files).select("path").mapInPandas(run, "path string, mark string")
+    return heads.join(lines, "path", "left").select("path", F.coalesce(
         "mark", F.when(F.coalesce("valid", F.lit(True)), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1"))).alias("encoding"))
 
 
-def decoded_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line) of UTF-8 and Latin-1 files of any size, decoded as detected; a large file is
-    many rows in many tasks. (UTF-16 files have no lines of bytes; ``charset_scan`` reads them.)"""
-    key = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    found = file_encodings(spark, path).where(F.col("encoding") != "UTF-16").select(key(F.col("path")).alias("key"), "path", "encoding")
-    raw = spark.read.text(path).select(key(F.col("_metadata.file_path")).alias("key"), "value")
+def decoded_lines(spark: SparkSession, path: str | DataFrame, encodings: DataFrame | None = None) -> DataFrame:
+    """(path, line) of UTF-8 and Latin-1 files of any size, decoded as detected (``encodings``, if
+    they are known); a large file is many rows in many tasks. (UTF-16 files have no lines of bytes;
+    ``charset_scan`` reads them.)"""
+    files = file_table(spark, path)
+    found = (file_encodings(spark, files) if encodings is None else encodings).where(F.col("encoding") != "UTF-16")
+    raw = raw_lines(files.join(found.select("path"), "path", "left_semi")).withColumn("value", F.col("value").cast("string"))
     line = F.when(F.col("encoding") == "UTF-8", F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
-    return raw.join(found, "key").select("path", line.alias("line"))
+    return raw.join(found, "path").select("path", line.alias("line"))
 
 
-def charset_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Detect and decode raw text files: BOM first, then valid UTF-8, else Latin-1."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+def charset_scan(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """Detect and decode raw text files: BOM first, then valid UTF-8, else Latin-1. ``path``: a
+    folder, or a table (path, n_bytes). Files are read by the tasks that they are dealt to, so
+    the driver holds neither names nor contents."""
+    raw = file_contents(dealt(file_table(spark, path).where(F.col("path").endswith(".txt"))))
     c = F.col("content")
     head3 = F.hex(F.substring(c, 1, 3))
     head2 = F.substring(head3, 1, 4)

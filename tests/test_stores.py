@@ -157,3 +157,19 @@ def test_encodings_without_reading_files_as_rows(spark, tmp_path):
     for r in stores.decoded_lines(spark, str(tmp_path)).collect():
         lines.setdefault(r.path.rsplit("/", 1)[1], set()).add(r.line)
     assert lines["b.txt"] == {"añb", "líne"} and lines["a.txt"] == {"añb", "line é"} and "c.txt" not in lines
+
+
+def test_files_are_scanned_without_a_listing_on_the_driver(spark, tmp_path, monkeypatch):
+    lines = ["", "uno", "dos  tres", "", "x" * 40, "año", "y\rz", "fin"]
+    for k, end in enumerate(["\n", "\r\n", ""]):
+        (tmp_path / f"{k}.txt").write_bytes((end or "\n").join(lines).encode() + end.encode())
+    (tmp_path / "9.txt").write_bytes(b"")
+    files = stores.listed_files(spark, str(tmp_path))
+    assert stores.charset_scan(spark, files).inputFiles() == []          # no file index that names every file
+    assert stores.decoded_lines(spark, files).inputFiles() == []
+    want = sorted((k, x) for k in range(3) for line in lines for x in line.split("\r"))
+    for piece in (4, 5, 7, 16, 8 << 20):                                 # pieces give every line once
+        monkeypatch.setattr(stores, "PIECE", piece)
+        got = [(int(r.path[-5]), r.line) for r in stores.decoded_lines(spark, files).collect()]
+        assert sorted(got) == want, piece
+    assert {r.path[-5]: r.text for r in stores.charset_scan(spark, files).collect()}["9"] == ""
