@@ -209,7 +209,9 @@ def placed(docs: DataFrame, every: int, id_col: str, text_col: str) -> DataFrame
         if held:
             yield repeats()
 
-    return units(docs, every, buckets, id_col, text_col).repartition("bucket").sortWithinPartitions("bucket") \
+    # as many partitions as buckets: left to Spark, small ones are joined, and an Arrow batch of packed units
+    # is as large as all of a task's buckets
+    return units(docs, every, buckets, id_col, text_col).repartition(buckets, "bucket").sortWithinPartitions("bucket") \
         .mapInArrow(lean(run), PLACED_DDL)
 
 

@@ -127,3 +127,10 @@ def test_lines_alone_miss_what_units_catch(spark):
     rows = [(1, " ".join(w[:100])), (2, "\n".join(" ".join(w[i:i + 7]) for i in range(20, 120, 7)))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert not passages.repeated_units(df).count() and [r[0] for r in found(df)] == [2]
+
+
+def test_a_task_holds_few_buckets_however_small(spark, texts, monkeypatch):
+    monkeypatch.setattr(segments, "ROWS_PER_BUCKET", 3)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    placed = segments.placed(df, 6, "doc_id", "text")
+    assert placed.rdd.getNumPartitions() == len(texts) // 3 > segments.MIN_BUCKETS
