@@ -96,36 +96,54 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "i
                 per_catalog: bool = False) -> DataFrame:
     """Top-k cosine similarity per query (per query and catalog if ``per_catalog``).
 
-    Query batches of any size: queries and vectors are cut into blocks by hash, one group
-    compares a block of each and returns at most k rows per query (and catalog)."""
+    Query batches of any size: a batch of one block goes to the tasks that hold the vectors, of
+    which nothing is shuffled but at most k candidates per query (and catalog) and Arrow batch.
+    Larger ones and the vectors are cut into blocks by hash, one group compares a block of each
+    and returns at most k rows per query (and catalog)."""
     cat = catalog_col or "_cat"
     src = vectors if catalog_col else vectors.withColumn("_cat", F.lit(""))
     id_type = src.schema[id_col].dataType.simpleString()
     cat_type = src.schema[cat].dataType.simpleString()
     q_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {q_type}, {cat} {cat_type}, {id_col} {id_type}, score double"
-    nq, nv = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (src, VECTOR_BLOCK)))
+    nq = max(1, -(-queries.count() // QUERY_BLOCK))
+    keys = ["query_id", cat] if per_catalog else ["query_id"]
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), F.asc(id_col))
+
+    def best(ids, cats, mat, q_ids, q_mat) -> pd.DataFrame:
+        frames, sims = [], mat @ q_mat.T
+        groups = pd.Series(cats).groupby(cats).indices.values() if per_catalog else [np.arange(len(ids))]
+        for rows in groups:
+            for j, qid in enumerate(q_ids):
+                top = rows[best_rows(sims[rows, j], ids[rows], k)]
+                frames.append(pd.DataFrame({"query_id": qid, cat: cats[top], id_col: ids[top], "score": sims[top, j]}))
+        return pd.concat(frames) if frames else pd.DataFrame(columns=["query_id", cat, id_col, "score"])
+
+    if nq == 1:
+        # one block of queries (QUERY_BLOCK rows at most) goes to the tasks; the vectors stay where they are
+        asked = queries.select("query_id", "vector").collect()
+        q_ids, q_mat = [r[0] for r in asked], unit_rows([r[1] for r in asked])
+
+        def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in it:
+                if len(b) and len(q_ids):
+                    yield best(b[id_col].to_numpy(), b[cat].to_numpy(), unit_rows(b["_v"]), q_ids, q_mat)
+        cand = src.select(id_col, cat, F.col(vec_col).alias("_v")).mapInPandas(scan, schema)
+        out = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return out if catalog_col else out.drop("_cat")
+
+    nv = max(1, -(-src.count() // VECTOR_BLOCK))
     left = queries.select("query_id", F.col("vector").alias("_q"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("_qb"),
                           F.explode(F.expr(f"sequence(0L, {nv - 1}L)")).alias("_vb"))
     right = src.select(id_col, cat, F.col(vec_col).alias("_v"), F.pmod(F.xxhash64(id_col), F.lit(nv)).alias("_vb"),
                        F.explode(F.expr(f"sequence(0L, {nq - 1}L)")).alias("_qb"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        frames = []
-        if len(a) and len(b):
-            sims = unit_rows(b["_v"]) @ unit_rows(a["_q"]).T
-            ids, cats = b[id_col].to_numpy(), b[cat].to_numpy()
-            groups = b.groupby(cat).indices.values() if per_catalog else [np.arange(len(b))]
-            for rows in groups:
-                for j, qid in enumerate(a["query_id"]):
-                    best = rows[best_rows(sims[rows, j], ids[rows], k)]
-                    frames.append(pd.DataFrame({"query_id": qid, cat: cats[best], id_col: ids[best],
-                                                "score": sims[best, j]}))
-        return pd.concat(frames) if frames else pd.DataFrame(columns=["query_id", cat, id_col, "score"])
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["query_id", cat, id_col, "score"])
+        return best(b[id_col].to_numpy(), b[cat].to_numpy(), unit_rows(b["_v"]), a["query_id"], unit_rows(a["_q"]))
 
     cand = left.groupBy("_qb", "_vb").cogroup(right.groupBy("_qb", "_vb")).applyInPandas(run, schema)
-    keys = ["query_id", cat] if per_catalog else ["query_id"]
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("score", 9)), F.asc(id_col))
     out = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out if catalog_col else out.drop("_cat")
 

@@ -95,3 +95,51 @@ def test_all_packs_expand(spark):
         # an acronym in mixed case never equals a token's upper form
         want = [word.lower()] + (text.acronym_expansions(country)[word] if word.isupper() else [])
         assert expanded.split(" ") == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().explainString(spark_mode(df, "simple"))
+
+
+def spark_mode(df, name):
+    return df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(name)
+
+
+def test_postings_are_counted_without_a_shuffle(spark, records):
+    index = search.fts_build(records.coalesce(2))
+    assert "Exchange" not in plan(index["postings"])
+    # rows that share an id and a length are one document's, others are told apart by length
+    rows = [("a:1", "a", "abc abc", "", "", []), ("a:1", "a", "abc bcd", "abc", "", []), ("a:1", "a", "abc", "bcd", "", []),
+            ("a:2", "a", "abc", "", "abc", ["abc"]), (None, "a", "abc", None, None, None), (None, "a", "abc", None, None, None)]
+    got = sorted((r.id or "", r.field, r.term, r.len, r.tf) for r in search.fts_build(spark.createDataFrame(rows, SCHEMA))["postings"].collect())
+    assert got == sorted([("a:1", "title", "abc", 2, 3), ("a:1", "title", "abc", 3, 1), ("a:1", "title", "bcd", 3, 1),
+                          ("a:1", "description", "abc", 3, 1), ("a:1", "description", "bcd", 2, 1), ("a:2", "title", "abc", 3, 1),
+                          ("a:2", "organization", "abc", 3, 1), ("a:2", "tags", "abc", 3, 1), ("", "title", "abc", 1, 2)])
+
+
+def test_common_terms_and_shared_ids_in_slices(spark, records, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_POSTINGS", 16)
+    monkeypatch.setattr(search, "SLICE_POSTINGS", 50)
+    monkeypatch.setattr(search, "SALT_POSTINGS", 100)
+    twice = records.unionByName(records.where("id LIKE '%:00%'")).unionByName(records.where("id = 'a:0007'").withColumn("title", F.lit("abc")))
+    index = search.fts_build(twice)
+    built = search.write_impacts(index, scratch_path(spark, "impacts"))
+    q = spark.createDataFrame([(i, c, t) for i, t in QTERMS for c in ("a", "b")], "query_id int, catalog_id string, term string")
+    want = {(r.query_id, r.catalog_id, r.rank): (r.id, round(r.score, 6)) for r in search.bm25_search(index, q, 10).collect()}
+    got = {(r.query_id, r.catalog_id, r.rank): (r.id, round(r.score, 6)) for r in search.bm25_topk(built, q, 10).collect()}
+    assert got == want and len(got) > 6
+
+
+def test_a_block_of_queries_does_not_shuffle_the_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, "ab"[i % 2], rng.normal(size=4).tolist()) for i in range(60)], "id long, cat string, vector array<double>")
+    q = spark.createDataFrame([(j, rng.normal(size=4).tolist()) for j in range(5)], "query_id long, vector array<double>")
+    for per in (False, True):
+        one = vectors.vector_topk(v, q, 3, catalog_col="cat", per_catalog=per)
+        assert "CoGroup" not in plan(one)
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)
+        many = vectors.vector_topk(v, q, 3, catalog_col="cat", per_catalog=per)
+        assert "CoGroup" in plan(many)
+        rows = [sorted((r.query_id, r.cat, r["rank"], r.id, round(r.score, 9)) for r in df.collect()) for df in (one, many)]
+        assert rows[0] == rows[1] and len(rows[0]) == 15 * (1 + per)
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", 512)
