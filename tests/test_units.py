@@ -417,3 +417,20 @@ def test_hybrid_merge_filter_limit_brute_force(spark):
         want = [i for i, _ in sorted(ok, key=lambda x: (-x[1], x[0]))[:5]]
         have = [r["id"] for r in sorted([r for r in got if r["query_id"] == q], key=lambda r: r["rank"])]
         assert have == want
+
+
+def test_range_totals_are_those_of_the_pairs(spark):
+    import random
+    from decimal import Decimal
+
+    from mirador.operators import rangejoin
+    rng = random.Random(8)
+    lines = [(rng.choice([None, float(rng.randrange(40)) / 4]), rng.choice([None, Decimal(rng.randrange(900)) / 100])) for _ in range(400)]
+    bands = [(k % 50, float(a) / 4, float(a + rng.randrange(-2, 9)) / 4) for k, a in enumerate(rng.choices(range(44), k=80))] + [(90, None, 3.0)]
+    v = spark.createDataFrame(lines, "x double, q decimal(18,2)")
+    i = spark.createDataFrame(bands, "k int, lo double, hi double")
+    want = sorted(((k, lo, hi, len(got), sum((q for q in got if q is not None), Decimal(0)) if any(q is not None for q in got) else None)
+                   for k, lo, hi in bands if lo is not None
+                   for got in [[q for x, q in lines if x is not None and lo <= x < hi]] if got), key=repr)
+    df = rangejoin.range_totals(v, i, "x", "lo", "hi", {"total": F.col("q")})
+    assert sorted((tuple(r) for r in df.collect()), key=repr) == want and len(want) > 40
