@@ -117,7 +117,7 @@ def _nonneg_int(c: Column) -> Column:
 def validate_events(raw: DataFrame, json_col: str = "json") -> DataFrame:
     """Parse usage events and give each a verdict: ok, or the first failing rule."""
     e = F.from_json(F.col(json_col), EVENT_SCHEMA)
-    df = raw.withColumn("e", e)
+    df = raw.withColumn("e", e).withColumn("_v", F.try_parse_json(F.col(json_col)))       # parsed once for all fields
     c = lambda n: F.col("e." + n)
     typ = c("type")
     required = {
@@ -129,7 +129,7 @@ def validate_events(raw: DataFrame, json_col: str = "json") -> DataFrame:
     optional_counts = {"search": [], "query": ["rowsReturned"], "inspect": ["columnCount", "rowCount"],
                        "error": []}
     # from_json coerces numbers to strings; the parsed value still knows its JSON type
-    v = F.try_parse_json(F.col(json_col))
+    v = F.col("_v")
     wrong_type = F.lit(False)
     for f in STRING_FIELDS:
         found = F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
@@ -152,7 +152,7 @@ def validate_events(raw: DataFrame, json_col: str = "json") -> DataFrame:
               .when(c("durationMs").isNotNull() & (c("durationMs") < 0), F.lit("negative_duration"))
               .when(missing, F.lit("missing_field"))
               .when(bad_count, F.lit("bad_count")))
-    return df.select("*", typ.alias("type"), reason.alias("reason"), reason.isNull().alias("valid")).drop("e")
+    return df.select("*", typ.alias("type"), reason.alias("reason"), reason.isNull().alias("valid")).drop("e", "_v")
 
 
 def batch_bounds(events: DataFrame, client_col: str, batch_col: str) -> DataFrame:

@@ -22,8 +22,8 @@ CHUNKS = 4
 def q_stream_event_ingest(spark, sf):
     src, out = jobs.scratch(spark, "events-landed"), jobs.scratch(spark, "events-ingest")
     landed = usage_json(spark, sf)
-    jobs.land_in_chunks(landed, src, "event_id", CHUNKS)
-    paths = jobs.event_ingest(spark, src, out, landed.schema)
+    files = jobs.land_in_chunks(landed, src, "event_id", CHUNKS)
+    paths = jobs.event_ingest(spark, src, out, landed.schema, files)
     routed = spark.read.parquet(paths["routed"])
     return routed.select("event_id", "type", (F.col("valid") == "true").alias("valid"), "reason")
 
@@ -37,9 +37,9 @@ def q_stream_sweep_totals(spark, sf):
     s = pipeline.dataset_scores(spark, sf).select(
         "catalog_id", F.col("external_id").cast("bigint").alias("doc_id"),
         "accessibility", "structure", "freshness", "completeness")
-    jobs.land_in_chunks(s, src, "doc_id", CHUNKS)
+    files = jobs.land_in_chunks(s, src, "doc_id", CHUNKS)
     log = jobs.sweep_totals(spark, src, out, "catalog_id string, doc_id bigint, accessibility double, "
-                                             "structure double, freshness double, completeness double")
+                                             "structure double, freshness double, completeness double", files)
     return log.read().select("catalog_id", "dimension", F.col("sum_milli").cast("bigint"),
                                              F.col("count").cast("bigint"))
 
@@ -56,9 +56,10 @@ SELECT catalog_id, dimension, CAST(sum(CAST(round(score * 1000) AS BIGINT)) AS B
 def q_stream_latest_health(spark, sf):
     src, out = jobs.scratch(spark, "checks-landed"), jobs.scratch(spark, "latest-health")
     c = records.checks(spark, sf)
-    jobs.land_in_chunks(c, src, "event_id", CHUNKS)
+    files = jobs.land_in_chunks(c, src, "event_id", CHUNKS)
     read = jobs.latest_health(spark, src, out, "catalog_id string, url string, checked_at timestamp_ntz, "
-                                               "event_id bigint, latency_ms bigint, status int", EVENTS_AS_OF)
+                                               "event_id bigint, latency_ms bigint, status int", EVENTS_AS_OF,
+                              files=files)
     return read().select("catalog_id", "url", "status", "latency_ms", "checked_at")
 
 
@@ -70,8 +71,9 @@ def q_stream_failure_state(spark, sf):
     src, out = jobs.scratch(spark, "outcomes-landed"), jobs.scratch(spark, "failure-state")
     register_views(spark, sf, ())
     o = spark.table("events").select("user_id", "ts", "event_id", (F.col("event_type") == "error").alias("failed"))
-    jobs.land_in_chunks(o, src, "event_id", CHUNKS)
-    log = jobs.failure_state(spark, src, out, "user_id bigint, ts timestamp_ntz, event_id bigint, failed boolean")
+    files = jobs.land_in_chunks(o, src, "event_id", CHUNKS)
+    log = jobs.failure_state(spark, src, out, "user_id bigint, ts timestamp_ntz, event_id bigint, failed boolean",
+                             files=files)
     return jobs.final_failure_state(log, "user_id", EVENTS_AS_OF)
 
 
@@ -94,8 +96,9 @@ def q_stream_outage_state(spark, sf):
     late = F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.col("event_id") * 7919, F.lit(43_200))
     o = spark.table("events").select("user_id", "event_id", "ts", (F.col("event_type") != "error").alias("ok"),
                                      late.alias("arrival"))
-    jobs.land_in_chunks(o, src, "arrival", CHUNKS)
-    done = jobs.outage_stream(spark, src, out, "user_id bigint, event_id bigint, ts timestamp_ntz, ok boolean", "user_id")
+    files = jobs.land_in_chunks(o, src, "arrival", CHUNKS)
+    done = jobs.outage_stream(spark, src, out, "user_id bigint, event_id bigint, ts timestamp_ntz, ok boolean", "user_id",
+                              files=files)
     return spark.read.parquet(done).select(F.col("key").alias("user_id"), "event_id", "ts", "decision", "state")
 
 

@@ -10,18 +10,21 @@ from pyspark.sql import functions as F
 
 from mirador.sources import versions
 
-FILES = 4                      # files a chunk
+FILES = 4                      # files a chunk, at least
+ROWS_A_FILE = 100_000          # about
 
 
-def land_in_chunks(df: DataFrame, path: str, order_col: str, n_chunks: int, files: int = FILES) -> None:
+def land_in_chunks(df: DataFrame, path: str, order_col: str, n_chunks: int, files: int | None = None) -> int:
     """Land ``df`` in ``n_chunks`` chunks by ``order_col``, several files each, in one job: the
     chunk is a column, rows are dealt by (chunk, salt), and the files are then moved into the
     landing folder with modification times in the chunks' order, which file streams follow.
     Each chunk is ``files`` files (empty ones, if it has few rows), so a stream that takes that
-    many at a trigger gets it whole. Rows without a key come first; a table without any key is
-    one chunk."""
+    many at a trigger gets it whole. Unless ``files`` is given, it follows from the number of rows, so
+    that tasks stay small; it is returned. Rows without a key come first; a table without any
+    key is one chunk."""
     spark = df.sparkSession
-    lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
+    lo, hi, n = df.agg(F.min(order_col), F.max(order_col), F.count(F.lit(1))).first()
+    files = files or max(FILES, -(-n // (n_chunks * ROWS_A_FILE)))
     chunk = F.lit(0)
     if lo is not None:
         step = (hi - lo) // n_chunks + 1
@@ -48,6 +51,7 @@ def land_in_chunks(df: DataFrame, path: str, order_col: str, n_chunks: int, file
                 spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, empty, fs, to, False, fs.getConf())
             fs.setTimes(to, now + 1000 * at, -1)
     versions.delete(spark, staged)
+    return files
 
 
 def empty_file(df: DataFrame, folder: str):

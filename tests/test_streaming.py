@@ -143,3 +143,12 @@ def test_versions_switch_last(spark):
     for n in (4, 5, 6):
         versions.save(spark.range(n).withColumnRenamed("id", "k"), path)
     assert versions.load(spark, path, schema).count() == 6 and len(versions.entries(spark, path)) == 2
+
+
+def test_files_of_a_chunk_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(landing, "ROWS_A_FILE", 100)
+    path = scratch_path(spark, "landed-many")
+    files = landing.land_in_chunks(spark.range(4_000).withColumnRenamed("id", "k"), path, "k", 4)
+    names = sorted(n for n in versions.listed(spark, path) if n.endswith(".parquet"))
+    assert files == 10 and [sum(n.startswith(f"{c:05d}-") for n in names) for c in range(4)] == [10] * 4
+    assert spark.read.parquet(path).count() == 4_000
