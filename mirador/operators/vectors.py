@@ -1,8 +1,8 @@
 """Vectors: text embedding, upsert by id, and top-k cosine search.
 
 * ``embed_text`` runs a pluggable encoder over Arrow batches (``mapInPandas``);
-  the default encoder hashes the index's tokens (MD5) into a fixed number of dimensions, mean
-  pools and L2-normalises (no model is needed offline, and SQL can compute the same). Any
+  the default encoder (``mapInArrow``) hashes the index's tokens (MD5) into a fixed number of
+  dimensions, mean pools and L2-normalises (no model is needed offline, and SQL can compute the same). Any
   callable ``list[str] -> ndarray[n, dim]`` can replace it, e.g. an ONNX model.
 * ``vector_topk`` is brute force over blocks: a block of queries meets a block of
   vectors in one group, which returns at most k rows per query (and catalog); the
@@ -18,60 +18,73 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirador.functions import lookups as L
-from mirador.functions.columns import fts_tokens
+from mirador.functions.words import bytes_of_each, cut, pieces
 
-KNOWN_TOKENS = 200_000         # token positions an encoder remembers
+KNOWN_TOKENS = 500_000         # token positions an encoder remembers
 
 
 def token_place(token: str, dim: int) -> tuple[int, int]:
     """(position, sign) of a token, from its MD5 (which SQL engines have as well)."""
-    h = hashlib.md5(token.encode()).hexdigest()
-    return int(h[:8], 16) % dim, 1 - 2 * (int(h[8], 16) % 2)
+    h = hashlib.md5(token.encode()).digest()
+    return int.from_bytes(h[:4]) % dim, 1 - 2 * (h[4] >> 4 & 1)
 
 
-def hashed_encoder(dim: int = L.EMBEDDING_DIM) -> Callable[[list[list[str]]], np.ndarray]:
-    """Token hashing encoder: each token adds its sign at its position; mean, L2 norm. A token is
-    hashed once; the sums are one ``bincount`` over all tokens of the batch."""
-    known: dict[str, int] = {}
+def hashed_encoder(dim: int = L.EMBEDDING_DIM) -> Callable[[pa.Array], np.ndarray]:
+    """Token hashing encoder of lowered texts: each token adds its sign at its position; mean, L2
+    norm. A token is hashed once; the sums are one ``bincount`` over all tokens of the array."""
+    known: dict[bytes, int] = {}
 
-    def encode(rows: list[list[str]]) -> np.ndarray:
+    def encode(texts: pa.Array) -> np.ndarray:
+        words, row = cut(texts)
+        coded = words.dictionary_encode()
         if len(known) > KNOWN_TOKENS:
             known.clear()
-        lens = np.array([len(r) for r in rows], np.int64)
-        flat = [t for r in rows for t in r]
-        for t in set(flat).difference(known):
-            at, sign = token_place(t, dim)
-            known[t] = at * 2 + (sign < 0)
-        code = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-        cell = np.repeat(np.arange(len(rows)), lens) * dim + code // 2
-        out = np.bincount(cell, 1.0 - 2.0 * (code % 2), len(rows) * dim).astype(float).reshape(len(rows), dim)
+        each = bytes_of_each(coded.dictionary)
+        for w in each:
+            if w not in known:
+                place, plus = token_place(w.decode(), dim)
+                known[w] = place * 2 + (plus < 0)
+        code = np.fromiter(map(known.__getitem__, each), np.int64, len(each))
+        at, sign, which = code // 2, 1.0 - 2.0 * (code % 2), coded.indices.to_numpy(zero_copy_only=False)
+        out = np.bincount(row * dim + at[which], sign[which], len(texts) * dim).astype(float).reshape(len(texts), dim)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
+        return np.divide(out, norms, out=out, where=norms > 0)
     return encode
 
 
 def embed_text(df: DataFrame, id_col: str, text_col: str, encoder=None,
                batch: int = L.EMBED_BATCH, extra_cols: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *extra, vector array<float>) for each row, encoded ``batch`` texts at a time. The default
-    encoder takes the index's tokens, which Spark cuts; another one takes the texts."""
+    """(id, *extra, vector array<float>) for each row. The default encoder cuts the index's tokens from
+    the bytes of whole Arrow batches; another one takes ``batch`` texts at a time."""
     keep = [id_col, *extra_cols]
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep) + ", vector array<float>"
-    source = F.col(text_col) if encoder else fts_tokens(F.coalesce(F.col(text_col), F.lit("")))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder or hashed_encoder()
         for pdf in it:
-            texts = [x if isinstance(x, str) or x is None else list(x) for x in pdf["encoded_text"]]
-            vecs = [enc(texts[i:i + batch]) for i in range(0, len(texts), batch)]
+            texts = list(pdf["encoded_text"])
+            vecs = [encoder(texts[i:i + batch]) for i in range(0, len(texts), batch)]
             mat = np.vstack(vecs) if vecs else np.zeros((0, L.EMBEDDING_DIM))
             out = pdf[keep].copy()
             out["vector"] = list(mat.astype(np.float32))
             yield out
-    return df.select(*keep, source.alias("encoded_text")).mapInPandas(run, schema)
+
+    def hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = hashed_encoder()
+        for whole in it:
+            for lo, hi in pieces([whole.column(len(keep))]):
+                b = whole.slice(lo, hi - lo)
+                mat = encode(b.column(len(keep)))
+                at = np.arange(len(mat) + 1, dtype=np.int32) * mat.shape[1]
+                vecs = pa.ListArray.from_arrays(pa.array(at), pa.array(mat.astype(np.float32).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], vecs], names=[*keep, "vector"])
+    if encoder:
+        return df.select(*keep, F.col(text_col).alias("encoded_text")).mapInPandas(run, schema)
+    return df.select(*keep, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("encoded_text")).mapInArrow(hashed, schema)
 
 
 QUERY_BLOCK = 512           # queries and vectors that one task compares
