@@ -25,6 +25,7 @@ DEALT_DDL = ("part long, catalogs binary, catalog_sizes binary, terms binary, te
 BLOCKS_DDL = ("bucket int, catalog_id string, term string, block long, bound double, low double, n long, "
               "ids binary, id_sizes binary, impacts binary")
 DEAL_POSTINGS = 250_000        # postings dealt at once, about
+COUNT_POSTINGS = 1_000_000     # postings counted at once, about
 BLOCK_ROWS = 20_000            # blocks of an Arrow batch
 CATALOG_FACTOR = 1_000_003
 
@@ -96,12 +97,12 @@ def count_records(fields: DataFrame, names: tuple[str, ...], stem=None) -> DataF
         .mapInArrow(run, COUNTED_DDL)
 
 
-def record_pieces(batch: pa.RecordBatch, sizes: int) -> Iterator[pa.RecordBatch]:
-    """A batch of counted records in slices of about ``DEAL_POSTINGS`` terms, a record at least."""
+def record_pieces(batch: pa.RecordBatch, sizes: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch of counted records in slices of about ``most`` terms, a record at least."""
     upto = np.concatenate(([0], np.cumsum(counts_in(batch.column(sizes), 4))))
     lo = 0
     while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + DEAL_POSTINGS, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + most, side="right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
 
@@ -110,7 +111,7 @@ def term_rows(counted_records: DataFrame, n_fields: int) -> DataFrame:
     """(catalog_id, id, len, term, tf: an int per field) of every record."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for b in record_pieces(batch, 4):
+            for b in record_pieces(batch, 4, DEAL_POSTINGS):
                 terms = strings_of(numbers(b.column(4), "<i4"), string_parts(b.column(3))[1])
                 row = pa.array(np.repeat(np.arange(b.num_rows), counts_in(b.column(4), 4)))
                 at = np.arange(len(terms) + 1, dtype=np.int32) * n_fields
@@ -121,17 +122,18 @@ def term_rows(counted_records: DataFrame, n_fields: int) -> DataFrame:
 
 
 def term_counts(counted_records: DataFrame) -> DataFrame:
-    """(catalog_id, term, n): how many records of an Arrow batch hold the term."""
+    """(catalog_id, term, n): how many records of a slice of an Arrow batch hold the term."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            code, terms = codes(strings_of(numbers(b.column(2), "<i4"), string_parts(b.column(1))[1]))
-            catalog, names = codes(b.column(0))
-            each = np.sort(np.repeat(catalog, counts_in(b.column(2), 4)) * max(1, len(terms)) + code)
-            first = starts_of(each)
-            of, term = np.divmod(each[first], max(1, len(terms)))
-            yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(of)), terms.take(pa.array(term)), pa.array(np.diff(first, append=len(each)).astype(np.int64))],
-                names=["catalog_id", "term", "n"])
+        for batch in it:
+            for b in record_pieces(batch, 2, COUNT_POSTINGS):
+                code, terms = codes(strings_of(numbers(b.column(2), "<i4"), string_parts(b.column(1))[1]))
+                catalog, names = codes(b.column(0))
+                each = np.sort(np.repeat(catalog, counts_in(b.column(2), 4)) * max(1, len(terms)) + code)
+                first = starts_of(each)
+                of, term = np.divmod(each[first], max(1, len(terms)))
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(of)), terms.take(pa.array(term)), pa.array(np.diff(first, append=len(each)).astype(np.int64))],
+                    names=["catalog_id", "term", "n"])
     return counted_records.select("catalog_id", "terms", "sizes").mapInArrow(run, "catalog_id string, term string, n long")
 
 
@@ -201,7 +203,7 @@ class Dealer:
     def records(self, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of counted records."""
         for batch in it:
-            for b in record_pieces(batch, 7):
+            for b in record_pieces(batch, 7, DEAL_POSTINGS):
                 terms = strings_of(numbers(b.column(7), "<i4"), string_parts(b.column(6))[1])
                 row = np.repeat(np.arange(b.num_rows), counts_in(b.column(7), 4))
                 tf = numbers(b.column(8), "<i4").reshape(len(row), len(self.weights))
